@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from riskloom.llm import linededup, mixing, packing, topk
+from riskloom.llm import linededup, mixing, packing, pii, quality, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_pii": pii.op2_pii,
         "op4_packing": packing.op4_packing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_line_dedup": linededup.op10_line_dedup,
