@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import linededup, mixing, packing, pii, quality, topk, toxicity
+from riskloom.llm import jaccard, linededup, mixing, packing, pii, quality, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_pii": pii.op2_pii,
+        "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_packing": packing.op4_packing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_source_mixing": mixing.op8_source_mixing,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": topk.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL}
+    return {"op3_ngram_jaccard": jaccard.OP3_SQL, "op9_exact_topk": topk.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL}
