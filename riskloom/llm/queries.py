@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import jaccard, linededup, mixing, packing, pii, quality, topk, toxicity
+from riskloom.llm import jaccard, linededup, media, mixing, packing, pii, quality, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_packing": packing.op4_packing,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_media": media.op7_media,
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_line_dedup": linededup.op10_line_dedup,
