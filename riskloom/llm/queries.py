@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import jaccard, linededup, media, mixing, packing, pii, quality, topk, toxicity
+from riskloom.llm import jaccard, linededup, media, mixing, packing, pii, quality, suffixdedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_packing": packing.op4_packing,
+        "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_media": media.op7_media,
         "op8_source_mixing": mixing.op8_source_mixing,
