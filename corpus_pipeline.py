@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import linededup, mixing, packing
-from riskloom.llm.common import materialize, tune
+from riskloom.llm import jaccard, linededup, mixing, packing, quality
+from riskloom.llm.common import materialize, table, tune
 
 #: No SQL: a trained classifier, a keyed permutation and a tokenizer can't be expressed in it.
 ORACLE_SQL = None
@@ -23,11 +23,27 @@ def _columns(out: DataFrame, like: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
+#: A document goes when its score is below this; the score's two ends are far apart, so clean documents stay.
+MIN_QUALITY = 0.3
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the model learns from the labels of sf_dir."""
+    model = quality.train_quality(spark, docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(spark, docs, model)
+    return scored.where(F.col("quality_score") >= MIN_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; a document left empty keeps its row."""
     return _columns(linededup.dedup_lines(docs), docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the smallest doc_id."""
+    return jaccard.keep_one_each(spark, docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, scarce sources up to twice; one row for each use."""
     return _columns(mixing.mix_sources(spark, docs, max_repeat=2.0), docs)
@@ -39,7 +55,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("source mixing", source_mixing), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup),
+    ("n-gram jaccard join", near_duplicates),
+    ("source mixing", source_mixing),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
