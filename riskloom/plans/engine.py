@@ -65,14 +65,15 @@ def relations(c: Corpus, names: set[str]) -> dict[str, DataFrame]:
 _NAMES = ("files", "lines", "lossy_lines", "deps", "dep_licenses", "project_licenses", "imports", "repo_meta", "advisories")
 
 
-def run_sql(c: Corpus, sql: str) -> DataFrame:
-    """sql over the corpus' relations. The names become views of this call only."""
+def run_sql(c: Corpus, sql: str, lines: DataFrame | None = None) -> DataFrame:
+    """sql over the corpus' relations (lines may be given). The names become views of this call only."""
     import re
     import uuid
 
     tag = uuid.uuid4().hex[:8]
     used = {n for n in _NAMES if re.search(rf"\b{n}\b(?!\s*\()", sql)}
-    for n, df in relations(c, used).items():
+    given = {"lines": lines} if lines is not None else {}
+    for n, df in (relations(c, used - set(given)) | given).items():
         df.createOrReplaceTempView(f"{n}_{tag}")
     # names inside literals are left alone
     parts = re.split(r"('(?:[^'\\]|\\.)*')", sql)
@@ -90,7 +91,9 @@ def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
         return _finish(EXTRA[rule_id][2](c), rule_id)
     parts = []
     if rule_id in LINE_RULES:
-        parts.append(_finish(run_sql(c, line_sql(LINE_RULES[rule_id], SPARK, "lines")), rule_id))
+        rule = LINE_RULES[rule_id]
+        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()})
+        parts.append(_finish(run_sql(c, line_sql(rule, SPARK, "lines", flagged=True), lines), rule_id))
     parts += [_finish(run_sql(c, r.sql(SPARK)), rule_id) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
     if rule_id in taint.RULES:
         parts.append(_finish(taint.findings(c, [rule_id]), rule_id))
@@ -99,15 +102,13 @@ def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
 
 def line_findings(c: Corpus) -> DataFrame:
     """Findings of all line rules in one pass over the lines."""
-    rows = c.lines
-    flags: dict[str, str] = {}
-    for r in LINE_RULES.values():
-        flags |= {name: f(SPARK) for name, f in r.flags.items()}
-    # file flags are computed before lines are generated: they depend on file columns only
-    rows = rows.select("*", *[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
+    # what depends on the file alone is judged once for each file, before its lines are generated
+    flags = {name: f(SPARK) for r in LINE_RULES.values() for name, f in r.flags.items()}
+    flags |= {f"in_{k.replace('-', '').lower()}": r.files(SPARK) for k, r in LINE_RULES.items()}
+    rows = c.flagged_lines(flags)
     items = []
     for k, r in LINE_RULES.items():
-        test = f"({r.files(SPARK)}) AND ({SKIPS[r.skip]})"
+        test = f"in_{k.replace('-', '').lower()} AND ({SKIPS[r.skip]})"
         for row in r.rows(SPARK):
             if r.times:
                 inner = row.replace("m RLIKE", "x RLIKE")

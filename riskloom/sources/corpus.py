@@ -57,10 +57,15 @@ class Corpus:
     def lossy_lines(self) -> DataFrame:
         return self._lines("text_lossy")
 
-    def _lines(self, column: str) -> DataFrame:
+    def flagged_lines(self, flags: dict[str, str]) -> DataFrame:
+        """lines with boolean columns that are computed once for each file, before its lines are generated."""
+        return self._lines("text", flags)
+
+    def _lines(self, column: str, flags: dict[str, str] | None = None) -> DataFrame:
+        flags = flags or {}
         arr = F.split(column, LINE_END)
         arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
-        base = self.files.where(F.col(column).isNotNull()).withColumn("ls", arr)
+        base = self.files.where(F.col(column).isNotNull()).select("*", arr.alias("ls"), *[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
         rows = base.select("*", F.posexplode("ls").alias("i", "raw")).withColumn("line", (F.col("i") + 1).cast("long"))
         s = F.regexp_replace("raw", STRIP, "")
 
@@ -69,4 +74,4 @@ class Corpus:
 
         ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), F.col("i") + 1 - a), F.least(F.col("i") + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items()}
         ctx["ctx11"] = F.concat_ws(" ", near(-1), s, near(1))
-        return rows.select("path", "lpath", "name", "lname", "suffix", "text", "text_lossy", "line", "raw", s.alias("s"), *[c.alias(n) for n, c in ctx.items()])
+        return rows.select("path", "lpath", "name", "lname", "suffix", "text", "text_lossy", "line", "raw", s.alias("s"), *[c.alias(n) for n, c in ctx.items()], *flags)
