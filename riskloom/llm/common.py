@@ -108,6 +108,21 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+#: Frames of at most so many rows of two numbers (16 MB) are broadcast; larger ones are joined by shuffle.
+SMALL_ROWS = 250_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than a known row count is worth."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(parts, -(-rows // 20_000))))
+
+
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if its row count is small."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc") -> DataFrame:
     """(id, component): the smallest id reachable, for every id in edges(a, b).
 
@@ -116,26 +131,24 @@ def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc
     Only a changed-row count reaches the driver. Minima are partially aggregated,
     so a vertex with very many links is no hot task.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(spark, both, f"{label}-edges")
-    labels = materialize(spark, both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{label}-labels")
+    edges = edges.where("a <> b")
+    both = materialize(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
+    n_edges = both.count()
+    labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), n_edges)
+    labels = materialize(spark, labels, f"{label}-labels")
+    n = labels.count()
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        nxt = step.join(jump, "c", "left").select(
-            "id", F.least("c", F.coalesce("cc", "c")).alias("component"), (F.least("c", F.coalesce("cc", "c")) != F.col("old")).alias("moved")
-        )
-        nxt = materialize(spark, nxt, f"{label}-labels")
+        near = both.join(light(labels.select(F.col("id").alias("b"), "component"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = near.join(light(labels, n), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("c"))
+        jump = light(labels.select(F.col("id").alias("c"), F.col("component").alias("cc")), n)
+        new = F.least("c", F.coalesce("cc", "c"))
+        nxt = step.join(jump, "c", "left").select("id", new.alias("component"), (new != F.col("old")).alias("moved"))
+        nxt = materialize(spark, compact(nxt, n_edges), f"{label}-labels")
         moved = nxt.where("moved").limit(1).count()
         release(spark, labels)
-        keep = nxt._riskloom_path
+        path = nxt._riskloom_path
         labels = nxt.select("id", "component")
-        labels._riskloom_path = keep
+        labels._riskloom_path = path
         if not moved:
             release(spark, both)
             return labels

@@ -8,15 +8,17 @@ link when 100 * |intersection| >= threshold * |union|. Steps:
 2. Equal sets are one class at once (128-bit set fingerprint), and only the first of a
    class in each task goes on: groups of copies are pre-aggregated.
 3. Of each set the prefix n - ceil(t n) + 1 is emitted. Similar sets share a prefix
-   shingle, so records whose shingle nobody shares are dropped in one sorted,
-   streaming pass (hot shingles are salted).
-4. Star rounds: each bucket's most central member (smallest prefix position) is its
-   pivot; every member meets the pivot that most of its buckets name, after length and
-   positional filters; pairs pass a suffix filter and are verified once, exactly.
-   Members that are connected already need not meet.
-5. What is left, pairs of one bucket in different components, is enumerated in full
-   when it is small or when a round found no new link, so no link between different
-   components is missed. All pairs within a group are never formed.
+   shingle, so one sorted, streaming pass (hot shingles are salted) forms the buckets.
+   A bucket of at most SMALL members gives its pairs; a larger one gives each member's
+   pair with its pivot, the most central member (smallest prefix position), and its
+   records are kept for step 5. Length and positional filters come first.
+4. Each set meets the partner that most of its buckets name. Pairs pass a suffix filter
+   and are verified once, exactly. Members that are connected already need not meet;
+   the other pairs are verified after that if they still join different components.
+5. What large buckets have left, pairs in different components, goes through further
+   rounds with other pivots, and is enumerated in full as soon as it is small or a round
+   found no new link. So no link between different components is missed, and the pairs
+   within a group are never all formed.
 
 Components are minima spread along links (``connected_components``); nothing that grows
 with the documents is collected or broadcast, apart from the two fixed-size sketches.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import connected_components, dense_reduce, materialize, release, table, tune
+from riskloom.llm.common import compact, connected_components, dense_reduce, light, materialize, release, table, tune
 from riskloom.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash, word_spans
 
 WORDS = 5
@@ -42,6 +44,9 @@ THRESHOLD = 75
 SKETCH = 1 << 20
 FILTER = 1 << 21
 SALTS = 32
+#: Largest bucket whose pairs are all formed; longest run of records held in one piece.
+SMALL = 6
+HOLD = 20_000
 _U = np.uint64
 _STEP = [_U(int(x) | 1) for x in np.random.default_rng(31).integers(1, 2**62, 16)]
 
@@ -165,6 +170,87 @@ def _shared_only(batches):
         held = last
 
 
+def _buckets(threshold: int):
+    """Rows sorted by (h, salt, pos, doc) -> pairs (kind 0: a meets b in n buckets) and the records of large buckets (kind 1)."""
+    names = ["h", "salt", "doc", "n", "pos"]
+
+    def emit(cols, head):
+        """All runs in cols; head is the pivot of the first one if that has begun before."""
+        h, salt, doc, n, pos = cols
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff(np.concatenate([first, [len(h)]]))
+        run = np.cumsum(new) - 1
+        large = (size > SMALL) | (salt[first] > 0)
+        if head is not None:
+            large[0] = True
+        a, b = [], []
+
+        def meet(i, j, d2=None, n2=None, p2=None):
+            d2, n2, p2 = (doc[j], n[j], pos[j]) if d2 is None else (d2, n2, p2)
+            ok = (100 * np.minimum(n[i], n2) >= threshold * np.maximum(n[i], n2)) & (doc[i] != d2)
+            ok &= (100 + threshold) * np.minimum(n[i] - pos[i], n2 - p2) >= threshold * (n[i] + n2)
+            a.append(doc[i][ok])
+            b.append(np.broadcast_to(d2, ok.shape)[ok])
+
+        rows = np.arange(len(h))
+        small = ~large[run]
+        for d in range(1, SMALL):
+            i = rows[d:][(run[d:] == run[:-d]) & small[d:]]
+            meet(i, i - d)
+        i = rows[large[run] & (rows != first[run])]
+        meet(i, first[run[i]])
+        if head is not None:  # against the pivot of before
+            i = rows[: size[0]]
+            meet(i, None, *head)
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        votes = np.diff(np.concatenate([at, [len(a)]]))
+        keep = large[run]
+        k, m = len(at), int(keep.sum())
+        zero = np.zeros(k, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.array([0, 1], np.int8), [k, m])),
+                pa.array(np.concatenate([zero, h[keep]])),
+                pa.array(np.concatenate([a[at], doc[keep]])),
+                pa.array(np.concatenate([b[at], np.zeros(m, np.int64)])),
+                pa.array(np.concatenate([votes, n[keep]]).astype(np.int32)),
+                pa.array(np.concatenate([zero, pos[keep]]).astype(np.int32)),
+            ],
+            ["kind", "h", "a", "b", "n", "pos"],
+        )
+
+    def run(batches):
+        held, head, key = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(x).to_numpy() for x in names]
+            cols = [c.astype(np.int64) for c in cols]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if head is not None and (cols[0][0], cols[1][0]) != key:
+                head = None
+            tail = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[-1:].sum() + 1) if (cols[0][0], cols[1][0]) != (cols[0][-1], cols[1][-1]) else 0
+            if tail:
+                yield emit([c[:tail] for c in cols], head)
+                head = None
+            held = [c[tail:] for c in cols]
+            if len(held[0]) > HOLD:
+                key = (held[0][0], held[1][0])
+                yield emit(held, head if head is not None else (held[2][0], held[3][0], held[4][0]))
+                head = head if head is not None else (held[2][0], held[3][0], held[4][0])
+                held = None
+        if held is not None:
+            yield emit(held, head)
+
+    return run
+
+
 def _wanted(column: str):
     def run(batches):
         total, seen = np.zeros(FILTER, np.int32), False
@@ -245,64 +331,95 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
 
     records = known.mapInArrow(_records(shared, hot, words, threshold), "h long, salt int, doc long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = records.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
-    records = materialize(spark, records.mapInArrow(_shared_only, records.schema), "jaccard-shared")
-
-    edges = materialize(spark, merged, "jaccard-edges")
-    tried = materialize(spark, spark.createDataFrame([], "x long, y long"), "jaccard-tried")
-    labels = comp.select("doc_id", "comp")
+    records = records.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "pos", "doc")
+    buckets = materialize(spark, records.mapInArrow(_buckets(threshold), "kind byte, h long, a long, b long, n int, pos int"), "jaccard-buckets")
+    n_docs = comp.count()
+    edges, labels = merged, comp.select("doc_id", "comp")
     if merged.limit(1).count():
-        labels = _relabel(spark, comp, edges)
-    spread = 0
+        labels = _relabel(spark, comp, edges, n_docs)
+
+    def apart(df: DataFrame, one: str, two: str) -> DataFrame:
+        """Pairs whose ends lie in different components."""
+        a = light(labels.select(F.col("doc_id").alias(one), F.col("comp").alias("__c1")), n_docs)
+        b = light(labels.select(F.col("doc_id").alias(two), F.col("comp").alias("__c2")), n_docs)
+        return df.join(a, one).join(b, two).where("__c1 <> __c2").drop("__c1", "__c2")
+
+    pairs = buckets.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("v"))
+    pairs = materialize(spark, apart(pairs, "a", "b"), "jaccard-pairs")
+    best = pairs.groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", "best.b")
+    large = buckets.where("kind = 1").select("h", F.col("a").alias("doc"), "n", "pos")
+    open_buckets = bool(large.limit(1).count())
+    tried = None
+    turn, spread, last = 0, 1, False
     while True:
-        now = records.join(labels.select(F.col("doc_id").alias("doc"), "comp"), "doc")
-        mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-        now = materialize(spark, now.join(mixed, "h"), "jaccard-now")
-        size = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = size.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not left[1]:
-            release(spark, now)
-            break
-        last = spread < 0 or left[0] <= 4 * left[1] + 20_000
-        if last:
-            y = now.select("h", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "comp")])
-            pairs = now.join(y, "h").where((F.col("comp") < F.col("comp2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), threshold))
-            pairs = pairs.select(F.least("doc", "doc2").alias("x"), F.greatest("doc", "doc2").alias("y")).distinct()
+        if turn == 0:
+            todo = best
         else:
-            order = F.struct(F.floor(F.col("pos") / (1 + 3 * spread)).alias("o"), F.xxhash64(F.lit(spread), "doc").alias("r"), "doc", "n", "pos", "comp")
-            pivot = now.groupBy("h").agg(F.min(order).alias("p"))
-            meet = now.join(pivot, "h").where((F.col("comp") != F.col("p.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), threshold))
-            votes = meet.groupBy("doc", F.col("p.doc").alias("pd")).agg(F.count(F.lit(1)).alias("v"))
-            pairs = votes.groupBy("doc").agg(F.max(F.struct("v", "pd")).alias("b"))
-            pairs = pairs.select(F.least("doc", "b.pd").alias("x"), F.greatest("doc", "b.pd").alias("y")).distinct()
-        pairs = materialize(spark, pairs.join(tried, ["x", "y"], "left_anti"), "jaccard-pairs")
-        wanted = dense_reduce(pairs.select(F.explode(F.array("x", "y")).alias("id")), _wanted("id"), FILTER, "int32")
-        needed = spark.sparkContext.broadcast(wanted > 0)  # FILTER bytes, 2 MB
-        sets = materialize(spark, known.mapInArrow(_sets(needed, words), "doc long, g binary"), "jaccard-sets")
-        both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("doc").alias("y"), F.col("g").alias("gy")), "y")
-        checked = materialize(spark, both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean"), "jaccard-checked")
-        new = checked.where("linked").select("x", "y").distinct()
-        found = new.limit(1).count()
-        if found:
-            a, b = labels.select(F.col("doc_id").alias("x"), F.col("comp").alias("a")), labels.select(F.col("doc_id").alias("y"), F.col("comp").alias("b"))
-            grown = materialize(spark, edges.union(new.join(a, "x").join(b, "y").select("a", "b")).distinct(), "jaccard-edges")
-            release(spark, edges)
-            edges = grown
-            labels = _relabel(spark, comp, edges)
-        grown = materialize(spark, tried.union(checked.select("x", "y")).distinct(), "jaccard-tried")
-        release(spark, tried, now, pairs, sets, checked)
-        tried = grown
-        if last:
+            todo = apart(pairs.select("a", "b"), "a", "b") if turn == 1 else None
+            if open_buckets:
+                met, last = _bucket_pairs(spark, large, labels, n_docs, spread, threshold, last)
+                open_buckets = met is not None
+                todo = met if todo is None else todo if met is None else todo.union(met)
+        if todo is None:
+            break
+        todo = todo.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        if tried is not None:
+            todo = todo.join(tried, ["x", "y"], "left_anti")
+        todo = materialize(spark, todo, "jaccard-todo")
+        count, found = todo.count(), 0
+        if count:
+            checked = _check(spark, known, todo, count, threshold, words)
+            new = checked.where("linked").select("x", "y").distinct()
+            found = new.limit(1).count()
+            if found:
+                a, b = (light(labels.select(F.col("doc_id").alias(e), F.col("comp").alias(c)), n_docs) for e, c in (("x", "a"), ("y", "b")))
+                edges = materialize(spark, edges.union(new.join(a, "x").join(b, "y").select("a", "b")), "jaccard-edges")
+                labels = _relabel(spark, comp, edges, n_docs)
+            tried = todo if tried is None else tried.union(todo)
+        if turn and (last or not open_buckets):
             break
-        spread = spread + 1 if found else -1
-    release(spark, records)
-    out = rows.join(labels.withColumnRenamed("comp", "__c"), "doc_id", "left")
+        last = turn > 0 and not found
+        spread += turn > 0
+        turn += 1
+    out = rows.join(light(labels.withColumnRenamed("comp", "__c"), n_docs), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("__c", "doc_id").alias("component_id"))
 
 
-def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> DataFrame:
+def _bucket_pairs(spark: SparkSession, large: DataFrame, labels: DataFrame, n_docs: int, spread: int, threshold: int, last: bool) -> tuple[DataFrame | None, bool]:
+    """Pairs (a, b) of one large bucket in different components, and whether these are all of them; None if there are none."""
+    now = large.join(light(labels.select(F.col("doc_id").alias("doc"), "comp"), n_docs), "doc")
+    size = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
+    size = materialize(spark, size, "jaccard-mixed")
+    n, left, rows = size.agg(F.count(F.lit(1)), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+    if not n:
+        return None, True
+    now = materialize(spark, now.join(light(size.select("h"), n), "h"), "jaccard-now")
+    if last or left <= 4 * rows + 20_000:
+        y = now.select("h", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "comp")])
+        met = now.join(y, "h").where((F.col("comp") < F.col("comp2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), threshold))
+        return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct(), True
+    order = F.struct(F.floor(F.col("pos") / (1 + 3 * spread)).alias("o"), F.xxhash64(F.lit(spread), "doc").alias("r"), "doc", "n", "pos", "comp")
+    pivot = now.groupBy("h").agg(F.min(order).alias("p"))
+    met = now.join(light(pivot, n), "h").where((F.col("comp") != F.col("p.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), threshold))
+    votes = met.groupBy("doc", F.col("p.doc").alias("pd")).agg(F.count(F.lit(1)).alias("v"))
+    return votes.groupBy(F.col("doc").alias("a")).agg(F.max(F.struct("v", "pd")).alias("m")).select("a", F.col("m.pd").alias("b")), False
+
+
+def _check(spark: SparkSession, known: DataFrame, todo: DataFrame, count: int, threshold: int, words: int) -> DataFrame:
+    """(x, y, linked) for todo(x, y), from the whole texts."""
+    wanted = dense_reduce(todo.select(F.explode(F.array("x", "y")).alias("id")), _wanted("id"), FILTER, "int32")
+    needed = spark.sparkContext.broadcast(wanted > 0)  # FILTER bytes, 2 MB
+    sets = materialize(spark, known.mapInArrow(_sets(needed, words), "doc long, g binary"), "jaccard-sets")
+    both = light(todo, count).join(sets.select(F.col("doc").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("doc").alias("y"), F.col("g").alias("gy")), "y")
+    checked = materialize(spark, both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean"), "jaccard-checked")
+    release(spark, sets)
+    return checked
+
+
+def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame, n_docs: int) -> DataFrame:
     found = connected_components(spark, edges, "jaccard-cc").select(F.col("id").alias("comp"), "component")
-    return materialize(spark, comp.join(found, "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp")), "jaccard-labels")
+    new = comp.join(light(found, found.count()), "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp"))
+    return materialize(spark, compact(new, n_docs), "jaccard-labels")
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
