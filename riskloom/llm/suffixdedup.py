@@ -49,6 +49,7 @@ SKETCH = 1 << 20
 HOT = 256
 RANGES = 8
 STEP = -(-(REACH + 1) // RANGES)
+SUB = 4
 _U = np.uint64
 _ODD = _U(0xC2B2AE3D27D4EB4F)
 
@@ -250,27 +251,67 @@ def _refine_groups(batches):
 
 
 def _offset_ranges(batches):
-    """Hot buckets: one row for each range of offsets, keyed by the bytes all its strings share."""
+    """Hot buckets: one row for each range of offsets.
+
+    k is the hash of the bytes that all strings of the range share, cores those of its
+    parts of SUB strings; c is its class; hs holds the hash of each string, in order
+    from lo on, null where a string is not this anchor's.
+    """
     for b in batches:
         rid, start, left = b.column("rid").to_numpy(), b.column("start").to_numpy(), b.column("left").to_numpy()
         cols = [[] for _ in range(6)]
         for i, raw in enumerate(b.column("ctx").to_pylist()):
-            x = np.frombuffer(raw, np.uint8)
-            p = prefix_hash(x)
+            p = prefix_hash(np.frombuffer(raw, np.uint8))
+            at, last = int(left[i]), len(raw) - LENGTH
+
+            def core(r0, r1, salt, p=p, at=at):
+                h = span_hash(p, np.array([at - r0]), np.array([at - r1 + LENGTH]))
+                with np.errstate(over="ignore"):
+                    return int(mix(h + _U(salt) * _ODD).view(np.int64)[0])
+
             for r in range(RANGES):
                 # strings that start r0..r1 bytes before the anchor
                 r0, r1 = r * STEP, min(REACH, (r + 1) * STEP - 1)
-                s = np.arange(left[i] - r1, left[i] - r0 + 1)
-                s = s[(s >= 0) & (s + LENGTH <= len(x))]
-                if not len(s):
+                s = np.arange(at - r1, at - r0 + 1)
+                own = (s >= 0) & (s <= last)
+                if not own.any():
                     continue
-                core = span_hash(p, left[i : i + 1] - r0, left[i : i + 1] - r1 + LENGTH)[0]
-                reach = span_hash(p, s[:1], s[-1:] + LENGTH)[0]
-                with np.errstate(over="ignore"):
-                    core, reach = mix(np.array([core + _U(r + 1) * _ODD, reach + _U(int(left[i] - s[0]) + 1) * _ODD]))
-                for c, v in zip(cols, (int(core.view(np.int64)), int(reach.view(np.int64)), int(rid[i]), int(start[i] + s[0]), len(s), span_hash(p, s, s + LENGTH).view(np.int64).tolist()), strict=True):
+                hs = [None] * len(s)
+                for j, h in zip(np.flatnonzero(own).tolist(), span_hash(p, s[own], s[own] + LENGTH).view(np.int64).tolist(), strict=True):
+                    hs[j] = h
+                cores = [core(max(r0, r1 - u - SUB + 1), r1 - u, 1000 * r + u + 1) if own[u : u + SUB].any() else None for u in range(0, len(s), SUB)]
+                for c, v in zip(cols, (core(r0, r1, r + 1), hash(tuple(hs)), int(rid[i]), int(start[i] + s[0]), cores, hs), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.list_(pa.int64()))], ["k", "c", "rid", "lo", "n", "hs"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "c", "rid", "lo", "cores", "hs"])
+
+
+def _spans_of(df: DataFrame, hs: str, lo) -> DataFrame:
+    """(rid, lo, hi) from the first to the last string that is there."""
+    there = F.filter(F.transform(F.col(hs), lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
+    return df.select("rid", (lo + F.array_min(there)).alias("lo"), (lo + F.array_max(there) + LENGTH).alias("hi"))
+
+
+def _refine_hot(spark: SparkSession, contexts: DataFrame) -> DataFrame:
+    """(rid, lo, hi) for hot buckets: ranges of offsets, parts of them, then single strings; what is one class repeats whole, what is alone drops out."""
+    ranged = contexts.mapInArrow(_offset_ranges, "k long, c long, rid long, lo long, cores array<long>, hs array<long>")
+    ranged = materialize(spark, ranged, "suffix-ranges")
+
+    def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        kinds = df.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("times"))
+        several = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+        return df.join(kinds.where("times > 1").drop("times"), [*keys, "c"]), df.join(several, keys)
+
+    whole, mixed = split(ranged, ["k"])
+    parts = mixed.select("rid", "lo", "hs", F.posexplode("cores").alias("u", "core")).where("core is not null")
+    parts = parts.select("rid", "core", (F.col("lo") + F.col("u") * SUB).alias("lo"), F.slice("hs", F.col("u") * SUB + 1, SUB).alias("hs"))
+    parts = materialize(spark, parts.withColumn("c", F.xxhash64("hs")), "suffix-parts")
+    whole2, mixed2 = split(parts, ["core"])
+    one = mixed2.select("rid", "lo", F.posexplode("hs").alias("i", "w")).where("w is not null").select("rid", (F.col("lo") + F.col("i")).alias("lo"), "w")
+    place = F.struct("rid", "lo")
+    again = one.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w")
+    single = one.join(again, "w").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    return _spans_of(whole, "hs", F.col("lo")).unionByName(_spans_of(whole2, "hs", F.col("lo"))).unionByName(single)
 
 
 def _cut(batches):
@@ -334,17 +375,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     contexts = materialize(spark, listed.join(wanted, "rid").dropDuplicates(["rid"]).select("rid", "text", "places").mapInArrow(_contexts, schema), "suffix-contexts")
 
     cool = contexts.where("not hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_refine_groups, "rid long, lo long, hi long")
-    ranged = contexts.where("hot").mapInArrow(_offset_ranges, "k long, c long, rid long, lo long, n long, hs array<long>")
-    ranged = materialize(spark, ranged, "suffix-ranges")
-    kinds = ranged.groupBy("k", "c").agg(F.count(F.lit(1)).alias("times"))
-    mixed = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    whole = ranged.join(kinds.where("times > 1").select("k", "c"), ["k", "c"]).select("rid", "lo", (F.col("lo") + F.col("n") - 1 + LENGTH).alias("hi"))
-    one = ranged.join(mixed, "k").select("rid", F.posexplode("hs").alias("i", "w"), "lo", "c")
-    one = one.select("rid", (F.col("lo") + F.col("i")).alias("lo"), "w")
-    again = one.groupBy("w").agg(F.min(F.struct("rid", "lo")).alias("a"), F.max(F.struct("rid", "lo")).alias("z")).where("a <> z").select("w")
-    single = one.join(again, "w").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    out = materialize(spark, full.unionByName(cool).unionByName(whole).unionByName(single), "suffix-spans")
-    release(spark, found, classes, todo, contexts, ranged)
+    out = materialize(spark, full.unionByName(cool).unionByName(_refine_hot(spark, contexts.where("hot"))), "suffix-spans")
+    release(spark, found, classes, todo, contexts)
     return out
 
 
