@@ -36,9 +36,9 @@ BUCKETS = 1 << 17
 DIMS = 16
 GRAMS = (3, 4, 5, 6, 8)
 #: Bounds on the labelled rows that the model is fitted on, and on the length of each.
-MAX_TRAIN = 6_000
-MAX_CHARS = 20_000
-EPOCHS = 120
+MAX_TRAIN = 4_000
+MAX_CHARS = 10_000
+EPOCHS = 60
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
@@ -58,13 +58,13 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def distinct_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word starts, word ends, doc, word, times): the distinct words, then the distinct (doc, word) pairs."""
+    """(word starts, word ends, word hashes, doc, word, times): the distinct words, then the distinct (doc, word) pairs."""
     low = LOWER[data]
     s, e, doc = words(data, offs)
     h = span_hash(prefix_hash(low), s, e)
-    _, one, word = np.unique(h, return_index=True, return_inverse=True)
+    h, one, word = np.unique(h, return_index=True, return_inverse=True)
     pair, times = np.unique(doc * np.int64(max(len(one), 1)) + word, return_counts=True)
-    return s[one], e[one], pair // max(len(one), 1), pair % max(len(one), 1), times
+    return s[one], e[one], h, pair // max(len(one), 1), pair % max(len(one), 1), times
 
 
 def bags(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,20 +117,25 @@ class Model:
             self.constant, self.weights, self.bias = prior, np.zeros(BUCKETS), 0.0
             return self
         rng = np.random.default_rng(seed)
-        buckets, sizes, docs, wordids, often, base = [], [], [], [], [], 0
+        buckets, sizes, docs, wordids, often = [], [], [], [], []
+        known, ids, base = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0  # sorted hashes of the words so far, their numbers
         for lo, _, data, offs in chunks(texts):
-            s, e, doc, word, times = distinct_words(data, offs)
-            bucket, first = bags(data, s, e)
-            buckets.append(bucket)
+            s, e, h, doc, word, times = distinct_words(data, offs)
+            new = ~np.isin(h, known)
+            bucket, first = bags(data, s[new], e[new])
+            buckets.append(bucket.astype(np.int32))
             sizes.append(np.diff(first))
+            known, ids = np.concatenate([known, h[new]]), np.concatenate([ids, base + np.arange(int(new.sum()))])
+            base += int(new.sum())
+            order = np.argsort(known)
+            known, ids = known[order], ids[order]
             docs.append(doc + lo)
-            wordids.append(word + base)
+            wordids.append(ids[np.searchsorted(known, h)][word])
             often.append(times)
-            base += len(s)
         bucket, size = np.concatenate(buckets), np.concatenate(sizes)
+        del buckets
         doc, word, times = np.concatenate(docs), np.concatenate(wordids), np.concatenate(often)
         first = np.concatenate([[0], np.cumsum(size)])
-        owner = np.repeat(np.arange(len(size)), size)
         emb = rng.normal(0, 0.05, (BUCKETS, DIMS))
         soft = rng.normal(0, 0.5, (DIMS, 2))
         bias, power = np.full(1, -1.0), np.full(1, 0.5)
@@ -138,15 +143,15 @@ class Model:
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for t in range(1, EPOCHS + 1):
             side = soft[:, 1] - soft[:, 0]
-            logit = word_logits(emb @ side, bucket, first)
+            logit = word_logits((emb @ side).astype(np.float32), bucket, first).astype(np.float64)
             z, part, length = pool(logit[word], doc, times, len(y), float(power[0]))
             p = 1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))
             d = (p - y) / len(y)
             dword = np.bincount(word, d[doc] * part, len(size))
-            ds = np.bincount(bucket, (dword / size)[owner], BUCKETS)
+            ds = np.bincount(bucket, np.repeat(dword / size, size), BUCKETS)
             dside = emb.T @ ds
             grads = [np.outer(ds, side), np.stack([-dside, dside], 1), np.array([d.sum()]), np.array([-(d * length).sum()])]
-            for i, (g, rate) in enumerate(zip(grads, (0.05, 0.02, 0.05, 0.01), strict=True)):
+            for i, (g, rate) in enumerate(zip(grads, (0.1, 0.03, 0.1, 0.02), strict=True)):
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
                 params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
@@ -161,7 +166,7 @@ class Model:
         n = len(offs) - 1
         if self.constant is not None:
             return np.full(n, self.constant)
-        s, e, doc, word, times = distinct_words(data, offs)
+        s, e, _, doc, word, times = distinct_words(data, offs)
         logit = word_logits(self.weights, *bags(data, s, e))
         z, _, _ = pool(logit[word], doc, times, n, self.power)
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
