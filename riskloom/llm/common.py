@@ -98,7 +98,7 @@ def dense_reduce(
 
     rows = df.mapInArrow(emit, "k int, part binary").repartition(chunks, "k").mapInArrow(merge, "k int, part binary")
     out = np.zeros(size, dtype)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # size items in all
         out[row["k"] * step : row["k"] * step + len(row["part"]) // out.itemsize] += np.frombuffer(row["part"], dtype)
     return out
 
@@ -109,7 +109,7 @@ def held_out(doc_id):
 
 
 #: Frames of at most so many rows of two numbers (16 MB) are broadcast; larger ones are joined by shuffle.
-SMALL_ROWS = 250_000
+SMALL_ROWS = 1 << 20
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:
@@ -126,29 +126,41 @@ def light(df: DataFrame, rows: int) -> DataFrame:
 def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc") -> DataFrame:
     """(id, component): the smallest id reachable, for every id in edges(a, b).
 
-    Repeats two linear steps until nothing changes: every vertex takes the
-    smallest label among its neighbours, then follows its label's own label.
-    Only a changed-row count reaches the driver. Minima are partially aggregated,
-    so a vertex with very many links is no hot task.
+    Rounds of contraction: every vertex hooks on to its smallest neighbour if that is
+    smaller, pointers are followed to their roots (each pass covers four times the
+    distance), and the edges between different roots go on. Both loops take a number of
+    passes that grows with the logarithm of the graph. Only counts reach the driver.
+    Minima are partially aggregated, so a vertex with very many links is no hot task.
     """
-    edges = edges.where("a <> b")
-    both = materialize(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    n_edges = both.count()
-    labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), n_edges)
-    labels = materialize(spark, labels, f"{label}-labels")
-    n = labels.count()
-    while True:
-        near = both.join(light(labels.select(F.col("id").alias("b"), "component"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = near.join(light(labels, n), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("c"))
-        jump = light(labels.select(F.col("id").alias("c"), F.col("component").alias("cc")), n)
-        new = F.least("c", F.coalesce("cc", "c"))
-        nxt = step.join(jump, "c", "left").select("id", new.alias("component"), (new != F.col("old")).alias("moved"))
-        nxt = materialize(spark, compact(nxt, n_edges), f"{label}-labels")
-        moved = nxt.where("moved").limit(1).count()
-        release(spark, labels)
-        path = nxt._riskloom_path
-        labels = nxt.select("id", "component")
-        labels._riskloom_path = path
-        if not moved:
-            release(spark, both)
-            return labels
+
+    def between(df: DataFrame) -> DataFrame:
+        return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    edges = materialize(spark, between(edges), f"{label}-edges")
+    n = edges.count()
+    known = None
+    while n:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = materialize(spark, compact(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a"), n), f"{label}-hooks")
+        k = hooks.count()
+        while True:
+            far = hooks
+            for _ in range(3):
+                far = far.join(light(hooks.select(F.col("a").alias("p"), F.col("p").alias("q")), k), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+            far = materialize(spark, compact(far, k), f"{label}-hooks")
+            more = far.join(light(hooks.select(F.col("a").alias("p")), k), "p", "left_semi").limit(1).count()
+            release(spark, hooks)
+            hooks = far
+            if not more:
+                break
+        root = light(hooks.select(F.col("a").alias("v"), F.col("p").alias("r")), k)
+        old = known if known is not None else both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+        size = n if known is None else known.count()
+        old = old.join(root, F.col("component") == F.col("v"), "left").select("id", F.coalesce("r", "component").alias("component"))
+        known = materialize(spark, compact(old, 2 * size), f"{label}-known")
+        ends = edges.join(root, F.col("a") == F.col("v"), "left").select(F.coalesce("r", "a").alias("a"), "b")
+        ends = ends.join(root, F.col("b") == F.col("v"), "left").select("a", F.coalesce("r", "b").alias("b"))
+        left = materialize(spark, compact(between(ends), n), f"{label}-edges")
+        release(spark, edges, hooks)
+        edges, n = left, left.count()
+    return known if known is not None else spark.createDataFrame([], "id long, component long")
