@@ -298,9 +298,11 @@ def _refine_hot(spark: SparkSession, contexts: DataFrame) -> DataFrame:
     ranged = materialize(spark, ranged, "suffix-ranges")
 
     def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        kinds = df.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("times"))
+        # what repeats as a whole, and one member of each class where a bucket holds several
+        kinds = df.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "lo")).alias("one"))
         several = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-        return df.join(kinds.where("times > 1").drop("times"), [*keys, "c"]), df.join(several, keys)
+        first = df.join(kinds.join(several, keys).drop("times"), [*keys, "c"]).where(F.struct("rid", "lo") == F.col("one")).drop("one")
+        return df.join(kinds.where("times > 1").drop("times", "one"), [*keys, "c"]), first
 
     whole, mixed = split(ranged, ["k"])
     parts = mixed.select("rid", "lo", "hs", F.posexplode("cores").alias("u", "core")).where("core is not null")
