@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table, tune
+from riskloom.llm.tokens import MAX_PIECES
 
 WINDOW = 4096
 MAX_OPEN = 1024
@@ -110,16 +111,16 @@ class SumOfSquares:
                         filling, level, target = [], 0, 1 << (left.bit_length() - 1) if left else 0
 
 
-def _pack(path: str | None, size: int, end_id: int, max_open: int):
+def _pack(path: str | None, size: int, end_id: int, max_open: int, max_pieces: int):
     def run(batches):
         from riskloom.llm.tokens import encoder
 
         if path is None:
             import public_tokenizers
 
-            enc = encoder(public_tokenizers.path(TOKENIZER), end_id)
+            enc = encoder(public_tokenizers.path(TOKENIZER), end_id, max_pieces)
         else:
-            enc = encoder(path, end_id)
+            enc = encoder(path, end_id, max_pieces)
         state, seq = SumOfSquares(size, max_open), TaskContext.get().partitionId() << 33
 
         def rows():
@@ -163,9 +164,12 @@ def _pack(path: str | None, size: int, end_id: int, max_open: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
-    """One row for each piece of a document; tokenizer_path=None takes TOKENIZER from the installed public_tokenizers."""
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path, size, end_id, max_open), SCHEMA)
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, max_pieces: int = MAX_PIECES) -> DataFrame:
+    """One row for each piece of a document; tokenizer_path=None takes TOKENIZER from the installed public_tokenizers.
+
+    max_pieces bounds the encoder's cache in each Python worker (about 180 bytes a piece).
+    """
+    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path, size, end_id, max_open, max_pieces), SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

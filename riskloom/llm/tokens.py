@@ -2,7 +2,7 @@
 
 Pre-tokenisation never crosses white space, so a text's ids are those of its
 pieces between spaces, tabs and line ends. Each distinct piece is encoded once by
-the tokenizers library; the first MAX_PIECES are kept, later ones live as long as
+the tokenizers library; the first max_pieces are kept, later ones live as long as
 their group of texts. A piece of plain letters and digits with ASCII punctuation
 after it is always cut between the two by the pre-tokeniser, and case is folded
 before, so it is put together from its lower-case word and its punctuation.
@@ -21,14 +21,14 @@ _PLAIN = re.compile("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0240]+)([!-/:
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, max_pieces: int = MAX_PIECES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.end = end_id
+        self.end, self.max_pieces = end_id, max_pieces
         self.at: dict[str, int] = {"": 0}
         self.ids, self.start, self.count = array("I"), array("q", [0]), array("q", [0])
 
@@ -69,7 +69,7 @@ class Encoder:
             self._learn(new)
         flat = np.fromiter(map(self.at.__getitem__, chain.from_iterable(pieces)), np.int64)
         edge, out = self._gather(flat, np.array([len(ps) for ps in pieces], np.int64), len(texts))
-        if len(self.at) > MAX_PIECES and new:  # forget what this group has added
+        if len(self.at) > self.max_pieces and new:  # forget what this group has added
             for p in list(self.at)[known:]:
                 del self.at[p]
             del self.start[mark[0] :], self.count[mark[0] :], self.ids[mark[1] :]
@@ -86,11 +86,12 @@ class Encoder:
         return edge + np.arange(n + 1), out
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder:
-    """One encoder for each Python worker."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+def encoder(path: str, end_id: int, max_pieces: int = MAX_PIECES) -> Encoder:
+    """One encoder for each Python worker and setting."""
+    key = (path, end_id, max_pieces)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
