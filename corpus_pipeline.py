@@ -25,6 +25,8 @@ def _columns(out: DataFrame, like: DataFrame) -> DataFrame:
 
 #: A document goes when its score is below this; the score's two ends are far apart, so clean documents stay.
 MIN_QUALITY = 0.3
+#: Token pieces that a worker of the packing stage keeps.
+PIECES = 300_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a packed sequence."""
     tune(spark)
-    return packing.pack_documents(docs)
+    # workers and heap still hold what earlier stages needed: a smaller cache of token pieces
+    return packing.pack_documents(docs, max_pieces=PIECES)
 
 
 STAGES = [
