@@ -362,7 +362,8 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
                 todo = met if todo is None else todo if met is None else todo.union(met)
         if todo is None:
             break
-        todo = todo.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        # each pair once; b is the more central of the two, named by many pairs
+        todo = todo.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("b").alias("b"))
         if tried is not None:
             todo = todo.join(tried, ["x", "y"], "left_anti")
         todo = materialize(spark, todo, "jaccard-todo")
@@ -375,7 +376,8 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
                 a, b = (light(labels.select(F.col("doc_id").alias(e), F.col("comp").alias(c)), n_docs) for e, c in (("x", "a"), ("y", "b")))
                 edges = materialize(spark, edges.union(new.join(a, "x").join(b, "y").select("a", "b")), "jaccard-edges")
                 labels = _relabel(spark, comp, edges, n_docs)
-            tried = todo if tried is None else tried.union(todo)
+            pairs_now = todo.select("x", "y")
+            tried = pairs_now if tried is None else tried.union(pairs_now)
         if turn and (last or not open_buckets):
             break
         last = turn > 0 and not found
@@ -410,7 +412,10 @@ def _check(spark: SparkSession, known: DataFrame, todo: DataFrame, count: int, t
     wanted = dense_reduce(todo.select(F.explode(F.array("x", "y")).alias("id")), _wanted("id"), FILTER, "int32")
     needed = spark.sparkContext.broadcast(wanted > 0)  # FILTER bytes, 2 MB
     sets = materialize(spark, known.mapInArrow(_sets(needed, words), "doc long, g binary"), "jaccard-sets")
-    both = light(todo, count).join(sets.select(F.col("doc").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("doc").alias("y"), F.col("g").alias("gy")), "y")
+    pairs = todo.select("x", "y", "b", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"))
+    # the sets of members are sent once, and of all others only those of their partners
+    partners = sets.join(light(todo.select(F.col("b").alias("doc")).distinct(), count), "doc", "left_semi")
+    both = light(pairs, count).join(sets.select(F.col("doc").alias("a"), F.col("g").alias("gx")), "a").join(partners.select(F.col("doc").alias("b"), F.col("g").alias("gy")), "b")
     checked = materialize(spark, both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean"), "jaccard-checked")
     release(spark, sets)
     return checked
