@@ -3,7 +3,7 @@
 Personal data are found by pattern, validated, and replaced in place:
 
 * card numbers (Luhn), national ids ddd-dd-dddd (assignable ranges), phone numbers
-  (ten-digit plan, or + and a country code), IPv4 addresses, IBANs (mod 97) and dates
+  (ten digits, those outside the ten-digit plan among themselves, or + and a country code), IPv4 addresses, IBANs (mod 97) and dates
   (real days of 1900-2099) go through a keyed Feistel permutation of exactly the
   values their format allows, and keep their length, separators and validity;
 * e-mail addresses and quoted hexadecimal secrets have no numeric format to permute in
@@ -32,6 +32,11 @@ KEY = "riskloom-demo-key"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "phone", "card")
 
+#: An address, national id, date or phone number after a space, which isn't part of the number before it.
+_OTHER = r"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])|(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!\w)(?![-/.][0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9]))"
+#: A plus sign and 8 to 15 digits, written out, as a look-behind takes no repeated group.
+_UP_TO_15 = r"\+" + r"[ .()-]{0,3}[0-9]" * 8 + r"(?:[ .()-]{0,3}[0-9]" * 7 + ")?" * 7
+
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,20})",
     "secret": r"(?<=(?i:token|secret|key|password)[ ]{0,2}[=:][ ]{0,2}[\"'])[0-9a-fA-F]{16,}+(?=[\"'])",
@@ -39,7 +44,7 @@ _PATTERNS = {
     "date": r"(?<![\w.])(?<![0-9][-/])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\w)(?![-/.][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9])",
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:(?:[.-]?|[ ](?!" + _OTHER + r"))[0-9]{2,5}){1,4}(?<=" + _UP_TO_15 + r")(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9])",
     "card": r"(?<![\w-])(?<!\.)[0-9](?:[ -]?[0-9]){11,17}[0-9](?![\w-])",
 }
 
@@ -142,7 +147,17 @@ def _phone(m: Column, key: str) -> Column:
             area, exchange, line = _num(_part(h, 1, 3)), _num(_part(h, 4, 3)), _num(_part(h, 7, 4))
             pair = feistel(area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000), "phone", key)
             out = _let(pair, lambda r: F.concat((r["a"] + 200).cast("string"), (F.floor(r["b"] / 10000) + 200).cast("string"), F.lpad((r["b"] % 10000).cast("string"), 4, "0")))
-            return F.when((F.length(h) == 10) & (area >= 200) & (exchange >= 200), refill(m, F.concat(F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")), out)))
+            # outside the plan: 200,000 pairs with an area below 200, then 160,000 with only the exchange below 200
+            index = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+            pair = feistel(index, line, F.lit(360_000), F.lit(10_000), "phone-off-plan", key)
+
+            def text(r):
+                low, rest = r["a"] < 200_000, r["a"] - 200_000
+                a = F.when(low, F.floor(r["a"] / 1000)).otherwise(F.floor(rest / 200) + 200)
+                return F.concat(*[F.lpad(x.cast("bigint").cast("string"), n, "0") for x, n in ((a, 3), (F.when(low, r["a"] % 1000).otherwise(rest % 200), 3), (r["b"], 4))])
+
+            out = F.when((area >= 200) & (exchange >= 200), out).otherwise(_let(pair, text))
+            return F.when(F.length(h) == 10, refill(m, F.concat(F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")), out)))
 
         country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
         country = F.when(country > 0, country).otherwise(2)

@@ -142,6 +142,34 @@ def test_pii_is_a_permutation(spark):
     assert len(set(out)) == len(rows) and not any(re.match(r"000|666|9|\d{3}-00|\d{6}-0000", x) for x in out)
 
 
+def test_pii_phones_outside_the_plan(spark):
+    rows = [(i, f"+1 ({a:03d}) {e:03d}-{n:04d}") for i, (a, e, n) in enumerate((a, e, n) for a in (0, 17, 132, 199, 200, 974) for e in (0, 150, 199, 200, 555, 999) for n in (0, 1352, 9999))]
+    out = pii.pseudonymize(spark.createDataFrame(rows + [(1000, "(017) 555-1352 or 017-555-1352 or +10175551352")], DOCS)).orderBy("doc_id").collect()
+    new = [r["text"] for r in out[:-1]]
+    assert len(set(new)) == len(rows) and all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x) for x in new)
+    assert all(a != b and (a[4] > "1" and a[9] > "1") == (b[4] > "1" and b[9] > "1") for a, (_, b) in zip(new, rows, strict=True))
+    same = [re.sub(r"\D", "", x)[-10:] for x in out[-1]["text"].split(" or ")]
+    assert same == [re.sub(r"\D", "", new[rows.index(next(r for r in rows if r[1] == "+1 (017) 555-1352"))])[1:]] * 3 and out[-1]["pii_kinds"] == {"phone": 3}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_pii_misses_no_phone_of_the_tables(spark, sf):
+    phone = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![\w])")
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").where("text rlike '[+]1 [(][0-9]{3}[)]'")
+    old = {r["doc_id"]: phone.findall(r["text"]) for r in docs.collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs).collect()}
+    missed = [x for i, xs in old.items() for x in xs if x in out[i]["text"]]
+    assert sum(map(len, old.values())) > 0 and missed == []
+    assert all(out[i]["pii_kinds"].get("phone", 0) >= len(xs) for i, xs in old.items())
+
+
+def test_pii_phone_beside_other_numbers(spark):
+    texts = ["+1 (826) 555-4081 190.137.223.204", "+49 30 1234567 190.137.223.204", "+49 30 1234567 2021-03-04", "+49 30 123456 4111 1111 1111 1111"]
+    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    assert [r["pii_kinds"] for r in out[:3]] == [{"phone": 1, "ip": 1}, {"phone": 1, "ip": 1}, {"phone": 1, "date": 1}]
+    assert not any(w in r["text"] for r, t in zip(out, texts, strict=True) for w in ("(826) 555-4081", "30 1234567", "30 123456", "190.137.223.204", "2021-03-04") if w in t)
+
+
 def test_pii_edges(spark):
     out = pii.pseudonymize(odd(spark).withColumnRenamed("pos", "pii_found"))
     assert out.columns.count("pii_found") == 1
