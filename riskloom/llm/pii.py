@@ -2,7 +2,7 @@
 
 Personal data are found by pattern, validated, and replaced in place:
 
-* card numbers (Luhn), national ids ddd-dd-dddd (assignable ranges), phone numbers
+* card numbers (Luhn, also beside other groups of digits), national ids ddd-dd-dddd (assignable ranges), phone numbers
   (ten digits, those outside the ten-digit plan among themselves, or + and a country code), IPv4 addresses, IBANs (mod 97) and dates
   (real days of 1900-2099) go through a keyed Feistel permutation of exactly the
   values their format allows, and keep their length, separators and validity;
@@ -36,16 +36,34 @@ KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "phone", "card")
 _OTHER = r"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])|(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!\w)(?![-/.][0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9]))"
 #: A plus sign and 8 to 15 digits, written out, as a look-behind takes no repeated group.
 _UP_TO_15 = r"\+" + r"[ .()-]{0,3}[0-9]" * 8 + r"(?:[ .()-]{0,3}[0-9]" * 7 + ")?" * 7
+_GROUP = r"(?!" + _OTHER + r")[0-9]++(?:-[0-9]++)*+(?![\w-])"
+
+#: Countries by the length of their IBANs (the registry of ISO 13616).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _national_ibans() -> str:
+    """IBANs of exactly their country's length."""
+    out = []
+    for n, countries in IBAN_COUNTRIES.items():
+        fours, rest = divmod(n - 4, 4)
+        out.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{fours}}}" + (f"[ ]?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return r"(?<![A-Za-z0-9])(?:" + "|".join(out) + r")(?![A-Za-z0-9])"
+
 
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,20})",
     "secret": r"(?<=(?i:token|secret|key|password)[ ]{0,2}[=:][ ]{0,2}[\"'])[0-9a-fA-F]{16,}+(?=[\"'])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _national_ibans() + r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w.])(?<![0-9][-/])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\w)(?![-/.][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:(?:[.-]?|[ ](?!" + _OTHER + r"))[0-9]{2,5}){1,4}(?<=" + _UP_TO_15 + r")(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9])",
-    "card": r"(?<![\w-])(?<!\.)[0-9](?:[ -]?[0-9]){11,17}[0-9](?![\w-])",
+    # a run of digit groups, numbers of other kinds left out; the cards in it are found by _cards
+    "card": r"(?<![\w-])(?<!\.)(?=[0-9](?:[ -]?[0-9]){12})" + _GROUP + r"(?:[ ]" + _GROUP + r")*+",
 }
 
 
@@ -118,14 +136,56 @@ def refill(template: Column, chars: Column, pattern: str = "[0-9]") -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """The pseudonym of a card number that has been validated."""
+
     def new(d):
         body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
-        checked = _let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when((F.length(d) >= 13) & (luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), refill(m, checked))
+        return refill(m, _let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))))
 
     return _let(_digits(m), new)
 
 
+#: Cards as they are printed: one block, 4-4-4-4 with up to 3 more, 4-6-5, 4-6-4.
+_PRINTED = r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(new text, cards) of a run of digit groups, a null text when it holds no card.
+
+    A card is 13 to 19 digits from one group border to another. From left to right, a card as it
+    is printed comes before any other that begins with it or reaches into it, then the longest.
+    """
+    # of each group, the spans of 19 to 13 digits that begin with it, empty where no border is there
+    spans = [F.regexp_extract_all(m, F.lit(rf"(?<![0-9])(?=[0-9])(?:(?=([0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])))|)"), F.lit(1)) for n in range(19, 12, -1)]
+
+    def valid(t):
+        return _let(_digits(t), lambda d: (d != "") & ~d.rlike("^(.)\\1*$") & (luhn_sum(d) % 10 == 0))
+
+    def best(found):
+        def pick(printed):
+            def one(ts, i):
+                free = F.filter(ts, lambda t: ~F.exists(F.slice(printed, i + 2, F.size(F.split(t, "[ -]")) - 1), lambda p: p))
+                return F.coalesce(F.get(F.filter(ts, lambda t: t.rlike(_PRINTED)), F.lit(0)), F.get(free, F.lit(0)))
+
+            return F.transform(found, one)
+
+        return _let(F.transform(found, lambda ts: F.exists(ts, lambda t: t.rlike(_PRINTED))), pick)
+
+    def fill(cards):
+        def step(s, x):
+            hit = (s["left"] == 0) & x["card"].isNotNull()
+            text = F.when(s["left"] > 0, F.lit("")).when(hit, F.concat(F.regexp_extract(x["group"], "^[ -]?", 0), _card(x["card"], key))).otherwise(x["group"])
+            left = F.when(hit, F.size(F.split(x["card"], "[ -]")) - 1).otherwise(F.greatest(s["left"] - 1, F.lit(0)))
+            return F.struct(F.concat(s["t"], text).alias("t"), left.alias("left"), (s["n"] + F.when(hit, 1).otherwise(0)).alias("n"))
+
+        each = F.zip_with(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cards, lambda g, c: F.struct(g.alias("group"), c.alias("card")))
+        done = F.aggregate(each, F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("n")), step)
+        return _let(done, lambda s: F.struct(F.when(s["n"] > 0, s["t"]).alias("new"), s["n"].alias("n")))
+
+    every = F.transform(F.arrays_zip(*[x.alias(f"s{i}") for i, x in enumerate(spans)]), lambda z: F.filter(F.array(*[z[f"s{i}"] for i in range(len(spans))]), valid))
+    return _let(_let(every, best), fill)
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = _num(_part(m, 1, 3)), _num(_part(m, 5, 2)), _num(_part(m, 8, 4))
     good = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -235,38 +295,41 @@ def _secret(m: Column, key: str) -> Column:
     return F.substr(F.array_join(blocks, ""), F.lit(1), F.length(m))
 
 
-_RULES = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+_RULES = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone}
 
 
 def _pattern(kinds) -> str:
-    """One alternation; each kind's back-references are renumbered to follow the groups before it."""
-    out, groups = [], 0
+    """One alternation; each kind's back-references are renumbered to follow the groups before it. Group 1 is a secret."""
+    out, groups = [], 1
     for k in kinds:
         own = _PATTERNS[k].count("([")
         p = _PATTERNS[k]
         for g in range(own, 0, -1):
             p = p.replace(f"\\{g}", f"\\{g + groups}")
-        out.append(f"(?:{p})")
+        out.append(f"({p})" if k == "secret" else f"(?:{p})")
         groups += own
     return "|".join(out)
 
 
-def _found(m: Column, key: str) -> Column:
-    """(kind, pseudonym) of a match; a null kind when nothing validates."""
+def _found(m: Column, secret: Column, key: str) -> Column:
+    """(kind, pseudonym, values) of a match, secret telling whether it matched as one; a null pseudonym when nothing validates."""
     # a match is tried as each kind whose whole pattern it fits, in order
     shape = {
         "email": m.contains("@"),
-        "secret": m.rlike("^[0-9a-fA-F]{16,}$") & (m.rlike("[a-f]") | (F.length(m) > 34)),
+        "secret": secret,
         "iban": m.rlike("^[A-Z]{2}[0-9]{2}"),
         "date": m.rlike(r"^(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})$"),
         "ip": m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
         "ssn": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         "phone": m.rlike(r"^(?:\+|\()|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"),
-        "card": m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"),
+        "card": m.rlike("^[0-9](?:[ -]?[0-9]){12}"),
     }
     out = None
     for k in KINDS:
-        new = F.struct(F.lit(k).alias("kind"), _RULES[k](m, key).alias("new"))
+        if k == "card":
+            new = _let(_cards(m, key), lambda c: F.struct(F.lit("card").alias("kind"), c["new"].alias("new"), c["n"].alias("n")))
+        else:
+            new = F.struct(F.lit(k).alias("kind"), _RULES[k](m, key).alias("new"), F.lit(1).alias("n"))
         out = F.when(shape[k], new) if out is None else out.when(shape[k], new)
     return out
 
@@ -277,12 +340,14 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     any_kind = _pattern(KINDS)
     may = F.col("text").rlike("[0-9@]")
     hits = F.when(may, F.regexp_extract_all("text", F.lit(any_kind), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    new = F.transform(hits, lambda m: F.struct(m.alias("old"), _found(m, key).alias("x")))
+    # of each hit the secret that it is, or an empty string; no elements where a text has no secrets
+    secrets = F.when(may & F.col("text").rlike(_PATTERNS["secret"]), F.regexp_extract_all("text", F.lit(any_kind), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    new = F.transform(F.arrays_zip(hits.alias("old"), secrets.alias("secret")), lambda h: F.struct(h["old"].alias("old"), _found(h["old"], F.coalesce(h["secret"] != "", F.lit(False)), key).alias("x")))
     base = docs.select(*[F.col(f"`{c}`") for c in names], new.alias("__new"))
     gaps = F.split("text", any_kind, -1)
     middle = F.zip_with(gaps, F.transform("__new", lambda n: F.coalesce(n["x"]["new"], n["old"])), lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
     text = F.when(F.size("__new") > 0, F.array_join(middle, "")).otherwise(F.col("text"))
-    kinds = F.transform(F.filter("__new", lambda n: n["x"]["new"].isNotNull()), lambda n: n["x"]["kind"])
+    kinds = F.flatten(F.transform(F.filter("__new", lambda n: n["x"]["new"].isNotNull()), lambda n: F.array_repeat(n["x"]["kind"], n["x"]["n"])))
     counts = _let(kinds, lambda ks: F.map_from_arrays(F.array_distinct(ks), F.transform(F.array_distinct(ks), lambda k: F.size(F.filter(ks, lambda x: x == k)))))
     return base.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in names], F.size(kinds).alias("pii_found"), counts.alias("pii_kinds"))
 

@@ -170,6 +170,24 @@ def test_pii_phone_beside_other_numbers(spark):
     assert not any(w in r["text"] for r, t in zip(out, texts, strict=True) for w in ("(826) 555-4081", "30 1234567", "30 123456", "190.137.223.204", "2021-03-04") if w in t)
 
 
+def test_pii_values_inside_longer_matches(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [
+        (f"{card} 12/26", card, {"card": 1}), ("4111111111111111 123", "4111111111111111", {"card": 1}), (f"12 {card}", card, {"card": 1}), (f"2024 {card} 99 7", card, {"card": 1}),
+        (f"{card} 5500 0055 5555 5559", "5500 0055 5555 5559", {"card": 2}), (f"{card} 123-45-6789", "123-45-6789", {"card": 1, "ssn": 1}), (f"{card} 10.20.30.40", "10.20.30.40", {"card": 1, "ip": 1}),
+        (f"{card} 12/26/2024", "12/26/2024", {"card": 1, "date": 1}), (f"{card} 3rd 5-x", card, {"card": 1}), ("3782-822463-10005 1 2", "3782-822463-10005", {"card": 1}), ("1 " * 3000 + card, card, None),
+        (f"{iban} EUR", iban, {"iban": 1}), (f"{iban} GB82 WEST 1234 5698 7654 32 AND", "GB82 WEST 1234 5698 7654 32", {"iban": 2}), (f"{iban} {card}", card, {"iban": 1, "card": 1}),
+        ('token = "ABCDEF0123456789ABCDEF0123456789"', "ABCDEF0123456789", {"secret": 1}), ("key: '12345678901234567890'", "1234567890123456", {"secret": 1}), ('secret="AB12CDEF12345678"', "AB12CDEF12345678", {"secret": 1}),
+        ("ABCDEF0123456789ABCDEF0123456789", None, {}), ("12345678901234567890", None, {}), ("1111 1111 1111 1111 12", None, {}),
+    ]
+    out = pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], DOCS)).orderBy("doc_id").collect()
+    for r, (text, gone, kinds) in zip(out, cases, strict=True):
+        assert r["text"] == text if gone is None else gone not in r["text"], (text, r["text"])
+        assert kinds is None or r["pii_kinds"] == kinds, (text, r)
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4} 12/26", out[0]["text"]) and _luhn(re.sub(r"\D", "", out[0]["text"][:19]))
+    assert out[0]["text"][:19] == out[2]["text"][3:] == out[3]["text"][5:24] and out[11]["text"][:19] == out[12]["text"][:19]
+
+
 def test_pii_edges(spark):
     out = pii.pseudonymize(odd(spark).withColumnRenamed("pos", "pii_found"))
     assert out.columns.count("pii_found") == 1
