@@ -36,9 +36,9 @@ BUCKETS = 1 << 17
 DIMS = 16
 GRAMS = (3, 4, 5, 6, 8)
 #: Bounds on the labelled rows that the model is fitted on, and on the length of each.
-MAX_TRAIN = 4_000
-MAX_CHARS = 10_000
-EPOCHS = 60
+MAX_TRAIN = 6_000
+MAX_CHARS = 20_000
+EPOCHS = 120
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
