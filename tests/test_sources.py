@@ -89,6 +89,18 @@ def test_scan_writes_a_report(spark, tmp_path):
     assert any(f.startswith("report_") for f in os.listdir(tmp_path / "out"))
 
 
+def test_report_lists_every_finding(spark):
+    from datetime import datetime
+
+    from riskloom.operators import report
+
+    f = spark.range(10_050).selectExpr("'C-1' as rule_id", "'c' as category", "'t' as title", "if(id < 10040, 'High', 'Info') as severity", "concat('f', id) as file_path", "cast(id as int) as line", "'m' as message")
+    text = report.markdown(f, [], "x", datetime(2024, 1, 1))
+    detail = text[text.index("## 4. Details") :].splitlines()
+    assert {x for x in detail if x.startswith("- ")} == {f"- `f{i}`:{i} m" for i in range(10_050)}
+    assert [x for x in detail if x.startswith("### ")] == ["### High: C-1 t (c)", "### Info: C-1 t (c)"]
+
+
 def test_stream(spark, tmp_path):
     from riskloom.streaming.findings import stream_findings
 
