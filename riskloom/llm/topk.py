@@ -1,146 +1,234 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 The score of a pair is the sum of ``lists`` partial scores, one for each block of
-dimensions. Phase 1 gathers, for every query, the best entries of each local list
-with their whole scores; the k-th best of them over all candidates is a safe
-cutoff. Phase 2 sends the cutoffs back with the queries: an entry whose every
-partial score lies below cutoff / lists can't reach the cutoff and is left out.
-Phase 3 resolves the whole scores of what remains and ranks them.
-
-Queries meet candidates in blocks of rows (packed matrices), dealt over
-``spread`` tasks a query block, so neither side is broadcast or collected.
-
-Edge cases: vectors that are null, empty or hold a null or a non-finite component
-take no part; rows that repeat a vec_id count once (the smallest vector of them);
-vectors of unlike length are padded with zeros; ties go to the smaller vec_id;
-with fewer than k candidates all are returned; no queries or an empty table give
-no rows. Components must satisfy abs(scale * x) < 2**31.
+dimensions; the partial scores of one block over the candidates of one task are a
+local score list.
+
+1. Every local list gives its k best entries; the whole scores of those alone are
+   added up, and each task returns the k best of them for every query.
+2. The k-th best over all tasks is a safe cutoff for the query. It is broadcast, and a
+   local list gives up the entries of at least cutoff / lists: a pair all of whose
+   partial scores are lower can't reach the cutoff.
+3. Only pairs with such an entry have their other partial scores added, exactly; what
+   reaches the cutoff (or the task's own k-th best, once that is higher) is ranked.
+
+Candidates stay where they are read. Queries are written once, dealt into batches by
+a hash of their rows, and each batch is broadcast: its bytes are bounded by
+QUERY_BYTES, so are the cutoffs; a batch is two passes over the candidates. A task
+keeps k entries a query and list.
+
+Edge cases: vectors that are null, empty or hold a null or a non-finite component (or
+one that scale makes so) take no part; rows that repeat vec_id and vector count once; unlike vectors under one
+vec_id are rows of their own: each is a candidate, and as queries their results are
+ranked together; a row never meets one of its own vec_id; vectors of unlike length are
+padded with zeros; ties go to the smaller vec_id; with fewer than k candidates all are
+returned; no queries or an empty table give no rows. Products beyond 2**53 are
+computed with unbounded integers; a score outside the range of a long is cut to that range before it is ranked.
+Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table
+from riskloom.llm.common import materialize, release, shared_dir, table, tune
 
+#: Bytes of one broadcast batch of queries (8 a component).
+QUERY_BYTES = 8 << 20
+#: Queries whose partial scores a task holds at once.
 QUERY_ROWS = 1024
-BLOCK_ROWS = 4096
-SPREAD = 16
-
-
-def _matrix(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their floor(scale * x) as an int32 matrix)."""
-    rows = vectors.to_pylist()
-    width = max((len(v) for v in rows if v), default=0)
-    out, good = np.zeros((len(rows), width)), np.zeros(len(rows), bool)
-    for i, v in enumerate(rows):
-        if v and all(x is not None for x in v):
-            out[i, : len(v)] = v
-            good[i] = np.isfinite(out[i]).all()
-    good = np.flatnonzero(good)
-    return good, np.floor(scale * out[good]).astype(np.int32)
-
-
-def _pack(scale: float, rows: int, numbered: bool):
-    """Packs (vec_id, embedding[, tau]) into blocks (blk, ids, mat, width[, tau])."""
+_LONG = 2**63 - 1
+
+
+def matrix(vectors: pa.Array, dims: int, scale: float) -> np.ndarray:
+    """floor(scale * x) as float64, one row a vector, padded to dims."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
+    size = np.asarray(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False), np.int64)
+    out = np.zeros((len(size), dims))
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.floor(scale * flat)
+    return out
+
+
+def partial_scores(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
+    """The exact partial scores of all pairs for each block of dimensions."""
+    bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1)
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
+    if kind is object:
+        q, c = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (q, c))
+    else:
+        q, c = q.astype(kind), c.astype(kind)
+    return [q[:, d] @ c[:, d].T for d in np.array_split(np.arange(q.shape[1]), max(1, min(lists, q.shape[1])))]
+
+
+def _whole(parts: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, kind) -> np.ndarray:
+    """The whole scores of some pairs, cut to the range of a long."""
+    out = sum(p[rows, cols].astype(kind) for p in parts)
+    return np.array([max(-_LONG - 1, min(_LONG, x)) for x in out], object) if kind is object else out
+
+
+def best_first(k: int, rows: np.ndarray, score: np.ndarray, vec: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """The k entries of each row with the highest scores, ties to the smaller vec."""
+    order = np.lexsort((vec, -score, rows))
+    cols = [x[order] for x in (rows, score, vec, *more)]
+    keep = np.arange(len(order)) - np.searchsorted(cols[0], cols[0]) < k
+    return [x[keep] for x in cols]
+
+
+def _floor_of(k: int, rows: np.ndarray, score: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Of each row the k-th best score so far, or low where there are fewer; rows is sorted, best first."""
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    at = place == k - 1
+    out = low.copy()
+    out[rows[at]] = np.maximum(out[rows[at]], score[at])
+    return out
+
+
+class Block:
+    """What one task keeps for some queries of a batch.
+
+    cutoff is None in phase 1. After ``add`` has seen all candidates, ``found`` has the
+    (row, score, vec_id) of the best entries; ``resolved`` counts the pairs whose whole
+    scores were added up.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, lists: int, cutoff: np.ndarray | None):
+        self.ids, self.q, self.k, self.lists, self.cutoff = ids, q, k, lists, cutoff
+        self.resolved, self.seen = 0, 0
+        self.heads: dict[int, list[np.ndarray]] = {}
+        self.floor: dict[int, np.ndarray] = {}
+
+    def add(self, ids: np.ndarray, c: np.ndarray) -> None:
+        parts = partial_scores(self.q, c, self.lists)
+        exact = parts[0].dtype == object
+        kind = object if exact else np.float64
+        if self.cutoff is None:
+            for j, p in enumerate(parts):
+                low, at = self._low(j, kind).astype(p.dtype), p.shape[1] - self.k - 1
+                if j not in self.floor and at > 0 and not exact:  # one more than k, as a row's own vector goes
+                    low = np.partition(p, at, axis=1)[:, at]
+                self._keep(j, parts, p, p >= low[:, None], ids, kind)
+        else:
+            low = self._low(0, kind)
+            low = np.maximum(low, np.array([int(x) if exact and np.isfinite(x) else x for x in self.cutoff], kind))
+            share = np.array([-(-x // len(parts)) if x > -np.inf else x for x in low], kind).astype(parts[0].dtype)
+            enough = np.zeros(parts[0].shape, bool)
+            for p in parts:
+                enough |= p >= share[:, None]
+            self._keep(0, parts, None, enough, ids, kind, low)
+        self.seen += len(ids)
+
+    def _low(self, j: int, kind) -> np.ndarray:
+        return self.floor.get(j, np.full(len(self.ids), -np.inf, kind)).astype(kind)
+
+    def _keep(self, j, parts, by, mask, ids, kind, low=None):
+        rows, cols = np.nonzero(mask)
+        other = ids[cols] != self.ids[rows]
+        rows, cols = rows[other], cols[other]
+        self.resolved += len(rows) if by is None else 0
+        if by is None:
+            score = _whole(parts, rows, cols, kind)
+            good = score >= low[rows]
+            rows, cols, score = rows[good], cols[good], score[good]
+            new = [rows, score, ids[cols]]
+        else:
+            new = best_first(self.k, rows, by[rows, cols].astype(kind), ids[cols], cols)
+            rows, cols = new[0], new.pop()
+            self.resolved += len(rows)
+            new += [self.seen + cols, _whole(parts, rows, cols, kind)]
+        old = self.heads.get(j)
+        both = [np.concatenate(x) for x in zip(old, new, strict=True)] if old is not None else new  # object stays object
+        self.heads[j] = best_first(self.k, *both)
+        low = np.full(len(self.ids), -np.inf, kind)
+        self.floor[j] = _floor_of(self.k, self.heads[j][0], self.heads[j][1], low)
+
+    def found(self) -> list[np.ndarray]:
+        if self.cutoff is not None:
+            return self.heads.get(0, [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)])
+        if not self.heads:
+            return [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        rows, vec, place, whole = (np.concatenate([h[i] for h in self.heads.values()]) for i in (0, 2, 3, 4))
+        # a candidate at the head of several lists counts once
+        _, one = np.unique(np.stack([rows, place]), axis=1, return_index=True)
+        return best_first(self.k, rows[one], whole[one], vec[one])
+
+
+def _long(score: np.ndarray) -> pa.Array:
+    return pa.array([max(-_LONG - 1, min(_LONG, int(x))) for x in score], pa.int64()) if score.dtype == object else pa.array(score.astype(np.int64))
+
+
+def _meet(shared, cutoffs, k: int, lists: int, scale: float):
+    """Candidates (vec_id, embedding) -> (q, vec_id, score): of each query of the batch the best in this task."""
 
     def run(batches):
-        ids, mats, taus, done = [], [], [], 0
-
-        def flush():
-            nonlocal ids, mats, taus, done
-            width = max(m.shape[1] for m in mats)
-            mat = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in mats])
-            blk = TaskContext.get().partitionId() if numbered else TaskContext.get().partitionId() * 1_000_003 + done
-            out = [pa.array([blk], pa.int64()), pa.array([np.concatenate(ids).astype(np.int64).tobytes()], pa.binary()), pa.array([mat.astype(np.int32).tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([np.concatenate(taus).tobytes()], pa.binary())]
-            ids, mats, taus, done = [], [], [], done + 1
-            return pa.RecordBatch.from_arrays(out, ["blk", "ids", "mat", "width", "tau"])
-
+        qids, q = shared.value
+        tau = cutoffs.value if cutoffs is not None else None
+        blocks = [Block(qids[a : a + QUERY_ROWS], q[a : a + QUERY_ROWS], k, lists, None if tau is None else tau[a : a + QUERY_ROWS]) for a in range(0, len(qids), QUERY_ROWS)]
         for b in batches:
-            good, mat = _matrix(b.column("embedding"), scale)
-            if len(good):
-                ids.append(b.column("vec_id").to_numpy(zero_copy_only=False)[good])
-                mats.append(mat)
-                tau = b.column("tau") if "tau" in b.schema.names else None
-                taus.append(np.array([-np.inf if x is None else x for x in tau.to_pylist()])[good] if tau is not None else np.full(len(good), -np.inf))
-                if not numbered and sum(map(len, ids)) >= rows:
-                    yield flush()
-        if ids:
-            yield flush()
+            if b.num_rows:
+                ids, c = b.column("vec_id").to_numpy(), matrix(b.column("embedding"), q.shape[1], scale)
+                for block in blocks:
+                    block.add(ids, c)
+        for n, block in enumerate(blocks):
+            rows, score, vec = block.found()[:3]
+            yield pa.RecordBatch.from_arrays([pa.array((rows + n * QUERY_ROWS).astype(np.int64)), pa.array(vec.astype(np.int64)), _long(score)], ["q", "vec_id", "score"])
 
     return run
 
 
-def _unpack(ids: bytes, mat: bytes, width: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.frombuffer(mat, np.int32).reshape(-1, width)
-    return np.frombuffer(ids, np.int64), np.pad(m, ((0, 0), (0, dims - width)))
+def valid_vectors(vectors: DataFrame, scale: float) -> DataFrame:
+    """The distinct (vec_id, embedding) that take part."""
 
+    def bad(x):
+        y = x.cast("double") * F.lit(float(scale))
+        return y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
 
-def _meet(k: int, lists: int, first: bool):
-    """Scores one query block against one candidate block, a row of the joined input at a time."""
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    return vectors.where(good & ~F.exists("embedding", bad)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct()
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                dims = max(r["width"], r["qwidth"], 1)
-                cid, c = _unpack(r["ids"], r["mat"], r["width"], dims)
-                qid, q = _unpack(r["qids"], r["qmat"], r["qwidth"], dims)
-                tau = np.frombuffer(r["qtau"], np.float64)
-                small = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims < 2**53
-                kind = np.float64 if small else np.int64
-                cuts = np.array_split(np.arange(dims), min(lists, dims))
-                part = [q[:, d].astype(kind) @ c[:, d].astype(kind).T for d in cuts]
-                whole = np.sum(part, axis=0)
-                own = qid[:, None] == cid[None, :]
-                if first:  # entries at the head of a local list
-                    seen = np.zeros(own.shape, bool)
-                    m = min(k + 1, len(cid))
-                    for p in part:
-                        np.put_along_axis(seen, np.argpartition(p, len(cid) - m, axis=1)[:, -m:], True, axis=1)
-                else:  # entries that can still reach the cutoff
-                    seen = np.zeros(own.shape, bool)
-                    for p in part:
-                        seen |= p >= (tau / len(part))[:, None]
-                    seen &= whole >= tau[:, None]
-                seen &= ~own
-                rows, cols = np.nonzero(seen)
-                score, vec = whole[rows, cols].astype(np.int64), cid[cols]
-                order = np.lexsort((vec, -score, rows))
-                rows, score, vec = rows[order], score[order], vec[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = place < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[rows[keep]], pa.int64()), pa.array(vec[keep], pa.int64()), pa.array(score[keep], pa.int64())], ["query_id", "vec_id", "score"]
-                )
-
-    return run
 
-
-def exact_top_k(vectors: DataFrame, is_query, k: int = 20, lists: int = 4, scale: float = 64.0) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query, k: int = 20, lists: int = 4, scale: float = 64.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row with ``is_query`` against all other rows of vectors(vec_id, embedding)."""
-    rows = vectors.where("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    spark = vectors.sparkSession
+    tune(spark)
+    rows = materialize(spark, valid_vectors(vectors, scale), "topk-rows")
+    dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     queries = rows.where(is_query)
-    n_blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    block = "blk long, ids binary, mat binary, width int, tau binary"
-    cands = rows.mapInArrow(_pack(scale, BLOCK_ROWS, False), block).withColumn("salt", F.pmod(F.xxhash64("blk"), F.lit(SPREAD)))
-    cands = cands.withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).drop("blk", "tau")
-    entry = "query_id long, vec_id long, score long"
-
-    def meet(qs: DataFrame, first: bool) -> DataFrame:
-        packed = qs.repartition(n_blocks, "vec_id").mapInArrow(_pack(scale, QUERY_ROWS, True), block)
-        packed = packed.select(F.col("blk").alias("qblk"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"), F.col("width").alias("qwidth"), F.col("tau").alias("qtau"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-        return cands.join(packed, ["qblk", "salt"]).mapInArrow(_meet(k, lists, first), entry)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    heads = meet(queries, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    cutoffs = heads.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
-    cutoffs = cutoffs.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("tau"))
-    out = meet(queries.join(cutoffs, "vec_id", "left"), False)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n = queries.count()
+    per = max(1, query_bytes // (8 * dims))
+    found = f"{shared_dir(spark)}/topk-found-{uuid.uuid4().hex}"
+    n_batches = -(-n // max(1, per * 3 // 4)) if n > per else 1  # a hash fills no batch much above its mean
+    queries = materialize(spark, queries.withColumn("__batch", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_batches))).repartition(n_batches, "__batch").sortWithinPartitions("__batch"), "topk-queries")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    schema = "q long, vec_id long, score long"
+    for batch in range(n_batches):
+        got = queries.where(F.col("__batch") == batch).select("vec_id", "embedding").toArrow()  # about query_bytes at most
+        qids = got.column("vec_id").combine_chunks().to_numpy() if got.num_rows else np.zeros(0, np.int64)
+        q = matrix(got.column("embedding"), dims, scale) if got.num_rows else np.zeros((0, dims))
+        shared = spark.sparkContext.broadcast((qids, q))
+        heads = rows.mapInArrow(_meet(shared, None, k, lists, scale), schema)
+        heads = heads.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        tau = np.full(len(qids), -np.inf)
+        for r in heads.select("q", "score").collect():  # one number a query of the batch
+            tau[r["q"]] = r["score"] if abs(r["score"]) < 2**53 else np.nextafter(float(r["score"]), -np.inf)
+        cutoffs = spark.sparkContext.broadcast(tau)
+        out = rows.mapInArrow(_meet(shared, cutoffs, k, lists, scale), schema)
+        out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pa.table({"q": np.arange(len(qids)), "query_id": qids}))
+        out.join(F.broadcast(names), "q").select("query_id", "vec_id", "score").write.mode("append").parquet(found)
+        shared.destroy()
+        cutoffs.destroy()
+    release(spark, queries, rows)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = spark.read.schema("query_id long, vec_id long, score long").parquet(found)
+    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +237,15 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  SELECT DISTINCT vec_id, embedding
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), f AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM v
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM f q JOIN f c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s

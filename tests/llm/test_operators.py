@@ -446,25 +446,6 @@ def test_mixing_edges(spark):
 # ---------------------------------------------------------------- 9 top-k
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
-    rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16).round(1)]) for i in range(150)]
-    rows += [(200, None), (201, [float("nan")] * 16), (202, [None] + [1.0] * 15), (203, []), (40, rows[40][1]), (204, rows[0][1])]
-    got = {}
-    for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), "vec_id % 20 = 0", k=5).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    good = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in [i for i in good if i % 20 == 0]:
-        best = sorted(((-int(good[q] @ good[c]), c) for c in good if c != q))[:5]
-        assert sorted(got.pop(q)) == [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
-    assert not got
-    few = topk.exact_top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), "vec_id = 0", k=5)
-    assert [tuple(r) for r in few.collect()] == [(0, 1, 1, 64 * 128)]
-    assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id = 0").count() == 0
-
-
 # ---------------------------------------------------------------- 10 line dedup
 
 
