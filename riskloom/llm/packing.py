@@ -5,10 +5,12 @@ of partially filled windows, tracked in an array over levels. A document longer
 than a window first fills whole windows; its rest is placed by the rule.
 
 Each input partition is packed on its own as its rows stream by, so nothing is
-shuffled and memory holds the open windows only (at most MAX_OPEN; beyond that the
-emptiest half is merged). When a partition ends, its open windows are merged by
-cutting pieces until at most one is partial, and that one is cut at powers of two,
-which need no padding.
+shuffled. The rule holds for any number of open windows: they are at most as many as
+the partition's documents. What memory holds is bounded by max_held, the ids in open
+windows; beyond it the fullest windows, which have the least room left, are closed as
+they are (and padded) until half of it is free. When a partition ends, the windows
+that are still open are joined by cutting pieces until at most one is partial, and that
+one is cut at powers of two, which need no padding.
 
 Edge cases: a null or empty text is the end id alone; rows that repeat are packed
 as often as they occur; a very long text spans as many windows as it needs; an
@@ -28,7 +30,8 @@ from riskloom.llm.common import table, tune
 from riskloom.llm.tokens import MAX_PIECES
 
 WINDOW = 4096
-MAX_OPEN = 1024
+#: Ids (4 bytes each) in the open windows of one task.
+MAX_HELD = 1 << 24
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 _GROUP_CHARS = 2_000_000
@@ -38,29 +41,35 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class SumOfSquares:
     """Places pieces (doc, start, ids, doc_tokens); full windows come out of ``done`` as lists of pieces."""
 
-    def __init__(self, size: int = WINDOW, max_open: int = MAX_OPEN):
-        self.size, self.max_open = size, max_open
-        self.count = np.zeros(size + 1, np.int64)
+    def __init__(self, size: int = WINDOW, max_held: int = MAX_HELD):
+        self.size, self.max_held = size, max_held
+        self.count = np.zeros(size + 1, np.int64)  # partial windows of each fill level
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
+        self.n_open, self.held = 0, 0
         self.done: list[list] = []
 
+    def choose(self, n: int) -> int:
+        """The level (0: a new window) after which the sum of squared counts is smallest; ties to the fullest window."""
+        last = self.size - n
+        here, there = self.count[1 : last + 1], self.count[1 + n :]
+        change = np.where(here > 0, 2 * (there - here) + 2, np.iinfo(np.int64).max)
+        if last and here[-1]:  # a window that gets full counts no more
+            change[-1] = 1 - 2 * here[-1]
+        new = 2 * int(self.count[n]) + 1 if n < self.size else 0
+        if not len(change):
+            return 0
+        k = last - 1 - int(np.argmin(change[::-1]))
+        return k + 1 if change[k] <= new else 0
+
     def place(self, piece: tuple) -> None:
         n = len(piece[2])
-        levels = np.fromiter(self.open, np.int64, len(self.open))
-        levels = levels[levels + n <= self.size]
-        level, best = 0, 2 * int(self.count[n]) + 1 if n < self.size else 0
-        if len(levels):
-            full = levels + n == self.size
-            cost = 1 - 2 * self.count[levels] + np.where(full, 0, 2 * self.count[np.minimum(levels + n, self.size)] + 1)
-            k = int(np.lexsort((-levels, cost))[0])
-            if cost[k] <= best:
-                level = int(levels[k])
+        level = self.choose(n)
         window = self._take(level) if level else []
         window.append(piece)
         self._put(level + n, window)
-        if self.n_open > self.max_open:
-            self.merge(self.n_open // 2)
+        if self.held > self.max_held:
+            while self.n_open and self.held > self.max_held // 2:
+                self.done.append(self._take(max(self.open)))
 
     def _take(self, level: int) -> list:
         stack = self.open[level]
@@ -69,6 +78,7 @@ class SumOfSquares:
             del self.open[level]
         self.count[level] -= 1
         self.n_open -= 1
+        self.held -= level
         return window
 
     def _put(self, level: int, window: list) -> None:
@@ -78,6 +88,7 @@ class SumOfSquares:
             self.open.setdefault(level, []).append(window)
             self.count[level] += 1
             self.n_open += 1
+            self.held += level
 
     def merge(self, windows: int) -> None:
         """Joins the emptiest open windows by cutting pieces; at most one of them stays partial."""
@@ -111,7 +122,7 @@ class SumOfSquares:
                         filling, level, target = [], 0, 1 << (left.bit_length() - 1) if left else 0
 
 
-def _pack(path: str | None, size: int, end_id: int, max_open: int, max_pieces: int):
+def _pack(path: str | None, size: int, end_id: int, max_held: int, max_pieces: int):
     def run(batches):
         from riskloom.llm.tokens import encoder
 
@@ -121,7 +132,7 @@ def _pack(path: str | None, size: int, end_id: int, max_open: int, max_pieces: i
             enc = encoder(public_tokenizers.path(TOKENIZER), end_id, max_pieces)
         else:
             enc = encoder(path, end_id, max_pieces)
-        state, seq = SumOfSquares(size, max_open), TaskContext.get().partitionId() << 33
+        state, seq = SumOfSquares(size, max_held), TaskContext.get().partitionId() << 33
 
         def rows():
             nonlocal seq
@@ -164,12 +175,12 @@ def _pack(path: str | None, size: int, end_id: int, max_open: int, max_pieces: i
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, max_pieces: int = MAX_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW, end_id: int = END_ID, max_held: int = MAX_HELD, max_pieces: int = MAX_PIECES) -> DataFrame:
     """One row for each piece of a document; tokenizer_path=None takes TOKENIZER from the installed public_tokenizers.
 
     max_pieces bounds the encoder's cache in each Python worker (about 180 bytes a piece).
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path, size, end_id, max_open, max_pieces), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path, size, end_id, max_held, max_pieces), SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

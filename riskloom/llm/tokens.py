@@ -17,7 +17,8 @@ from itertools import chain
 import numpy as np
 
 MAX_PIECES = 1_500_000
-_PLAIN = re.compile("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0240]+)([!-/:-@\\[-`{-~]*)")
+#: Letters that fold to one lower-case letter each; U+0130 doesn't, so pieces with it are encoded whole.
+_PLAIN = re.compile("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0240]+)([!-/:-@\\[-`{-~]*)")
 
 
 class Encoder:
