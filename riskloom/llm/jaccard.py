@@ -47,6 +47,10 @@ SALTS = 32
 #: Largest bucket whose pairs are all formed; longest run of records held in one piece.
 SMALL = 6
 HOLD = 20_000
+#: A shingle is hot, and salted, where its sketch count is above so many means and so many rows.
+HOT_MEANS, HOT_ROWS = 4, 1000
+#: Fingerprints of sets that a task remembers in order to send equal ones once; later ones are sent each.
+KNOWN = 1 << 20
 _U = np.uint64
 _STEP = [_U(int(x) | 1) for x in np.random.default_rng(31).integers(1, 2**62, 16)]
 
@@ -127,7 +131,8 @@ def _records(shared, hot: int, words: int, threshold: int):
                 for d, g in enumerate(shingle_sets(data, offs, words), lo):
                     if not len(g) or (key := (len(g), *_fingerprint(g))) in known:
                         continue
-                    known.add(key)
+                    if len(known) < KNOWN:
+                        known.add(key)
                     p = _prefix(len(g), threshold)
                     c = count[_bucket(g)]
                     parts.append(g[np.lexsort((g, c))[:p]])
@@ -318,14 +323,16 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     counts = dense_reduce(known.select("text"), _sketch(words), SKETCH, "int64")
-    hot = int(4 * counts.mean() + 1000)
+    hot = int(HOT_MEANS * counts.mean() + HOT_ROWS)
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB
 
     rows = materialize(spark, docs.mapInArrow(_classes(words), "doc_id long, n long, f1 long, f2 long"), "jaccard-docs")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("comp"))
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("comp"), F.max("doc_id").alias("__top")).where("comp <> __top").drop("__top")
+    # written first: only classes of several documents are joined, by broadcast or so that a hot class can be split
+    classes = materialize(spark, classes, "jaccard-classes")
     # a doc_id that has several sets joins their classes
-    comp = full.join(classes, ["n", "f1", "f2"]).select("doc_id", "comp")
+    comp = full.join(light(classes, classes.count()), ["n", "f1", "f2"], "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     comp = materialize(spark, comp.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")), "jaccard-comp")
     merged = comp.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
 
@@ -383,6 +390,7 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
         last = turn > 0 and not found
         spread += turn > 0
         turn += 1
+    release(spark, buckets, pairs, classes)
     out = rows.join(light(labels.withColumnRenamed("comp", "__c"), n_docs), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("__c", "doc_id").alias("component_id"))
 
@@ -428,10 +436,14 @@ def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame, n_docs: int
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """docs without those that link, directly or not, to one with a smaller doc_id; rows without a doc_id stay."""
-    groups = link_components(spark, docs, threshold, words).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    numbered = docs.where("doc_id is not null").join(groups, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id is null"))
+    """docs without those that link, directly or not, to one with a smaller doc_id.
+
+    Only ids are joined to the rows, so texts aren't shuffled while the ids that go are few.
+    Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
+    """
+    gone = link_components(spark, docs, threshold, words).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(spark, gone, "jaccard-gone")
+    return docs.join(light(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,7 +456,7 @@ def test_line_dedup(spark):
         lines = t.split("\n") if t is not None else []
         for i in range(len(lines) - 2):
             w = tuple(lines[i : i + 3])
-            if "".join(w).strip(" ") and seen.setdefault(w, (d, i)) != (d, i):
+            if seen.setdefault(w, (d, i)) != (d, i):
                 gone[d] |= {i, i + 1, i + 2}
     want = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
     got = linededup.dedup_lines(spark.createDataFrame(rows, DOCS))
