@@ -19,13 +19,14 @@ that depth and no further.
    counts with map-side sums, so no task holds such a bucket.
 4. Copies of whole texts are one class from the start (their bytes all repeat).
 
-Only texts with repeats are shuffled, once to refine and once to cut. What is broadcast
-are two sketches of fixed size. Buckets and classes are told by 64-bit hashes, both of
+Rows are numbered once, with their texts, in the shared folder. Only texts with repeats are
+shuffled, once to refine and once to cut. What is broadcast are two sketches of fixed size
+and, up to SMALL_ROWS rows, lists of keys. Buckets and classes are told by 64-bit hashes, both of
 which must agree before bytes go.
 
 Edge cases: a null text counts as empty; texts shorter than LENGTH keep everything;
 repeated rows are copies of each other; matches inside one text count, overlapping ones
-too; a very long text is one row; rows that repeat a doc_id are told apart by their text;
+too; a very long text is one row; rows that repeat a doc_id are rows of their own;
 extra columns are not read; an empty table gives no rows.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import dense_reduce, materialize, release, table, tune
+from riskloom.llm.common import dense_reduce, light, materialize, release, table, tune
 from riskloom.llm.jaccard import FILTER, SALTS, _shared_only, _wanted
 from riskloom.llm.textops import chunks, mix, powers, prefix_hash, ranges, span_hash
 
@@ -50,6 +51,12 @@ HOT = 256
 RANGES = 8
 STEP = -(-(REACH + 1) // RANGES)
 SUB = 4
+#: Bits of a place in a group of texts (a text has less than 2**31 bytes).
+PLACE_BITS = 32
+#: A q-gram is hot, and salted, where its sketch count is above so many means and so many rows.
+HOT_MEANS, HOT_ROWS = 4, 1000
+#: Texts that a task remembers in order to send equal ones once; later ones are sent each.
+KNOWN = 1 << 20
 _U = np.uint64
 _ODD = _U(0xC2B2AE3D27D4EB4F)
 
@@ -63,7 +70,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray) -> tuple[np.
     none = np.zeros(0, np.int64)
     if n < REACH + 1:
         return none, none, none, none
-    bits = _U(int(n).bit_length())
+    # hash above, place below: the widths are fixed, so copies of a string choose alike whatever stands around them
+    bits = _U(PLACE_BITS)
     at = np.arange(n, dtype=_U)
     with np.errstate(over="ignore"):
         g = (prefix[GRAM:] - prefix[:n]) * powers("down", n)
@@ -102,7 +110,8 @@ def _new_texts(b: pa.RecordBatch, known: set) -> pa.RecordBatch:
     keep = []
     for key in b.column("sha").to_pylist():
         keep.append(key not in known)
-        known.add(key)
+        if len(known) < KNOWN:
+            known.add(key)
     return b.filter(pa.array(keep, pa.bool_()))
 
 
@@ -297,23 +306,36 @@ def _refine_hot(spark: SparkSession, contexts: DataFrame) -> DataFrame:
     ranged = contexts.mapInArrow(_offset_ranges, "k long, c long, rid long, lo long, cores array<long>, hs array<long>")
     ranged = materialize(spark, ranged, "suffix-ranges")
 
+    written = [ranged]
+
     def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        # what repeats as a whole, and one member of each class where a bucket holds several
+        # what repeats as a whole, and one member of each class where a bucket holds several; frames are
+        # written before they are joined, so that each join is a broadcast or one that can split a hot class
         kinds = df.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "lo")).alias("one"))
-        several = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-        first = df.join(kinds.join(several, keys).drop("times"), [*keys, "c"]).where(F.struct("rid", "lo") == F.col("one")).drop("one")
-        return df.join(kinds.where("times > 1").drop("times", "one"), [*keys, "c"]), first
+        kinds = materialize(spark, kinds, "suffix-kinds")
+        several = materialize(spark, kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "suffix-mixed")
+        ones = kinds.join(light(several, several.count()), keys).select("one.*", *keys)
+        ones = materialize(spark, ones, "suffix-ones")
+        first = df.join(light(ones, ones.count()), ["rid", "lo", *keys])
+        again = materialize(spark, kinds.where("times > 1").drop("times", "one"), "suffix-again")
+        written.extend((kinds, several, ones, again))
+        return df.join(light(again, again.count()), [*keys, "c"], "left_semi"), first
 
     whole, mixed = split(ranged, ["k"])
     parts = mixed.select("rid", "lo", "hs", F.posexplode("cores").alias("u", "core")).where("core is not null")
     parts = parts.select("rid", "core", (F.col("lo") + F.col("u") * SUB).alias("lo"), F.slice("hs", F.col("u") * SUB + 1, SUB).alias("hs"))
     parts = materialize(spark, parts.withColumn("c", F.xxhash64("hs")), "suffix-parts")
+    written.append(parts)
     whole2, mixed2 = split(parts, ["core"])
     one = mixed2.select("rid", "lo", F.posexplode("hs").alias("i", "w")).where("w is not null").select("rid", (F.col("lo") + F.col("i")).alias("lo"), "w")
     place = F.struct("rid", "lo")
-    again = one.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w")
-    single = one.join(again, "w").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return _spans_of(whole, "hs", F.col("lo")).unionByName(_spans_of(whole2, "hs", F.col("lo"))).unionByName(single)
+    again = materialize(spark, one.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w"), "suffix-single")
+    written.append(again)
+    single = one.join(light(again, again.count()), "w", "left_semi").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    out = _spans_of(whole, "hs", F.col("lo")).unionByName(_spans_of(whole2, "hs", F.col("lo"))).unionByName(single)
+    out = materialize(spark, out, "suffix-hot")
+    release(spark, *written)
+    return out
 
 
 def _cut(batches):
@@ -339,13 +361,15 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array([hashlib.sha256(k).hexdigest() for k in out[3]]), pa.array(out[3], pa.binary())], ["rid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, sha, n_bytes, text), written once: rid numbers the rows, sha tells equal texts."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.sha2(text, 256).alias("sha"), text.alias("text"))
+    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return materialize(spark, keyed, "suffix-docs")
 
 
 def _wanted_texts(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rid, text), one for each rid, of at least all documents in ids(rid)."""
+    """(rid, text) of at least all documents in ids(rid)."""
     wanted = dense_reduce(ids, _wanted("rid"), FILTER, "int32")
     shared = spark.sparkContext.broadcast(wanted > 0)  # FILTER bytes, 2 MB
     return docs.select("rid", "text").mapInArrow(_only(shared), "rid long, text string")
@@ -353,9 +377,9 @@ def _wanted_texts(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataF
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(rid, lo, hi): stretches (may overlap) made of repeated strings, for keyed docs; whole copies are left out."""
-    texts = docs.where(F.octet_length("text") >= LENGTH).select("rid", "sha", "text")
+    texts = docs.where(F.col("n_bytes") >= LENGTH).select("rid", "sha", "text")
     counts = dense_reduce(texts, _sketch, SKETCH, "int64")
-    hot = int(4 * counts.mean() + 1000)
+    hot = int(HOT_MEANS * counts.mean() + HOT_ROWS)
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB
     found = texts.mapInArrow(_anchor_rows(shared, hot), "h long, salt int, c long, rid long, pos long, left short, right short")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -365,36 +389,39 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     place = F.struct("rid", "pos", "left", "right")
     classes = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     classes = materialize(spark, classes, "suffix-classes")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = materialize(spark, classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-several")
     full = found.join(classes.where("n > 1").select("h", "c"), ["h", "c"])
     full = full.select("rid", (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("right")).alias("hi"))
 
-    todo = classes.join(several, "h").select("h", (F.col("kinds") > HOT).alias("hot"), "one.*")
+    todo = classes.join(light(several, several.count()), "h").select("h", (F.col("kinds") > HOT).alias("hot"), "one.*")
     todo = materialize(spark, todo, "suffix-todo")
     listed = todo.groupBy("rid").agg(F.collect_list(F.struct("h", "hot", "pos", F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"))).alias("places"))
     wanted = _wanted_texts(spark, docs, todo.select("rid"))
     schema = "h long, hot boolean, rid long, start long, left int, ctx binary"
-    contexts = materialize(spark, listed.join(wanted, "rid").dropDuplicates(["rid"]).select("rid", "text", "places").mapInArrow(_contexts, schema), "suffix-contexts")
+    contexts = materialize(spark, listed.join(wanted, "rid").select("rid", "text", "places").mapInArrow(_contexts, schema), "suffix-contexts")
 
     cool = contexts.where("not hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_refine_groups, "rid long, lo long, hi long")
     out = materialize(spark, full.unionByName(cool).unionByName(_refine_hot(spark, contexts.where("hot"))), "suffix-spans")
-    release(spark, found, classes, todo, contexts)
+    release(spark, found, classes, several, todo, contexts)
     return out
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs(doc_id, text); kept is null where the whole text stays."""
     tune(spark)
-    keyed = _keyed(docs)
-    rows = materialize(spark, keyed.select("doc_id", "rid", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "suffix-docs")
+    keyed = _keyed(spark, docs)
+    rows = keyed.select("doc_id", "rid", "sha", "n_bytes")
     copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.lit(True).alias("copy"))
-    rows = materialize(spark, rows.join(copies, "sha", "left"), "suffix-rows")
+    copies = materialize(spark, copies, "suffix-copies")
+    rows = materialize(spark, rows.join(light(copies, 2 * copies.count()), "sha", "left"), "suffix-rows")
     spans = repeated_spans(spark, keyed)
     # whole copies need no cutting
-    partial = spans.join(rows.where("copy").select("rid").distinct(), "rid", "left_anti")
-    listed = partial.distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    copied = rows.where("copy").select("rid")
+    partial = materialize(spark, spans.join(light(copied, copied.count()), "rid", "left_anti").distinct(), "suffix-partial")
+    release(spark, spans, copies)
+    listed = partial.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     texts = _wanted_texts(spark, keyed, partial.select("rid"))
-    cut = listed.join(texts, "rid").dropDuplicates(["rid"]).select("rid", "text", "spans").mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = listed.join(texts, "rid").select("rid", "text", "spans").mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.coalesce("copy", F.lit(False))
     return rows.join(cut, "rid", "left").select(
