@@ -5,14 +5,14 @@ once anywhere is kept at its first place (smallest doc_id, then line) and every
 later occurrence removes the lines it covers; overlapping removals merge.
 
 Built of DataFrame operators: windows are pre-aggregated map-side before the
-shuffle, the join that marks later occurrences is an equi-join that adaptive
-execution may split, and no window or line list leaves its document's row.
+shuffle, the repeated ones are written and joined back by broadcast while they are few,
+else by an equi-join that adaptive execution may split, and no line list leaves its
+document's row.
 
 Edge cases: a null text stays null, an empty text empty; a text of fewer than
 three lines has no window and stays whole; a text all of whose lines go becomes
 empty (its row stays); rows that repeat doc_id and text count as one document and
-get the same result; a null doc_id sorts first; windows of three blank lines
-count for nothing. Input columns named n_lines or n_removed are replaced, all
+get the same result; a null doc_id sorts first; blank lines are lines like others. Input columns named n_lines or n_removed are replaced, all
 others pass through. An empty table gives no rows.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table
+from riskloom.llm.common import light, materialize, table
 
 WINDOW = 3
 
@@ -31,12 +31,13 @@ def _windows(docs: DataFrame) -> DataFrame:
     lines = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rk"), F.split("text", "\n").alias("l"))
     lines = lines.where(F.size("l") >= WINDOW)
     at = F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("l", i + 1, WINDOW), "\n").alias("w"))))
-    spans = lines.select("id", "rk", at.alias("x")).where(F.trim("x.w") != "\n" * (WINDOW - 1))
+    spans = lines.select("id", "rk", at.alias("x"))
     return spans.select("id", "rk", "x.at", F.xxhash64("x.w").alias("h1"), F.hash("x.w").alias("h2"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the lines kept, plus n_lines (before) and n_removed."""
+    spark = docs.sparkSession
     windows = _windows(docs)
     repeated = (
         windows.groupBy("h1", "h2")
@@ -44,12 +45,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
-    later = windows.join(repeated, ["h1", "h2"]).where(~F.struct("id", "rk", "at").eqNullSafe(F.col("first")))
+    # written first: few windows repeat, and a join of two plain inputs is one that can split a hot window
+    repeated = materialize(spark, repeated, "lines-repeated")
+    later = windows.join(light(repeated, 2 * repeated.count()), ["h1", "h2"]).where(~F.struct("id", "rk", "at").eqNullSafe(F.col("first")))
     cover = (
         later.groupBy("id", "rk")
         .agg(F.collect_set("at").alias("at"))
         .select(F.col("id").alias("__id"), F.col("rk").alias("__rk"), F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (WINDOW - 1))))).alias("__gone"))
     )
+    cover = materialize(spark, cover, "lines-cover")  # as above, for a row that is repeated very often
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*[docs[f"`{c}`"] for c in names]).withColumn("__key", F.xxhash64("doc_id", "text"))
     joined = base.join(cover, (F.col("__key") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
@@ -80,7 +84,7 @@ WITH l AS (
   FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), r AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k
-  FROM w WHERE w IS NOT NULL AND trim(w, ' ') <> chr(10) || chr(10)
+  FROM w WHERE w IS NOT NULL
 ), gone AS (
   SELECT DISTINCT doc_id, pos + d AS pos FROM r, (VALUES (0), (1), (2)) t(d) WHERE k > 1
 ), k AS (
