@@ -94,4 +94,5 @@ def test_helpers():
     import ast
 
     assert taint.key_of(ast.parse("a.b['c'][i]", mode="eval").body) == "a.b['c'][]"
-    assert taint.bool_bindings(ast.parse("s = True\nt = s\n")) == {"s": True, "t": True}
+    assert hits("x.py", "import subprocess\ns = True\nt = s\nx = input()\nsubprocess.run(x, shell=t)\n") == [("High", 5)]
+    assert hits("x.py", "import subprocess\ns = True\ns = False\nx = input()\nsubprocess.run(x, shell=s)\n") == [("Medium", 5)]
