@@ -1,26 +1,31 @@
 """Quality classifier: random-indexing word vectors and a small calibrated network.
 
 1. Word vectors by random indexing over all documents. A token is a run of letters,
-   digits or symbols; tokens hash into SLOTS slots, and shape tokens (case, length,
-   repetition inside the document) have slots of their own. Every slot owns a sparse
-   ternary index vector; its context vector sums the index vectors of what stands one
-   or two tokens away. The sums are one fixed array (SLOTS x DIMS), added up by
-   ``dense_reduce``: nothing that reaches the driver or is broadcast grows with the data.
+   digits or symbols; tokens hash into n_words slots (a parameter: words that share a
+   slot share a vector; README has the accuracy for several sizes), and shape tokens
+   (case, length, repetition inside the document) have slots of their own. Every slot
+   owns a sparse ternary index vector; its context vector sums the index vectors of what
+   stands one or two tokens away. The sums are one array of (n_words + SHAPES) x DIMS,
+   added up by ``dense_reduce``: nothing that reaches the driver or is broadcast grows
+   with the data.
 2. A document is the mean of its tokens' vectors (words and shapes apart).
 3. A two-layer network (numpy, fixed seed) is fitted on at most max_train labelled
-   rows; a fifth of the labels' keys calibrates its temperature.
+   documents, the first by a hash of doc_id; a fifth of the labels' keys calibrates its
+   temperature.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 5 <> 0; label, lang,
 source and doc_id are no inputs of a score.
 
 Edge cases: a null or empty text is the zero vector and gets that vector's score;
 equal texts get equal scores; a null label teaches nothing; rows that repeat a doc_id
-are scored each; with labels of one class only (or none) the score is that class's
+are scored each and count once in the fit (the text of the smallest hash); with labels of one class only (or none) the score is that class's
 smoothed share; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +37,23 @@ from riskloom.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash
 
 WORDS = 1 << 14
 SHAPES = 64
-SLOTS = WORDS + SHAPES
 DIMS = 64
 NONZERO = 4
 #: The bound on the labelled rows that the network is fitted on.
 MAX_TRAIN = 20_000
 HIDDEN = 32
 
-_rng = np.random.default_rng(5)
-_POS = np.argsort(_rng.random((SLOTS, DIMS)), axis=1)[:, :NONZERO].astype(np.int64)
-_SIGN = _rng.choice([-1.0, 1.0], (SLOTS, NONZERO))
-INDEX = np.zeros((SLOTS, DIMS), np.float32)
-np.put_along_axis(INDEX, _POS, _SIGN.astype(np.float32), axis=1)
+
+@functools.cache
+def index_vectors(slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, signs, matrix) of the sparse ternary index vectors."""
+    rng = np.random.default_rng(5)
+    place = np.argsort(rng.random((slots, DIMS)), axis=1)[:, :NONZERO].astype(np.int64)
+    sign = rng.choice([-1.0, 1.0], (slots, NONZERO))
+    matrix = np.zeros((slots, DIMS), np.float32)
+    np.put_along_axis(matrix, place, sign.astype(np.float32), axis=1)
+    return place, sign, matrix
+
 
 #: Byte classes: 0 white space, 1 letter (all non-ASCII bytes), 2 digit, 3 symbol.
 _CLASS = np.full(256, 3, np.uint8)
@@ -54,7 +64,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offs: np.ndarray, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word slot, shape slot, first token of each text and the end)."""
     n = len(data)
     if not n:
@@ -70,7 +80,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.searchsorted(starts, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     h = span_hash(prefix_hash(LOWER[data]), starts, ends)
-    word = (h % np.uint64(WORDS)).astype(np.int64)
+    word = (h % np.uint64(n_words)).astype(np.int64)
     size = ends - starts
     caps = np.concatenate([[0], np.cumsum(_UPPER[data])])
     caps = caps[ends] - caps[starts]
@@ -87,46 +97,54 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(h) > 2:
         with np.errstate(over="ignore"):
             tri[2:] = mix(h[2:] + h[1:-1] * np.uint64(3) + h[:-2] * np.uint64(7) + doc[2:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            tri[:2] = mix(h[:2] + np.arange(2, dtype=np.uint64))
+            # a text's first two tokens end no run of three: each gets a value of its own
+            early = np.flatnonzero(np.arange(len(h)) - first[doc] < 2)
+            tri[early] = mix(early.astype(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
         order = np.argsort(tri, kind="stable")
         seen = np.zeros(len(tri), bool)
         seen[order[1:]] = tri[order[1:]] == tri[order[:-1]]
     else:
         seen = np.zeros(len(tri), bool)
     shape = np.where(same, 60 + letter, np.where(seen, 30 + shape, shape))
-    return word, WORDS + shape, first
-
-
-def _contexts(batches) -> np.ndarray | None:
-    total = np.zeros(SLOTS * DIMS)
-    seen = False
-    for b in batches:
-        for _, _, data, offs in chunks(b.column("text")):
-            word, shape, first = tokens(data, offs)
-            doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-            for back in (1, 2):
-                if len(word) <= back:
-                    continue
-                near = doc[back:] == doc[:-back]
-                for a, c in ((slice(back, None), slice(None, -back)), (slice(None, -back), slice(back, None))):
-                    for slot in (word, shape):
-                        row, other = slot[a][near] * DIMS, word[c][near]
-                        for j in range(0, NONZERO, 1 if slot is word else 2):
-                            total += np.bincount(row + _POS[other, j], weights=_SIGN[other, j], minlength=SLOTS * DIMS)
-            seen = True
-    return total if seen else None
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """SLOTS x DIMS: the direction of each slot's context plus its own index vector."""
-    sums = dense_reduce(docs.select("text"), _contexts, SLOTS * DIMS, "float32").reshape(SLOTS, DIMS)
+    return word, n_words + shape, first
+
+
+def _contexts(n_words: int):
+    def run(batches) -> np.ndarray | None:
+        slots = n_words + SHAPES
+        place, sign, _ = index_vectors(slots)
+        total = np.zeros(slots * DIMS)
+        seen = False
+        for b in batches:
+            for _, _, data, offs in chunks(b.column("text")):
+                word, shape, first = tokens(data, offs, n_words)
+                doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+                for back in (1, 2):
+                    if len(word) <= back:
+                        continue
+                    near = doc[back:] == doc[:-back]
+                    for a, c in ((slice(back, None), slice(None, -back)), (slice(None, -back), slice(back, None))):
+                        for slot in (word, shape):
+                            row, other = slot[a][near] * DIMS, word[c][near]
+                            for j in range(0, NONZERO, 1 if slot is word else 2):
+                                total += np.bincount(row + place[other, j], weights=sign[other, j], minlength=slots * DIMS)
+                seen = True
+        return total if seen else None
+
+    return run
+
+
+def word_vectors(docs: DataFrame, n_words: int = WORDS) -> np.ndarray:
+    """(n_words + SHAPES) x DIMS: the direction of each slot's context plus its own index vector."""
+    slots = n_words + SHAPES
+    sums = dense_reduce(docs.select("text"), _contexts(n_words), slots * DIMS, "int64").reshape(slots, DIMS)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return (sums / np.maximum(norm, 1e-9) + INDEX / 2).astype(np.float32)
+    return (sums / np.maximum(norm, 1e-9) + index_vectors(slots)[2] / 2).astype(np.float32)
 
 
 def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean word vector, mean shape vector and log size of each text."""
-    word, shape, first = tokens(data, offs)
+    word, shape, first = tokens(data, offs, len(vectors) - SHAPES)
     counts = np.diff(first)
     out = np.zeros((len(counts), 2 * DIMS + 1), np.float32)
     full = np.flatnonzero(counts)
@@ -188,36 +206,32 @@ class Network:
 
 
 def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most about ``bound`` rows (doc_id, y) that may be learnt from, picked by a hash of doc_id."""
+    """At most ``bound`` rows (doc_id, y) that may be learnt from, the first by a hash of doc_id."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    n = rows.count()
-    if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return rows
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, Network]:
+def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, n_words: int = WORDS) -> tuple[np.ndarray, Network]:
     tune(spark)
-    vectors = word_vectors(docs)
-    shared = spark.sparkContext.broadcast(vectors)  # SLOTS x DIMS floats, about 4 MB
+    vectors = word_vectors(docs, n_words)
+    shared = spark.sparkContext.broadcast(vectors)  # (n_words + SHAPES) x DIMS floats, about 4 MB as it is
 
     def features(batches):
         for b in batches:
             for lo, hi, data, offs in chunks(b.column("text")):
                 x = pooled(data, offs, shared.value)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("cal"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["cal", "y", "x"])
-
-    sample = labelled_sample(labels, label, max_train)  # at most about max_train rows of 16 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.select("text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("cal"), "y")
-    got = rows.mapInArrow(features, "cal boolean, y double, x binary").limit(2 * max_train).toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMS + 1).astype(np.float64)
-    y = (np.array(got.column("y").to_pylist(), float) > 0).astype(float)
-    cal = np.array(got.column("cal").to_pylist(), bool)
-    order = np.lexsort((*x.T[:4], y))  # the order of arrival doesn't matter
-    x, y, cal = x[order], y[order], cal[order]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "h", "x"])
+
+    sample = labelled_sample(labels, label, max_train)  # at most max_train rows of 16 bytes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
+    rows = rows.mapInArrow(features, "doc_id long, y double, h long, x binary").groupBy("doc_id", "y").agg(F.min(F.struct("h", "x")).alias("one"))  # one row for each id
+    got = rows.select("doc_id", "y", "one.x", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("cal")).toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy())  # the order of arrival doesn't matter
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMS + 1).astype(np.float64)[order]
+    y = (got.column("y").to_numpy()[order] > 0).astype(float)
+    cal = np.array(got.column("cal").to_pylist(), bool)[order]
     return vectors, Network().fit(x[~cal], y[~cal], x[cal], y[cal])
 
 
