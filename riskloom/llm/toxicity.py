@@ -1,24 +1,28 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly.
 
 A word's bag holds its byte n-grams (boundaries marked, lengths GRAMS) and the word
-itself, hashed into BUCKETS embeddings. The bag's mean goes through a linear softmax;
-the word logits of a document meet in a log-sum-exp over its words (each as often as
-it occurs), set against a power of the document's length that is learnt too, so both
-a single strong word and a high share of milder ones count. All are trained jointly (numpy, fixed seed), so a misspelling nobody has seen scores by the n-grams
-that it shares.
-
-It is fitted on at most max_train labelled rows of at most max_chars characters each,
-with up to half of them toxic; the prior is then corrected to that of all usable
-labels. Scoring reads every whole text. What is broadcast is one float for each
-bucket (embedding times softmax, 512 KB).
+itself, hashed into BUCKETS embeddings; a word is the mean of its bag. A document is cut
+into windows of WINDOW words, a window is the mean of its words, and that mean goes
+through a linear softmax; the document has the probability of its most toxic window, so
+that a long text doesn't hide a short passage. (One mean over a whole document does: see
+README for both figures.) Embeddings and softmax are trained jointly (numpy, fixed seed);
+in training the windows of a document share its slope, the higher ones ever more. So a
+misspelling nobody has seen scores by the n-grams that it shares.
+
+It is fitted on at most max_train labelled documents, up to half of them toxic, of at
+most max_bytes bytes together: documents are taken whole, in the order of a hash of their
+ids, as long as they fit into what is left of the bytes. The prior is then corrected to
+that of all usable labels. Scoring reads every whole text. What is broadcast is one float
+for each bucket (embedding times softmax, 512 KB).
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 5 <> 0; label, lang,
 source and doc_id are no inputs of a score.
 
-Edge cases: a null or empty text has no words and gets the lowest score, that of the
-bias alone; equal texts get equal scores; null labels teach nothing; rows that
-repeat a doc_id are scored each; with labels of one class only (or none) the score
-is that class's smoothed share; an empty table gives no rows. Extra columns are not read.
+Edge cases: a null or empty text has no words and gets score 0; equal texts get equal
+scores; null labels teach nothing; rows that repeat a doc_id are scored each, and the
+smallest of their texts is the one that is learnt from; with labels of one class only
+(or none) the score is that class's smoothed share; an empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +39,16 @@ from riskloom.llm.textops import IS_SPACE, LOWER, chunks, prefix_hash, ranges, s
 BUCKETS = 1 << 17
 DIMS = 16
 GRAMS = (3, 4, 5, 6, 8)
-#: Bounds on the labelled rows that the model is fitted on, and on the length of each.
+WINDOW = 2
+#: Bounds on the labelled documents that the model is fitted on: their number and their bytes together.
 MAX_TRAIN = 6_000
-MAX_CHARS = 20_000
+MAX_BYTES = 32_000_000
 EPOCHS = 120
+#: In training a document's slope is shared among its windows by a softmax whose temperature falls from the first to the last.
+TEMPERATURES = (1.0, 0.1)
+SHRINK = 1e-6
+#: Gradients well below this move an embedding little, so what a single text holds is not learnt by heart.
+RARE = 1e-5
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
@@ -57,14 +67,11 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s[good], e[good], doc[good]
 
 
-def distinct_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word starts, word ends, word hashes, doc, word, times): the distinct words, then the distinct (doc, word) pairs."""
-    low = LOWER[data]
+def sequences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(starts, ends and hashes of the distinct words, then of every word in order its document and number among these)."""
     s, e, doc = words(data, offs)
-    h = span_hash(prefix_hash(low), s, e)
-    h, one, word = np.unique(h, return_index=True, return_inverse=True)
-    pair, times = np.unique(doc * np.int64(max(len(one), 1)) + word, return_counts=True)
-    return s[one], e[one], h, pair // max(len(one), 1), pair % max(len(one), 1), times
+    h, one, word = np.unique(span_hash(prefix_hash(LOWER[data]), s, e), return_index=True, return_inverse=True)
+    return s[one], e[one], h, doc, word
 
 
 def bags(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,23 +95,28 @@ def bags(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
 
 
 def word_logits(weights: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The mean over each word's bag."""
     return np.add.reduceat(weights[bucket], first[:-1]) / np.diff(first) if len(first) > 1 else np.zeros(0)
 
 
-def pool(logit: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log(1 + sum of times * exp(logit) / (words + 1) ** power) of each document, each word's part in its slope, and log(words + 1)."""
-    size = np.log1p(np.bincount(doc, times, n_docs))
-    value = logit + np.log(times)
-    top = np.full(n_docs, -np.inf)
-    np.maximum.at(top, doc, value)
-    top[~np.isfinite(top)] = 0
-    part = np.exp(value - top[doc])
-    total = np.bincount(doc, part, n_docs)
-    with np.errstate(divide="ignore"):
-        u = top + np.log(total) - power * size
-    slope = 1 / (1 + np.exp(-np.clip(u, -60, 60)))
-    slope[~np.isfinite(u)] = 0
-    return np.logaddexp(0, u), part / np.maximum(total, 1e-300)[doc] * slope[doc], size * slope
+def windows(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each window and the end, document of each window) for words in document order."""
+    if not len(doc):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    at = np.arange(len(doc))
+    begin = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % size == 0))
+    return np.concatenate([begin, [len(doc)]]), doc[begin]
+
+
+def window_means(logit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(logit, first[:-1]) / np.diff(first) if len(first) > 1 else np.zeros(0)
+
+
+def top_windows(mean: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents that have words, the highest of each's window means)."""
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+    return owner[begin], np.maximum.reduceat(mean, begin) if len(begin) else np.zeros(0)
 
 
 class Model:
@@ -112,15 +124,16 @@ class Model:
 
     constant: float | None = None
 
-    def fit(self, texts: pa.Array, y: np.ndarray, prior: float, seed: int = 7) -> Model:
+    def fit(self, texts: pa.Array, y: np.ndarray, prior: float, seed: int = 7, window: int = WINDOW) -> Model:
+        self.window = window
         if len(y) == 0 or y.min() == y.max():
             self.constant, self.weights, self.bias = prior, np.zeros(BUCKETS), 0.0
             return self
         rng = np.random.default_rng(seed)
-        buckets, sizes, docs, wordids, often = [], [], [], [], []
+        buckets, sizes, docs, wordids = [], [], [], []
         known, ids, base = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0  # sorted hashes of the words so far, their numbers
         for lo, _, data, offs in chunks(texts):
-            s, e, h, doc, word, times = distinct_words(data, offs)
+            s, e, h, doc, word = sequences(data, offs)
             new = ~np.isin(h, known)
             bucket, first = bags(data, s[new], e[new])
             buckets.append(bucket.astype(np.int32))
@@ -129,35 +142,40 @@ class Model:
             base += int(new.sum())
             order = np.argsort(known)
             known, ids = known[order], ids[order]
-            docs.append(doc + lo)
-            wordids.append(ids[np.searchsorted(known, h)][word])
-            often.append(times)
+            docs.append((doc + lo).astype(np.int32))
+            wordids.append(ids[np.searchsorted(known, h)][word].astype(np.int32))
         bucket, size = np.concatenate(buckets), np.concatenate(sizes)
         del buckets
-        doc, word, times = np.concatenate(docs), np.concatenate(wordids), np.concatenate(often)
+        doc, word = np.concatenate(docs), np.concatenate(wordids)
         first = np.concatenate([[0], np.cumsum(size)])
+        edge, owner = windows(doc, window)
         emb = rng.normal(0, 0.05, (BUCKETS, DIMS))
         soft = rng.normal(0, 0.5, (DIMS, 2))
-        bias, power = np.full(1, -1.0), np.full(1, 0.5)
-        params = [emb, soft, bias, power]
+        bias = np.full(1, -1.0)
+        params = [emb, soft, bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        length = np.diff(edge)
+        inside = np.repeat(np.arange(len(length)), length)  # the window of each word
         for t in range(1, EPOCHS + 1):
             side = soft[:, 1] - soft[:, 0]
-            logit = word_logits((emb @ side).astype(np.float32), bucket, first).astype(np.float64)
-            z, part, length = pool(logit[word], doc, times, len(y), float(power[0]))
-            p = 1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))
-            d = (p - y) / len(y)
-            dword = np.bincount(word, d[doc] * part, len(size))
+            mean = window_means(word_logits((emb @ side).astype(np.float32), bucket, first)[word], edge)
+            full, highest = top_windows(mean, owner)
+            top = np.zeros(len(y))
+            top[full] = highest
+            heat = TEMPERATURES[0] * (TEMPERATURES[1] / TEMPERATURES[0]) ** ((t - 1) / max(EPOCHS - 1, 1))
+            part = np.exp((mean - top[owner]) / heat)
+            part /= np.bincount(owner, part, len(y))[owner]
+            z = np.bincount(owner, part * mean, len(y))
+            d = (1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - y) / len(y)
+            dword = np.bincount(word, (d[owner] * part / length)[inside], len(size))
             ds = np.bincount(bucket, np.repeat(dword / size, size), BUCKETS)
             dside = emb.T @ ds
-            grads = [np.outer(ds, side), np.stack([-dside, dside], 1), np.array([d.sum()]), np.array([-(d * length).sum()])]
-            for i, (g, rate) in enumerate(zip(grads, (0.1, 0.03, 0.1, 0.02), strict=True)):
+            grads = [np.outer(ds, side) + SHRINK * emb, np.stack([-dside, dside], 1), np.array([d.sum()])]
+            for i, (g, rate) in enumerate(zip(grads, (0.1, 0.03, 0.1), strict=True)):
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
-                params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
-            np.clip(power, 0, 1, out=power)
+                params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + (RARE if i == 0 else 1e-9))
         self.weights = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-        self.power = float(power[0])
         share = y.mean()
         self.bias = float(bias[0]) + np.log(prior / (1 - prior)) - np.log(share / (1 - share))
         return self
@@ -166,28 +184,46 @@ class Model:
         n = len(offs) - 1
         if self.constant is not None:
             return np.full(n, self.constant)
-        s, e, _, doc, word, times = distinct_words(data, offs)
-        logit = word_logits(self.weights, *bags(data, s, e))
-        z, _, _ = pool(logit[word], doc, times, n, self.power)
-        return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
+        s, e, _, doc, word = sequences(data, offs)
+        first, owner = windows(doc, self.window)
+        full, top = top_windows(window_means(word_logits(self.weights, *bags(data, s, e))[word], first), owner)
+        out = np.zeros(n)
+        out[full] = 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
+        return out
+
+
+def fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
+    """Which of some documents, in order, are taken whole: each that fits into what is left."""
+    out, left = np.zeros(len(sizes), bool), budget
+    for i, n in enumerate(sizes.tolist()):
+        if n <= left:
+            out[i], left = True, left - n
+    return out
 
 
-def train_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model:
+def train_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
     tune(spark)
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = count.get(1, 0), count.get(0, 0)
     take = min(pos, max_train // 2)
-    cut = {1: take / max(pos, 1), 0: min(1.0, (max_train - take) / max(neg, 1))}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = rows.where(draw < F.when(F.col("y") == 1, int(1_000_000 * cut[1])).otherwise(int(1_000_000 * cut[0])))
-    picked = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id")
-    got = picked.select("text", "y").limit(2 * max_train).toArrow()
-    texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    y = np.array(got.column("y").to_pylist(), float)
-    order = pa.compute.sort_indices(texts)  # the order of arrival doesn't matter
-    return Model().fit(texts.take(order), y[order.to_numpy()], (pos + 1) / (pos + neg + 2))
+    draw = F.xxhash64("doc_id")
+    sample = rows.where("y = 1").orderBy(draw, "doc_id").limit(take).union(rows.where("y = 0").orderBy(draw, "doc_id").limit(max_train - take))
+    # one text for each id, so what is collected has max_train rows at most: first the sizes, then what fits
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    size = picked.groupBy("doc_id", "y").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("one"))
+    size = size.orderBy(draw, "doc_id").select("doc_id", "y", "one.n", "one.h").toPandas()
+    chosen = np.zeros(len(size), bool)
+    for k in (0, 1):
+        own = (size.y == k).to_numpy()
+        chosen[own] = fitting(size.n.to_numpy()[own], max_bytes // 2)
+    keys = spark.createDataFrame(pa.table({"doc_id": size.doc_id.to_numpy(np.int64)[chosen], "h": size.h.to_numpy(np.int64)[chosen]}))
+    got = picked.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()
+    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("y").to_numpy()))  # the order of arrival doesn't matter
+    texts = got.column("text").combine_chunks().take(pa.array(order)) if got.num_rows else pa.array([], pa.string())
+    y = got.column("y").to_numpy()[order].astype(float) if got.num_rows else np.zeros(0)
+    return Model().fit(texts, y, (pos + 1) / (pos + neg + 2))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

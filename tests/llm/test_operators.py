@@ -104,7 +104,7 @@ def test_toxicity_learns_from_long_texts(spark):
     long = docs.selectExpr("doc_id", "concat(text, ' ', repeat('calm water runs over pale stone ', 500)) as text")
     model = toxicity.train_toxicity(spark, long, labels)
     assert long.selectExpr("min(length(text))").first()[0] > 15_000 and model.constant is None
-    assert (toxicity.MAX_TRAIN, toxicity.MAX_CHARS, toxicity.EPOCHS) == (6_000, 20_000, 120)
+    assert (toxicity.MAX_TRAIN, toxicity.MAX_BYTES, toxicity.EPOCHS) == (6_000, 32_000_000, 120)
 
 
 # ---------------------------------------------------------------- 2 PII
