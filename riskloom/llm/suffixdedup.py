@@ -390,7 +390,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     classes = materialize(spark, classes, "suffix-classes")
     several = materialize(spark, classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-several")
-    full = found.join(classes.where("n > 1").select("h", "c"), ["h", "c"])
+    repeated = materialize(spark, classes.where("n > 1").select("h", "c"), "suffix-repeated")
+    full = found.join(light(repeated, repeated.count()), ["h", "c"], "left_semi")  # while they are few the hot ones stay where they are
     full = full.select("rid", (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("right")).alias("hi"))
 
     todo = classes.join(light(several, several.count()), "h").select("h", (F.col("kinds") > HOT).alias("hot"), "one.*")
@@ -402,7 +403,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     cool = contexts.where("not hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_refine_groups, "rid long, lo long, hi long")
     out = materialize(spark, full.unionByName(cool).unionByName(_refine_hot(spark, contexts.where("hot"))), "suffix-spans")
-    release(spark, found, classes, several, todo, contexts)
+    release(spark, found, classes, several, repeated, todo, contexts)
     return out
 
 
