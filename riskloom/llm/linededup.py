@@ -5,9 +5,8 @@ once anywhere is kept at its first place (smallest doc_id, then line) and every
 later occurrence removes the lines it covers; overlapping removals merge.
 
 Built of DataFrame operators: windows are pre-aggregated map-side before the
-shuffle, the repeated ones are written and joined back by broadcast while they are few,
-else by an equi-join that adaptive execution may split, and no line list leaves its
-document's row.
+shuffle, the repeated ones are written and joined back by an equi-join that adaptive
+execution may split, and no line list leaves its document's row.
 
 Edge cases: a null text stays null, an empty text empty; a text of fewer than
 three lines has no window and stays whole; a text all of whose lines go becomes
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import light, materialize, table
+from riskloom.llm.common import materialize, table
 
 WINDOW = 3
 
@@ -45,9 +44,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
-    # written first: few windows repeat, and a join of two plain inputs is one that can split a hot window
+    # written first: a merge join of two plain inputs is one that can split a hot window
     repeated = materialize(spark, repeated, "lines-repeated")
-    later = windows.join(light(repeated, 2 * repeated.count()), ["h1", "h2"]).where(~F.struct("id", "rk", "at").eqNullSafe(F.col("first")))
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(~F.struct("id", "rk", "at").eqNullSafe(F.col("first")))
     cover = (
         later.groupBy("id", "rk")
         .agg(F.collect_set("at").alias("at"))
@@ -56,7 +55,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     cover = materialize(spark, cover, "lines-cover")  # as above, for a row that is repeated very often
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*[docs[f"`{c}`"] for c in names]).withColumn("__key", F.xxhash64("doc_id", "text"))
-    joined = base.join(cover, (F.col("__key") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = base.join(cover.hint("merge"), (F.col("__key") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
