@@ -7,10 +7,11 @@ Personal data are found by pattern, validated, and replaced in place:
   (real days of 1900-2099) go through a keyed Feistel permutation of exactly the
   values their format allows, and keep their length, separators and validity;
 * e-mail addresses and quoted hexadecimal secrets have no numeric format to permute in
-  and get a keyed digest (same length for secrets).
+  and get a keyed digest: 128 bits for addresses, the same length for secrets.
 
 Equal values give equal pseudonyms, however they are punctuated, in all documents under
-one key; different values of one kind never collide. What fails validation stays. Every
+one key (the caller's; there is no default); different values of one permuted kind never
+collide, digests only as 128 bits may. What fails validation stays. Every
 text is worked on in its own row: no shuffle, no join.
 
 The permutation: a value is a pair in Z_A x Z_B with A * B the size of the format;
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import table
 
-KEY = "riskloom-demo-key"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "phone", "card")
 
@@ -38,6 +38,13 @@ _OTHER = r"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])|[0-9]{3}-[0-9]{2}-[
 _UP_TO_15 = r"\+" + r"[ .()-]{0,3}[0-9]" * 8 + r"(?:[ .()-]{0,3}[0-9]" * 7 + ")?" * 7
 _GROUP = r"(?!" + _OTHER + r")[0-9]++(?:-[0-9]++)*+(?![\w-])"
 
+#: Country calling codes of one and of two digits; every other code has three (the numbering plan of ITU E.164).
+COUNTRY_CODES_1 = ("1", "7")
+COUNTRY_CODES_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
 #: Countries by the length of their IBANs (the registry of ISO 13616).
 IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -61,7 +68,7 @@ _PATTERNS = {
     "date": r"(?<![\w.])(?<![0-9][-/])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\w)(?![-/.][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:(?:[.-]?|[ ](?!" + _OTHER + r"))[0-9]{2,5}){1,4}(?<=" + _UP_TO_15 + r")(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9])",
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,5}(?:(?:[.-]?|[ ](?!" + _OTHER + r"))[0-9]{2,5}){1,4}(?<=" + _UP_TO_15 + r")(?!\w)|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)(?![-.][0-9])",
     # a run of digit groups, numbers of other kinds left out; the cards in it are found by _cards
     "card": r"(?<![\w-])(?<!\.)(?=[0-9](?:[ -]?[0-9]){12})" + _GROUP + r"(?:[ ]" + _GROUP + r")*+",
 }
@@ -80,7 +87,7 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: str = KEY) -> Column:
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: str) -> Column:
     """The keyed permutation of Z_size_a x Z_size_b at (a, b), as a struct."""
 
     def step(s, i):
@@ -219,8 +226,8 @@ def _phone(m: Column, key: str) -> Column:
             out = F.when((area >= 200) & (exchange >= 200), out).otherwise(_let(pair, text))
             return F.when(F.length(h) == 10, refill(m, F.concat(F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")), out)))
 
-        country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
-        country = F.when(country > 0, country).otherwise(2)
+        # by the digits alone, so that a number has one pseudonym however it is punctuated
+        country = F.when(d.rlike(f"^(?:{'|'.join(COUNTRY_CODES_1)})"), 1).when(d.rlike(f"^(?:{'|'.join(COUNTRY_CODES_2)})"), 2).otherwise(3)
         rest = F.substr(d, country + 1)
         abroad = m.startswith("+") & F.length(d).between(8, 15) & (F.length(rest) >= 4)
         away = F.when(abroad, refill(m, F.concat(F.substr(d, F.lit(1), country), permute_digits(rest, "abroad", key))))
@@ -287,7 +294,7 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substr(F.sha2(F.concat(F.lit(key + "|email|"), F.lower(m)), 256), F.lit(1), F.lit(12)), F.lit("@redacted.example"))
+    return F.concat(F.lit("u"), F.substr(F.sha2(F.concat(F.lit(key + "|email|"), F.lower(m)), 256), F.lit(1), F.lit(32)), F.lit("@redacted.example"))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -334,7 +341,7 @@ def _found(m: Column, secret: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised, plus pii_found (all replacements) and pii_kinds (a map of counts)."""
     names = [c for c in docs.columns if c not in ("pii_found", "pii_kinds")]
     any_kind = _pattern(KINDS)
@@ -353,6 +360,6 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, n_found, one count for each kind) of every document."""
-    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """(doc_id, text, n_found, one count for each kind) of every document, under a key for demonstration."""
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="riskloom-demo-key")
     return out.select("doc_id", "text", F.col("pii_found").alias("n_found"), *[F.coalesce(F.col("pii_kinds")[k], F.lit(0)).alias(f"n_{k}") for k in KINDS])

@@ -109,8 +109,10 @@ def test_toxicity_learns_from_long_texts(spark):
 
 # ---------------------------------------------------------------- 2 PII
 
+KEY = "a key of the tests"
 
-def _feistel(kind, a, b, size_a, size_b, key=pii.KEY):
+
+def _feistel(kind, a, b, size_a, size_b, key=KEY):
     for i in range(pii.ROUNDS):
         other = b if i % 2 == 0 else a
         noise = int(hashlib.sha256("|".join(map(str, (key, kind, i, other, size_a, size_b))).encode()).hexdigest()[:14], 16)
@@ -126,7 +128,7 @@ def test_pii(spark):
     card, other = "4111111111111111", "5500005555555559"
     texts = [f"pay {card} or 4111-1111-1111-1111", f"x {other}.", "call +1 (974) 555-3436 or (974) 555-3436", "ip 129.38.82.176 not 999.1.1.1", "ssn 123-45-6789 not 000-12-3456",
              "on 2021-03-04, 04.03.2021 and 03/04/2021; never 2021-02-30", "IBAN GB82 WEST 1234 5698 7654 32.", 'token = "f3ef4d6b2755a3d9aab78aa99cbd7049"', "mail a.b@mail3.example.com!", "number 1234567890123456 stays"]
-    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS), KEY).orderBy("doc_id").collect()]
     a, b = re.match(r"pay (\d{16}) or ([\d-]{19})$", out[0]).groups()
     assert a == b.replace("-", "") != card and _luhn(a)
     body = _feistel("card", int(card[:7]), int(card[7:15]), 10**7, 10**8)
@@ -146,13 +148,13 @@ def test_pii(spark):
 
 def test_pii_is_a_permutation(spark):
     rows = [(i, f"{i:03d}-{g:02d}-0007") for i in range(1, 60) for g in (1, 50, 99)]
-    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, DOCS)).collect()]
+    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, DOCS), KEY).collect()]
     assert len(set(out)) == len(rows) and not any(re.match(r"000|666|9|\d{3}-00|\d{6}-0000", x) for x in out)
 
 
 def test_pii_phones_outside_the_plan(spark):
     rows = [(i, f"+1 ({a:03d}) {e:03d}-{n:04d}") for i, (a, e, n) in enumerate((a, e, n) for a in (0, 17, 132, 199, 200, 974) for e in (0, 150, 199, 200, 555, 999) for n in (0, 1352, 9999))]
-    out = pii.pseudonymize(spark.createDataFrame(rows + [(1000, "(017) 555-1352 or 017-555-1352 or +10175551352")], DOCS)).orderBy("doc_id").collect()
+    out = pii.pseudonymize(spark.createDataFrame(rows + [(1000, "(017) 555-1352 or 017-555-1352 or +10175551352")], DOCS), KEY).orderBy("doc_id").collect()
     new = [r["text"] for r in out[:-1]]
     assert len(set(new)) == len(rows) and all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x) for x in new)
     assert all(a != b and (a[4] > "1" and a[9] > "1") == (b[4] > "1" and b[9] > "1") for a, (_, b) in zip(new, rows, strict=True))
@@ -165,7 +167,7 @@ def test_pii_misses_no_phone_of_the_tables(spark, sf):
     phone = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![\w])")
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").where("text rlike '[+]1 [(][0-9]{3}[)]'")
     old = {r["doc_id"]: phone.findall(r["text"]) for r in docs.collect()}
-    out = {r["doc_id"]: r for r in pii.pseudonymize(docs).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs, KEY).collect()}
     missed = [x for i, xs in old.items() for x in xs if x in out[i]["text"]]
     assert sum(map(len, old.values())) > 0 and missed == []
     assert all(out[i]["pii_kinds"].get("phone", 0) >= len(xs) for i, xs in old.items())
@@ -173,7 +175,7 @@ def test_pii_misses_no_phone_of_the_tables(spark, sf):
 
 def test_pii_phone_beside_other_numbers(spark):
     texts = ["+1 (826) 555-4081 190.137.223.204", "+49 30 1234567 190.137.223.204", "+49 30 1234567 2021-03-04", "+49 30 123456 4111 1111 1111 1111"]
-    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS), KEY).orderBy("doc_id").collect()
     assert [r["pii_kinds"] for r in out[:3]] == [{"phone": 1, "ip": 1}, {"phone": 1, "ip": 1}, {"phone": 1, "date": 1}]
     assert not any(w in r["text"] for r, t in zip(out, texts, strict=True) for w in ("(826) 555-4081", "30 1234567", "30 123456", "190.137.223.204", "2021-03-04") if w in t)
 
@@ -188,7 +190,7 @@ def test_pii_values_inside_longer_matches(spark):
         ('token = "ABCDEF0123456789ABCDEF0123456789"', "ABCDEF0123456789", {"secret": 1}), ("key: '12345678901234567890'", "1234567890123456", {"secret": 1}), ('secret="AB12CDEF12345678"', "AB12CDEF12345678", {"secret": 1}),
         ("ABCDEF0123456789ABCDEF0123456789", None, {}), ("12345678901234567890", None, {}), ("1111 1111 1111 1111 12", None, {}),
     ]
-    out = pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], DOCS)).orderBy("doc_id").collect()
+    out = pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], DOCS), KEY).orderBy("doc_id").collect()
     for r, (text, gone, kinds) in zip(out, cases, strict=True):
         assert r["text"] == text if gone is None else gone not in r["text"], (text, r["text"])
         assert kinds is None or r["pii_kinds"] == kinds, (text, r)
@@ -197,14 +199,14 @@ def test_pii_values_inside_longer_matches(spark):
 
 
 def test_pii_edges(spark):
-    out = pii.pseudonymize(odd(spark).withColumnRenamed("pos", "pii_found"))
+    out = pii.pseudonymize(odd(spark).withColumnRenamed("pos", "pii_found"), KEY)
     assert out.columns.count("pii_found") == 1
     assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(map(str, (t for _, t in ODD)))
-    assert pii.pseudonymize(empty(spark)).count() == 0
+    assert pii.pseudonymize(empty(spark), KEY).count() == 0
 
 
 def test_pii_runs_without_python(spark):
-    plan = pii.pseudonymize(spark.createDataFrame([(1, "x")], DOCS))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymize(spark.createDataFrame([(1, "x")], DOCS), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
