@@ -50,6 +50,8 @@ SHRINK = 1e-6
 #: Gradients well below this move an embedding little, so what a single text holds is not learnt by heart.
 RARE = 1e-5
 
+#: Words whose subwords are worked on at once.
+SLICE = 30_000
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 
@@ -96,7 +98,8 @@ def bags(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
 
 def word_logits(weights: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The mean over each word's bag."""
-    return np.add.reduceat(weights[bucket], first[:-1]) / np.diff(first) if len(first) > 1 else np.zeros(0)
+    parts = [np.add.reduceat(weights[bucket[first[a] : first[min(a + SLICE, len(first) - 1)]]], first[a : min(a + SLICE, len(first) - 1)] - first[a]) for a in range(0, len(first) - 1, SLICE)]
+    return np.concatenate(parts) / np.diff(first) if parts else np.zeros(0)
 
 
 def windows(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +138,11 @@ class Model:
         for lo, _, data, offs in chunks(texts):
             s, e, h, doc, word = sequences(data, offs)
             new = ~np.isin(h, known)
-            bucket, first = bags(data, s[new], e[new])
-            buckets.append(bucket.astype(np.int32))
-            sizes.append(np.diff(first))
+            starts, ends = s[new], e[new]
+            for a in range(0, len(starts), SLICE):
+                bucket, first = bags(data, starts[a : a + SLICE], ends[a : a + SLICE])
+                buckets.append(bucket.astype(np.int32))
+                sizes.append(np.diff(first))
             known, ids = np.concatenate([known, h[new]]), np.concatenate([ids, base + np.arange(int(new.sum()))])
             base += int(new.sum())
             order = np.argsort(known)
@@ -149,7 +154,7 @@ class Model:
         doc, word = np.concatenate(docs), np.concatenate(wordids)
         first = np.concatenate([[0], np.cumsum(size)])
         edge, owner = windows(doc, window)
-        emb = rng.normal(0, 0.05, (BUCKETS, DIMS))
+        emb = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
         soft = rng.normal(0, 0.5, (DIMS, 2))
         bias = np.full(1, -1.0)
         params = [emb, soft, bias]
@@ -165,10 +170,13 @@ class Model:
             heat = TEMPERATURES[0] * (TEMPERATURES[1] / TEMPERATURES[0]) ** ((t - 1) / max(EPOCHS - 1, 1))
             part = np.exp((mean - top[owner]) / heat)
             part /= np.bincount(owner, part, len(y))[owner]
-            z = np.bincount(owner, part * mean, len(y))
-            d = (1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - y) / len(y)
+            pooled = np.bincount(owner, part * mean, len(y))
+            d = (1 / (1 + np.exp(-np.clip(pooled + bias, -30, 30))) - y) / len(y)
             dword = np.bincount(word, (d[owner] * part / length)[inside], len(size))
-            ds = np.bincount(bucket, np.repeat(dword / size, size), BUCKETS)
+            ds = np.zeros(BUCKETS)
+            for a in range(0, len(size), SLICE):
+                z = min(a + SLICE, len(size))
+                ds += np.bincount(bucket[first[a] : first[z]], np.repeat(dword[a:z] / size[a:z], size[a:z]), BUCKETS)
             dside = emb.T @ ds
             grads = [np.outer(ds, side) + SHRINK * emb, np.stack([-dside, dside], 1), np.array([d.sum()])]
             for i, (g, rate) in enumerate(zip(grads, (0.1, 0.03, 0.1), strict=True)):
