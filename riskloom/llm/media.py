@@ -1,10 +1,17 @@
 """Media columns: lossless WebP stored in and read from binary columns.
 
 ``store_texts`` puts the UTF-8 bytes of each text, padded with zeros to a positive
-multiple of 64, into lossless WebP: four bytes a pixel (B, G, R, A), 16 pixels a row,
-TILE_ROWS rows a file; longer payloads are several files one after the other (a RIFF
-file states its length). ``load_payloads`` decodes such columns again and
-``read_pixels`` writes the pixel arrays of any lossless WebP column.
+multiple of 64, into lossless WebP: a byte is a grey pixel, 64 pixels a row, TILE_ROWS
+rows a file; longer payloads are several files one after the other (a RIFF file states
+its length). ``load_payloads`` decodes such columns again and ``read_pixels`` writes the
+pixel arrays of any lossless WebP column, extended files included.
+
+A tile is stored with the subtract-green transform under prefix codes of its own counts,
+with back-references where that is smaller, or with a palette where it has few values and
+that is smaller. None of the other features ever makes text smaller; so that what is
+stored keeps exercising all that the reader promises, one tile in PROBES each (by a hash
+of its bytes) takes the predictor, cross-colour in place of subtract-green, the colour
+cache, or a palette whatever its values, at the cost of a few bytes.
 
 Every row is worked on by itself: no shuffle, memory bounded by an Arrow batch and, in
 it, by groups of about CHUNK_BYTES.
@@ -12,7 +19,7 @@ it, by groups of about CHUNK_BYTES.
 Edge cases: a null or empty text is one row of zeros (64 bytes); equal texts have equal
 files; repeated rows are stored each; a very long text is many tiles; bytes that are
 no lossless WebP give null (read_pixels) or raise BadImage (load_payloads); input
-columns named like the new ones are replaced; an empty table gives no rows.
+columns named like the new ones are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +36,12 @@ from riskloom.llm import webp
 from riskloom.llm.common import table, tune
 from riskloom.llm.textops import chunks
 
-WIDTH = 16
-ROW_BYTES = 4 * WIDTH
+WIDTH = ROW_BYTES = 64
 TILE_ROWS = 128
+#: Of so many tiles one takes each of the features that text never needs.
+PROBES = 512
+#: Most values of a tile that is tried with a palette.
+FEW = 16
 
 
 def payloads(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,12 +54,38 @@ def payloads(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at
 
 
+def _pixels(tile: np.ndarray) -> np.ndarray:
+    out = np.repeat(tile, 4).reshape(-1, WIDTH, 4)
+    out[..., 3] = 255
+    return out
+
+
+def _other_form(tile: np.ndarray, usual: bytes) -> bytes:
+    """The file of a tile that doesn't stay in its usual form."""
+    draw = zlib.crc32(tile.tobytes()) % PROBES
+    if draw == 0:
+        rows = -(-len(tile) // WIDTH // 8)
+        modes = np.repeat(1 + np.arange(rows)[:, None] % 2, WIDTH // 8, axis=1)  # left and top in turn
+        return webp.encode_image(_pixels(tile), ("predictor", "green"), references=True, block_bits=3, modes=modes)
+    if draw == 1:
+        rows = -(-len(tile) // WIDTH // 8)
+        return webp.encode_image(_pixels(tile), ("cross",), block_bits=3, multipliers=np.full((rows, WIDTH // 8), 0xFF002020))
+    if draw == 2:
+        return webp.encode_image(_pixels(tile), ("green",), cache_bits=6)
+    if draw == 3:
+        return webp.encode_image(_pixels(tile), ("palette",), references=True)
+    if len(np.unique(tile)) <= FEW:
+        short = webp.encode_image(_pixels(tile), ("palette",), references=True)
+        return short if len(short) < len(usual) else usual
+    return usual
+
+
 def store(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
     """The stored form of each text of a group."""
     padded, at = payloads(data, offs)
     step = TILE_ROWS * ROW_BYTES
     tiles = [padded[a : min(a + step, z)] for lo, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for a in range(lo, z, step)]
-    files = webp.encode_static(tiles, WIDTH)
+    files = [_other_form(t, f) for t, f in zip(tiles, webp.encode_gray(tiles, WIDTH), strict=True)]
     out, k = [], 0
     for n in -(-np.diff(at) // step):
         out.append(b"".join(files[k : k + n]))
@@ -72,7 +108,7 @@ def load(stored: list[bytes]) -> list[np.ndarray]:
     images = webp.decode_images([f for fs in files for f in fs])
     out, k = [], 0
     for fs in files:
-        parts = [x.reshape(-1) for x in images[k : k + len(fs)]]
+        parts = [np.ascontiguousarray(x[..., 1]).reshape(-1) for x in images[k : k + len(fs)]]
         out.append(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8))
         k += len(fs)
     return out

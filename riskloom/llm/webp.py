@@ -1,15 +1,15 @@
-"""Lossless WebP: a decoder that works on many images at once, and an encoder.
-
-``decode_images`` reads every feature of the lossless format: prefix codes (simple
-and normal, several groups), back-references, the colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. Headers are parsed one image
-after the other; the pixel streams of a batch are decoded in step, one symbol of each
-image at a time, by numpy gathers into shared code tables.
-
-``encode_static`` writes literal pixels under one fixed set of complete prefix codes
-made for text bytes (a header of constant bits, so a batch is packed in one go);
-``encode_image`` is a plain encoder that can use every transform, the cache and
-back-references, for palettes and tests.
+"""Lossless WebP: a decoder that works on many images at once, and two encoders.
+
+``decode_images`` reads every feature of the lossless format, in simple and extended
+files: prefix codes (simple and normal, several groups), back-references, the colour
+cache, and the predictor, cross-colour, subtract-green and palette transforms. Headers
+are parsed one image after the other; the pixel streams of a batch are decoded in step,
+one symbol of each image at a time, by numpy gathers into code tables side by side.
+
+``encode_gray`` writes many grey images in one go: the subtract-green transform, prefix
+codes of each image's own counts and, where that is smaller, back-references.
+``encode_image`` is a plain encoder, pixel by pixel, that can use every transform, the
+cache and back-references.
 """
 
 from __future__ import annotations
@@ -60,24 +60,26 @@ class BitWriter:
         return self.value.to_bytes(-(-self.n // 8), "little")
 
 
-def canonical(lengths) -> list[int]:
-    """The code of each symbol, its bits in reading order (first bit lowest)."""
-    lengths = list(lengths)
-    count = Counter(x for x in lengths if x)
-    code, start = 0, {}
-    for n in range(1, MAX_LENGTH + 1):
-        code = (code + count.get(n - 1, 0)) << 1
-        start[n] = code
-    out = []
-    for n in lengths:
-        if n:
-            out.append(int(format(start[n], f"0{n}b")[::-1], 2))
-            start[n] += 1
-        else:
-            out.append(0)
+_REVERSED = np.array([int(format(i, "015b")[::-1], 2) for i in range(1 << MAX_LENGTH)], np.int64)
+
+
+def canonical_many(lengths: np.ndarray) -> np.ndarray:
+    """Codes for each row of code lengths at once, their bits in reading order (first bit lowest)."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    order = np.lexsort((symbol, n, row))
+    row, symbol, n = row[order], symbol[order], n[order]
+    size = np.int64(1) << (MAX_LENGTH - n)
+    before = np.cumsum(size) - size
+    out = np.zeros(lengths.shape, np.uint64)
+    out[row, symbol] = _REVERSED[before - before[np.searchsorted(row, row)]] if len(row) else 0
     return out
 
 
+def canonical(lengths) -> list[int]:
+    return canonical_many(np.array([list(lengths)])).tolist()[0]
+
+
 _TABLES: dict[bytes, np.ndarray] = {}
 
 
@@ -94,11 +96,12 @@ def code_table(lengths) -> np.ndarray:
     else:
         if sum(2.0 ** -lengths[s] for s in used) != 1:
             raise BadImage("incomplete prefix code")
-        width = max(lengths)
-        table = np.zeros(1 << width, np.int32)
-        codes = canonical(lengths)
-        for s in used:
-            table[codes[s] :: 1 << lengths[s]] = s << 4 | lengths[s]
+        # in the order of codes each symbol fills its share; places are read with the first bit lowest
+        n = np.array([lengths[x] for x in used])
+        width = int(n.max())
+        order = np.argsort(n, kind="stable")
+        table = np.empty(1 << width, np.int32)
+        table[_REVERSED[: 1 << width] >> (MAX_LENGTH - width)] = np.repeat((np.array(used)[order] << 4) | n[order], 1 << (width - n[order]))
     if len(_TABLES) > 256:
         _TABLES.clear()
     _TABLES[key] = table
@@ -201,7 +204,10 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
             rows.append(row)
             masks.append(mask)
     flat, rows, masks = np.concatenate(flat), np.array(rows, np.int64), np.array(masks, np.uint64)
-    one = len(rows) == n and len(np.unique(rows, axis=0)) == 1  # all under the same codes
+    # codes of one symbol take no bits: where that holds for all but green, a pixel's other channels are known
+    heads = flat[rows[:, 1:4]]
+    still = not masks[:, 1:4].any() and not (heads & 15).any()
+    others = ((heads[:, 2] >> 4) << 24 | (heads[:, 0] >> 4) << 16 | heads[:, 1] >> 4).astype(np.int64)
     out_at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(int(out_at[-1]), np.uint32)
     p = np.zeros(n, np.int64)
@@ -214,10 +220,7 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
 
     def look(at, code, row):
         w = window[at >> 3] >> (at & 7).astype(np.uint64)
-        if one:
-            e = flat[rows[0, code] + (w & masks[0, code]).astype(np.int64)]
-        else:
-            e = flat[rows[row, code] + (w & masks[row, code]).astype(np.int64)]
+        e = flat[rows[row, code] + (w & masks[row, code]).astype(np.int64)]
         return at + (e & 15), e >> 4
 
     def value(i, symbol):
@@ -273,10 +276,13 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
                 p[i] += n_new
             at, green = at[literal], green[literal]
         if len(lit):
-            at, red = look(at, 1, lrow)
-            at, blue = look(at, 2, lrow)
-            at, alpha = look(at, 3, lrow)
-            argb = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+            if still:
+                argb = (others[lrow] | green << 8).astype(np.uint32)
+            else:
+                at, red = look(at, 1, lrow)
+                at, blue = look(at, 2, lrow)
+                at, alpha = look(at, 3, lrow)
+                argb = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
             out[out_at[lit] + p[lit]] = argb
             if cached:
                 own = bits[lit] > 0
@@ -293,24 +299,29 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
     return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
 
-_HEADERS: dict[bytes, list] = {}
+def lossless_chunk(data: bytes) -> bytes:
+    """The VP8L chunk of a RIFF file, alone or among others (an extended file)."""
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise BadImage("no WebP")
+    at, end = 12, min(len(data), 8 + int.from_bytes(data[4:8], "little"))
+    while at + 8 <= end:
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"VP8L":
+            body = data[at + 8 : at + 8 + size]
+            if len(body) < 5 or body[0] != 0x2F:
+                break
+            return body
+        at += 8 + size + (size & 1)
+    raise BadImage("no lossless image")
 
 
 def _open(data: bytes):
     """(stream, transforms in reading order, width, height) of a RIFF file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
-        raise BadImage("no lossless WebP")
-    body = data[20 : 20 + int.from_bytes(data[16:20], "little")]
+    body = lossless_chunk(data)
     head = int.from_bytes(body[1:5], "little")
     width, height = (head & 0x3FFF) + 1, (head >> 14 & 0x3FFF) + 1
     if head >> 29:
         raise BadImage("unknown version")
-    # a header without transforms and groups doesn't depend on the image: known ones are not parsed again
-    for bits, value, proto in _HEADERS.get(body[5:13], ()):
-        if int.from_bytes(body[5 : 5 + -(-bits // 8)], "little") & ((1 << bits) - 1) == value:
-            s = _Stream.__new__(_Stream)
-            s.__dict__ |= proto.__dict__ | {"width": width, "height": height, "data": body, "pos": 40 + bits}
-            return s, [], width, height
     r = BitReader(body, 40)
     transforms, kinds, inner = [], set(), width
     while r.read(1):
@@ -331,12 +342,7 @@ def _open(data: bytes):
             bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((3, bits, table, inner))
             inner = -(-inner // (1 << bits))
-    s = _Stream(r, inner, height, True)
-    if not transforms and s.meta is None:
-        bits = s.pos - 40
-        if len(_HEADERS) < 64:
-            _HEADERS.setdefault(body[5:13], []).append((bits, int.from_bytes(body[5 : 5 + -(-bits // 8)], "little") & ((1 << bits) - 1), s))
-    return s, transforms, width, height
+    return _Stream(r, inner, height, True), transforms, width, height
 
 
 def _average(a, b):
@@ -380,6 +386,13 @@ def _unpredict(argb: np.ndarray, width: int, bits: int, modes: np.ndarray) -> np
     modes = modes >> 8 & 15
     for y in range(1, len(px)):
         px[y, 0] += px[y - 1, 0]
+        kinds = set(np.minimum(modes[y >> bits], 13).tolist())
+        if kinds == {1}:  # each pixel on its left neighbour
+            px[y] = np.cumsum(px[y], axis=0, dtype=np.uint8)
+            continue
+        if kinds == {2}:  # each on the one above
+            px[y, 1:] += px[y - 1, 1:]
+            continue
         for x in range(1, width):
             mode = min(int(modes[y >> bits, x >> bits]), 13)
             px[y, x] += _predict(mode, *_neighbours(px, y, x)).astype(np.uint8)
@@ -552,7 +565,7 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
             groups = int(meta.max()) + 1
             w.put(meta_bits - 2, 3)
             _write_stream(w, (meta.astype(np.uint32) << 8).reshape(-1), meta.shape[1], False)
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+    near = _near_of(width)
     sizes = (256 + N_LENGTH + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCE)
     counts = [[Counter() for _ in sizes] for _ in range(groups)]
     coded = []
@@ -573,9 +586,10 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
     for ls in lengths:
         for x in ls:
             write_code(w, x)
+    several = [[sum(x > 0 for x in one) > 1 for one in ls] for ls in lengths]
     for g, out in coded:
         for c, symbol, extra, n in out:
-            if sum(x > 0 for x in lengths[g][c]) > 1:
+            if several[g][c]:
                 w.put(codes[g][c][symbol], lengths[g][c][symbol])
             w.put(extra, n)
 
@@ -638,62 +652,145 @@ def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0
     return riff(w.bytes())
 
 
-def _static_lengths() -> np.ndarray:
-    """A complete code for text bytes: 16 symbols each of 5, 6, 7 and 8 bits, 64 of 11, 128 of 12."""
-    common = b" etaoinsrhlducmfpgwybv.,\n\x00k\xc3-EATIOSNRHDL\xa9'\"xqjzCMPBWFU0123456789"
-    order = list(dict.fromkeys([*common, *range(32, 127), *range(128, 192), *range(256)]))
-    out = np.zeros(256, np.int64)
-    out[order] = np.repeat([5, 6, 7, 8, 11, 12], [16, 16, 16, 16, 64, 128])
-    return out
-
-
-STATIC = _static_lengths()
-_STATIC_CODES = np.array(canonical(STATIC.tolist()), np.uint64)
-
+#: Longest code and shortest back-reference of encode_gray; the bytes that begin one must agree in full.
+GRAY_BITS, GRAY_COPY = 11, 16
+def copies(data: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies of GRAY_COPY bytes or more inside each image, from left to right, the nearest earlier place taken."""
+    from riskloom.llm.textops import prefix_hash, span_hash
 
-def _static_header() -> tuple[int, int]:
-    w = BitWriter()
-    w.put(0, 1)  # no transform
-    w.put(0, 1)  # no colour cache
-    w.put(0, 1)  # one group
-    write_code(w, STATIC.tolist() + [0] * N_LENGTH)
-    for _ in range(3):
-        write_code(w, STATIC.tolist())
-    write_code(w, [0] * N_DISTANCE)
-    return w.value, w.n
+    n = len(data) - GRAY_COPY + 1
+    if n < 1:
+        return []
+    image = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    # places to begin at: behind a space or line end, and every so many bytes, which runs need
+    begins = (np.arange(n) - edge[image[:n]]) % GRAY_COPY == 0
+    begins[1:] |= (data[: n - 1] == 32) | (data[: n - 1] == 10)
+    at = np.flatnonzero(begins & (image[:n] == image[GRAY_COPY - 1 :]))
+    h = span_hash(prefix_hash(data), at, at + GRAY_COPY)
+    with np.errstate(over="ignore"):
+        h += image[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(h, kind="stable")
+    same = (h[order][1:] == h[order][:-1]) & (image[at[order]][1:] == image[at[order]][:-1])
+    earlier = np.full(len(data), -1)
+    earlier[at[order][1:][same]] = at[order][:-1][same]
+    found, free = [], 0
+    for p in np.flatnonzero(earlier >= 0).tolist():
+        if p < free:
+            continue
+        q, end = int(earlier[p]), int(edge[image[p] + 1])
+        most = min(end - p, 4096)
+        differ = np.flatnonzero(data[p : p + most] != data[q : q + most])
+        length = int(differ[0]) if len(differ) else most
+        if length >= GRAY_COPY:
+            found.append((p, length, p - q))
+            free = p + length
+    return found
 
 
-_HEAD, _HEAD_BITS = _static_header()
+def _near_of(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
 
 
-def encode_static(payloads: list[np.ndarray], width: int) -> list[bytes]:
-    """One file for each payload of width * 4 * k bytes, B, G, R, A a pixel, all packed in one go."""
-    sizes = np.array([len(x) for x in payloads])
-    data = np.concatenate(payloads).reshape(-1, 4)[:, [1, 2, 0, 3]].reshape(-1)  # written as G, R, B, A
-    bits = STATIC[data]
+def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
+    """One file for each image of width * k bytes, every byte a pixel of equal red, green and blue."""
+    sizes = np.array([len(x) for x in images])
     edge = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.concatenate(images)
+    n, size = len(images), 256 + N_LENGTH
+    image = np.repeat(np.arange(n), sizes)
+    near = _near_of(width)
+    # what each image would take with and without its copies
+    plain = np.bincount(image * size + data, minlength=n * size).reshape(n, size)
+    runs = copies(data, edge)
+    owner = np.searchsorted(edge, [r[0] for r in runs], "right") - 1
+    first = {i: int(k) for k, i in reversed(list(enumerate(owner.tolist())))}
+    lengths, distances = np.zeros((n, size), np.int64), np.zeros((n, N_DISTANCE), np.int64)
+    chosen: list[tuple] = []  # (place, length, length symbol, its extra, distance symbol, its extra)
+    for i in range(n):
+        lengths[i] = huffman_lengths({c: int(plain[i, c]) for c in np.flatnonzero(plain[i]).tolist()}, size, GRAY_BITS)
+        if i not in first:
+            continue
+        counts, far, steps = plain[i].copy(), Counter(), []
+        k = first[i]
+        while k < len(runs) and owner[k] == i:
+            p, m, d = runs[k]
+            np.subtract.at(counts, data[p : p + m].astype(np.int64), 1)
+            a, b = _prefix(m), _prefix(near.get(d, d + 120))
+            counts[256 + a[0]] += 1
+            far[b[0]] += 1
+            steps.append((p, m, a, b))
+            k += 1
+        mine = np.array(huffman_lengths({c: int(counts[c]) for c in np.flatnonzero(counts).tolist()}, size, GRAY_BITS))
+        theirs = np.array(huffman_lengths(far, N_DISTANCE, GRAY_BITS))
+        extra = sum(a[2] + b[2] for _, _, a, b in steps)
+        cost = int((counts * mine).sum()) + sum(c * int(theirs[d]) for d, c in far.items() if len(far) > 1) + extra + 5 * len(far) + 24
+        if cost < int((plain[i] * lengths[i]).sum()):
+            lengths[i], distances[i] = mine, theirs
+            chosen += steps
+    codes, far_codes = canonical_many(lengths), canonical_many(distances)
+    alone, far_alone = (lengths > 0).sum(1) < 2, (distances > 0).sum(1) < 2
+    bits_of, far_bits = np.where(alone[:, None], 0, lengths), np.where(far_alone[:, None], 0, distances)
+    heads = []
+    for i in range(n):
+        w = BitWriter()
+        w.put(0x2F, 8)
+        w.put(width - 1, 14)
+        w.put(int(sizes[i]) // width - 1, 14)
+        w.put(1, 1)
+        w.put(0, 3)
+        w.put(1, 1)
+        w.put(2, 2)  # subtract green, which leaves red and blue at zero
+        w.put(0, 3)  # no more transforms, no colour cache, one group
+        write_code(w, lengths[i].tolist())
+        for symbol in (0, 0, 255):
+            write_code(w, [int(c == symbol) for c in range(256)])
+        write_code(w, distances[i].tolist())
+        heads.append((w.value, w.n))
+    # the elements in order: a byte's code, or a copy's length and then its distance
+    skip = np.zeros(len(data) + 1, np.int64)
+    for p, m, _, _ in chosen:
+        skip[p] += 1
+        skip[p + m] -= 1
+    literal = np.flatnonzero(np.cumsum(skip[:-1]) == 0)
+    place, owner = [2 * literal], [image[literal]]
+    value, width_of = [codes[image[literal], data[literal]]], [bits_of[image[literal], data[literal]]]
+    if chosen:
+        p = np.array([c[0] for c in chosen])
+        i = image[p]
+        for k, (shift, table, widths, base) in enumerate(((2, codes, bits_of, 256), (3, far_codes, far_bits, 0))):
+            symbol = np.array([c[shift][0] for c in chosen]) + base
+            n_bits = widths[i, symbol]
+            code = np.where(n_bits > 0, table[i, symbol], 0).astype(np.uint64)
+            value.append(code | np.array([c[shift][1] for c in chosen], np.uint64) << n_bits.astype(np.uint64))
+            width_of.append(n_bits + np.array([c[shift][2] for c in chosen]))
+            place.append(2 * p + k)
+            owner.append(i)
+    place, owner, value, width_of = (np.concatenate(x) for x in (place, owner, value, width_of))
+    order = np.argsort(place, kind="stable")
+    return _pack_elements(heads, owner[order], value[order], width_of[order].astype(np.int64), n)
+
+
+def _pack_elements(heads: list[tuple[int, int]], owner: np.ndarray, value: np.ndarray, bits: np.ndarray, n: int) -> list[bytes]:
+    """Files of the given header bits and elements (at most 32 bits each), all packed by one pass over 32-bit words."""
+    head_bits = np.array([h[1] for h in heads])
     total = np.concatenate([[0], np.cumsum(bits)])
-    body = np.diff(total[edge]) + _HEAD_BITS + 40
-    n_bytes = -(-body // 8)
-    at = np.concatenate([[0], np.cumsum(n_bytes + 8)])  # slack for whole-word writes
-    place = total[:-1] + np.repeat(8 * at[:-1] + 40 + _HEAD_BITS - total[edge[:-1]], sizes)
-    words = np.zeros(int(at[-1]) // 4 + 4, np.uint64)  # 32-bit words with carries above
-    value = _STATIC_CODES[data] << (place & 31).astype(np.uint64)
-    # codes never overlap, so sums are unions; pre-summed by word
+    first = np.searchsorted(owner, np.arange(n + 1))
+    body = total[first[1:]] - total[first[:-1]]
+    n_bytes = -(-(head_bits + body) // 8)
+    at = np.concatenate([[0], np.cumsum(n_bytes + 8)])
+    place = total[:-1] - total[first[:-1]][owner] + (8 * at[:-1] + head_bits)[owner]
+    words = np.zeros(int(at[-1]) // 4 + 4, np.uint64)
+    shifted = np.where(bits > 0, value, 0).astype(np.uint64) << (place & 31).astype(np.uint64)
     word = place >> 5
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
-    if len(first):
-        words[word[first]] = np.add.reduceat(value, first)
+    new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    if len(new):  # elements never overlap, so sums are unions
+        words[word[new]] = np.add.reduceat(shifted, new)
     low, high = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
     low[1:] |= high[:-1]
     stream = low.view(np.uint8)
     out = []
-    for k, size in enumerate(sizes):
-        height = int(size) // (4 * width)
-        head = 0x2F | (width - 1 | (height - 1) << 14 | 1 << 28) << 8 | _HEAD << 40
-        a = int(at[k])
-        own = stream[a : a + int(n_bytes[k])].tobytes()
-        k_bytes = -(-(40 + _HEAD_BITS) // 8)
-        mixed = (int.from_bytes(own[:k_bytes], "little") | head).to_bytes(k_bytes, "little")
-        out.append(riff(mixed + own[k_bytes:]))
+    for i, (head, m) in enumerate(heads):
+        own = stream[int(at[i]) : int(at[i] + n_bytes[i])].tobytes()
+        k = -(-m // 8)
+        out.append(riff((int.from_bytes(own[:k], "little") | head).to_bytes(k, "little") + own[k:]))
     return out
