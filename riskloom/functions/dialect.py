@@ -28,6 +28,51 @@ class Dialect:
         return f"{column} IN ({', '.join(self.lit(v) for v in values)})"
 
 
+class Recorder(Dialect):
+    """Renders nothing; keeps the patterns and tokens that a rule looks for."""
+
+    prefix = "prefix"
+
+    def __init__(self):
+        self.patterns: list[str] = []
+
+    def lit(self, text: str) -> str:
+        return "''"
+
+    def _rx(self, column: str, pattern: str) -> str:
+        self.patterns.append(pattern)
+        return "false"
+
+    def has(self, column: str, *tokens: str) -> str:
+        import re
+
+        self.patterns += [re.escape(t) for t in tokens]
+        return "false"
+
+    def starts(self, column: str, *tokens: str) -> str:
+        return "false"
+
+    def among(self, column: str, values) -> str:
+        return "false"
+
+    def group(self, column: str, pattern: str, n: int = 1) -> str:
+        self.patterns.append(pattern)
+        return "''"
+
+    def all(self, column: str, pattern: str, n: int = 0) -> str:
+        self.patterns.append(pattern)
+        return "array()"
+
+    def sub(self, column: str, pattern: str, by: str) -> str:
+        return column
+
+    def each(self, array: str, alias: str, source: str) -> str:
+        return source
+
+    def any(self, array: str, test) -> str:
+        return "false"
+
+
 class _Spark(Dialect):
     prefix = "startswith"
 
@@ -59,6 +104,13 @@ class _Spark(Dialect):
     def edit_distance(self, a: str, b: str) -> str:
         return f"levenshtein({a}, {b})"
 
+    def ints(self, text: str) -> str:
+        """The numbers of a dotted text; arrays compare part by part, a shorter one that is equal so far is smaller."""
+        return f"transform(split({text}, '[.]'), x -> CAST(x AS BIGINT))"
+
+    def int_list(self, values) -> str:
+        return f"array({', '.join(f'CAST({v} AS BIGINT)' for v in values)})"
+
 
 class _Duck(Dialect):
     prefix = "starts_with"
@@ -90,5 +142,11 @@ class _Duck(Dialect):
     def edit_distance(self, a: str, b: str) -> str:
         return f"levenshtein({a}, {b})"
 
+    def ints(self, text: str) -> str:
+        return f"list_transform(string_split({text}, '.'), lambda x: CAST(x AS BIGINT))"
+
+    def int_list(self, values) -> str:
+        return f"[{', '.join(f'CAST({v} AS BIGINT)' for v in values)}]"
+
 
 SPARK, DUCK = _Spark(), _Duck()

@@ -194,16 +194,9 @@ DEPRECATED = ("easy_install", "left-pad")
 
 def _b4(d: Dialect) -> str:
     version = d.group("spec", r"(\d+(?:\.\d+)*)")
-    parts = [f"CAST(CASE WHEN {d.group('v', p)} = '' THEN '-1' ELSE {d.group('v', p)} END AS BIGINT)" for p in (r"^(\d+)", r"^\d+\.(\d+)", r"^\d+\.\d+\.(\d+)", r"^\d+\.\d+\.\d+\.(\d+)")]
-    tests = []
-    for name, limit in DEPRECATED_BELOW:
-        # a shorter version that is equal so far is smaller
-        less = " OR ".join("(" + " AND ".join([f"p{j} = {limit[j]}" for j in range(i)] + [f"p{i} < {limit[i]}"]) + ")" for i in range(len(limit)))
-        tests.append(f"(name = '{name}' AND ({less}))")
-    names = ", ".join(f"'{n}'" for n, _ in DEPRECATED_BELOW)
-    cols = ", ".join(f"{p} AS p{i}" for i, p in enumerate(parts))
-    return f"""SELECT * FROM (SELECT CASE WHEN {d.among('name', DEPRECATED)} THEN 'Medium' WHEN name NOT IN ({names}) THEN NULL WHEN v = '' THEN 'Low' WHEN {' OR '.join(tests)} THEN 'Medium' END AS severity, file_path, line
-        FROM (SELECT *, {cols} FROM (SELECT name, file_path, line, {version} AS v FROM deps) a) b) c WHERE severity IS NOT NULL"""
+    limits = " UNION ALL ".join(f"SELECT '{n}' AS limited, {d.int_list(v)} AS least_version" for n, v in DEPRECATED_BELOW)
+    return f"""SELECT * FROM (SELECT CASE WHEN {d.among('name', DEPRECATED)} THEN 'Medium' WHEN limited IS NULL THEN NULL WHEN v = '' THEN 'Low' WHEN {d.ints('v')} < least_version THEN 'Medium' END AS severity, file_path, line
+        FROM (SELECT name, file_path, line, {version} AS v FROM deps) a LEFT JOIN ({limits}) b ON limited = name) c WHERE severity IS NOT NULL"""
 
 
 def _b5(d: Dialect) -> str:

@@ -92,7 +92,7 @@ def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
     parts = []
     if rule_id in LINE_RULES:
         rule = LINE_RULES[rule_id]
-        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()})
+        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()}, keep=_may_find(rule))
         parts.append(_finish(run_sql(c, line_sql(rule, SPARK, "lines", flagged=True), lines), rule_id))
     parts += [_finish(run_sql(c, r.sql(SPARK)), rule_id) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
     if rule_id in taint.RULES:
@@ -100,22 +100,30 @@ def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _may_find(rule) -> str:
+    """Whether a rule may find anything in a file: its name fits and its text holds a literal that the rule's test needs."""
+    literals = rule.literals()
+    held = f" AND {SPARK.has('ltext', *sorted(literals))}" if literals else ""
+    return f"({rule.files(SPARK)}){held}"
+
+
 def line_findings(c: Corpus) -> DataFrame:
     """Findings of all line rules in one pass over the lines."""
-    # what depends on the file alone is judged once for each file, before its lines are generated
+    # what depends on the file alone is judged once for each file; only files where some rule may find something have lines
+    tests = {f"in_{k.replace('-', '').lower()}": _may_find(r) for k, r in LINE_RULES.items()}
     flags = {name: f(SPARK) for r in LINE_RULES.values() for name, f in r.flags.items()}
-    flags |= {f"in_{k.replace('-', '').lower()}": r.files(SPARK) for k, r in LINE_RULES.items()}
-    rows = c.flagged_lines(flags)
-    items = []
+    rows = c.flagged_lines(flags | tests, keep=" OR ".join(tests.values()))
+    groups: dict[str, list[str]] = {}
     for k, r in LINE_RULES.items():
-        test = f"in_{k.replace('-', '').lower()} AND ({SKIPS[r.skip]})"
+        test = f"in_{k.replace('-', '').lower()}"
         for row in r.rows(SPARK):
             if r.times:
-                inner = row.replace("m RLIKE", "x RLIKE")
-                items.append(f"CASE WHEN {test} THEN transform({r.times(SPARK)}, x -> named_struct('rule_id', '{k}', 'severity', {inner})) ELSE array() END")
+                item = f"transform({r.times(SPARK)}, x -> named_struct('rule_id', '{k}', 'severity', {row.replace('m RLIKE', 'x RLIKE')}))"
             else:
-                items.append(f"CASE WHEN {test} THEN array(named_struct('rule_id', '{k}', 'severity', {row})) ELSE array() END")
-    found = F.expr(f"filter(flatten(array({', '.join(items)})), f -> f.severity IS NOT NULL)")
+                item = f"array(named_struct('rule_id', '{k}', 'severity', {row}))"
+            groups.setdefault(r.skip, []).append(f"CASE WHEN {test} THEN {item} ELSE array() END")
+    arrays = [f"CASE WHEN {SKIPS[skip]} THEN flatten(array({', '.join(items)})) ELSE array() END" for skip, items in groups.items()]
+    found = F.expr(f"filter(concat({', '.join(arrays)}), f -> f.severity IS NOT NULL)")
     out = rows.select("path", "line", F.explode(found).alias("f"))
     titles = F.create_map(*[F.lit(v) for k in LINE_RULES for v in (k, RULES[k][1])])
     cats = F.create_map(*[F.lit(v) for k in LINE_RULES for v in (k, RULES[k][0])])

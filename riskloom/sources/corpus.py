@@ -57,21 +57,32 @@ class Corpus:
     def lossy_lines(self) -> DataFrame:
         return self._lines("text_lossy")
 
-    def flagged_lines(self, flags: dict[str, str]) -> DataFrame:
-        """lines with boolean columns that are computed once for each file, before its lines are generated."""
-        return self._lines("text", flags)
+    def flagged_lines(self, flags: dict[str, str], keep: str | None = None, contexts: tuple[str, ...] = (*CONTEXTS, "ctx11")) -> DataFrame:
+        """lines of the files where ``keep`` holds, with boolean columns that are computed once for each file, and the contexts named.
 
-    def _lines(self, column: str, flags: dict[str, str] | None = None) -> DataFrame:
+        flags and keep may use ltext, the lower-case text.
+        """
+        return self._lines("text", flags, keep, contexts)
+
+    def _lines(self, column: str, flags: dict[str, str] | None = None, keep: str | None = None, contexts: tuple[str, ...] = (*CONTEXTS, "ctx11")) -> DataFrame:
         flags = flags or {}
-        arr = F.split(column, LINE_END)
-        arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
-        base = self.files.where(F.col(column).isNotNull()).select("*", arr.alias("ls"), *[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
-        rows = base.select("*", F.posexplode("ls").alias("i", "raw")).withColumn("line", (F.col("i") + 1).cast("long"))
-        s = F.regexp_replace("raw", STRIP, "")
-
-        def near(k: int):
-            return F.coalesce(F.regexp_replace(F.get("ls", F.col("i") + k), STRIP, ""), F.lit(""))
-
-        ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), F.col("i") + 1 - a), F.least(F.col("i") + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items()}
-        ctx["ctx11"] = F.concat_ws(" ", near(-1), s, near(1))
-        return rows.select("path", "lpath", "name", "lname", "suffix", "text", "text_lossy", "line", "raw", s.alias("s"), *[c.alias(n) for n, c in ctx.items()], *flags)
+        base = self.files.where(F.col(column).isNotNull())
+        if flags or keep:
+            # an outer explode of one struct: what is judged once for each file isn't moved into conditions below or above
+            judged = F.struct(F.expr(keep or "true").alias("__keep"), *[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
+            base = base.withColumn("ltext", F.lower(column)).select(*self.files.columns, F.explode_outer(F.array(judged)).alias("__f"))
+            base = base.where("__f.__keep").select(*self.files.columns, *[F.col(f"__f.{n}").alias(n) for n in flags])
+        # a line end at the very end ends the last line
+        arr = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(column, f"(?:{LINE_END})\\z", ""), LINE_END))
+        base = base.withColumn("ls", arr).withColumn("ss", F.transform("ls", lambda x: F.regexp_replace(x, STRIP, "")))
+
+        def line(raw, i):
+            ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), i + 1 - a), F.least(i + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items() if n in contexts}
+            if "ctx11" in contexts:
+                ctx["ctx11"] = F.concat_ws(" ", *[F.coalesce(F.get("ss", i + k), F.lit("")) for k in (-1, 0, 1)])
+            return F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), F.get("ss", i).alias("s"), *[c.alias(n) for n, c in ctx.items()])
+
+        # each line is a struct with its contexts before lines are told apart, so no row carries the file's array of lines
+        files = ["path", "lpath", "name", "lname", "suffix", "text", "text_lossy"]
+        rows = base.withColumn("x", F.transform("ls", line)).select(*files, *flags, F.explode_outer("x").alias("x")).where("x is not null")
+        return rows.select(*files, "x.*", *flags)
