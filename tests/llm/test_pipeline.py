@@ -96,3 +96,27 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     _input(spark, str(tmp_path))
     assert pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
+NAMES = ["quality_score", "n_lines", "n_removed", "mix_block", "__mix_id", "rid", "sha", "comp", "h", "n", "k", "passes", "at", "id"]
+
+
+def test_stages_keep_extra_columns_and_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated and missing ids, a very long text, and columns named as the operators name theirs."""
+    sf = str(tmp_path)
+    _input(spark, sf)
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` long" for n in NAMES)
+    texts = [(1, None), (2, ""), (3, "a calm line of words\nanother calm line\na third one\nand a fourth"), (3, "unlike text of one id"), (4, "word " * 40_000), (5, "same text here"), (5, "same text here"), (None, "no id at all"), (6, " \n\n \n\n")]
+    rows = [(d, t, None, None if d == 2 else "s", len(t or ""), *[100 * k + j for j in range(len(NAMES))]) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = [tuple(r[n] for n in NAMES) for r in out.collect()]
+        assert set(got) <= {r[5:] for r in rows}, name
+        if name != "quality classifier":
+            kept = {r[0] for r in out.select("doc_id").collect()}
+            assert kept == {1, 2, 3, 4, 5, 6, None}, name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    pieces = pipeline.STAGES[-1][1](spark, docs, sf)
+    assert pieces.select("doc_id").distinct().count() == 7 and pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0
