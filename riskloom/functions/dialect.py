@@ -108,6 +108,12 @@ class _Spark(Dialect):
         """The numbers of a dotted text; arrays compare part by part, a shorter one that is equal so far is smaller."""
         return f"transform(split({text}, '[.]'), x -> CAST(x AS BIGINT))"
 
+    def size(self, array: str) -> str:
+        return f"size({array})"
+
+    def first_of_list(self, array: str, n: int) -> str:
+        return f"slice({array}, 1, {n})"
+
     def int_list(self, values) -> str:
         return f"array({', '.join(f'CAST({v} AS BIGINT)' for v in values)})"
 
@@ -145,6 +151,12 @@ class _Duck(Dialect):
     def ints(self, text: str) -> str:
         return f"list_transform(string_split({text}, '.'), lambda x: CAST(x AS BIGINT))"
 
+    def size(self, array: str) -> str:
+        return f"len({array})"
+
+    def first_of_list(self, array: str, n: int) -> str:
+        return f"{array}[1:{n}]"
+
     def int_list(self, values) -> str:
         return f"[{', '.join(f'CAST({v} AS BIGINT)' for v in values)}]"
 

@@ -175,8 +175,10 @@ def _pinned(d: Dialect) -> str:
 
 def _b1(d: Dialect) -> str:
     score = "CASE WHEN severity_score IS NULL THEN 'Medium' WHEN severity_score >= 9 THEN 'Critical' WHEN severity_score >= 7 THEN 'High' WHEN severity_score >= 4 THEN 'Medium' ELSE 'Low' END"
-    return f"""SELECT 'Medium' AS severity, file_path, line FROM deps WHERE NOT {_pinned(d)}
-        UNION ALL SELECT {score} AS severity, file_path, line FROM deps JOIN advisories a ON a.ecosystem = deps.ecosystem AND a.name = deps.name AND a.version = trim({d.sub('deps.spec', '^=+', '')}) WHERE {_pinned(d).replace('ecosystem', 'deps.ecosystem').replace('spec', 'deps.spec')}"""
+    found = "concat(deps.name, ' ', deps.spec, ' may have a known vulnerability [', a.source, ':', a.vuln_id, '] ', substr(a.summary, 1, 160), CASE WHEN " + d.size("a.refs") + " > 0 THEN concat(' refs: ', array_to_string(" + d.first_of_list("a.refs", 2) + ", ', ')) ELSE '' END)"
+    found = found.replace("array_to_string", "array_join") if d.prefix == "startswith" else found
+    return f"""SELECT 'Medium' AS severity, file_path, line, concat(name, ' may have known vulnerabilities, but its version is not pinned (', CASE WHEN spec = '' THEN 'none' ELSE spec END, ')') AS message FROM deps WHERE NOT {_pinned(d)}
+        UNION ALL SELECT {score} AS severity, file_path, line, {found} AS message FROM deps JOIN advisories a ON a.ecosystem = deps.ecosystem AND a.name = deps.name AND a.version = trim({d.sub('deps.spec', '^=+', '')}) WHERE {_pinned(d).replace('ecosystem', 'deps.ecosystem').replace('spec', 'deps.spec')}"""
 
 
 COMMON_PACKAGES = ("requests", "numpy", "pandas", "flask", "django", "pyyaml", "urllib3", "react", "express", "lodash", "axios", "typescript")
@@ -184,7 +186,7 @@ COMMON_PACKAGES = ("requests", "numpy", "pandas", "flask", "django", "pyyaml", "
 
 def _b3(d: Dialect) -> str:
     near = " OR ".join(f"{d.edit_distance('name', d.lit(p))} = 1" for p in COMMON_PACKAGES)
-    return f"SELECT 'Medium' AS severity, file_path, line FROM deps WHERE {d.has('name', '..', '__', 'tmp', 'test', 'malware')} OR {d.starts('lower(spec)', 'git+http://', 'http://', 'https://', 'file:')} OR {near}"
+    return f"SELECT 'Medium' AS severity, file_path, line, concat(name, ' ', spec, ' looks unlike a package of that name') AS message FROM deps WHERE {d.has('name', '..', '__', 'tmp', 'test', 'malware')} OR {d.starts('lower(spec)', 'git+http://', 'http://', 'https://', 'file:')} OR {near}"
 
 
 #: package, first version that is not deprecated
@@ -195,8 +197,8 @@ DEPRECATED = ("easy_install", "left-pad")
 def _b4(d: Dialect) -> str:
     version = d.group("spec", r"(\d+(?:\.\d+)*)")
     limits = " UNION ALL ".join(f"SELECT '{n}' AS limited, {d.int_list(v)} AS least_version" for n, v in DEPRECATED_BELOW)
-    return f"""SELECT * FROM (SELECT CASE WHEN {d.among('name', DEPRECATED)} THEN 'Medium' WHEN limited IS NULL THEN NULL WHEN v = '' THEN 'Low' WHEN {d.ints('v')} < least_version THEN 'Medium' END AS severity, file_path, line
-        FROM (SELECT name, file_path, line, {version} AS v FROM deps) a LEFT JOIN ({limits}) b ON limited = name) c WHERE severity IS NOT NULL"""
+    return f"""SELECT * FROM (SELECT CASE WHEN {d.among('name', DEPRECATED)} THEN 'Medium' WHEN limited IS NULL THEN NULL WHEN v = '' THEN 'Low' WHEN {d.ints('v')} < least_version THEN 'Medium' END AS severity, file_path, line, concat(name, ' ', spec, ' is deprecated or of a deprecated version') AS message
+        FROM (SELECT name, spec, file_path, line, {version} AS v FROM deps) a LEFT JOIN ({limits}) b ON limited = name) c WHERE severity IS NOT NULL"""
 
 
 def _b5(d: Dialect) -> str:
@@ -212,7 +214,7 @@ IMPORT_NAMES = (("pyyaml", "yaml"), ("pillow", "pil"), ("python-dotenv", "dotenv
 
 def _b6(d: Dialect) -> str:
     mapped = "CASE ecosystem WHEN 'python' THEN lower(" + d.group("CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IMPORT_NAMES) + " ELSE name END", "^([^.]*)") + ") ELSE lower(name) END"
-    return f"SELECT 'Low' AS severity, file_path, line FROM (SELECT *, {mapped} AS expected FROM deps) t LEFT ANTI JOIN imports i ON i.ecosystem = t.ecosystem AND i.name = t.expected" if d.prefix == "startswith" else f"SELECT 'Low' AS severity, file_path, line FROM (SELECT *, {mapped} AS expected FROM deps) t WHERE NOT EXISTS (SELECT 1 FROM imports i WHERE i.ecosystem = t.ecosystem AND i.name = t.expected)"
+    return f"SELECT 'Low' AS severity, file_path, line, concat(t.name, ' is declared, but ', expected, ' is imported nowhere') AS message FROM (SELECT *, {mapped} AS expected FROM deps) t LEFT ANTI JOIN imports i ON i.ecosystem = t.ecosystem AND i.name = t.expected" if d.prefix == "startswith" else f"SELECT 'Low' AS severity, file_path, line, concat(t.name, ' is declared, but ', expected, ' is imported nowhere') AS message FROM (SELECT *, {mapped} AS expected FROM deps) t WHERE NOT EXISTS (SELECT 1 FROM imports i WHERE i.ecosystem = t.ecosystem AND i.name = t.expected)"
 
 
 # ---- licences
@@ -246,20 +248,20 @@ def _k3(d: Dialect) -> str:
 
 
 def _k4(d: Dialect) -> str:
-    return f"""SELECT 'Medium' AS severity, deps.file_path, deps.line FROM deps LEFT JOIN (SELECT package, min_by(license_expr, ord) AS lic FROM dep_licenses GROUP BY package) m ON m.package = deps.name
+    return f"""SELECT 'Medium' AS severity, deps.file_path, deps.line, concat(deps.name, ' has no known licence (', coalesce(lic, 'none'), ')') AS message FROM deps LEFT JOIN (SELECT package, min_by(license_expr, ord) AS lic FROM dep_licenses GROUP BY package) m ON m.package = deps.name
         WHERE coalesce(lower(trim(lic)), '') IN ('', 'unknown', 'unlicensed', 'none', 'see license in', 'n/a')"""
 
 
 def _k5(d: Dialect) -> str:
-    return f"""SELECT 'High' AS severity, file_path, line FROM dep_licenses WHERE {d.has('lower(license_expr)', *NONCOMMERCIAL)}
-        UNION ALL SELECT 'High' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files WHERE {d.among('name', LICENSE_FILES)} AND {d.has('lower(text_lossy)', *NONCOMMERCIAL)}"""
+    return f"""SELECT 'High' AS severity, file_path, line, concat(package, ' allows no commercial use (', license_expr, ')') AS message FROM dep_licenses WHERE {d.has('lower(license_expr)', *NONCOMMERCIAL)}
+        UNION ALL SELECT 'High' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line, concat(path, ' allows no commercial use') AS message FROM files WHERE {d.among('name', LICENSE_FILES)} AND {d.has('lower(text_lossy)', *NONCOMMERCIAL)}"""
 
 
 RELATIONAL_RULES = {
     r.rule_id + ("/file" if r.rule_id == "E-4" else ""): r
     for r in (
         Rule("B-1", "dependencies", "Known Vulnerabilities", _b1),
-        Rule("B-2", "dependencies", "Unpinned Versions", lambda d: f"SELECT 'Medium' AS severity, file_path, line FROM deps WHERE {_loose(d)}"),
+        Rule("B-2", "dependencies", "Unpinned Versions", lambda d: f"SELECT 'Medium' AS severity, file_path, line, concat(name, ' is not pinned to one version (', CASE WHEN spec = '' THEN 'none' ELSE spec END, ')') AS message FROM deps WHERE {_loose(d)}"),
         Rule("B-3", "dependencies", "Suspicious Packages", _b3),
         Rule("B-4", "dependencies", "Deprecated Dependencies", _b4),
         Rule("B-5", "dependencies", "Missing Lockfile", _b5),

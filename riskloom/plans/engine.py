@@ -18,9 +18,10 @@ from riskloom.functions.dialect import SPARK
 from riskloom.operators import taint
 from riskloom.operators.line_rules import LINE_RULES, SKIPS, line_sql
 from riskloom.operators.relational_rules import RELATIONAL_RULES
-from riskloom.sources import manifests
-from riskloom.sources.corpus import Corpus
+from riskloom.sources import advisories, manifests
+from riskloom.sources.corpus import CONTEXTS, Corpus
 
+CONTEXT_NAMES = (*CONTEXTS, "ctx11")
 COLUMNS = ["rule_id", "category", "title", "severity", "file_path", "line", "message"]
 SEVERITIES = ("Critical", "High", "Medium", "Low", "Info")
 
@@ -57,7 +58,7 @@ def relations(c: Corpus, names: set[str]) -> dict[str, DataFrame]:
         "project_licenses": lambda: manifests.project_licenses(c),
         "imports": lambda: manifests.imports(c, taint.python_imports(c)),
         "repo_meta": lambda: c.repo_meta if c.repo_meta is not None else c.spark.createDataFrame([], "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"),
-        "advisories": lambda: c.advisories if c.advisories is not None else c.spark.createDataFrame([], "ecosystem string, name string, version string, vuln_id string, severity_score double"),
+        "advisories": lambda: advisories.ranked(c.advisories if c.advisories is not None else c.spark.createDataFrame([], advisories.SCHEMA), c.lookup),
     }
     return {n: make[n]() for n in names}
 
@@ -92,7 +93,7 @@ def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
     parts = []
     if rule_id in LINE_RULES:
         rule = LINE_RULES[rule_id]
-        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()}, keep=_may_find(rule))
+        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()}, keep=_may_find(rule), contexts={n: "true" for n in CONTEXT_NAMES if any(n in row for row in rule.rows(SPARK))})
         parts.append(_finish(run_sql(c, line_sql(rule, SPARK, "lines", flagged=True), lines), rule_id))
     parts += [_finish(run_sql(c, r.sql(SPARK)), rule_id) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
     if rule_id in taint.RULES:
@@ -111,8 +112,10 @@ def line_findings(c: Corpus) -> DataFrame:
     """Findings of all line rules in one pass over the lines."""
     # what depends on the file alone is judged once for each file; only files where some rule may find something have lines
     tests = {f"in_{k.replace('-', '').lower()}": _may_find(r) for k, r in LINE_RULES.items()}
-    flags = {name: f(SPARK) for r in LINE_RULES.values() for name, f in r.flags.items()}
-    rows = c.flagged_lines(flags | tests, keep=" OR ".join(tests.values()))
+    flags = {name: f"{_may_find(r)} AND ({f(SPARK)})" for r in LINE_RULES.values() for name, f in r.flags.items()}
+    # a context is put together in the files of the rules that look at it
+    users = {n: [t for t, r in zip(tests, LINE_RULES.values(), strict=True) if any(n in row for row in r.rows(SPARK))] for n in CONTEXT_NAMES}
+    rows = c.flagged_lines(flags | tests, keep=" OR ".join(tests.values()), contexts={n: " OR ".join(ts) for n, ts in users.items() if ts})
     groups: dict[str, list[str]] = {}
     for k, r in LINE_RULES.items():
         test = f"in_{k.replace('-', '').lower()}"
@@ -141,12 +144,19 @@ def all_findings(c: Corpus) -> DataFrame:
 
 
 def run_rules(c: Corpus, rule_ids: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(findings, errors): rules run on their own, a failing one becomes an error row (rule_id, error)."""
+    """(findings, errors): all rules run together, once; if that fails each runs by itself, and a failing one becomes an error row (rule_id, error)."""
+    if rule_ids is None:
+        try:
+            together = all_findings(c).persist()
+            together.count()  # a lazy plan fails only when it runs
+            return together, []
+        except Exception:  # noqa: BLE001, S110 - which rule it was is found out below
+            pass
     done, errors = [], []
     for k in rule_ids or [*RULES, *EXTRA]:
         try:
-            df = rule_findings(c, k)
-            df.write.format("noop").mode("overwrite").save()  # a lazy plan fails only when it runs in full
+            df = rule_findings(c, k).persist()
+            df.count()
             done.append(df)
         except Exception as e:  # noqa: BLE001
             errors.append((k, f"{type(e).__name__}: {e}"))

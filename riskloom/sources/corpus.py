@@ -12,9 +12,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.advisories import Lookup
+
 #: Line ends as text files have them, after universal newlines.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
-STRIP = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+#: White space as text processing strips it from lines.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: (preceding, following) lines of each context column of raw lines
 CONTEXTS = {"ctx33": (3, 3), "ctx46": (4, 6), "ctx24": (2, 4), "ctx34": (3, 4)}
 
@@ -32,7 +35,7 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, files: DataFrame, repo_meta: DataFrame | None = None, advisories: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, files: DataFrame, repo_meta: DataFrame | None = None, advisories: DataFrame | None = None, lookup: Lookup = Lookup()):
         self.spark = spark
         if "content" in files.columns:
             files = with_text(files)
@@ -46,7 +49,7 @@ class Corpus:
             "path", F.lower("path").alias("lpath"), "name", F.lower("name").alias("lname"), suffix_of(F.col("name")).alias("suffix"), "mode", "text", "text_lossy"
         )
         self.repo_meta = repo_meta
-        self.advisories = advisories
+        self.advisories, self.lookup = advisories, lookup
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -57,15 +60,17 @@ class Corpus:
     def lossy_lines(self) -> DataFrame:
         return self._lines("text_lossy")
 
-    def flagged_lines(self, flags: dict[str, str], keep: str | None = None, contexts: tuple[str, ...] = (*CONTEXTS, "ctx11")) -> DataFrame:
-        """lines of the files where ``keep`` holds, with boolean columns that are computed once for each file, and the contexts named.
+    def flagged_lines(self, flags: dict[str, str], keep: str | None = None, contexts: dict[str, str] | None = None) -> DataFrame:
+        """lines of the files where ``keep`` holds, with boolean columns that are computed once for each file.
 
-        flags and keep may use ltext, the lower-case text.
+        flags and keep may use ltext, the lower-case text. contexts names the contexts wanted and
+        says of which files (a condition on the flags): null elsewhere.
         """
         return self._lines("text", flags, keep, contexts)
 
-    def _lines(self, column: str, flags: dict[str, str] | None = None, keep: str | None = None, contexts: tuple[str, ...] = (*CONTEXTS, "ctx11")) -> DataFrame:
+    def _lines(self, column: str, flags: dict[str, str] | None = None, keep: str | None = None, contexts: dict[str, str] | None = None) -> DataFrame:
         flags = flags or {}
+        contexts = dict.fromkeys((*CONTEXTS, "ctx11"), "true") if contexts is None else contexts
         base = self.files.where(F.col(column).isNotNull())
         if flags or keep:
             # an outer explode of one struct: what is judged once for each file isn't moved into conditions below or above
@@ -74,13 +79,13 @@ class Corpus:
             base = base.where("__f.__keep").select(*self.files.columns, *[F.col(f"__f.{n}").alias(n) for n in flags])
         # a line end at the very end ends the last line
         arr = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(column, f"(?:{LINE_END})\\z", ""), LINE_END))
-        base = base.withColumn("ls", arr).withColumn("ss", F.transform("ls", lambda x: F.regexp_replace(x, STRIP, "")))
+        base = base.withColumn("ls", arr).withColumn("ss", F.transform("ls", lambda x: F.btrim(x, F.lit(SPACE))))
 
         def line(raw, i):
             ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), i + 1 - a), F.least(i + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items() if n in contexts}
             if "ctx11" in contexts:
                 ctx["ctx11"] = F.concat_ws(" ", *[F.coalesce(F.get("ss", i + k), F.lit("")) for k in (-1, 0, 1)])
-            return F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), F.get("ss", i).alias("s"), *[c.alias(n) for n, c in ctx.items()])
+            return F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), F.get("ss", i).alias("s"), *[F.when(F.expr(contexts[n]), c).alias(n) for n, c in ctx.items()])
 
         # each line is a struct with its contexts before lines are told apart, so no row carries the file's array of lines
         files = ["path", "lpath", "name", "lname", "suffix", "text", "text_lossy"]

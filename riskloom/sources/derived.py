@@ -3,7 +3,12 @@
 Every document becomes one file: its whole text followed by a snippet. Path and snippet
 follow from doc_id, so the same tree can be built by any engine. Characters outside
 ASCII are folded to 'e' in the file's text, because engines differ on word boundaries
-next to them. Package manifests hold their snippet only, as their format allows no prose.
+next to them. In source files the text stands in comments, so that they can be parsed; in
+package manifests it is the description (with a space for what would need an escape), or
+left out where the snippet is no object.
+
+EXPECTED says, for rules that need syntax trees or state, which findings the snippets
+give: worked out by hand from the rules, so that the oracle has them without a parser.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.dialect import DUCK, SPARK
 from riskloom.sources.corpus import CONTEXTS, Corpus
+from riskloom.sources.manifests import JS_IMPORT
 
 #: path with {id}, then the snippets that such files get in turn
 TREE: list[tuple[str, list[str]]] = [
@@ -21,6 +27,8 @@ TREE: list[tuple[str, list[str]]] = [
         "def encrypt_it(x):\n    pass", "token = random.random()", 'logger.info("password %s", p)', 'logger.info("password ***")', "def revoke(user):\n    pass", "return jsonify(str(e))", "print(request.headers)",
         'raise E("invalid token")', 't = token\nrequests.post("https://c.example", t)', 'if platform == "x": eval(p)', 'if "qemu" in name: exit()', '@app.get("/admin")\ndef h():\n    return 1',
         '@login_required\n@app.get("/admin")', '@app.get("/orders/{order_id}")\ndef h(order_id): ...', '@app.get("/metrics")', "session_cookie_secure = False", "load_plugin(plugin_url)", "app.debug = True",
+        "import pickle\npickle.loads(input())", "import yaml\nyaml.load(stream)", "name = input()\nopen(name)", 'import requests\nrequests.get(request.args["u"])', "render_template_string(input())", "eval(input())",
+        "import ast\nast.literal_eval(input())", 'q = "SELECT " + input()\ncur.execute(q)', "cur.execute(input())", "import subprocess\nsubprocess.run([input()])", "import os\ndef run(c):\n    os.system(c)\nrun(input())", "import yaml\nyaml.load(input(), Loader=yaml.SafeLoader)",
     ]),
     ("web/page{id}.js", [
         'db.query("SELECT * FROM t WHERE n=" + req.query.n)', "db.query(req.body.q)", "el.innerHTML = location.hash", "eval(atob(x))", "String.fromCharCode(1)", 'const {exec} = require("child_process"); exec(req.query.c)',
@@ -44,6 +52,30 @@ TREE: list[tuple[str, list[str]]] = [
     ("lock{id}/poetry.lock", ['[[package]]\nname = "django"\nlicense = "GPL-2.0"', '[[package]]\nname = "flask"\nlicense = "Apache-2.0"', '[[package]]\nname = "numpy"\nlicense = "CC-BY-NC-4.0"', '[[package]]\nlicense = "MIT"']),
     ("keys{id}/id_rsa", ["x"]),
 ]
+#: (suffix, snippet, rule, severity, line in the snippet) of the findings of A-1 to A-8 that need a syntax tree or state
+EXPECTED = [
+    (".py", "q = request.args\nos.system(q)", "A-1", "High", 2),
+    (".py", "import subprocess\nsubprocess.run([input()])", "A-1", "Medium", 2),
+    (".py", "import os\ndef run(c):\n    os.system(c)\nrun(input())", "A-1", "High", 4),
+    (".js", 'const {exec} = require("child_process"); exec(req.query.c)', "A-1", "High", 1),
+    (".sh", "eval $1", "A-1", "High", 1),
+    (".sh", "read x\nsh -c $x", "A-1", "High", 2),
+    (".py", 'q = "SELECT " + input()\ncur.execute(q)', "A-2", "High", 2),
+    (".py", "cur.execute(input())", "A-2", "Medium", 1),
+    (".py", "import pickle\npickle.loads(input())", "A-3", "High", 2),
+    (".py", "import yaml\nyaml.load(stream)", "A-3", "Medium", 2),
+    (".py", "name = input()\nopen(name)", "A-4", "High", 2),
+    (".py", 'import requests\nrequests.get(request.args["u"])', "A-5", "High", 2),
+    (".py", "render_template_string(input())", "A-6", "High", 1),
+    (".py", "render_template_string(input())", "A-7", "High", 1),
+    (".py", "eval(input())", "A-8", "High", 1),
+    (".py", "import ast\nast.literal_eval(input())", "A-8", "Medium", 2),
+]
+#: (snippet, module) of what the Python snippets import
+IMPORTED = [(x, m) for x, m in (
+    ("import pickle\npickle.loads(input())", "pickle"), ("import yaml\nyaml.load(stream)", "yaml"), ('import requests\nrequests.get(request.args["u"])', "requests"), ("import ast\nast.literal_eval(input())", "ast"),
+    ("import subprocess\nsubprocess.run([input()])", "subprocess"), ("import os\ndef run(c):\n    os.system(c)\nrun(input())", "os"), ("import yaml\nyaml.load(input(), Loader=yaml.SafeLoader)", "yaml"),
+)]
 #: permission bits of file doc_id, in turn
 MODES = (0o644, 0o600, 0o660, 0o646)
 
@@ -51,13 +83,17 @@ MODES = (0o644, 0o600, 0o660, 0o646)
 def tree_sql(d) -> str:
     """Select (path, text, mode) from documents and two fixed lists of path kinds and snippets."""
     turn = f"(doc_id // {len(TREE)})" if d is DUCK else f"(doc_id div {len(TREE)})"
-    folded = d.sub("coalesce(text, '')", r"[^\x00-\x7F]", "e")
-    kinds = ", ".join(f"({i}, {d.lit(p.split('{id}')[0])}, {d.lit(p.split('{id}')[1])}, {len(snips)}, {str(p.endswith('.json')).lower()})" for i, (p, snips) in enumerate(TREE))
+    folded = d.sub(d.sub("coalesce(text, '')", r"[^\x00-\x7F]", "e"), r"\r\n?|[\x0b\x0c\x1c-\x1e]", "\n")
+    plain = d.sub(folded, r'[\x00-\x1f"\\]', " ")
+    line = d.lit("\n")
+    leads = {".py": "# ", ".sh": "# ", ".js": "// "}
+    kinds = ", ".join(f"({i}, {d.lit(p.split('{id}')[0])}, {d.lit(p.split('{id}')[1])}, {len(snips)}, {str(p.endswith('.json')).lower()}, {d.lit(leads.get(p[p.rfind('.') :], ''))})" for i, (p, snips) in enumerate(TREE))
     snips = ", ".join(f"({i}, {j}, {d.lit(x)})" for i, (_, xs) in enumerate(TREE) for j, x in enumerate(xs))
     mode = "CASE " + f"{turn} % {len(MODES)} " + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(MODES)) + " END"
     hint = "/*+ BROADCAST(t), BROADCAST(s) */ " if d is SPARK else ""
-    return f"""SELECT {hint}concat(head, CAST(doc_id AS VARCHAR(20)), tail) AS path, CASE WHEN bare THEN snip ELSE concat({folded}, {d.lit(chr(10))}, snip) END AS text, CAST({mode} AS INT) AS mode
-  FROM documents JOIN (SELECT * FROM (VALUES {kinds}) v(kind, head, tail, turns, bare)) t ON t.kind = doc_id % {len(TREE)}
+    return f"""SELECT {hint}concat(head, CAST(doc_id AS VARCHAR(20)), tail) AS path, CASE WHEN bare AND snip LIKE '{{"%' THEN concat('{{"description": "', {plain}, '", ', substr(snip, 2)) WHEN bare THEN snip
+    WHEN lead <> '' THEN concat(lead, replace({folded}, {line}, concat({line}, lead)), {line}, snip) ELSE concat({folded}, {line}, snip) END AS text, CAST({mode} AS INT) AS mode
+  FROM documents JOIN (SELECT * FROM (VALUES {kinds}) v(kind, head, tail, turns, bare, lead)) t ON t.kind = doc_id % {len(TREE)}
   JOIN (SELECT * FROM (VALUES {snips}) v(of_kind, at_turn, snip)) s ON s.of_kind = t.kind AND s.at_turn = {turn} % t.turns"""
 
 
@@ -76,11 +112,14 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 #: Advisories that the derived tree's pinned dependencies meet.
-ADVISORIES = [("python", "a", "1.0", "X-1", 9.1), ("python", "django", "2.2", "X-2", 7.5), ("python", "numpy", "1", "X-3", None), ("node", "d", "1.2.3", "X-4", 4.0), ("node", "react", "16.0.0", "X-5", 0.1)]
+ADVISORIES = [
+    ("python", "a", "1.0", "X-1", 9.1, "osv"), ("python", "a", "1.0", "X-1", 2.0, "github"), ("python", "django", "2.2", "X-2", 7.5, "github"), ("python", "django", "2.2", "X-6", 3.0, "osv"), ("python", "numpy", "1", "X-3", None, "nvd"),
+    ("node", "d", "1.2.3", "X-4", 4.0, "osv"), ("node", "d", "1.2.3", "X-4", 9.9, "nvd"), ("node", "react", "16.0.0", "X-5", 0.1, "osv"), ("node", "react", "16.0.0", "X-7", 9.0, "elsewhere"),
+]
 
 
 def advisories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ADVISORIES, "ecosystem string, name string, version string, vuln_id string, severity_score double")
+    return spark.createDataFrame(ADVISORIES, "ecosystem string, name string, version string, vuln_id string, severity_score double, source string")
 
 
 def duck_prefix() -> str:
@@ -88,8 +127,10 @@ def duck_prefix() -> str:
     ctx = ", ".join(f"string_agg(raw, chr(10)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS {n}" for n, (a, b) in CONTEXTS.items())
     split = "string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]')"
     op = r"\s*(===?|~=|!=|<=|>=|<|>|@|\^|~)\s*"
-    rows = ", ".join(f"('{e}', '{n}', '{v}', '{i}', {'NULL' if s is None else s})" for e, n, v, i, s in ADVISORIES)
+    rows = ", ".join(f"('{e}', '{n}', '{v}', '{i}', {'NULL' if s is None else s}, '{p}')" for e, n, v, i, s, p in ADVISORIES)
     sections = " UNION ALL ".join(f"SELECT path, unnest(json_keys(j, '$.{s}')) AS k, '{s}' AS sec FROM pj WHERE json_type(j, '$.{s}') = 'OBJECT'" for s in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies"))
+    imported = ", ".join(f"({DUCK.lit(x)}, '{m}')" for x, m in IMPORTED)
+    expected = ", ".join(f"('{x}', {DUCK.lit(snip)}, '{r}', '{v}', {at})" for x, snip, r, v, at in EXPECTED)
     return f"""WITH tree AS ({tree_sql(DUCK)}
 ), files AS (
   SELECT path, lower(path) AS lpath, string_split(path, '/')[-1] AS name, lower(string_split(path, '/')[-1]) AS lname,
@@ -123,7 +164,15 @@ def duck_prefix() -> str:
 ), dep_licenses AS (
   SELECT p AS package, regexp_extract(s, '^license\\s*=\\s*"([^"]*)"', 1) AS license_expr, path AS file_path, line, path || '/' || line AS ord FROM named
   WHERE regexp_matches(s, '^license\\s*=\\s*"[^"]+"\\s*$') AND p IS NOT NULL
-), advisories AS (SELECT * FROM (VALUES {rows}) v(ecosystem, name, version, vuln_id, severity_score)
+), imports AS (
+  SELECT DISTINCT 'node' AS ecosystem, replace(lower(CASE WHEN n LIKE '@%' THEN array_to_string(string_split(n, '/')[1:2], '/') ELSE string_split(n, '/')[1] END), '_', '-') AS name
+  FROM (SELECT unnest(regexp_extract_all(text, {DUCK.lit(JS_IMPORT)}, 1)) AS n FROM files WHERE regexp_matches(name, '\\.(?:js|jsx|ts|tsx|mjs|cjs)$')) WHERE n NOT LIKE '.%'
+  UNION SELECT DISTINCT 'python', module FROM files JOIN (VALUES {imported}) v(snip, module) ON ends_with(text, concat(chr(10), snip)) WHERE suffix = '.py'
+), expected AS (
+  SELECT v.rule_id, v.severity, path AS file_path, length(text) - length(replace(text, chr(10), '')) + 1 - (length(snip) - length(replace(snip, chr(10), '')) + 1) + v.nth AS line
+  FROM files JOIN (VALUES {expected}) v(suffix, snip, rule_id, severity, nth) ON files.suffix = v.suffix AND ends_with(text, concat(chr(10), snip))
+), advisories AS (SELECT *, '' AS summary, CAST([] AS VARCHAR[]) AS refs FROM (VALUES {rows}) v(ecosystem, name, version, vuln_id, severity_score, source) WHERE list_contains(['osv', 'github', 'nvd'], source)
+  QUALIFY row_number() OVER (PARTITION BY ecosystem, name, version, vuln_id ORDER BY list_position(['osv', 'github', 'nvd'], source)) = 1
 ), repo_meta AS ({META_SQL.replace('epoch_of', 'epoch')}
 )
 """

@@ -9,7 +9,7 @@ from riskloom.sources.corpus import Corpus
 
 _OPERATOR = r"\s*(===?|~=|!=|<=|>=|<|>|@|\^|~)\s*"
 SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
-_JS_IMPORT = r"(?:import\s+.*?\s+from\s+|require\()\s*['\"](@?[a-zA-Z0-9_.\-/]+)['\"]"
+JS_IMPORT = r"(?:import\s+.*?\s+from\s+|require\()\s*['\"](@?[a-zA-Z0-9_.\-/]+)['\"]"
 
 
 def normalize(name):
@@ -59,7 +59,7 @@ def deps(c: Corpus) -> DataFrame:
 def imports(c: Corpus, py_imports: DataFrame) -> DataFrame:
     """(ecosystem, name), distinct; py_imports(name) comes from the syntax trees."""
     js = _not_vendored(c.files.where(F.col("name").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")))
-    js = js.select(F.explode(F.regexp_extract_all("text", F.lit(_JS_IMPORT), F.lit(1))).alias("n")).where(~F.col("n").startswith("."))
+    js = js.select(F.explode(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(1))).alias("n")).where(~F.col("n").startswith("."))
     parts = F.when(F.col("n").startswith("@"), F.substring_index("n", "/", 2)).otherwise(F.substring_index("n", "/", 1))
     return py_imports.select(F.lit("python").alias("ecosystem"), F.lower("name").alias("name")).union(js.select(F.lit("node"), F.lower(normalize(parts)))).distinct()
 

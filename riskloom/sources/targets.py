@@ -6,6 +6,8 @@ Fetching runs on the driver, before Spark reads anything.
 from __future__ import annotations
 
 import os
+import time
+import json
 import re
 import shutil
 import subprocess
@@ -71,12 +73,12 @@ def settings(env: Mapping[str, str] = os.environ, url: str | None = None, ref: s
 
 
 def repository(url: str) -> tuple[str, str]:
-    """(owner, repository) of an https://github.com address without credentials or port."""
+    """(owner, repository) of an https://github.com address without credentials or port; what follows these two (a branch, a query) is not looked at."""
     parts = urlsplit(url.strip())
-    if parts.scheme != "https" or parts.hostname != "github.com" or "@" in parts.netloc or ":" in parts.netloc or parts.query or parts.fragment:
+    if parts.scheme != "https" or parts.hostname != "github.com" or "@" in parts.netloc or ":" in parts.netloc:
         raise BadTarget(f"not a repository address: {url}")
     names = [p for p in parts.path.split("/") if p]
-    if len(names) != 2:
+    if len(names) < 2:
         raise BadTarget(f"not a repository address: {url}")
     owner, repo = names[0], names[1].removesuffix(".git")
     if not _OWNER.fullmatch(owner) or not _REPO.fullmatch(repo) or repo in (".", ".."):
@@ -84,10 +86,35 @@ def repository(url: str) -> tuple[str, str]:
     return owner, repo
 
 
+def retried(call: Callable, times: int = 2, sleep: Callable[[float], None] = time.sleep):
+    """The result of call(), tried again up to ``times`` times after a network error, with growing pauses of at most two seconds."""
+    for attempt in range(times + 1):
+        try:
+            return call()
+        except OSError:  # what urllib raises, time-outs included
+            if attempt == times:
+                raise
+            sleep(min(0.5 * 2**attempt, 2.0))
+
+
+def archived(owner: str, repo: str, env: Mapping[str, str] = os.environ, opener: Callable = urllib.request.urlopen) -> bool | None:
+    """Whether the hosting service calls a repository archived; None when it can't be asked."""
+    headers = {"Accept": "application/vnd.github+json"}
+    if token := env.get("GITHUB_TOKEN") or env.get("GH_TOKEN"):
+        headers["Authorization"] = f"Bearer {token}"
+    request = urllib.request.Request(f"https://api.github.com/repos/{owner}/{repo}", headers=headers)
+    try:
+        with opener(request, timeout=5) as answer:
+            value = json.loads(answer.read().decode("utf-8", "ignore")).get("archived")
+    except (OSError, ValueError, AttributeError):
+        return None
+    return value if isinstance(value, bool) else None
+
+
 def download(url: str, to: str, timeout_s: int, max_bytes: int, opener: Callable = urllib.request.urlopen) -> str:
     """Copies url to a file, at most max_bytes."""
     done = 0
-    with opener(url, timeout=timeout_s) as src, open(to, "wb") as dst:
+    with retried(lambda: opener(url, timeout=timeout_s)) as src, open(to, "wb") as dst:
         while chunk := src.read(CHUNK):
             done += len(chunk)
             if done > max_bytes:
@@ -119,8 +146,19 @@ def _git(path: str, *args: str) -> str | None:
     return done.stdout.strip() if done.returncode == 0 else None
 
 
-def git_metadata(path: str, now_ts: int) -> dict:
+#: Fixed value: how a remote names its repository.
+_REMOTE = re.compile(r"github\.com[:/](?P<owner>[A-Za-z0-9_.-]+)/(?P<repo>[A-Za-z0-9_.-]+?)(?:\.git)?$", re.IGNORECASE)
+
+
+def git_remote(path: str) -> tuple[str, str] | None:
+    """(owner, repository) of the remote named origin."""
+    found = _REMOTE.search(_git(path, "remote", "get-url", "origin") or "")
+    return (found["owner"], found["repo"]) if found else None
+
+
+def git_metadata(path: str, now_ts: int, ask: Callable[[str, str], bool | None] = archived) -> dict:
     """One row of repo_meta for a checked-out repository; what is unknown is None."""
+    remote = git_remote(path)
     commit = _git(path, "log", "-1", "--format=%ct")
     authors = _git(path, "shortlog", "-sne", "--all")
     tags = _git(path, "for-each-ref", "--sort=-creatordate", "--format=%(creatordate:unix)", "refs/tags") or ""
@@ -129,6 +167,6 @@ def git_metadata(path: str, now_ts: int) -> dict:
         "last_commit_ts": int(commit) if commit and commit.isdigit() else None,
         "author_count": len([a for a in authors.splitlines() if a.strip()]) if authors else None,
         "last_tag_ts": times[0] if times else None,
-        "archived": None,
+        "archived": ask(*remote) if remote else None,
         "now_ts": now_ts,
     }

@@ -205,3 +205,56 @@ def test_error_isolation_and_extension(spark):
         assert [(r["rule_id"], r["file_path"]) for r in findings.collect()] == [("X-2", "a.txt")]
     finally:
         engine.EXTRA.clear()
+
+
+# ---------------------------------------------------------------- advisories and messages
+
+
+def test_providers_in_order(spark):
+    from riskloom.sources.advisories import SCHEMA, Lookup, lookup, ranked
+
+    rows = [
+        ("python", "a", "1.0", "X", 2.0, "nvd", "late", None), ("Python", "A", "1.0", "X", 9.5, "OSV", "first", ["http://r1", "http://r2", "http://r3"]), ("python", "a", "1.0", "Y", 5.0, "github", None, None),
+        ("python", "b", "2", "Z", None, "github", None, None), ("python", "a", "1.0", "W", 9.0, "elsewhere", None, None),
+    ]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r["name"], r["vuln_id"], r["source"]) for r in ranked(table).collect()) == [("a", "X", "osv"), ("a", "Y", "github"), ("b", "Z", "github")]
+    assert sorted((r["name"], r["vuln_id"]) for r in ranked(table, Lookup(fallback=False)).collect()) == [("a", "X"), ("b", "Z")]
+    assert sorted(r["vuln_id"] for r in ranked(table, Lookup(("nvd", "elsewhere"))).collect()) == ["W", "X"]
+    assert lookup({"VULN_PROVIDER_ORDER": " NVD, osv", "VULN_ENABLE_FALLBACK": "False"}) == Lookup(("nvd", "osv"), False)
+    c = Corpus(spark, spark.createDataFrame([("requirements.txt", "a==1.0\nc>=2")], "path string, text string"), advisories=table)
+    got = {r["message"]: r["severity"] for r in engine.rule_findings(c, "B-1").collect()}
+    assert got == {
+        "a ==1.0 may have a known vulnerability [osv:X] first refs: http://r1, http://r2": "Critical", "a ==1.0 may have a known vulnerability [github:Y] ": "Medium",
+        "c may have known vulnerabilities, but its version is not pinned (>=2)": "Medium",
+    }
+    assert [r["message"] for r in engine.rule_findings(c, "B-2").collect()] == ["c is not pinned to one version (>=2)"]
+
+
+def test_versions_of_many_parts(spark):
+    req = [("requirements.txt", "django==3.1.9.9.9\ndjango==3.2.0.0.0.1\nflask==2\nflask==2.0\nreact==16.99.1.2.3")]
+    assert _rows(spark, req, "B-4") == [("requirements.txt", 1, "Medium"), ("requirements.txt", 3, "Medium"), ("requirements.txt", 5, "Medium")]
+
+
+# ---------------------------------------------------------------- literals before patterns
+
+
+def test_literals_are_needed():
+    import re
+
+    from riskloom.functions.literals import needed, needed_by_any
+    from riskloom.operators.line_rules import LINE_RULES
+
+    assert needed(r"(?i)\b(?:curl|wget)\b[^\n]*\|\s*(?:sh|bash)\b") == {"curl", "wget"}
+    assert needed(r"(?:ab)?c+\d") is None and needed("a bcd") == {"bcd"} and needed(r"(?i)[Ss]x(?:yz){2}") == {"yz"}
+    assert needed_by_any(["abc", "xabcx"]) == {"abc"} and needed_by_any(["abc", "."]) is None
+    assert sum(r.literals() is not None for r in LINE_RULES.values()) >= 36
+    for text in ("CURL https://x | sh", "wget y|bash"):
+        assert any(x in text.lower() for x in needed(r"(?i)\b(?:curl|wget)\b[^\n]*\|\s*(?:sh|bash)\b")) and re.search(r"(?i)\b(?:curl|wget)\b", text)
+
+
+def test_all_rules_run_once_together(spark, monkeypatch):
+    c = Corpus(spark, spark.createDataFrame([("a.py", "import os\nos.system(input())\nx = md5(y)\n")], "path string, text string"))
+    monkeypatch.setattr(engine, "rule_findings", lambda *a: pytest.fail("rules ran one by one"))
+    findings, errors = engine.run_rules(c)
+    assert errors == [] and {"A-1", "H-3", "K-1"} <= {r["rule_id"] for r in findings.collect()}

@@ -56,7 +56,8 @@ def test_unsafe_archives(entries, limits):
 def test_repository_addresses():
     assert targets.repository("https://github.com/a/b") == ("a", "b")
     assert targets.repository("https://github.com/a/b.git") == ("a", "b")
-    for bad in ("http://github.com/a/b", "https://x.com/a/b", "https://u@github.com/a/b", "https://github.com:1/a/b", "https://github.com/a", "https://github.com/a/b/c", "https://github.com/a/..", "git@github.com:a/b", ""):
+    assert targets.repository("https://github.com/a/b/tree/main/c?x=1#y") == ("a", "b")
+    for bad in ("http://github.com/a/b", "https://x.com/a/b", "https://u@github.com/a/b", "https://github.com:1/a/b", "https://github.com/a", "https://github.com/a/..", "git@github.com:a/b", ""):
         with pytest.raises(targets.BadTarget):
             targets.repository(bad)
 
@@ -110,3 +111,47 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["rule_id"] for r in spark.sql("SELECT rule_id FROM found").collect()] == ["H-2"]
+
+
+def test_remote_and_archived(tmp_path):
+    import io
+    import subprocess
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True)
+
+    git("init")
+    assert targets.git_metadata(str(tmp_path), 5, ask=lambda o, r: True)["archived"] is None  # no remote, nobody is asked
+    git("remote", "add", "origin", "git@github.com:acme/tool.git")
+    asked = []
+    assert targets.git_metadata(str(tmp_path), 5, ask=lambda o, r: asked.append((o, r)) or True)["archived"] is True and asked == [("acme", "tool")]
+
+    def opener(body):
+        def run(request, timeout):
+            asked.append((request.full_url, request.headers.get("Authorization")))
+            return io.BytesIO(body)
+
+        return run
+
+    assert targets.archived("a", "b", {"GH_TOKEN": "t"}, opener(b'{"archived": true}')) is True and asked[-1] == ("https://api.github.com/repos/a/b", "Bearer t")
+    assert targets.archived("a", "b", {}, opener(b'{"archived": "no"}')) is None and targets.archived("a", "b", {}, opener(b"no json")) is None
+
+    def broken(request, timeout):
+        raise OSError
+
+    assert targets.archived("a", "b", {}, broken) is None
+
+
+def test_retries():
+    pauses, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert targets.retried(call, 2, pauses.append) == "ok" and pauses == [0.5, 1.0]
+    calls.clear()
+    with pytest.raises(OSError):
+        targets.retried(call, 1, pauses.append)
