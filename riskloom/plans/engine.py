@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,12 @@ def relations(c: Corpus, names: set[str]) -> dict[str, DataFrame]:
         "repo_meta": lambda: c.repo_meta if c.repo_meta is not None else c.spark.createDataFrame([], "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"),
         "advisories": lambda: advisories.ranked(c.advisories if c.advisories is not None else c.spark.createDataFrame([], advisories.SCHEMA), c.lookup),
     }
-    return {n: make[n]() for n in names}
+    if c.kept is None:
+        return {n: make[n]() for n in names}
+    for n in names & {"deps", "dep_licenses", "project_licenses", "imports", "repo_meta"}:
+        if n not in c.kept:
+            c.kept[n] = make[n]().persist(StorageLevel.MEMORY_AND_DISK)
+    return {n: c.kept[n] if n in c.kept else make[n]() for n in names}
 
 
 _NAMES = ("files", "lines", "lossy_lines", "deps", "dep_licenses", "project_licenses", "imports", "repo_meta", "advisories")
@@ -135,7 +141,8 @@ def line_findings(c: Corpus) -> DataFrame:
 
 
 def all_findings(c: Corpus) -> DataFrame:
-    """Findings of every rule."""
+    """Findings of every rule; what several rules read is derived once."""
+    c = c.shared()
     parts = [line_findings(c)]
     parts += [_finish(run_sql(c, r.sql(SPARK)), r.rule_id) for r in RELATIONAL_RULES.values()]
     parts.append(taint.all_findings(c))

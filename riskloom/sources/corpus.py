@@ -7,8 +7,10 @@ from the file row, contexts are slices of the file's own line array.
 
 from __future__ import annotations
 
+import copy
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ class Corpus:
         )
         self.repo_meta = repo_meta
         self.advisories, self.lookup = advisories, lookup
+        self.kept: dict[str, DataFrame] | None = None  # relations that queries share
+
+    def shared(self) -> Corpus:
+        """This corpus for many queries at once: files are kept in memory or on disk once read, and derived again where an executor is lost."""
+        out = copy.copy(self)
+        out.files = self.files.persist(StorageLevel.MEMORY_AND_DISK)
+        out.kept = {}
+        for name in ("lines", "lossy_lines"):
+            out.__dict__.pop(name, None)
+        return out
 
     @cached_property
     def lines(self) -> DataFrame:
