@@ -31,9 +31,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    own = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return spark.conf.get("spark.checkpoint.dir", None) or own
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all run in one process."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not given and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return given or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
