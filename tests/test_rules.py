@@ -258,3 +258,38 @@ def test_all_rules_run_once_together(spark, monkeypatch):
     monkeypatch.setattr(engine, "rule_findings", lambda *a: pytest.fail("rules ran one by one"))
     findings, errors = engine.run_rules(c)
     assert errors == [] and {"A-1", "H-3", "K-1"} <= {r["rule_id"] for r in findings.collect()}
+
+
+@pytest.mark.parametrize("starts", ["true", "false"])
+def test_rules_find_nothing_where_their_test_fails(spark, starts):
+    """The patterns whose literals stand before a rule are needed: all else assumed found, it gives no severity."""
+    import re
+
+    from riskloom.functions.dialect import Recorder, _Spark
+    from riskloom.operators.line_rules import LINE_RULES
+
+    class Assumed(_Spark):
+        def __init__(self, missing):
+            self.missing = missing
+
+        def _rx(self, column, pattern):
+            return "false" if pattern in self.missing else "true"
+
+        def has(self, column, *tokens):
+            return "false" if all(re.escape(t) in self.missing for t in tokens) else "true"
+
+        def starts(self, column, *tokens):
+            return starts
+
+        def any(self, array, test):
+            return "false"
+
+    columns = ["s", "raw", "ctx33", "ctx46", "ctx24", "ctx34", "ctx11", "path", "lpath", "name", "lname", "suffix", "text", "text_lossy"]
+    for rule in LINE_RULES.values():
+        if rule.times or rule.literals() is None:
+            continue
+        recorder = Recorder()
+        getattr(rule.rows, "test", rule.rows)(recorder)
+        dummy = ", ".join([*(f"'' AS {c}" for c in columns), *(f"true AS {f}" for f in rule.flags)])
+        for row in rule.rows(Assumed(set(recorder.patterns))):
+            assert spark.sql(f"SELECT {row} AS severity FROM (SELECT {dummy})").first()["severity"] is None, rule.rule_id
