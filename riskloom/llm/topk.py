@@ -33,6 +33,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def matrix(vectors: pa.Array, dims: int, scale: float) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
-    size = np.asarray(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False), np.int64)
+    size = np.asarray(pc.list_value_length(vectors).to_numpy(zero_copy_only=False), np.int64)
     out = np.zeros((len(size), dims))
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.floor(scale * flat)

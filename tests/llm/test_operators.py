@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import common, jaccard, linededup, media, mixing, packing, pii, quality, suffixdedup, topk, toxicity, webp
+from riskloom.llm import common, jaccard, linededup, media, mixing, packing, pii, quality, suffixdedup, toxicity, webp
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, "a"), (4, "x " * 30_000), (5, "same text"), (5, "same text"), (6, "é 漢字 \U0001f600"), (None, "no id")]
@@ -442,9 +442,6 @@ def test_mixing_edges(spark):
     assert out.count() == len(ODD) and out.columns.count("mix_block") == 1
 
 
-# ---------------------------------------------------------------- 9 top-k
-
-
 # ---------------------------------------------------------------- 10 line dedup
 
 
