@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import jaccard, linededup, media, mixing, packing, pii, quality, runs, suffixdedup, topk, toxicity
+from riskloom.llm import fuzzyhash, jaccard, linededup, media, mixing, packing, pii, quality, runs, suffixdedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_line_dedup": linededup.op10_line_dedup,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_fuzzy_fingerprint": fuzzyhash.op12_fuzzy_fingerprint,
     }
 
 
