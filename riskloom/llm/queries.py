@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import fuzzyhash, jaccard, linededup, media, mixing, packing, pii, quality, runs, suffixdedup, topk, toxicity
+from riskloom.llm import fuzzyhash, jaccard, lexsearch, linededup, media, mixing, packing, pii, quality, runs, suffixdedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_line_dedup": linededup.op10_line_dedup,
         "op11_periodic_runs": runs.op11_periodic_runs,
         "op12_fuzzy_fingerprint": fuzzyhash.op12_fuzzy_fingerprint,
+        "op13_lexical_search": lexsearch.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": jaccard.OP3_SQL, "op9_exact_topk": topk.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL}
+    return {"op3_ngram_jaccard": jaccard.OP3_SQL, "op9_exact_topk": topk.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL, "op13_lexical_search": lexsearch.OP13_SQL}
