@@ -38,6 +38,10 @@ _OTHER = r"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])|[0-9]{3}-[0-9]{2}-[
 _UP_TO_15 = r"\+" + r"[ .()-]{0,3}[0-9]" * 8 + r"(?:[ .()-]{0,3}[0-9]" * 7 + ")?" * 7
 _GROUP = r"(?!" + _OTHER + r")[0-9]++(?:-[0-9]++)*+(?![\w-])"
 
+#: A last domain label, and a label that can't be one.
+_TOP = r"[A-Za-z]{2,20}(?![A-Za-z0-9-])"
+_LABEL = r"(?!" + _TOP + r")[A-Za-z0-9-]++"
+
 #: Country calling codes of one and of two digits; every other code has three (the numbering plan of ITU E.164).
 COUNTRY_CODES_1 = ("1", "7")
 COUNTRY_CODES_2 = (
@@ -62,7 +66,8 @@ def _national_ibans() -> str:
 
 
 _PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,20})",
+    # as many labels as end in one that may be last; possessive, as backing off over a group takes stack for each label
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:(?:\." + _LABEL + r")*+\." + _TOP + r")++",
     "secret": r"(?<=(?i:token|secret|key|password)[ ]{0,2}[=:][ ]{0,2}[\"'])[0-9a-fA-F]{16,}+(?=[\"'])",
     "iban": _national_ibans() + r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w.])(?<![0-9][-/])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\w)(?![-/.][0-9])",
@@ -179,15 +184,20 @@ def _cards(m: Column, key: str) -> Column:
         return _let(F.transform(found, lambda ts: F.exists(ts, lambda t: t.rlike(_PRINTED))), pick)
 
     def fill(cards):
-        def step(s, x):
-            hit = (s["left"] == 0) & x["card"].isNotNull()
-            text = F.when(s["left"] > 0, F.lit("")).when(hit, F.concat(F.regexp_extract(x["group"], "^[ -]?", 0), _card(x["card"], key))).otherwise(x["group"])
-            left = F.when(hit, F.size(F.split(x["card"], "[ -]")) - 1).otherwise(F.greatest(s["left"] - 1, F.lit(0)))
-            return F.struct(F.concat(s["t"], text).alias("t"), left.alias("left"), (s["n"] + F.when(hit, 1).otherwise(0)).alias("n"))
-
-        each = F.zip_with(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cards, lambda g, c: F.struct(g.alias("group"), c.alias("card")))
-        done = F.aggregate(each, F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("n")), step)
-        return _let(done, lambda s: F.struct(F.when(s["n"] > 0, s["t"]).alias("new"), s["n"].alias("n")))
+        # of each group one letter: a card begins (1), goes on (2), or there is none (0); no long text is carried along
+        def step(s, card):
+            hit = (s["left"] == 0) & card.isNotNull()
+            left = F.when(hit, F.size(F.split(card, "[ -]")) - 1).otherwise(F.greatest(s["left"] - 1, F.lit(0)))
+            return F.struct(F.concat(s["f"], F.when(hit, F.lit("1")).when(s["left"] > 0, F.lit("2")).otherwise(F.lit("0"))).alias("f"), left.alias("left"))
+
+        def text(flags):
+            each = F.arrays_zip(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)).alias("group"), cards.alias("card"), flags.alias("flag"))
+            parts = F.transform(each, lambda x: F.when(x["flag"] == "1", F.concat(F.regexp_extract(x["group"], "^[ -]?", 0), _card(x["card"], key))).when(x["flag"] == "0", x["group"]).otherwise(F.lit("")))
+            n = F.size(F.filter(flags, lambda f: f == "1"))
+            return F.struct(F.when(n > 0, F.array_join(parts, "")).alias("new"), n.alias("n"))
+
+        state = F.aggregate(cards, F.struct(F.lit("").alias("f"), F.lit(0).alias("left")), step)
+        return _let(F.split(state["f"], ""), text)
 
     every = F.transform(F.arrays_zip(*[x.alias(f"s{i}") for i, x in enumerate(spans)]), lambda z: F.filter(F.array(*[z[f"s{i}"] for i in range(len(spans))]), valid))
     return _let(_let(every, best), fill)

@@ -96,3 +96,41 @@ def test_all_days_are_permuted(spark):
 def test_keys_differ(spark):
     df = spark.createDataFrame([(1, "4111 1111 1111 1111 and 2021-03-04")], DOCS)
     assert pii.pseudonymize(df, "a").first()["text"] != pii.pseudonymize(df, "b").first()["text"]
+
+
+def test_long_repeats_of_every_loop(spark):
+    """No pattern takes stack for each repeat of one of its loops; addresses end at the last label that may be last."""
+    n = 20_000
+    texts = {
+        "a@" + "b." * n + "com": 1, "a@" + "b1." * n: 0, "a@b.co." + "9." * n: 1, "a." * n + "@b.com": 1, "a@" * n: 0, "a@b." * n: 0, "1" * n: 0, "1 " * n: 0, "1-" * n: 0,
+        'key="' + "a1" * n + '"': 1, "AB12" + " AB12" * n: 0, "DE12" * n: 0, "2020-01-01 " * 500: 500, "1.2.3.4." * n: 0, "1.2.3.4 " * 500: 500, "+1 234" * n: 0, "+" * n: 0, "123-45-6789-" * n: 0, " " * n + "1": 0, "(123" * n: 0,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["pii_found"], r["text"]) for r in pii.pseudonymize(df, KEY).collect()}
+    assert [got[i][0] for i in range(len(texts))] == list(texts.values())
+    assert re.fullmatch(r"u[0-9a-f]{32}@redacted\.example", got[0][1])
+    assert re.fullmatch(r"u[0-9a-f]{32}@redacted\.example\.(?:9\.)+", got[2][1])
+
+
+def test_addresses_as_before(spark):
+    """The possessive pattern finds what greedy labels with a look-behind found."""
+    old = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?![A-Za-z0-9-])")
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", "1", "-", ".", "@", "co", "uk", " "]) for _ in range(rng.randrange(4, 24))) for _ in range(500)]
+
+    def want(t):
+        out, at = [], 0
+        while m := old.search(t, at):
+            address = m[0]
+            while not re.search(r"\.[A-Za-z]{2,20}$", address.partition("@")[2]) and "." in address.partition("@")[2]:
+                address = address.rpartition(".")[0]
+            if re.search(r"\.[A-Za-z]{2,20}$", address.partition("@")[2]):
+                out.append(address)
+                at = m.start() + len(address)
+            else:
+                at = m.start() + 1
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    found = {r["doc_id"]: r["x"] for r in df.selectExpr("doc_id", f"regexp_extract_all(text, r'{pii._PATTERNS['email']}', 0) AS x").collect()}
+    assert [found[i] for i in range(len(texts))] == [want(t) for t in texts]
