@@ -8,6 +8,12 @@ independent oracle.
 from __future__ import annotations
 
 
+def number(n: int) -> str:
+    """A literal like those of Dialect.digits."""
+    text = str(n).lstrip("0")
+    return f"'{len(text):010d}{text}'"
+
+
 class Dialect:
     def lit(self, text: str) -> str:
         raise NotImplementedError
@@ -105,8 +111,11 @@ class _Spark(Dialect):
         return f"levenshtein({a}, {b})"
 
     def ints(self, text: str) -> str:
-        """The numbers of a dotted text; arrays compare part by part, a shorter one that is equal so far is smaller."""
-        return f"transform(split({text}, '[.]'), x -> CAST(x AS BIGINT))"
+        """The numbers of a dotted text as digits without leading zeros, their count before them; arrays compare part by part, a shorter one that is equal so far is smaller. No number is too long."""
+        return f"transform(split({text}, '[.]'), x -> {self.digits('x')})"
+
+    def digits(self, text: str) -> str:
+        return f"concat(lpad(CAST(length(trim(LEADING '0' FROM {text})) AS STRING), 10, '0'), trim(LEADING '0' FROM {text}))"
 
     def size(self, array: str) -> str:
         return f"size({array})"
@@ -115,7 +124,7 @@ class _Spark(Dialect):
         return f"slice({array}, 1, {n})"
 
     def int_list(self, values) -> str:
-        return f"array({', '.join(f'CAST({v} AS BIGINT)' for v in values)})"
+        return f"array({', '.join(number(v) for v in values)})"
 
 
 class _Duck(Dialect):
@@ -149,7 +158,10 @@ class _Duck(Dialect):
         return f"levenshtein({a}, {b})"
 
     def ints(self, text: str) -> str:
-        return f"list_transform(string_split({text}, '.'), lambda x: CAST(x AS BIGINT))"
+        return f"list_transform(string_split({text}, '.'), lambda x: {self.digits('x')})"
+
+    def digits(self, text: str) -> str:
+        return f"concat(lpad(CAST(length(ltrim({text}, '0')) AS VARCHAR), 10, '0'), ltrim({text}, '0'))"
 
     def size(self, array: str) -> str:
         return f"len({array})"
@@ -158,7 +170,7 @@ class _Duck(Dialect):
         return f"{array}[1:{n}]"
 
     def int_list(self, values) -> str:
-        return f"[{', '.join(f'CAST({v} AS BIGINT)' for v in values)}]"
+        return f"[{', '.join(number(v) for v in values)}]"
 
 
 SPARK, DUCK = _Spark(), _Duck()

@@ -1,9 +1,9 @@
-"""Rules over whole files, groups of lines, manifests and the corpus as a whole.
+"""Rules over whole files, groups of lines, manifests and the corpus as a whole, as SQL.
 
-Each is one SQL select of (severity, file_path, line) over the relations files, lines,
-deps, dep_licenses, project_licenses, imports, repo_meta and advisories, written
-through a dialect so that it can be rendered for a second engine too. Word lists,
-names and patterns are fixed values of the rule set.
+Each is one select of (severity, file_path, line, sometimes message) over the relations
+files, lines, deps, dep_licenses, project_licenses, imports, repo_meta and advisories. It
+states the rule relation by relation and is what an independent engine runs; what Spark
+runs is in ``plans.file_pass`` and ``plans.table_rules``, which read each file once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from riskloom.functions.dialect import Dialect
+from riskloom.functions.dialect import Dialect, number
+from riskloom.operators import rule_values as V
 from riskloom.operators.line_rules import TEXT18, WORKFLOW, ext
 
 NULLS = "CAST(NULL AS STRING) AS file_path, CAST(NULL AS BIGINT) AS line"
@@ -30,106 +31,109 @@ def _exists(cond: str) -> str:
 
 
 def _c3(d: Dialect) -> str:
-    uses = r"^\s*uses\s*:\s*([^\s#]+)"
-    t = d.sub(d.group("raw", uses), "^[\"']+|[\"']+$", "")
-    owner = f"lower({d.group(t, '^([^@/]*)')})"
+    t = d.sub(d.group("raw", V.USES), V.QUOTES, "")
+    owner = f"lower({d.group(t, V.OWNER)})"
     return f"""SELECT CASE WHEN n >= 6 THEN 'High' ELSE 'Medium' END AS severity, file_path, line FROM (
         SELECT path AS file_path, count(*) AS n, min(line) AS line FROM lines
-        WHERE {WORKFLOW(d)} AND {d.rx('raw', uses)} AND NOT {d.starts(t, './', 'docker://')} AND {owner} NOT IN ('actions', 'github')
+        WHERE {WORKFLOW(d)} AND {d.rx('raw', V.USES)} AND NOT {d.starts(t, *V.LOCAL_TARGETS)} AND NOT {d.among(owner, V.OWN_OWNERS)}
         GROUP BY path) x WHERE n >= 3"""
 
 
-_SECRETS = r"\$\{\{\s*secrets\.[A-Za-z0-9_]+\s*\}\}"
-
-
 def _c4(d: Dialect) -> str:
-    pr = r"\$\{\{\s*github\.event\.pull_request\.(?:head\.sha|head\.ref)\s*\}\}"
     return f"""SELECT 'High' AS severity, file_path, CAST(1 AS BIGINT) AS line FROM (
-        SELECT path AS file_path, bool_or({d.rx('raw', r'^\s*pull_request_target\s*:\s*$')}) AS t, bool_or({d.rx('raw', r'^\s*uses\s*:\s*actions/checkout@')}) AS c,
-               bool_or({d.rx('raw', pr)}) AS r, bool_or({d.rx('raw', _SECRETS)}) AS k
+        SELECT path AS file_path, bool_or({d.rx('raw', V.PULL_REQUEST_TARGET)}) AS t, bool_or({d.rx('raw', V.CHECKOUT)}) AS c,
+               bool_or({d.rx('raw', V.PULL_REQUEST_HEAD)}) AS r, bool_or({d.rx('raw', V.SECRETS)}) AS k
         FROM lines WHERE {WORKFLOW(d)} GROUP BY path) x WHERE c AND t AND (r OR k)"""
 
 
 def _c5(d: Dialect) -> str:
-    guard = r"(?i)contains\(\s*github\.event\.comment\.body\s*,\s*['\"]/(?:run|test|deploy)"
     return f"""SELECT CASE WHEN secret AND NOT guarded THEN 'High' ELSE 'Medium' END AS severity, file_path, line FROM (
-        SELECT path AS file_path, min(line) AS line, bool_or({d.rx('text', _SECRETS)}) AS secret, bool_or({d.rx('text', guard)}) AS guarded
-        FROM lines WHERE {WORKFLOW(d)} AND {d.has('lower(s)', 'issue_comment:', 'pull_request_review_comment:', 'repository_dispatch:')} GROUP BY path) x"""
+        SELECT path AS file_path, min(line) AS line, bool_or({d.rx('text', V.SECRETS)}) AS secret, bool_or({d.rx('text', V.COMMENT_GUARD)}) AS guarded
+        FROM lines WHERE {WORKFLOW(d)} AND {d.has('lower(s)', *V.COMMENT_TRIGGERS)} GROUP BY path) x"""
 
 
 def _c6(d: Dialect) -> str:
-    up, down = d.rx("raw", r"(?i)^\s*uses\s*:\s*actions/upload-artifact@"), d.rx("raw", r"(?i)^\s*uses\s*:\s*actions/download-artifact@")
-    days = r"(?i)^\s*retention-days\s*:\s*(\d+)\s*$"
-    verify = r"(?i)\b(?:sha256sum|shasum\s+-a\s+256|gpg\s+--verify|cosign\s+verify|slsa-verifier)\b"
+    up, down, days = d.rx("raw", V.UPLOAD), d.rx("raw", V.DOWNLOAD), d.group("raw", V.RETENTION)
     inner = f"""(SELECT path AS file_path, bool_or({up}) AS u, bool_or({down}) AS dn, min(CASE WHEN {up} OR {down} THEN line END) AS line,
-        max(CASE WHEN {d.rx('raw', days)} THEN CAST({d.group('raw', days)} AS DECIMAL(38, 0)) END) AS days, bool_or({d.rx('text', verify)}) AS v
+        bool_or({d.rx('raw', V.RETENTION)} AND {d.digits(days)} > {number(30)}) AS long
         FROM lines WHERE {WORKFLOW(d)} GROUP BY path)"""
-    return f"SELECT 'High' AS severity, file_path, line FROM {inner} x WHERE dn AND NOT v UNION ALL SELECT 'Medium' AS severity, file_path, line FROM {inner} y WHERE u AND days > 30"
+    verified = f"(SELECT path FROM files WHERE {d.rx('text', V.ARTIFACT_CHECK)})"
+    return f"SELECT 'High' AS severity, file_path, line FROM {inner} x WHERE dn AND file_path NOT IN {verified} UNION ALL SELECT 'Medium' AS severity, file_path, line FROM {inner} y WHERE u AND long"
+
+
+def header_files(d: Dialect) -> str:
+    return f"({d.among('lname', V.HEADER_NAMES)} OR ({ext(*V.HEADER_SUFFIXES)(d)} AND {d.rx('lpath', *V.HEADER_PATHS)}))"
 
 
 def _d6(d: Dialect) -> str:
-    files = f"(lname IN ('dockerfile', 'nginx.conf', 'caddyfile') OR ({ext('.conf', '.ini', '.cfg', '.env', '.yaml', '.yml', '.json', '.toml', '.py', '.js', '.ts')(d)} AND {d.rx('lpath', r'(?i)(?:nginx|apache|httpd|traefik|caddy)', r'(?i)(?:settings|config|security|headers?)')}))"
-    heads = (r"(?i)content-security-policy|\bcsp\b", r"(?i)strict-transport-security|\bhsts\b|includeSubDomains", r"(?i)x-content-type-options|nosniff", r"(?i)x-frame-options|frame-ancestors|deny|sameorigin", r"(?i)referrer-policy")
-    seen = ", ".join(f"{_exists(d.rx('text', h))} AS h{i}" for i, h in enumerate(heads))
+    seen = ", ".join(f"{_exists(d.rx('text', h))} AS h{i}" for i, h in enumerate(V.HEADERS))
     return f"""SELECT 'Medium' AS severity, '(config)' AS file_path, CAST(1 AS BIGINT) AS line FROM (
-        SELECT count(*) AS n, {seen} FROM files WHERE text IS NOT NULL AND {files}) x WHERE n > 0 AND NOT (h0 AND h1 AND h2 AND h3 AND h4)"""
+        SELECT count(*) AS n, {seen} FROM files WHERE text IS NOT NULL AND {header_files(d)}) x WHERE n > 0 AND NOT (h0 AND h1 AND h2 AND h3 AND h4)"""
+
+
+def open_keys(d: Dialect) -> str:
+    return f"(({ext(*V.KEY_SUFFIXES)(d)} OR {d.has('lname', *V.KEY_NAMES)}) AND mode & 22 > 0)"
 
 
 def _d7(d: Dialect) -> str:
-    return f"""SELECT CASE WHEN mode & 6 > 0 THEN 'High' ELSE 'Medium' END AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files
-        WHERE ({ext('.pem', '.key', '.p12', '.pfx', '.jks', '.kdb')(d)} OR {d.has('lname', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', 'private_key', 'secret', 'credentials', 'token')}) AND mode & 22 > 0"""
+    return f"SELECT CASE WHEN mode & 6 > 0 THEN 'High' ELSE 'Medium' END AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files WHERE {open_keys(d)}"
+
+
+def fixed_sessions(d: Dialect) -> str:
+    return f"({ext(*V.SESSION_SUFFIXES)(d)} AND {d.rx('text', V.SESSION)} AND NOT {d.rx('text', V.SESSION_RENEWED)})"
 
 
 def _e4(d: Dialect) -> str:
-    return f"""SELECT 'Low' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files
-        WHERE {ext('.env', '.ini', '.cfg', '.conf', '.yaml', '.yml', '.json', '.toml', '.py', '.js', '.ts')(d)}
-        AND {d.rx('text', r'(?i)(?:session|cookie|session_cookie|sessionid|session_id)')}
-        AND NOT {d.rx('text', r'(?i)(?:session[_-]?id\s*[:=]|set[_-]?cookie\([^\)]*session|regenerate|rotate|renew)')}"""
+    return f"SELECT 'Low' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files WHERE {fixed_sessions(d)}"
 
 
 def _f5(d: Dialect) -> str:
-    return f"""SELECT 'Critical' AS severity, path AS file_path, min(line) AS line FROM lines
-        WHERE {ext('.pem', '.key', '.txt', '.env', '.cfg', '.conf', '.ini', '.yaml', '.yml', '.json', '.toml', '.md', '.py', '.js', '.ts', '.sh')(d)}
-        AND {d.rx('raw', r'-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----')} GROUP BY path"""
+    return f"SELECT 'Critical' AS severity, path AS file_path, min(line) AS line FROM lines WHERE {ext(*V.PRIVATE_KEY_SUFFIXES)(d)} AND {d.rx('raw', V.PRIVATE_KEY)} GROUP BY path"
 
 
 def _g1(d: Dialect) -> str:
-    root, user = d.rx("s", r"(?i)^\s*USER\s+(?:root|0)(?:\b|:)"), d.rx("s", r"(?i)^\s*USER\s+")
+    root, user = d.rx("s", V.ROOT_USER), d.rx("s", V.ANY_USER)
     live = "s <> '' AND s NOT LIKE '#%'"
     return f"""SELECT CASE WHEN root IS NOT NULL THEN 'High' ELSE 'Medium' END AS severity, file_path, coalesce(root, CAST(1 AS BIGINT)) AS line FROM (
             SELECT f.path AS file_path, max(CASE WHEN {live} AND {root} THEN line END) AS root, max(CASE WHEN {live} AND {user} THEN line END) AS usr
             FROM (SELECT path FROM files WHERE text IS NOT NULL AND {d.starts('lname', 'dockerfile')}) f LEFT JOIN (SELECT path, line, s FROM lines WHERE {d.starts('lname', 'dockerfile')}) l ON l.path = f.path GROUP BY f.path) x
         WHERE root IS NOT NULL OR usr IS NULL
         UNION ALL SELECT 'High' AS severity, path AS file_path, line FROM lines
-        WHERE {ext('.yml', '.yaml', '.json', '.env', '.conf', '.ini', '.txt', '.md')(d)} AND {live}
-        AND {d.rx('s', r"(?i)^\s*user\s*:\s*[\"']?(?:root|0(?::0)?)\b", r"(?i)^\s*runAsUser\s*:\s*0\b")}"""
+        WHERE {ext(*V.ROOT_SUFFIXES)(d)} AND {live} AND {d.rx('s', *V.ROOT_LINES)}"""
 
 
 def _g7(d: Dialect) -> str:
-    box = r"(?i)\b(?:sandbox|seccomp|gvisor|firejail|isolate|nsjail|chroot|runsc|wasm|vm2|jail)\b"
-    run = d.rx("s", r"(?i)\b(?:eval|exec)\s*\(", r"(?i)\bos\.system\s*\(", r"(?i)\bsubprocess\.(?:run|Popen|call|check_output)\s*\(", r"(?i)\bvm\.runIn(?:NewContext|Context)\s*\(")
-    hint = d.rx("ctx11", r"(?i)\b(?:user(?:_provided)?|untrusted|plugin|script|request\.|req\.|query|params|body|payload)\b")
-    return f"""SELECT CASE WHEN (SELECT {_exists(d.rx('text', box))} FROM files WHERE {ext(*TEXT18)(d)}) THEN 'Medium' ELSE 'High' END AS severity, path AS file_path, line
-        FROM lines WHERE {ext(*TEXT18)(d)} AND s <> '' AND s NOT LIKE '#%' AND {run} AND {hint}"""
+    return f"""SELECT CASE WHEN (SELECT {_exists(d.rx('text', V.SANDBOX))} FROM files WHERE {ext(*TEXT18)(d)}) THEN 'Medium' ELSE 'High' END AS severity, path AS file_path, line
+        FROM lines WHERE {ext(*TEXT18)(d)} AND s <> '' AND s NOT LIKE '#%' AND {d.rx('s', *V.EXECUTION)} AND {d.rx('ctx11', V.UNTRUSTED)}"""
+
+
+def tls_docs(d: Dialect) -> str:
+    return f"({ext(*V.TLS_SUFFIXES)(d)} AND {d.rx('path', *V.TLS_PATHS)})"
 
 
 def _h6(d: Dialect) -> str:
-    docs = f"({ext('.md', '.rst', '.txt', '.adoc', '.yml', '.yaml')(d)} AND {d.rx('path', r'(?i)(?:^|[\\/])(?:README|SECURITY|TLS|SSL|CERTIFICATE|CERTS)(?:\.[^\\/]*)?$', r'(?i)(?:^|[\\/])docs?[\\/].*(?:tls|ssl|cert)')})"
-    gone = r"(?i)\b(?:expired|期限切れ|失効|not\s+valid\s+after|certificate\s+expired)\b"
-    words = r"(?i)\b(?:tls|ssl|certificate|cert|renew|rotation|acme|letsencrypt)\b"
-    return f"""SELECT 'High' AS severity, path AS file_path, line FROM lossy_lines WHERE {docs} AND s <> '' AND {d.rx('s', gone)}
-        UNION ALL SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(d.rx('s', words))} AS seen FROM lossy_lines WHERE {docs} AND s <> '') x WHERE NOT seen"""
+    return f"""SELECT 'High' AS severity, path AS file_path, line FROM lossy_lines WHERE {tls_docs(d)} AND s <> '' AND {d.rx('s', V.TLS_EXPIRED)}
+        UNION ALL SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(d.rx('s', V.TLS_WORDS))} AS seen FROM lossy_lines WHERE {tls_docs(d)} AND s <> '') x WHERE NOT seen"""
+
+
+def policies(d: Dialect) -> str:
+    return f"({d.among('path', V.POLICIES)} OR ({d.among('path', V.READMES)} AND {d.rx('text_lossy', V.POLICY_HINT)}))"
+
+
+def templates(d: Dialect) -> str:
+    return f"({d.among('path', V.TEMPLATES)} OR ({d.starts('path', *V.TEMPLATE_DIRS)} AND {d.rx('name', V.TEMPLATE_NAME)}))"
+
+
+def bills(d: Dialect) -> str:
+    return f"({d.among('path', V.BILLS)} OR ({d.starts('path', *V.BILL_DIRS)} AND {d.has('lname', *V.BILL_WORDS)}))"
 
 
 def _j2(d: Dialect) -> str:
-    paths = ("SECURITY.md", "SECURITY.txt", "SECURITY.rst", ".github/SECURITY.md", "docs/SECURITY.md")
-    hint = r"(?is)(security|vulnerability|脆弱性).{0,120}(report|contact|連絡|報告|disclosure)"
-    return f"""SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(f"{d.among('path', paths)} OR ({d.among('path', ('README.md', 'README.rst', 'README.txt'))} AND {d.rx('text_lossy', hint)})")} AS ok FROM files) x WHERE NOT ok"""
+    return f"SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(policies(d))} AS ok FROM files) x WHERE NOT ok"
 
 
 def _j3(d: Dialect) -> str:
-    dirs = f"({d.starts('path', '.github/ISSUE_TEMPLATE/', 'docs/ISSUE_TEMPLATE/')} AND {d.rx('name', r'\.(?:md|yml)$')})"
-    return f"SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(d.among('path', ('.github/ISSUE_TEMPLATE.md', '.gitlab/issue_templates/bug.md')) + ' OR ' + dirs)} AS ok FROM files) x WHERE NOT ok"
+    return f"SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(templates(d))} AS ok FROM files) x WHERE NOT ok"
 
 
 def _age(column: str) -> str:
@@ -145,9 +149,8 @@ def _j4(d: Dialect) -> str:
 
 
 def _j5(d: Dialect) -> str:
-    logs = d.among("path", ("CHANGELOG.md", "CHANGELOG.rst", "CHANGELOG.txt", "HISTORY.md"))
     return f"""SELECT CASE WHEN {_age('last_tag_ts')} >= 365 THEN 'High' ELSE 'Medium' END AS severity, '.git/tags' AS file_path, CAST(1 AS BIGINT) AS line FROM repo_meta WHERE last_tag_ts > 0 AND {_age('last_tag_ts')} >= 180
-        UNION ALL SELECT 'Medium' AS severity, {NULLS} FROM (SELECT (SELECT {_exists('last_tag_ts > 0')} FROM repo_meta) AS tagged, (SELECT {_exists(logs)} FROM files) AS logged) x WHERE NOT tagged AND NOT logged"""
+        UNION ALL SELECT 'Medium' AS severity, {NULLS} FROM (SELECT (SELECT {_exists('last_tag_ts > 0')} FROM repo_meta) AS tagged, (SELECT {_exists(d.among('path', V.CHANGE_LOGS))} FROM files) AS logged) x WHERE NOT tagged AND NOT logged"""
 
 
 def _j6(d: Dialect) -> str:
@@ -155,85 +158,111 @@ def _j6(d: Dialect) -> str:
 
 
 def _j7(d: Dialect) -> str:
-    names = ("sbom.json", "sbom.xml", "bom.json", "bom.xml", "cyclonedx.json", "cyclonedx.xml", "spdx.json", "spdx.yaml", "spdx.yml", "spdx.spdx")
-    hit = f"({d.among('path', names)} OR ({d.starts('path', 'sbom/', 'sboms/', '.github/', 'docs/')} AND {d.has('lname', 'sbom', 'cyclonedx', 'spdx')}))"
-    return f"""SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(hit)} AS ok FROM files) x WHERE NOT ok
-        UNION ALL SELECT 'Low' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files WHERE {hit} AND suffix <> '' AND suffix NOT IN ('.json', '.xml', '.yml', '.yaml', '.spdx')"""
+    return f"""SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(bills(d))} AS ok FROM files) x WHERE NOT ok
+        UNION ALL SELECT 'Low' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line FROM files WHERE {bills(d)} AND suffix <> '' AND NOT {d.among('suffix', V.BILL_SUFFIXES)}"""
 
 
 # ---- dependencies
 
 
-def _loose(d: Dialect) -> str:
+def loose(d: Dialect) -> str:
     s = "lower(trim(spec))"
-    return f"({s} = '' OR {d.has(s, '*', 'latest', '^', '~', '>', '<', 'x', '||', ' - ')} OR (ecosystem = 'python' AND NOT {d.starts(s, '==')}) OR (ecosystem = 'node' AND NOT {d.rx(s, r'^\d+\.\d+\.\d+$')}))"
+    return f"({s} = '' OR {d.has(s, *V.LOOSE_MARKS)} OR (ecosystem = 'python' AND NOT {d.starts(s, '==')}) OR (ecosystem = 'node' AND NOT {d.rx(s, V.PLAIN_VERSION)}))"
 
 
-def _pinned(d: Dialect) -> str:
-    return f"((ecosystem = 'python' AND {d.starts('trim(spec)', '==')}) OR (ecosystem = 'node' AND {d.rx('trim(spec)', r'^\d+\.\d+\.\d+$')}))"
+def pinned(d: Dialect) -> str:
+    return f"((ecosystem = 'python' AND {d.starts('trim(spec)', '==')}) OR (ecosystem = 'node' AND {d.rx('trim(spec)', V.PLAIN_VERSION)}))"
 
 
-def _b1(d: Dialect) -> str:
-    score = "CASE WHEN severity_score IS NULL THEN 'Medium' WHEN severity_score >= 9 THEN 'Critical' WHEN severity_score >= 7 THEN 'High' WHEN severity_score >= 4 THEN 'Medium' ELSE 'Low' END"
-    found = "concat(deps.name, ' ', deps.spec, ' may have a known vulnerability [', a.source, ':', a.vuln_id, '] ', substr(a.summary, 1, 160), CASE WHEN " + d.size("a.refs") + " > 0 THEN concat(' refs: ', array_to_string(" + d.first_of_list("a.refs", 2) + ", ', ')) ELSE '' END)"
-    found = found.replace("array_to_string", "array_join") if d.prefix == "startswith" else found
-    return f"""SELECT 'Medium' AS severity, file_path, line, concat(name, ' may have known vulnerabilities, but its version is not pinned (', CASE WHEN spec = '' THEN 'none' ELSE spec END, ')') AS message FROM deps WHERE NOT {_pinned(d)}
-        UNION ALL SELECT {score} AS severity, file_path, line, {found} AS message FROM deps JOIN advisories a ON a.ecosystem = deps.ecosystem AND a.name = deps.name AND a.version = trim({d.sub('deps.spec', '^=+', '')}) WHERE {_pinned(d).replace('ecosystem', 'deps.ecosystem').replace('spec', 'deps.spec')}"""
+def suspicious(d: Dialect) -> str:
+    near = " OR ".join(f"{d.edit_distance('name', d.lit(p))} = 1" for p in V.COMMON_PACKAGES)
+    return f"({d.has('name', *V.SUSPICIOUS_PARTS)} OR {d.starts('lower(spec)', *V.SUSPICIOUS_SPECS)} OR {near})"
 
 
-COMMON_PACKAGES = ("requests", "numpy", "pandas", "flask", "django", "pyyaml", "urllib3", "react", "express", "lodash", "axios", "typescript")
+def deprecation(d: Dialect) -> str:
+    """The severity of a dependency that is deprecated, else null."""
+    version = d.group("spec", V.VERSION)
+    limit = " ".join(f"WHEN name = '{n}' THEN CASE WHEN {version} = '' THEN 'Low' WHEN {d.ints(version)} < {d.int_list(v)} THEN 'Medium' END" for n, v in V.DEPRECATED_BELOW)
+    return f"CASE WHEN {d.among('name', V.DEPRECATED)} THEN 'Medium' {limit} END"
 
 
-def _b3(d: Dialect) -> str:
-    near = " OR ".join(f"{d.edit_distance('name', d.lit(p))} = 1" for p in COMMON_PACKAGES)
-    return f"SELECT 'Medium' AS severity, file_path, line, concat(name, ' ', spec, ' looks unlike a package of that name') AS message FROM deps WHERE {d.has('name', '..', '__', 'tmp', 'test', 'malware')} OR {d.starts('lower(spec)', 'git+http://', 'http://', 'https://', 'file:')} OR {near}"
+def import_name(d: Dialect) -> str:
+    """What a dependency is imported as."""
+    return "CASE ecosystem WHEN 'python' THEN lower(" + d.group("CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.IMPORT_NAMES) + " ELSE name END", "^([^.]*)") + ") ELSE lower(name) END"
+
 
+def advisory_version(d: Dialect) -> str:
+    return f"trim({d.sub('spec', '^=+', '')})"
 
-#: package, first version that is not deprecated
-DEPRECATED_BELOW = (("django", (3, 2)), ("flask", (2, 0)), ("urllib3", (2, 0)), ("setuptools", (45, 0)), ("react", (17, 0, 0)))
-DEPRECATED = ("easy_install", "left-pad")
+
+SCORE = "CASE WHEN severity_score IS NULL THEN 'Medium' WHEN severity_score >= 9 THEN 'Critical' WHEN severity_score >= 7 THEN 'High' WHEN severity_score >= 4 THEN 'Medium' ELSE 'Low' END"
+SPEC = "CASE WHEN spec = '' THEN 'none' ELSE spec END"
+MESSAGES = {
+    "B-1": f"concat(name, ' may have known vulnerabilities, but its version is not pinned (', {SPEC}, ')')",
+    "B-2": f"concat(name, ' is not pinned to one version (', {SPEC}, ')')",
+    "B-3": "concat(name, ' ', spec, ' looks unlike a package of that name')",
+    "B-4": "concat(name, ' ', spec, ' is deprecated or of a deprecated version')",
+    "B-6": "concat(name, ' is declared, but ', expected, ' is imported nowhere')",
+    "K-4": "concat(name, ' has no known licence (', coalesce(lic, 'none'), ')')",
+    "K-5": "concat(package, ' allows no commercial use (', license_expr, ')')",
+}
+#: Characters of a summary and addresses that a message has.
+SUMMARY_CHARS, REFERENCES, EXAMPLES = 160, 2, 3
+
+
+def advisory_message(d: Dialect, join: str) -> str:
+    refs = f"CASE WHEN {d.size('refs')} > 0 THEN concat(' refs: ', {join}({d.first_of_list('refs', REFERENCES)}, ', ')) ELSE '' END"
+    return f"concat(name, ' ', spec, ' may have a known vulnerability [', source, ':', vuln_id, '] ', substr(summary, 1, {SUMMARY_CHARS}), {refs})"
+
+
+def _b1(d: Dialect) -> str:
+    known = f"(SELECT deps.*, severity_score, source, vuln_id, summary, refs FROM deps JOIN advisories a ON a.ecosystem = deps.ecosystem AND a.name = deps.name AND a.version = {advisory_version(d).replace('spec', 'deps.spec')})"
+    return f"""SELECT 'Medium' AS severity, file_path, line, {MESSAGES['B-1']} AS message FROM deps WHERE NOT {pinned(d)}
+        UNION ALL SELECT {SCORE} AS severity, file_path, line, {advisory_message(d, 'array_to_string')} AS message FROM {known} k WHERE {pinned(d)}"""
+
+
+def _b2(d: Dialect) -> str:
+    return f"SELECT 'Medium' AS severity, file_path, line, {MESSAGES['B-2']} AS message FROM deps WHERE {loose(d)}"
+
+
+def _b3(d: Dialect) -> str:
+    return f"SELECT 'Medium' AS severity, file_path, line, {MESSAGES['B-3']} AS message FROM deps WHERE {suspicious(d)}"
 
 
 def _b4(d: Dialect) -> str:
-    version = d.group("spec", r"(\d+(?:\.\d+)*)")
-    limits = " UNION ALL ".join(f"SELECT '{n}' AS limited, {d.int_list(v)} AS least_version" for n, v in DEPRECATED_BELOW)
-    return f"""SELECT * FROM (SELECT CASE WHEN {d.among('name', DEPRECATED)} THEN 'Medium' WHEN limited IS NULL THEN NULL WHEN v = '' THEN 'Low' WHEN {d.ints('v')} < least_version THEN 'Medium' END AS severity, file_path, line, concat(name, ' ', spec, ' is deprecated or of a deprecated version') AS message
-        FROM (SELECT name, spec, file_path, line, {version} AS v FROM deps) a LEFT JOIN ({limits}) b ON limited = name) c WHERE severity IS NOT NULL"""
+    return f"SELECT * FROM (SELECT {deprecation(d)} AS severity, file_path, line, {MESSAGES['B-4']} AS message FROM deps) x WHERE severity IS NOT NULL"
 
 
 def _b5(d: Dialect) -> str:
     def missing(manifests, locks):
         return f"SELECT 'Medium' AS severity, {NULLS} FROM (SELECT {_exists(d.among('name', manifests))} AS m, {_exists(d.among('name', locks))} AS l FROM files) x WHERE m AND NOT l"
 
-    return missing(("requirements.txt", "pyproject.toml"), ("poetry.lock", "Pipfile.lock", "uv.lock")) + " UNION ALL " + missing(("package.json",), ("package-lock.json", "yarn.lock", "pnpm-lock.yaml"))
-
-
-#: package name, import name
-IMPORT_NAMES = (("pyyaml", "yaml"), ("pillow", "pil"), ("python-dotenv", "dotenv"), ("beautifulsoup4", "bs4"), ("scikit-learn", "sklearn"))
+    return missing(V.PYTHON_MANIFESTS, V.PYTHON_LOCKS) + " UNION ALL " + missing(V.NODE_MANIFESTS, V.NODE_LOCKS)
 
 
 def _b6(d: Dialect) -> str:
-    mapped = "CASE ecosystem WHEN 'python' THEN lower(" + d.group("CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IMPORT_NAMES) + " ELSE name END", "^([^.]*)") + ") ELSE lower(name) END"
-    return f"SELECT 'Low' AS severity, file_path, line, concat(t.name, ' is declared, but ', expected, ' is imported nowhere') AS message FROM (SELECT *, {mapped} AS expected FROM deps) t LEFT ANTI JOIN imports i ON i.ecosystem = t.ecosystem AND i.name = t.expected" if d.prefix == "startswith" else f"SELECT 'Low' AS severity, file_path, line, concat(t.name, ' is declared, but ', expected, ' is imported nowhere') AS message FROM (SELECT *, {mapped} AS expected FROM deps) t WHERE NOT EXISTS (SELECT 1 FROM imports i WHERE i.ecosystem = t.ecosystem AND i.name = t.expected)"
+    return f"SELECT 'Low' AS severity, file_path, line, {MESSAGES['B-6']} AS message FROM (SELECT *, {import_name(d)} AS expected FROM deps) t WHERE NOT EXISTS (SELECT 1 FROM imports i WHERE i.ecosystem = t.ecosystem AND i.name = t.expected)"
 
 
 # ---- licences
 
-STRONG_COPYLEFT = ("GPL-2.0", "GPL-2.0-ONLY", "GPL-2.0-OR-LATER", "GPL-3.0", "GPL-3.0-ONLY", "GPL-3.0-OR-LATER", "AGPL-3.0", "AGPL-3.0-ONLY", "AGPL-3.0-OR-LATER")
-LICENSE_FILES = ("LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING", "COPYING.txt", "COPYING.md", "UNLICENSE")
-NONCOMMERCIAL = ("noncommercial", "non-commercial", "for non commercial use", "not for commercial use", "for personal use only", "cc-by-nc", "cc by-nc")
-_TOKEN = r"[A-Za-z][A-Za-z0-9.+-]*"
-
 
 def _tokens(d: Dialect) -> str:
     """One row for each token of each dependency licence."""
-    src = d.each(d.all("license_expr", _TOKEN), "tok", "dep_licenses")
-    return f"(SELECT upper(tok) AS tok FROM {src}{'' if 'LATERAL' in src else ' z'})"
+    return f"(SELECT upper(tok) AS tok FROM {d.each(d.all('license_expr', V.LICENSE_TOKEN), 'tok', 'dep_licenses')} z)"
+
+
+def closed(d: Dialect) -> str:
+    return f"({d.among('path', V.CLOSED_FILES)} OR ({d.among('path', V.READMES)} AND {d.has('lower(text_lossy)', *V.CLOSED_TERMS)}))"
+
+
+def no_commerce_file(d: Dialect) -> str:
+    return f"({d.among('name', V.LICENSE_FILES)} AND {d.has('lower(text_lossy)', *V.NONCOMMERCIAL)})"
 
 
 def _k1(d: Dialect) -> str:
-    return f"""SELECT 'Medium' AS severity, {NULLS} FROM (SELECT (SELECT {_exists(d.among('name', LICENSE_FILES))} FROM files) AS f, (SELECT count(*) FROM project_licenses) AS n) x WHERE NOT f AND n = 0
-        UNION ALL SELECT 'Low' AS severity, file_path, CAST(NULL AS BIGINT) AS line FROM project_licenses WHERE {d.has('lower(license_expr)', 'unknown', 'unlicensed', 'see license in', 'no license', 'none')}"""
+    return f"""SELECT 'Medium' AS severity, {NULLS} FROM (SELECT (SELECT {_exists(d.among('name', V.LICENSE_FILES))} FROM files) AS f, (SELECT count(*) FROM project_licenses) AS n) x WHERE NOT f AND n = 0
+        UNION ALL SELECT 'Low' AS severity, file_path, CAST(NULL AS BIGINT) AS line FROM project_licenses WHERE {d.has('lower(license_expr)', *V.VAGUE_LICENSES)}"""
 
 
 def _k2(d: Dialect) -> str:
@@ -242,26 +271,28 @@ def _k2(d: Dialect) -> str:
 
 
 def _k3(d: Dialect) -> str:
-    closed = f"{d.among('path', ('EULA', 'EULA.txt', 'NOTICE', 'NOTICE.txt'))} OR ({d.among('path', ('README.md', 'README.txt', 'README.rst'))} AND {d.has('lower(text_lossy)', 'all rights reserved', 'proprietary', 'closed source', 'commercial license')})"
-    return f"""SELECT CASE WHEN closed THEN 'High' ELSE 'Medium' END AS severity, {NULLS} FROM (
-        SELECT (SELECT {_exists(closed)} FROM files) AS closed, (SELECT {_exists(d.among('tok', STRONG_COPYLEFT))} FROM {_tokens(d)} t) AS strong) x WHERE strong"""
+    strong = f"list_sort(list_distinct(list_filter(list_transform({d.all('license_expr', V.LICENSE_TOKEN)}, lambda t: upper(t)), lambda t: {d.among('t', V.STRONG_COPYLEFT)})))"
+    return f"""SELECT CASE WHEN (SELECT {_exists(closed(d))} FROM files) THEN 'High' ELSE 'Medium' END AS severity, {NULLS},
+        concat('strong copyleft among the dependencies (', string_agg(package || ': ' || array_to_string(strong, ', '), '; ' ORDER BY n), ')') AS message
+        FROM (SELECT package, strong, row_number() OVER (ORDER BY part, file_path, coalesce(line, 0), license_expr, package) AS n FROM (SELECT *, {strong} AS strong FROM dep_licenses) z WHERE len(strong) > 0) x
+        WHERE n <= {EXAMPLES} HAVING count(*) > 0"""
 
 
 def _k4(d: Dialect) -> str:
-    return f"""SELECT 'Medium' AS severity, deps.file_path, deps.line, concat(deps.name, ' has no known licence (', coalesce(lic, 'none'), ')') AS message FROM deps LEFT JOIN (SELECT package, min_by(license_expr, ord) AS lic FROM dep_licenses GROUP BY package) m ON m.package = deps.name
-        WHERE coalesce(lower(trim(lic)), '') IN ('', 'unknown', 'unlicensed', 'none', 'see license in', 'n/a')"""
+    return f"""SELECT 'Medium' AS severity, deps.file_path, deps.line, {MESSAGES['K-4']} AS message FROM deps LEFT JOIN (SELECT package, min_by(license_expr, (part, file_path, coalesce(line, 0), license_expr)) AS lic FROM dep_licenses GROUP BY package) m ON m.package = deps.name
+        WHERE {d.among("coalesce(lower(trim(lic)), '')", V.UNKNOWN_LICENSES)}"""
 
 
 def _k5(d: Dialect) -> str:
-    return f"""SELECT 'High' AS severity, file_path, line, concat(package, ' allows no commercial use (', license_expr, ')') AS message FROM dep_licenses WHERE {d.has('lower(license_expr)', *NONCOMMERCIAL)}
-        UNION ALL SELECT 'High' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line, concat(path, ' allows no commercial use') AS message FROM files WHERE {d.among('name', LICENSE_FILES)} AND {d.has('lower(text_lossy)', *NONCOMMERCIAL)}"""
+    return f"""SELECT 'High' AS severity, file_path, line, {MESSAGES['K-5']} AS message FROM dep_licenses WHERE {d.has('lower(license_expr)', *V.NONCOMMERCIAL)}
+        UNION ALL SELECT 'High' AS severity, path AS file_path, CAST(1 AS BIGINT) AS line, concat(path, ' allows no commercial use') AS message FROM files WHERE {no_commerce_file(d)}"""
 
 
 RELATIONAL_RULES = {
     r.rule_id + ("/file" if r.rule_id == "E-4" else ""): r
     for r in (
         Rule("B-1", "dependencies", "Known Vulnerabilities", _b1),
-        Rule("B-2", "dependencies", "Unpinned Versions", lambda d: f"SELECT 'Medium' AS severity, file_path, line, concat(name, ' is not pinned to one version (', CASE WHEN spec = '' THEN 'none' ELSE spec END, ')') AS message FROM deps WHERE {_loose(d)}"),
+        Rule("B-2", "dependencies", "Unpinned Versions", _b2),
         Rule("B-3", "dependencies", "Suspicious Packages", _b3),
         Rule("B-4", "dependencies", "Deprecated Dependencies", _b4),
         Rule("B-5", "dependencies", "Missing Lockfile", _b5),

@@ -1,9 +1,8 @@
 """The rule registry and the plans that run it.
 
-``rule_findings`` is one rule as a DataFrame. ``all_findings`` fuses every line rule
-into one pass over the lines: each line carries an array of (rule, severity) built from
-all rules' CASE expressions and is exploded once, so the corpus is scanned and split
-once, however many line rules there are.
+``all_findings`` reads every file once (file_pass.scan) and keeps what the pass leaves, which
+the rules over tables select from. ``rule_findings`` is the same pass for one rule, and asks
+of the files only what that rule needs.
 """
 
 from __future__ import annotations
@@ -11,18 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.dialect import SPARK
 from riskloom.operators import taint
-from riskloom.operators.line_rules import LINE_RULES, SKIPS, line_sql
+from riskloom.operators.line_rules import LINE_RULES
 from riskloom.operators.relational_rules import RELATIONAL_RULES
-from riskloom.sources import advisories, manifests
-from riskloom.sources.corpus import CONTEXTS, Corpus
+from riskloom.plans import table_rules
+from riskloom.plans.file_pass import Facts, scan
+from riskloom.sources.corpus import Corpus
 
-CONTEXT_NAMES = (*CONTEXTS, "ctx11")
 COLUMNS = ["rule_id", "category", "title", "severity", "file_path", "line", "message"]
 SEVERITIES = ("Critical", "High", "Medium", "Low", "Info")
 
@@ -44,121 +41,57 @@ def _message(title) -> F:
 
 
 def _finish(df: DataFrame, rule_id: str) -> DataFrame:
-    category, title = EXTRA[rule_id][:2] if rule_id in EXTRA else RULES[rule_id]
+    category, title = EXTRA[rule_id][:2]
     message = F.col("message") if "message" in df.columns else _message(F.lit(title))
     return df.select(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(title).alias("title"), "severity", F.col("file_path").cast("string"), F.col("line").cast("long"), message.alias("message"))
 
 
-def relations(c: Corpus, names: set[str]) -> dict[str, DataFrame]:
-    make = {
-        "files": lambda: c.files,
-        "lines": lambda: c.lines,
-        "lossy_lines": lambda: c.lossy_lines,
-        "deps": lambda: manifests.deps(c),
-        "dep_licenses": lambda: manifests.dep_licenses(c),
-        "project_licenses": lambda: manifests.project_licenses(c),
-        "imports": lambda: manifests.imports(c, taint.python_imports(c)),
-        "repo_meta": lambda: c.repo_meta if c.repo_meta is not None else c.spark.createDataFrame([], "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"),
-        "advisories": lambda: advisories.ranked(c.advisories if c.advisories is not None else c.spark.createDataFrame([], advisories.SCHEMA), c.lookup),
-    }
-    if c.kept is None:
-        return {n: make[n]() for n in names}
-    for n in names & {"deps", "dep_licenses", "project_licenses", "imports", "repo_meta"}:
-        if n not in c.kept:
-            c.kept[n] = make[n]().persist(StorageLevel.MEMORY_AND_DISK)
-    return {n: c.kept[n] if n in c.kept else make[n]() for n in names}
-
-
-_NAMES = ("files", "lines", "lossy_lines", "deps", "dep_licenses", "project_licenses", "imports", "repo_meta", "advisories")
-
-
-def run_sql(c: Corpus, sql: str, lines: DataFrame | None = None) -> DataFrame:
-    """sql over the corpus' relations (lines may be given). The names become views of this call only."""
-    import re
-    import uuid
-
-    tag = uuid.uuid4().hex[:8]
-    used = {n for n in _NAMES if re.search(rf"\b{n}\b(?!\s*\()", sql)}
-    given = {"lines": lines} if lines is not None else {}
-    for n, df in (relations(c, used - set(given)) | given).items():
-        df.createOrReplaceTempView(f"{n}_{tag}")
-    # names inside literals are left alone
-    parts = re.split(r"('(?:[^'\\]|\\.)*')", sql)
-    for i in range(0, len(parts), 2):
-        parts[i] = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(_NAMES)})\b(?!_)(\s+(?!WHERE|GROUP|JOIN|LEFT|UNION|LATERAL|ON)\w+)?", lambda m: f"{m[1]} {m[2]}_{tag}{m[3] or ' ' + m[2]}", parts[i])
-    out = c.spark.sql("".join(parts))
-    for n in used:
-        c.spark.catalog.dropTempView(f"{n}_{tag}")
-    return out
+def _titled(df: DataFrame) -> DataFrame:
+    """Findings of built-in rules with category, title and, where they have none, a message."""
+    category, title = (F.create_map(*[F.lit(v) for k in RULES for v in (k, RULES[k][i])])[F.col("rule_id")] for i in (0, 1))
+    return df.select("rule_id", category.alias("category"), title.alias("title"), "severity", "file_path", "line", F.coalesce("message", _message(title)).alias("message"))
+
+
+def findings(f: Facts) -> DataFrame:
+    """What the rules of f find."""
+    parts = [table_rules.files(f), *table_rules.tables(f, f.rules)]
+    return _titled(reduce(DataFrame.unionByName, parts))
 
 
 def rule_findings(c: Corpus, rule_id: str) -> DataFrame:
     """All findings of one rule, with COLUMNS."""
     if rule_id in EXTRA:
         return _finish(EXTRA[rule_id][2](c), rule_id)
-    parts = []
-    if rule_id in LINE_RULES:
-        rule = LINE_RULES[rule_id]
-        lines = c.flagged_lines({n: f(SPARK) for n, f in rule.flags.items()}, keep=_may_find(rule), contexts={n: "true" for n in CONTEXT_NAMES if any(n in row for row in rule.rows(SPARK))})
-        parts.append(_finish(run_sql(c, line_sql(rule, SPARK, "lines", flagged=True), lines), rule_id))
-    parts += [_finish(run_sql(c, r.sql(SPARK)), rule_id) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
-    if rule_id in taint.RULES:
-        parts.append(_finish(taint.findings(c, [rule_id]), rule_id))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _may_find(rule) -> str:
-    """Whether a rule may find anything in a file: its name fits and its text holds a literal that the rule's test needs."""
-    literals = rule.literals()
-    held = f" AND {SPARK.has('ltext', *sorted(literals))}" if literals else ""
-    return f"({rule.files(SPARK)}){held}"
+    return findings(Facts(c, frozenset([rule_id])))
 
 
 def line_findings(c: Corpus) -> DataFrame:
     """Findings of all line rules in one pass over the lines."""
-    # what depends on the file alone is judged once for each file; only files where some rule may find something have lines
-    tests = {f"in_{k.replace('-', '').lower()}": _may_find(r) for k, r in LINE_RULES.items()}
-    flags = {name: f"{_may_find(r)} AND ({f(SPARK)})" for r in LINE_RULES.values() for name, f in r.flags.items()}
-    # a context is put together in the files of the rules that look at it
-    users = {n: [t for t, r in zip(tests, LINE_RULES.values(), strict=True) if any(n in row for row in r.rows(SPARK))] for n in CONTEXT_NAMES}
-    rows = c.flagged_lines(flags | tests, keep=" OR ".join(tests.values()), contexts={n: " OR ".join(ts) for n, ts in users.items() if ts})
-    groups: dict[str, list[str]] = {}
-    for k, r in LINE_RULES.items():
-        test = f"in_{k.replace('-', '').lower()}"
-        for row in r.rows(SPARK):
-            if r.times:
-                item = f"transform({r.times(SPARK)}, x -> named_struct('rule_id', '{k}', 'severity', {row.replace('m RLIKE', 'x RLIKE')}))"
-            else:
-                item = f"array(named_struct('rule_id', '{k}', 'severity', {row}))"
-            groups.setdefault(r.skip, []).append(f"CASE WHEN {test} THEN {item} ELSE array() END")
-    arrays = [f"CASE WHEN {SKIPS[skip]} THEN flatten(array({', '.join(items)})) ELSE array() END" for skip, items in groups.items()]
-    found = F.expr(f"filter(concat({', '.join(arrays)}), f -> f.severity IS NOT NULL)")
-    out = rows.select("path", "line", F.explode(found).alias("f"))
-    titles = F.create_map(*[F.lit(v) for k in LINE_RULES for v in (k, RULES[k][1])])
-    cats = F.create_map(*[F.lit(v) for k in LINE_RULES for v in (k, RULES[k][0])])
-    rule = F.col("f.rule_id")
-    return out.select(rule.alias("rule_id"), cats[rule].alias("category"), titles[rule].alias("title"), F.col("f.severity").alias("severity"), F.col("path").alias("file_path"), F.col("line").cast("long").alias("line"), _message(titles[rule]).alias("message"))
-
-
-def all_findings(c: Corpus) -> DataFrame:
-    """Findings of every rule; what several rules read is derived once."""
-    c = c.shared()
-    parts = [line_findings(c)]
-    parts += [_finish(run_sql(c, r.sql(SPARK)), r.rule_id) for r in RELATIONAL_RULES.values()]
-    parts.append(taint.all_findings(c))
-    parts += [rule_findings(c, k) for k in EXTRA]
-    return reduce(DataFrame.unionByName, parts)
+    return _titled(scan(c, frozenset(LINE_RULES), lines_only=True).drop("fact"))
+
+
+def all_findings(c: Corpus, facts: Facts | None = None) -> DataFrame:
+    """Findings of every rule. What is kept for them goes with ``facts.release()`` of the Facts given (see ``facts_of``), or with the session's cache."""
+    facts = facts or facts_of(c)
+    return reduce(DataFrame.unionByName, [findings(facts), *(rule_findings(c, k) for k in EXTRA)])
+
+
+def facts_of(c: Corpus) -> Facts:
+    return Facts(c, frozenset(RULES), keep=True)
 
 
 def run_rules(c: Corpus, rule_ids: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(findings, errors): all rules run together, once; if that fails each runs by itself, and a failing one becomes an error row (rule_id, error)."""
     if rule_ids is None:
+        facts = facts_of(c)
         try:
-            together = all_findings(c).persist()
+            together = all_findings(c, facts).persist()
             together.count()  # a lazy plan fails only when it runs
             return together, []
         except Exception:  # noqa: BLE001, S110 - which rule it was is found out below
             pass
+        finally:
+            facts.release()
     done, errors = [], []
     for k in rule_ids or [*RULES, *EXTRA]:
         try:

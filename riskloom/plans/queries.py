@@ -14,6 +14,8 @@ from riskloom.plans import engine
 from riskloom.sources.derived import derived_corpus, duck_prefix
 
 KEY = ["rule_id", "category", "title", "severity", "file_path", "line"]
+#: Rules whose messages are part of their query.
+TOLD = ("B-1", "B-2", "B-3", "B-4", "B-6", "K-3", "K-4", "K-5")
 
 
 def _name(rule_id: str) -> str:
@@ -21,7 +23,7 @@ def _name(rule_id: str) -> str:
 
 
 def _rule(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine.rule_findings(derived_corpus(spark, sf_dir), rule_id).select(*KEY)
+    return lambda spark, sf_dir: engine.rule_findings(derived_corpus(spark, sf_dir), rule_id).select(*KEY, *(["message"] if rule_id in TOLD else []))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,22 +56,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out | {k: _report(f) for k, f in REPORTS.items()}
 
 
-def _labelled(rule_id: str, sql: str) -> str:
+def _labelled(rule_id: str, sql: str, message: bool = False) -> str:
     category, title = engine.RULES[rule_id]
-    return f"SELECT '{rule_id}' AS rule_id, '{category}' AS category, '{title}' AS title, severity, file_path, CAST(line AS BIGINT) AS line FROM ({sql}) r"
+    return f"SELECT '{rule_id}' AS rule_id, '{category}' AS category, '{title}' AS title, severity, file_path, CAST(line AS BIGINT) AS line{', message' if message else ''} FROM ({sql}) r"
 
 
-def _parts(rule_id: str) -> list[str]:
+def _parts(rule_id: str, message: bool = False) -> list[str]:
     out = [_labelled(rule_id, line_sql(LINE_RULES[rule_id], DUCK, "lines"))] if rule_id in LINE_RULES else []
     if rule_id in taint.RULES:
         out.append(_labelled(rule_id, f"SELECT severity, file_path, line FROM expected WHERE rule_id = '{rule_id}'"))
-    return out + [_labelled(rule_id, r.sql(DUCK).replace("AS STRING)", "AS VARCHAR)")) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
+    return out + [_labelled(rule_id, r.sql(DUCK).replace("AS STRING)", "AS VARCHAR)"), message) for r in RELATIONAL_RULES.values() if r.rule_id == rule_id]
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of every query; rules that need syntax trees are held against what their snippets must give (derived.EXPECTED)."""
     prefix = duck_prefix()
-    out = {_name(k): prefix + " UNION ALL ".join(_parts(k)) for k in engine.RULES}
+    out = {_name(k): prefix + " UNION ALL ".join(_parts(k, k in TOLD)) for k in engine.RULES}
 
     def over(rows: list[str]) -> str:
         return prefix.rstrip() + ", findings AS (" + " UNION ALL ".join(rows) + ")\n"

@@ -7,10 +7,8 @@ from the file row, contexts are slices of the file's own line array.
 
 from __future__ import annotations
 
-import copy
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +34,30 @@ def with_text(files: DataFrame) -> DataFrame:
     return out.drop("content")
 
 
+def split_lines(column: str):
+    """The lines of a text; a line end at the very end ends the last line."""
+    return F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(column, f"(?:{LINE_END})\\z", ""), LINE_END))
+
+
+def strip_lines(lines: str):
+    return F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE)))
+
+
+def line_struct(contexts: dict[str, str]):
+    """Function of (line, index) giving a struct (line, raw, s, contexts) from the columns ls and ss.
+
+    contexts names the contexts wanted and says of which files (a condition): null elsewhere.
+    """
+
+    def line(raw, i):
+        ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), i + 1 - a), F.least(i + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items() if n in contexts}
+        if "ctx11" in contexts:
+            ctx["ctx11"] = F.concat_ws(" ", *[F.coalesce(F.get("ss", i + k), F.lit("")) for k in (-1, 0, 1)])
+        return F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), F.get("ss", i).alias("s"), *[F.when(F.expr(contexts[n]), c).alias(n) for n, c in ctx.items()])
+
+    return line
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, files: DataFrame, repo_meta: DataFrame | None = None, advisories: DataFrame | None = None, lookup: Lookup = Lookup()):
         self.spark = spark
@@ -52,16 +74,6 @@ class Corpus:
         )
         self.repo_meta = repo_meta
         self.advisories, self.lookup = advisories, lookup
-        self.kept: dict[str, DataFrame] | None = None  # relations that queries share
-
-    def shared(self) -> Corpus:
-        """This corpus for many queries at once: files are kept in memory or on disk once read, and derived again where an executor is lost."""
-        out = copy.copy(self)
-        out.files = self.files.persist(StorageLevel.MEMORY_AND_DISK)
-        out.kept = {}
-        for name in ("lines", "lossy_lines"):
-            out.__dict__.pop(name, None)
-        return out
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -72,34 +84,15 @@ class Corpus:
     def lossy_lines(self) -> DataFrame:
         return self._lines("text_lossy")
 
-    def flagged_lines(self, flags: dict[str, str], keep: str | None = None, contexts: dict[str, str] | None = None) -> DataFrame:
-        """lines of the files where ``keep`` holds, with boolean columns that are computed once for each file.
-
-        flags and keep may use ltext, the lower-case text. contexts names the contexts wanted and
-        says of which files (a condition on the flags): null elsewhere.
-        """
-        return self._lines("text", flags, keep, contexts)
-
-    def _lines(self, column: str, flags: dict[str, str] | None = None, keep: str | None = None, contexts: dict[str, str] | None = None) -> DataFrame:
-        flags = flags or {}
-        contexts = dict.fromkeys((*CONTEXTS, "ctx11"), "true") if contexts is None else contexts
-        base = self.files.where(F.col(column).isNotNull())
-        if flags or keep:
-            # an outer explode of one struct: what is judged once for each file isn't moved into conditions below or above
-            judged = F.struct(F.expr(keep or "true").alias("__keep"), *[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
-            base = base.withColumn("ltext", F.lower(column)).select(*self.files.columns, F.explode_outer(F.array(judged)).alias("__f"))
-            base = base.where("__f.__keep").select(*self.files.columns, *[F.col(f"__f.{n}").alias(n) for n in flags])
-        # a line end at the very end ends the last line
-        arr = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(column, f"(?:{LINE_END})\\z", ""), LINE_END))
-        base = base.withColumn("ls", arr).withColumn("ss", F.transform("ls", lambda x: F.btrim(x, F.lit(SPACE))))
-
-        def line(raw, i):
-            ctx = {n: F.array_join(F.slice("ls", F.greatest(F.lit(1), i + 1 - a), F.least(i + 1, F.lit(a + 1)) + b), "\n") for n, (a, b) in CONTEXTS.items() if n in contexts}
-            if "ctx11" in contexts:
-                ctx["ctx11"] = F.concat_ws(" ", *[F.coalesce(F.get("ss", i + k), F.lit("")) for k in (-1, 0, 1)])
-            return F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), F.get("ss", i).alias("s"), *[F.when(F.expr(contexts[n]), c).alias(n) for n, c in ctx.items()])
+    def bare_lines(self, where, lossy: bool = False) -> DataFrame:
+        """(path, name, line, raw, s) of the files where a condition holds, without contexts."""
+        column = "text_lossy" if lossy else "text"
+        files = self.files.where(F.col(column).isNotNull()).where(where).select("path", "name", split_lines(column).alias("ls"))
+        return files.select("path", "name", F.posexplode("ls").alias("i", "raw")).select("path", "name", (F.col("i") + 1).cast("long").alias("line"), "raw", F.btrim("raw", F.lit(SPACE)).alias("s"))
 
-        # each line is a struct with its contexts before lines are told apart, so no row carries the file's array of lines
+    def _lines(self, column: str) -> DataFrame:
+        base = self.files.where(F.col(column).isNotNull()).withColumn("ls", split_lines(column)).withColumn("ss", strip_lines("ls"))
         files = ["path", "lpath", "name", "lname", "suffix", "text", "text_lossy"]
-        rows = base.withColumn("x", F.transform("ls", line)).select(*files, *flags, F.explode_outer("x").alias("x")).where("x is not null")
-        return rows.select(*files, "x.*", *flags)
+        # each line is a struct with its contexts before lines are told apart, so no row carries the file's array of lines
+        rows = base.withColumn("x", F.transform("ls", line_struct(dict.fromkeys((*CONTEXTS, "ctx11"), "true")))).select(*files, F.explode_outer("x").alias("x")).where("x is not null")
+        return rows.select(*files, "x.*")

@@ -40,17 +40,23 @@ TREE: list[tuple[str, list[str]]] = [
     ("ci/get{id}.sh", ["curl https://h.example/i.sh | bash", "curl https://h.example/i.sh | bash\nsha256sum -c s.txt", "wget https://h.example/f -o f.bin", "crontab -l", "docker run --cap-add=SYS_ADMIN x", "docker run --privileged x", "eval $1", "read x\nsh -c $x", "curl https://h.example/a.py | python3"]),
     (".github/workflows/w{id}.yml", [
         "steps:\n  - name: x\n    uses: acme/tool@v1\n  - uses: acme/tool@v1", "    uses: a/b@v1\n    uses: c/d@v1\n    uses: e/f\n", "    uses: a/b@v1\n" * 6, "on:\n  issue_comment:\nenv:\n  T: ${{ secrets.T }}",
-        "on:\n  pull_request_target:\n    uses: actions/checkout@v4\n    ref: ${{ github.event.pull_request.head.sha }}", "    uses: actions/download-artifact@v4", "    uses: actions/upload-artifact@v4\n    retention-days: 31", "run: docker build --network=host .",
+        "on:\n  pull_request_target:\n    uses: actions/checkout@v4\n    ref: ${{ github.event.pull_request.head.sha }}", "    uses: actions/download-artifact@v4", "    uses: actions/upload-artifact@v4\n    retention-days: 31", "    uses: actions/upload-artifact@v4\n    retention-days: " + "9" * 40, "    uses: actions/upload-artifact@v4\n    retention-days: 0030", "run: docker build --network=host .",
     ]),
     ("make{id}/Makefile", ["all:\n\tsudo make install", "x:\n\tcurl http://h.example/i | sh", "clean:\n\trm -rf / "]),
     ("img{id}/Dockerfile", ["FROM a\nUSER app\nUSER root", "FROM a", "FROM gcr.io/x/y\nUSER app", "FROM python:3.12"]),
     ("k8s/pod{id}.yaml", ["privileged: true", "- SYS_ADMIN", "- /etc:/host", "allowPrivilegeEscalation: true", "runAsUser: 0", "hostPID: true", "capabilities: [NET_ADMIN]", "hostPath:", "path: /etc", "user: root"]),
     ("doc/note{id}.md", ["see http://a.example/x and http://b.example/y", "http://localhost:1/", "token at http://a.example", "the key AKIA" + "Z" * 16, "the key AKIA" + "Z" * 16 + " example", "home grown crypto, sha1 and rc4", "-----BEGIN " + "PRIVATE KEY-----"]),
     ("docs/tls{id}.txt", ["certificate expired last week", "renew the certificate"]),
-    ("req{id}/requirements-base.txt", ["requets==1", "pytest==8", "numpy==1", "django==2.2", "flask", "urllib3==2.0.1", "pyyaml>=6 # yes", "-r other.txt", "a==1.0", "left_pad==1", "react==16.9", "setuptools==44.9.1 ; python_version < '3'"]),
+    ("req{id}/requirements-base.txt", ["requets==1", "pytest==8", "numpy==1", "django==2.2", "flask", "urllib3==2.0.1", "pyyaml>=6 # yes", "-r other.txt", "a==1.0", "left_pad==1", "react==16.9", "setuptools==44.9.1 ; python_version < '3'", "django==99999999999999999999", "flask==00000000000000000001.99999999999999999999", "react==17.00.0"]),
     ("node{id}/package.json", ['{"dependencies": {"d": "1.2.3", "e": "^1.0.0"}, "license": "UNKNOWN"}', '{"devDependencies": {"expres": "1.0.0", "left-pad": "1.0.0", "n": 3}, "licenses": [{"type": "MIT"}]}', '{"dependencies": {"u": "file:../x", "react": "16.0.0"}, "license": "MIT"}', '[1]', "{bad"]),
     ("lock{id}/poetry.lock", ['[[package]]\nname = "django"\nlicense = "GPL-2.0"', '[[package]]\nname = "flask"\nlicense = "Apache-2.0"', '[[package]]\nname = "numpy"\nlicense = "CC-BY-NC-4.0"', '[[package]]\nlicense = "MIT"']),
     ("keys{id}/id_rsa", ["x"]),
+    (".github/workflows/w{id}.my.html", ["    uses: acme/tool@v1\n    uses: a/b@v1\n    uses: c/d@v1"]),
+    (".github/workflows/w{id}.xyml", ["    uses: actions/download-artifact@v4", "on:\n  issue_comment:", "    uses: acme/tool"]),
+    ("tree{id}/package-lock.json", [
+        '{"packages": {"top": {"name": "top", "license": "MIT"}, "node_modules/d": {"license": "MIT"}, "node_modules/e": {"version": "1"}}}', '{"packages": {"node_modules/@s/react": {"name": "react", "license": "AGPL-3.0 OR MIT"}, "node_modules/z": {"license": 3}}}',
+        '{"dependencies": {"expres": {"license": "GPL-3.0-only"}, "left-pad": {"license": ""}, "n": 1}}', '{"packages": {"node_modules/u": {"license": "for personal use only"}}, "dependencies": {"u": {"license": "UNLICENSED"}}}', "[]", "{",
+    ]),
 ]
 #: (suffix, snippet, rule, severity, line in the snippet) of the findings of A-1 to A-8 that need a syntax tree or state
 EXPECTED = [
@@ -161,9 +167,19 @@ def duck_prefix() -> str:
   SELECT *, sum(CASE WHEN s = '[[package]]' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS block FROM lines WHERE name = 'poetry.lock'
 ), named AS (
   SELECT *, last_value(CASE WHEN regexp_matches(s, '^name\\s*=\\s*"[^"]+"\\s*$') THEN lower(regexp_extract(s, '^name\\s*=\\s*"([^"]+)"', 1)) END IGNORE NULLS) OVER (PARTITION BY path, block ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM lock
+), pl AS (
+  SELECT path, CASE WHEN json_valid(text) THEN CAST(text AS JSON) END AS j FROM files WHERE name = 'package-lock.json'
+), pl_items AS (
+  SELECT path, 0 AS part, k, '$.packages."' || k || '"' AS spot, j FROM (SELECT path, j, unnest(json_keys(j, '$.packages')) AS k FROM pl WHERE json_type(j, '$.packages') = 'OBJECT')
+  UNION ALL SELECT path, 1, k, '$.dependencies."' || k || '"', j FROM (SELECT path, j, unnest(json_keys(j, '$.dependencies')) AS k FROM pl WHERE json_type(j, '$.dependencies') = 'OBJECT')
 ), dep_licenses AS (
-  SELECT p AS package, regexp_extract(s, '^license\\s*=\\s*"([^"]*)"', 1) AS license_expr, path AS file_path, line, path || '/' || line AS ord FROM named
+  SELECT p AS package, regexp_extract(s, '^license\\s*=\\s*"([^"]*)"', 1) AS license_expr, path AS file_path, line, 2 AS part FROM named
   WHERE regexp_matches(s, '^license\\s*=\\s*"[^"]+"\\s*$') AND p IS NOT NULL
+  UNION ALL
+  SELECT lower(trim(package)), license_expr, path, NULL, part FROM (
+    SELECT path, part, CASE WHEN part = 1 THEN k ELSE coalesce(nullif(trim(CASE WHEN json_type(j, spot || '.name') = 'VARCHAR' THEN json_extract_string(j, spot || '.name') END), ''), CASE WHEN starts_with(k, 'node_modules/') THEN substr(k, 14) END) END AS package,
+           CASE WHEN json_type(j, spot || '.license') = 'VARCHAR' THEN trim(json_extract_string(j, spot || '.license')) END AS license_expr
+    FROM pl_items WHERE json_type(j, spot) = 'OBJECT') WHERE trim(package) <> '' AND license_expr <> ''
 ), imports AS (
   SELECT DISTINCT 'node' AS ecosystem, replace(lower(CASE WHEN n LIKE '@%' THEN array_to_string(string_split(n, '/')[1:2], '/') ELSE string_split(n, '/')[1] END), '_', '-') AS name
   FROM (SELECT unnest(regexp_extract_all(text, {DUCK.lit(JS_IMPORT)}, 1)) AS n FROM files WHERE regexp_matches(name, '\\.(?:js|jsx|ts|tsx|mjs|cjs)$')) WHERE n NOT LIKE '.%'

@@ -21,7 +21,7 @@ def _not_vendored(df: DataFrame) -> DataFrame:
 
 
 def python_deps(c: Corpus) -> DataFrame:
-    rows = c.lines.where(F.col("name").startswith("requirements") & F.col("name").endswith(".txt") & (F.col("s") != "") & ~F.col("s").startswith("#"))
+    rows = c.bare_lines(F.col("name").startswith("requirements") & F.col("name").endswith(".txt")).where((F.col("s") != "") & ~F.col("s").startswith("#"))
     rows = rows.select("path", "line", F.trim(F.substring_index("s", " #", 1)).alias("l")).where(~F.col("l").rlike(r"^(?:-r |--requirement|-c |--constraint)"))
     found = F.col("l").rlike(_OPERATOR)
     name = F.trim(F.when(found, F.regexp_extract("l", rf"^(.*?){_OPERATOR}", 1)).otherwise(F.col("l")))
@@ -56,12 +56,16 @@ def deps(c: Corpus) -> DataFrame:
     return python_deps(c).unionByName(node_deps(c))
 
 
-def imports(c: Corpus, py_imports: DataFrame) -> DataFrame:
-    """(ecosystem, name), distinct; py_imports(name) comes from the syntax trees."""
-    js = _not_vendored(c.files.where(F.col("name").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")))
-    js = js.select(F.explode(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(1))).alias("n")).where(~F.col("n").startswith("."))
-    parts = F.when(F.col("n").startswith("@"), F.substring_index("n", "/", 2)).otherwise(F.substring_index("n", "/", 1))
-    return py_imports.select(F.lit("python").alias("ecosystem"), F.lower("name").alias("name")).union(js.select(F.lit("node"), F.lower(normalize(parts)))).distinct()
+def js_imports():
+    """Array of the package names that a script imports, from columns path, name and text; empty for other files."""
+    script = F.col("name").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$") & ~F.concat(F.lit("/"), "path").contains("/node_modules/")
+    found = F.filter(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(1)), lambda n: ~n.startswith("."))
+    names = F.transform(found, lambda n: F.lower(normalize(F.when(n.startswith("@"), F.substring_index(n, "/", 2)).otherwise(F.substring_index(n, "/", 1)))))
+    return F.when(script & F.col("text").isNotNull(), F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
+
+
+#: Files whose whole text the relations above need.
+MANIFEST = "(startswith(name, 'requirements') AND endswith(name, '.txt')) OR name IN ('package.json', 'package-lock.json', 'poetry.lock') OR path = 'pyproject.toml'"
 
 
 def _squeeze(x):
@@ -94,7 +98,7 @@ def dep_licenses(c: Corpus) -> DataFrame:
     flat = _object_items(j, "dependencies").where(F.schema_of_variant("value").startswith("OBJECT"))
     flat = flat.select(F.col("key").alias("p"), value("license").alias("l"), "path", none.alias("line"), F.lit(1).alias("part"))
     # poetry.lock: the name in force carries forward inside its package block
-    lock = c.lossy_lines.where(F.col("name") == "poetry.lock")
+    lock = c.bare_lines(F.col("name") == "poetry.lock", lossy=True)
     by_line = Window.partitionBy("path").orderBy("line")
     lock = lock.withColumn("block", F.sum(F.when(F.col("s") == "[[package]]", 1).otherwise(0)).over(by_line))
     named = F.when(F.col("s").rlike(r'^name\s*=\s*"([^"]+)"\s*$'), F.lower(F.trim(F.regexp_extract("s", r'^name\s*=\s*"([^"]+)"', 1))))
