@@ -1,6 +1,6 @@
 """The rule registry and the plans that run it.
 
-``all_findings`` reads every file once (file_pass.scan) and keeps what the pass leaves, which
+``all_findings`` reads every file once (file_pass.scan) and writes what the pass leaves, which
 the rules over tables select from. ``rule_findings`` is the same pass for one rule, and asks
 of the files only what that rule needs.
 """
@@ -71,7 +71,7 @@ def line_findings(c: Corpus) -> DataFrame:
 
 
 def all_findings(c: Corpus, facts: Facts | None = None) -> DataFrame:
-    """Findings of every rule. What is kept for them goes with ``facts.release()`` of the Facts given (see ``facts_of``), or with the session's cache."""
+    """Findings of every rule; the pass over the files is run at once. What it writes goes with ``facts.release()`` of the Facts given (see ``facts_of``)."""
     facts = facts or facts_of(c)
     return reduce(DataFrame.unionByName, [findings(facts), *(rule_findings(c, k) for k in EXTRA)])
 
@@ -83,15 +83,15 @@ def facts_of(c: Corpus) -> Facts:
 def run_rules(c: Corpus, rule_ids: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(findings, errors): all rules run together, once; if that fails each runs by itself, and a failing one becomes an error row (rule_id, error)."""
     if rule_ids is None:
-        facts = facts_of(c)
+        facts = None
         try:
+            facts = facts_of(c)
             together = all_findings(c, facts).persist()
             together.count()  # a lazy plan fails only when it runs
             return together, []
         except Exception:  # noqa: BLE001, S110 - which rule it was is found out below
-            pass
-        finally:
-            facts.release()
+            if facts is not None:
+                facts.release()
     done, errors = [], []
     for k in rule_ids or [*RULES, *EXTRA]:
         try:

@@ -4,16 +4,19 @@
 file rules and the taint rules, and (2) at most one row of facts: a bit set for the rules
 about the corpus, the names it imports, and the text of a manifest. Lines are generated from
 the file's row, so nothing is shuffled. What comes out holds no text but that of manifests and is
-small beside the files; ``Facts`` keeps it, where several rules are run, for the tables that
-are derived from it (see table_rules).
+small beside the files; ``Facts`` writes it, where several rules are run, to the shared folder
+for the tables that are derived from it (see table_rules).
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import cache, cached_property
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.dialect import SPARK
@@ -138,22 +141,46 @@ def _line_items(lines: dict[str, LineRule]) -> str:
     return f"filter(concat({', '.join(arrays)}), v -> v.severity IS NOT NULL)"
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="riskloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where driver and executors are one process."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not given and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return given or _own_folder()
+
+
 class Facts:
-    """The scan of a corpus for some rules, and the tables derived from it. ``keep``: they are kept once they are worked out, until ``release``."""
+    """The scan of a corpus for some rules, and the tables derived from it.
+
+    keep: the scan and the tables are written once to the shared folder (so plans over them are
+    short, and lost executors lose nothing), until ``release``; otherwise all is lazy.
+    """
 
     def __init__(self, c: Corpus, rules: frozenset[str], keep: bool = False):
         self.c, self.rules, self.keep = c, rules, keep
-        self.kept: list[DataFrame] = []
+        self.kept: list[str] = []
         self.rows = self._held(scan(c, rules))
 
     def _held(self, df: DataFrame) -> DataFrame:
-        if self.keep:
-            self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+        if not self.keep:
+            return df
+        self.kept.append(f"{shared_folder(self.c.spark)}/facts-{uuid.uuid4().hex}")
+        df.write.parquet(self.kept[-1])
+        return self.c.spark.read.schema(df.schema).parquet(self.kept[-1])
 
     def release(self) -> None:
-        for df in self.kept:
-            df.unpersist()
+        """Delete what has been written; nothing that was derived from it can be read any more."""
+        for path in self.kept:
+            where = self.c.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.c.spark._jsc.hadoopConfiguration()).delete(where, True)
         self.kept.clear()
 
     @cached_property

@@ -186,8 +186,9 @@ def test_fused_equals_single_rules(spark):
     from riskloom.operators.line_rules import LINE_RULES, line_sql
 
     single = []
+    c.lines.createOrReplaceTempView("lines_of_test")
     for k in ("D-2", "H-1", "C-8", "E-1", "L-2", "A-2"):
-        single += [str(r) for r in engine.run_sql(c, line_sql(LINE_RULES[k], SPARK, "lines")).select("rule_id", "severity", "file_path", "line").collect()]
+        single += [str(r) for r in spark.sql(line_sql(LINE_RULES[k], SPARK, "lines_of_test")).select("rule_id", "severity", "file_path", "line").collect()]
     wanted = [r for r in fused if any(f"rule_id='{k}'" in r for k in ("D-2", "H-1", "C-8", "E-1", "L-2", "A-2"))]
     assert sorted(single) == wanted
 
@@ -293,3 +294,68 @@ def test_rules_find_nothing_where_their_test_fails(spark, starts):
         dummy = ", ".join([*(f"'' AS {c}" for c in columns), *(f"true AS {f}" for f in rule.flags)])
         for row in rule.rows(Assumed(set(recorder.patterns))):
             assert spark.sql(f"SELECT {row} AS severity FROM (SELECT {dummy})").first()["severity"] is None, rule.rule_id
+
+
+# ---------------------------------------------------------------- one pass, numbers and names of any kind
+
+
+def test_workflow_names(spark):
+    """*.y*ml: neither a dot somewhere before a y nor a suffix that merely holds one."""
+    text = "uses: acme/tool\nuses: a/b@v1\nuses: c/d@v1\nuses: actions/download-artifact@v4\non:\n  issue_comment:\n"
+    names = ["a.my.html", "c.xyml", "d.yaml.txt", "ok.yml", "ok.yaml", "sub/ok.y.ml", "ok.ymsml"]
+    for rule in ("C-2", "C-3", "C-5", "C-6"):
+        got = {p for p, _, _ in _rows(spark, [(f".github/workflows/{n}", text) for n in names], rule)}
+        assert got == {f".github/workflows/{n}" for n in names if "ok." in n}, rule
+
+
+def test_long_numbers(spark):
+    req = [("requirements.txt", "django==99999999999999999999\nflask==00000000000000000001.99999999999999999999\nflask==0000002\nreact==17.00.0\nreact==16.99999999999999999999")]
+    assert _rows(spark, req, "B-4") == [("requirements.txt", 2, "Medium"), ("requirements.txt", 3, "Medium"), ("requirements.txt", 5, "Medium")]
+    for days, n in (("9" * 40, 1), ("0030", 0), ("31", 1), ("00000000000000000031", 1), ("30", 0)):
+        assert len(_rows(spark, [(".github/workflows/a.yml", f"uses: actions/upload-artifact@v4\nretention-days: {days}")], "C-6")) == n, days
+
+
+def test_long_workflow(spark):
+    text = "".join(f"- run: step {i}\n" for i in range(8000)) + "uses: actions/download-artifact@v4\nretention-days: 7\nuses: actions/upload-artifact@v4\nretention-days: 99\n"
+    assert _rows(spark, [(".github/workflows/a.yml", text)], "C-6") == [(".github/workflows/a.yml", 8001, "High"), (".github/workflows/a.yml", 8001, "Medium")]
+    assert _rows(spark, [(".github/workflows/a.yml", text + "run: cosign verify x")], "C-6") == [(".github/workflows/a.yml", 8001, "Medium")]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """The pass for all rules has one scan and no shuffle; what the rules over tables read is what it has written."""
+    from riskloom.plans.file_pass import Facts, scan
+
+    rows = [(f"{i}/{c[1]}", c[2]) for i, c in enumerate(CASES)] + [("requirements.txt", "zzz"), ("poetry.lock", '[[package]]\nname = "a"\nlicense = "GPL-2.0"')]
+    spark.createDataFrame(rows, "path string, text string").write.parquet(f"{tmp_path}/files")
+    c = Corpus(spark, spark.read.parquet(f"{tmp_path}/files"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    whole = plan(scan(c, frozenset(engine.RULES)))
+    assert whole.count("FileScan") == 1 and "Exchange" not in whole
+    facts = engine.facts_of(c)
+    both = plan(engine.all_findings(c, facts))
+    assert "/files]" not in both and "facts-" in both
+    assert {r["rule_id"] for r in engine.all_findings(c, facts).collect()} >= {"K-3", "B-1", "K-4", "J-2", "G-7"}
+    facts.release()
+    lazy = Facts(c, frozenset({"C-3"}))
+    assert lazy.kept == [] and plan(lazy.found).count("FileScan") == 1
+
+
+def test_contexts_only_where_read(spark):
+    from riskloom.plans.file_pass import scan
+
+    c = Corpus(spark, spark.createDataFrame([("a.pem", "x")], "path string, text string"))
+    for rule in ("F-5", "B-2", "C-6", "J-2"):
+        assert "array_join" not in scan(c, frozenset([rule]))._jdf.queryExecution().optimizedPlan().toString(), rule
+    assert scan(c, frozenset(["G-7"]))._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+def test_copyleft_examples(spark):
+    """The first three by place, tokens in order; package-lock names from the name, else the key."""
+    lock = '{"packages": {"": {"name": "own", "license": "GPL-3.0"}, "node_modules/z": {"name": " Zed ", "license": "(GPL-2.0 OR AGPL-3.0)"}, "node_modules/@s/y": {"license": "agpl-3.0-only"}, "node_modules/m": {"license": "MIT"}, "x": {"license": "GPL-2.0"}}, "dependencies": {"w": {"license": "GPL-3.0-only"}, "v": 1}}'
+    c = Corpus(spark, spark.createDataFrame([("package-lock.json", lock), ("poetry.lock", '[[package]]\nname = "q"\nlicense = "GPL-2.0"')], "path string, text string"))
+    (row,) = engine.rule_findings(c, "K-3").collect()
+    assert row["message"] == "strong copyleft among the dependencies (zed: AGPL-3.0, GPL-2.0; own: GPL-3.0; @s/y: AGPL-3.0-ONLY)"
+    assert [r["severity"] for r in engine.rule_findings(Corpus(spark, spark.createDataFrame([("node_modules/a/package-lock.json", lock)], "path string, text string")), "K-3").collect()] == []
