@@ -45,6 +45,8 @@ JS_BINDING = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(.+)$"
 JS_RENAMED_IMPORT = r"(?:execFileSync|execFile|execSync|exec|spawnSync|spawn|fork)\s+as\s+([A-Za-z_$][\w$]*)"
 JS_RENAMED_PART = r"(?:execFileSync|execFile|execSync|exec|spawnSync|spawn|fork)\s*:\s*([A-Za-z_$][\w$]*)"
 JS_SHELL_OPTION = r"\{[^}]*\bshell\s*:\s*true\b[^}]*\}"
+JS_NAME = r"[A-Za-z_$][\w$]*"
+JS_SHELL_TRUE = ("shell: true", "shell:true")
 JS_FILE_CALL = r"\b(?:execFile|execFileSync|fork)\s*\("
 JS_HELPER_CALL = r"\b(?:shelljs\.)?exec\s*\(|\bexeca\.command(?:Sync)?\s*\("
 

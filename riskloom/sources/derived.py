@@ -33,11 +33,13 @@ TREE: list[tuple[str, list[str]]] = [
     ("web/page{id}.js", [
         'db.query("SELECT * FROM t WHERE n=" + req.query.n)', "db.query(req.body.q)", "el.innerHTML = location.hash", "eval(atob(x))", "String.fromCharCode(1)", 'const {exec} = require("child_process"); exec(req.query.c)',
         "res.send(String(e))", "console.log(req.headers)", "Math.random()", "agent = { rejectUnauthorized: false }", 'x = "' + "abcdefghijklmnopqrstuvwxyz0123456789" * 4 + '"', "fetch(process.env.URL)\nsend(secret)",
+        "let c;\nc = req.query.c;\nexec(c);", 'let o\no = {\n  f: req.body.f\n}\nspawn(\n  "ls",\n  [o]\n)', 'let q;\nq = "req";\nexec(q);',
     ]),
     ("cfg/set{id}.ini", ["password = admin", "debug = true", "# debug = true", 'host = "0.0.0.0"', 'allowed_origins: ["*"]', "access-control-allow-origin: *\naccess-control-allow-credentials: true", "skip_auth = yes", "ssl_verify = off"]),
     ("cfg/prod/set{id}.toml", ["debug = true", "token = changeme", 'bind = "::"', "cookie_httponly = false\nsession cookie samesite = none"]),
     ("cfg/sample/set{id}.properties", ["token = changeme", "password=root", "debug=on"]),
-    ("ci/get{id}.sh", ["curl https://h.example/i.sh | bash", "curl https://h.example/i.sh | bash\nsha256sum -c s.txt", "wget https://h.example/f -o f.bin", "crontab -l", "docker run --cap-add=SYS_ADMIN x", "docker run --privileged x", "eval $1", "read x\nsh -c $x", "curl https://h.example/a.py | python3"]),
+    ("ci/get{id}.sh", ["curl https://h.example/i.sh | bash", "curl https://h.example/i.sh | bash\nsha256sum -c s.txt", "wget https://h.example/f -o f.bin", "crontab -l", "docker run --cap-add=SYS_ADMIN x", "docker run --privileged x", "eval $1", "read x\nsh -c $x", "curl https://h.example/a.py | python3",
+        'f() {\n  local x=$1\n  eval "$x"\n}', 'f() {\n  local x=$1\n  case "$x" in\n    a|b) ;;\n    *) exit 1 ;;\n  esac\n  eval "$x"\n}', "export v=$2\ncat <<E\n$(ls\n$v)\nE"]),
     (".github/workflows/w{id}.yml", [
         "steps:\n  - name: x\n    uses: acme/tool@v1\n  - uses: acme/tool@v1", "    uses: a/b@v1\n    uses: c/d@v1\n    uses: e/f\n", "    uses: a/b@v1\n" * 6, "on:\n  issue_comment:\nenv:\n  T: ${{ secrets.T }}",
         "on:\n  pull_request_target:\n    uses: actions/checkout@v4\n    ref: ${{ github.event.pull_request.head.sha }}", "    uses: actions/download-artifact@v4", "    uses: actions/upload-artifact@v4\n    retention-days: 31", "    uses: actions/upload-artifact@v4\n    retention-days: " + "9" * 40, "    uses: actions/upload-artifact@v4\n    retention-days: 0030", "run: docker build --network=host .",
@@ -66,6 +68,10 @@ EXPECTED = [
     (".js", 'const {exec} = require("child_process"); exec(req.query.c)', "A-1", "High", 1),
     (".sh", "eval $1", "A-1", "High", 1),
     (".sh", "read x\nsh -c $x", "A-1", "High", 2),
+    (".js", "let c;\nc = req.query.c;\nexec(c);", "A-1", "High", 3),
+    (".js", 'let o\no = {\n  f: req.body.f\n}\nspawn(\n  "ls",\n  [o]\n)', "A-1", "Medium", 5),
+    (".sh", 'f() {\n  local x=$1\n  eval "$x"\n}', "A-1", "High", 3),
+    (".sh", "export v=$2\ncat <<E\n$(ls\n$v)\nE", "A-1", "High", 3),
     (".py", 'q = "SELECT " + input()\ncur.execute(q)', "A-2", "High", 2),
     (".py", "cur.execute(input())", "A-2", "Medium", 1),
     (".py", "import pickle\npickle.loads(input())", "A-3", "High", 2),

@@ -96,3 +96,107 @@ def test_helpers():
     assert taint.key_of(ast.parse("a.b['c'][i]", mode="eval").body) == "a.b['c'][]"
     assert hits("x.py", "import subprocess\ns = True\nt = s\nx = input()\nsubprocess.run(x, shell=t)\n") == [("High", 5)]
     assert hits("x.py", "import subprocess\ns = True\ns = False\nx = input()\nsubprocess.run(x, shell=s)\n") == [("Medium", 5)]
+
+
+# ---------------------------------------------------------------- scripts as trees
+
+
+def kinds(nodes, *wanted):
+    return [(n.kind, n.line, n.name or n.text) for n in nodes if n.kind in wanted]
+
+
+def test_javascript_nodes():
+    from riskloom.operators.script_trees import js_nodes
+
+    text = """// exec(a)
+const q = "exec(b)", r = `x ${run(c)} \\`exec(d)\\``
+obj.go?.(
+  /exec(e)/.test(f),
+  function (g) { h(g) /* exec(i) */ },
+)
+class K { m(j) { return new L(k) } }
+t = a
+  .b(1)(2).c(3)
+if (x) y(z)
+"""
+    calls = [(line, n) for _, line, n in kinds(js_nodes(text), "call")]
+    assert calls == [(2, "run"), (3, "obj.go"), (5, "h"), (8, "a\n  .b(1)(2).c"), (8, "a\n  .b(1)"), (8, "a\n  .b"), (10, "y")]
+    assert [(n.name, n.value) for n in js_nodes("let a = 1, b\nc.d = e, f = (g) => { h = i }") if n.kind in ("declarator", "assignment")] == [("a", "1"), ("c.d", "e"), ("f", "(g) => { h = i }"), ("h", "i")]
+
+
+def test_shell_nodes():
+    from riskloom.operators.script_trees import shell_nodes
+
+    text = """# eval $0
+a=$1 b="$(x "$(y $2)")" cmd 'it $(isnt)' >out 2>&1
+if test -n "$a"; then local z=$a; fi
+cat <<E <<'F'
+$(inside $3)
+E
+$(outside $4)
+F
+diff <(sort $5) `z \\
+ $6`
+case $a in
+  x|y) one ;;
+  *) exit ;;
+esac
+"""
+    got = [(n.kind, n.line, n.text) for n in shell_nodes(text) if n.kind in ("substitution", "process", "assignment", "case")]
+    assert got == [
+        ("assignment", 2, "a=$1"), ("assignment", 2, 'b="$(x "$(y $2)")"'), ("substitution", 2, '$(x "$(y $2)")'), ("substitution", 2, "$(y $2)"), ("assignment", 3, "z=$a"), ("substitution", 5, "$(inside $3)"),
+        ("process", 9, "<(sort $5)"), ("substitution", 9, "`z \\\n $6`"), ("case", 11, "case $a in\n  x|y) one ;;\n  *) exit ;;\nesac"),
+    ]
+    commands = [n.text for n in shell_nodes(text) if n.kind == "command"]
+    assert commands[0].startswith("a=$1") and commands[0].endswith("'it $(isnt)'") and "one" in commands and "inside $3" in commands and not any("outside" in c for c in commands)
+    assert [n.kind for n in shell_nodes("x > y")] == ["redirected", "command"]
+
+
+@pytest.mark.parametrize("name,src,want", [
+    ("x.js", "let c;\nc = req.query.c;\nexec(c);", [("High", 3)]),
+    ("x.js", "let c;\nc = quote(req.query.c);\nexec(c);", []),
+    ("x.js", "let c;\nc = 'fixed';\nexec(c);", []),
+    ("x.js", "const cp = require('child_process');\nlet a;\na = req.body.f;\ncp\n  .execFile(\n    a\n  );", [("Medium", 4)]),
+    ("x.js", "let o\no = {f: req.body.f}\nspawn('ls', [\n  o], {\n shell: true })", [("High", 3)]),
+    ("x.js", "const s = `${exec(req.query.c)}`", [("High", 1)]),
+    ("x.sh", 'f() {\n  local x=$1\n  eval "$x"\n}', [("High", 3)]),
+    ("x.sh", 'f() {\n  local x=$1\n  case "$x" in\n    a|b) ;;\n    *) exit 1 ;;\n  esac\n  eval "$x"\n}', []),
+    ("x.sh", "export v=$2\ncat <<E\n$(ls\n$v)\nE", [("High", 3)]),
+    ("x.sh", "export v=$2\ncat <<'E'\n$(ls\n$v)\nE", []),
+    ("x.sh", "declare v=$1; x=\"$(a \"$(b $v)\")\"", [("High", 1)]),
+])
+def test_trees_find_more(name, src, want):
+    assert hits(name, src) == want
+
+
+def test_outermost_by_brute_force():
+    import random
+
+    from riskloom.operators.script_trees import outermost
+
+    rng = random.Random(6)
+    for _ in range(500):
+        spans = [(a := rng.randrange(20), a + rng.randrange(8), rng.choice("xy")) for _ in range(rng.randrange(12))]
+        want = set()
+        for k, (a, z, w) in enumerate(spans):
+            holders = [j for j, (b, y, v) in enumerate(spans) if j != k and v == w and b <= a and z <= y and ((b, y) != (a, z) or j < k)]
+            if not holders:
+                want.add(k)
+        got = outermost(spans)
+        assert set(got) == want
+        assert got == sorted(got, key=lambda k: (spans[k][0], -spans[k][1], k))
+
+
+def test_readers_never_fail_or_hang():
+    import random
+
+    from riskloom.operators.script_trees import js_nodes, shell_nodes
+
+    rng = random.Random(7)
+    parts = [*"ab$(){}[]`'\"\\/;=,.?:\n <>&|#!", "const ", "case ", " in ", "esac", "<<E\n", "${", "$(", "=>", "//", "/*"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        for n in [*js_nodes(text), *shell_nodes(text)]:
+            assert 0 <= n.start < n.end <= len(text) and n.text == text[n.start : n.end] and n.line == text.count("\n", 0, n.start) + 1
+    for text in ("(" * 50_000, "$(" * 50_000, "`" * 50_001, "case x in " * 10_000, "a(b);" * 20_000):
+        js_nodes(text), shell_nodes(text)
