@@ -17,8 +17,8 @@ a hash of their rows, and each batch is broadcast: its bytes are bounded by
 QUERY_BYTES, so are the cutoffs; a batch is two passes over the candidates. A task
 keeps k entries a query and list.
 
-Edge cases: vectors that are null, empty or hold a null or a non-finite component (or
-one that scale makes so) take no part; rows that repeat vec_id and vector count once; unlike vectors under one
+Edge cases: vectors that are null or hold a null or a non-finite component (or
+one that scale makes so) take no part; an empty vector scores 0 with everything; rows that repeat vec_id and vector count once; unlike vectors under one
 vec_id are rows of their own: each is a candidate, and as queries their results are
 ranked together; a row never meets one of its own vec_id; vectors of unlike length are
 padded with zeros; ties go to the smaller vec_id; with fewer than k candidates all are
@@ -191,7 +191,7 @@ def valid_vectors(vectors: DataFrame, scale: float) -> DataFrame:
         y = x.cast("double") * F.lit(float(scale))
         return y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
 
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     return vectors.where(good & ~F.exists("embedding", bad)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct()
 
 
@@ -240,12 +240,12 @@ OP9_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, embedding
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), f AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM v
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = 0 OR len(c.e) = 0 THEN 0 ELSE CAST(list_dot_product(q.e, c.e) AS BIGINT) END AS score
   FROM f q JOIN f c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
 ), r AS (

@@ -11,7 +11,7 @@ def brute(rows, k, is_query):
     """Plain loops over distinct valid rows."""
     good = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (i, tuple(v)) not in good:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (i, tuple(v)) not in good:
             good.append((i, tuple(v)))
     out = {}
     for i, v in good:
@@ -62,6 +62,8 @@ def test_empty_and_few(spark):
     assert run(spark.createDataFrame([(0, [1.0]), (1, [2.0])], SCHEMA), 5, "vec_id = 0") == {0: [(1, 1, 64 * 128)]}
     assert run(spark.createDataFrame([], SCHEMA), 5) == {}
     assert run(spark.createDataFrame([(1, [1.0])], SCHEMA), 5) == {}
+    assert run(spark.createDataFrame([(0, []), (1, []), (2, [1.0])], SCHEMA), 5, "vec_id < 2") == {0: [(1, 1, 0), (2, 2, 0)], 1: [(1, 0, 0), (2, 2, 0)]}
+    assert run(spark.createDataFrame([(0, []), (1, [])], SCHEMA), 5, "vec_id = 0") == {0: [(1, 1, 0)]}
     named = spark.createDataFrame([(0, [1.0], "a", 3), (1, [2.0], "b", 4)], SCHEMA + ", q string, rank int")
     assert run(named, 5, "vec_id = 0") == {0: [(1, 1, 64 * 128)]}
 
