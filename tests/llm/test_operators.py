@@ -300,7 +300,7 @@ def test_packing(spark):
 def test_sum_of_squares_choice():
     s = packing.SumOfSquares(10)
     for n in (6, 6, 3, 4):
-        s.place((0, 0, np.zeros(n, np.uint32), n))
+        s.place(packing.Piece(0, 0, n, n, np.zeros(n, np.uint32)))
     # 3 goes on a 6 (levels 9 and 6) and 4 then fills the other 6
     assert len(s.done) == 1 and sorted(s.open) == [9]
 

@@ -1,6 +1,7 @@
 """The sum-of-squares rule by definition, its memory bound, and token ids character by character."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -39,8 +40,8 @@ def test_rule_by_definition():
         sizes = [rng.randint(1, 24) for _ in range(150)]
         state = packing.SumOfSquares(24)
         for k, n in enumerate(sizes):
-            state.place((k, 0, np.zeros(n, np.uint32), n))
-        got = sorted([p[0] for p in w] for w in [*state.done, *(w for ws in state.open.values() for w in ws)])
+            state.place(packing.Piece(k, 0, n, n, np.zeros(n, np.uint32)))
+        got = sorted([p.doc for p in w] for w in [*state.done, *(w for ws in state.open.values() for w in ws)])
         want = by_definition(sizes, 24)
         # windows of one level are alike to the rule: their sizes and number agree
         assert sorted(sum(sizes[i] for i in w) for w in got) == sorted(sum(sizes[i] for i in w) for w in want)
@@ -50,10 +51,10 @@ def test_rule_by_definition():
 def test_many_open_windows_keep_the_rule():
     state = packing.SumOfSquares(100)
     for k in range(5000):
-        state.place((k, 0, np.zeros(51, np.uint32), 51))
+        state.place(packing.Piece(k, 0, 51, 51, np.zeros(51, np.uint32)))
     assert state.n_open == 5000 and not state.done
     for k in range(5000):
-        state.place((k, 0, np.zeros(49, np.uint32), 49))
+        state.place(packing.Piece(k, 0, 49, 49, np.zeros(49, np.uint32)))
     assert len(state.done) == 5000 and state.n_open == state.held == 0
 
 
@@ -63,11 +64,29 @@ def test_held_ids_are_bounded():
     for k in range(3000):
         n = rng.randint(40, 70)
         total += n
-        state.place((k, 0, np.zeros(n, np.uint32), n))
+        state.place(packing.Piece(k, 0, n, n, np.zeros(n, np.uint32)))
         assert state.held <= 1000
     state.finish()
-    assert sum(len(p[2]) for w in state.done for p in w) == total and not state.n_open
-    assert all(sum(len(p[2]) for p in w) <= 100 for w in state.done)
+    assert sum(p.size for w in state.done for p in w) == total and not state.n_open and not state.held
+    assert all(sum(p.size for p in w) <= 100 for w in state.done)
+
+
+def test_rule_holds_beyond_the_bound():
+    """Windows without ids stay open to the rule: the same windows get full, and no piece changes but for the last cuts."""
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 70) for _ in range(2000)]
+    states = packing.SumOfSquares(100), packing.SumOfSquares(100, max_held=200)
+    for k, n in enumerate(sizes):
+        for state in states:
+            state.place(packing.Piece(k, 0, n, n, np.full(n, k, np.uint32)))
+    shape = [([[p.doc for p in w] for w in s.done], {x: [[p.doc for p in w] for w in ws] for x, ws in s.open.items()}) for s in states]
+    assert shape[0] == shape[1]
+    for state in states:
+        state.finish()
+        got = sorted((p.doc, p.start, p.size, p.checksum()) for w in state.done for p in w)
+        assert [g[0] for g in got if g[1] == 0] == list(range(2000)) and sum(g[2] for g in got) == sum(sizes)
+        assert all(c == zlib.crc32(np.full(n, d, "<u4").tobytes()) for d, _, n, c in got)
+        assert all(sum(p.size for p in w) <= 100 for w in state.done)
 
 
 def test_ids_of_every_letter():
