@@ -155,3 +155,124 @@ def test_retries():
     calls.clear()
     with pytest.raises(OSError):
         targets.retried(call, 1, pauses.append)
+
+
+def test_archive_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Planning parses the directory once; a partition's reads stay inside its entries."""
+    import random
+
+    from riskloom.sources import tree
+
+    rng = random.Random(1)
+    texts = {f"top/d{i % 3}/f{i}.bin": rng.randbytes(2000) if i % 2 else b"abc" * 5000 for i in range(30)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i, (name, data) in enumerate(texts.items()):
+            z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if i % 5 == 0 else zipfile.ZIP_DEFLATED)
+    monkeypatch.setattr(tree, "ARCHIVE_BYTES", 4000)
+    reader = tree._Reader({"path": str(tmp_path / "a.zip")}, True)
+    parts = reader.partitions()
+    assert len(parts) > 4
+    monkeypatch.setattr(tree.zipfile, "ZipFile", lambda *a: pytest.fail("a reader opened the archive as a whole"))
+    real, spans = open, []
+
+    class Watched:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            spans.append((self.f.tell(), self.f.tell() + n))
+            return self.f.read(n)
+
+    monkeypatch.setattr("builtins.open", lambda path, *a, **k: Watched(real(path, *a, **k)) if str(path).endswith("a.zip") else real(path, *a, **k))
+    got, ends = {}, 0
+    for p in parts:
+        spans.clear()
+        got |= {path: data for path, _, data in reader.read(p)}
+        if spans:
+            assert min(s for s, _ in spans) >= ends
+            ends = max(e for _, e in spans)
+    assert got == {k.removeprefix("top/"): v for k, v in texts.items()}
+
+
+def test_damaged_archive(tmp_path):
+    from riskloom.sources import tree
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a", b"x" * 100)
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    data[40] ^= 1
+    (tmp_path / "a.zip").write_bytes(bytes(data))
+    reader = tree._Reader({"path": str(tmp_path / "a.zip")}, True)
+    with pytest.raises(UnsafeArchive):
+        [row for p in reader.partitions() for row in reader.read(p)]
+
+
+def _tree(top):
+    names = [".env", "a.py", "src/b.py", "src/c.js", "src/deep/er/d.py", "src/deep/x.txt", "web/.hidden/e.js", "web/empty.js", "z/.git/f"]
+    for name in names:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("" if "empty" in name else name)
+    (top / "none").mkdir()
+    os.symlink(top / "src", top / "link")
+    os.symlink(top / "a.py", top / "web" / "a-link.py")
+    return [*names, "web/a-link.py"]
+
+
+def test_planning_lists_the_top_level_only(tmp_path, monkeypatch):
+    from riskloom.sources import tree
+
+    names = _tree(tmp_path)
+    seen, scan = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: seen.append(os.path.relpath(p, tmp_path)) or scan(p))
+    monkeypatch.setattr(os, "walk", lambda *a: pytest.fail("walked"))
+    reader = tree._Reader({"path": str(tmp_path)}, True)
+    parts = reader.partitions()
+    assert seen == ["."] and [p.directory for p in parts] == ["", "none/", "src/", "web/", "z/"]
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(names)
+
+
+def test_directories_are_expanded_by_a_job(spark, tmp_path, monkeypatch):
+    from riskloom.sources import tree
+
+    names = _tree(tmp_path)
+    found = tree.directories(spark, str(tmp_path), 100)
+    assert found[0] == ("", False) and ("src/deep/", False) in found and ("src/deep/er/", True) in found
+    assert tree.directories(spark, str(tmp_path), 5) == [("", False), ("none/", True), ("src/", True), ("web/", True), ("z/", True)]
+    assert tree.directories(spark, str(tmp_path), 100, most=2)[-1] == ("z/", True)  # a level of three is too many
+    assert sorted(r["path"] for r in read_tree(spark, str(tmp_path)).collect()) == sorted(names)
+    assert [r["path"] for r in read_tree(spark, str(tmp_path), subdir="src/deep").orderBy("path").collect()] == ["er/d.py", "x.txt"]
+
+
+def test_only_what_is_wanted_is_opened(spark, tmp_path, monkeypatch):
+    from riskloom.sources import tree
+
+    names = _tree(tmp_path)
+    cases = {
+        ("", ".py", ""): lambda p: p.endswith(".py"), ("src/deep", "", ""): lambda p: p.startswith("src/deep"), ("src/", ".js, .txt", ""): lambda p: p.startswith("src/") and p.endswith((".js", ".txt")),
+        ("", "", "f,a.py"): lambda p: p in ("a.py", "z/.git/f"), ("src/c.js", "", ""): lambda p: p == "src/c.js", ("no", "", ""): lambda p: False,
+    }
+    for (prefix, suffixes, files), holds in cases.items():
+        got = read_tree(spark, str(tmp_path), prefix=prefix, suffixes=suffixes, names=files).collect()
+        assert sorted(r["path"] for r in got) == sorted(filter(holds, names))
+    # files opened and directories entered, in this process
+    opened, entered, read, scan = [], [], tree.read_file, os.scandir
+    monkeypatch.setattr(tree, "read_file", lambda p: opened.append(os.path.relpath(p, tmp_path)) or read(p))
+    monkeypatch.setattr(os, "scandir", lambda p: entered.append(os.path.relpath(p, tmp_path)) or scan(p))
+    reader = tree._Reader({"path": str(tmp_path), "prefix": "src/deep", "suffixes": ".py"}, True)
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["src/deep/er/d.py"]
+    assert opened == ["src/deep/er/d.py"] and set(entered) == {".", "src", "src/deep", "src/deep/er"}
+    opened.clear()
+    bare = tree._Reader({"path": str(tmp_path)}, False)
+    assert sorted(r[0] for p in bare.partitions() for r in bare.read(p)) == sorted(names) and opened == []
+    files = spark.read.format("sourcetree").schema("path string, mode int").load(str(tmp_path))
+    assert files.count() == len(names) and files.where("endswith(path, '.py')").count() == 4
+    assert files.where("path > 'src'").count() == len([n for n in names if n > "src"])
