@@ -15,15 +15,15 @@ from pyspark.sql import SparkSession
 
 from riskloom.operators import report
 from riskloom.plans import engine
-from riskloom.sources import advisories, targets
+from riskloom.sources import advisories, manifests, targets
 from riskloom.sources.corpus import Corpus
 from riskloom.sources.tree import read_tree
 
 META = "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"
 
 
-def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None = None) -> tuple[str, int, list[tuple[str, str]]]:
-    """(report, findings, errors) of one target; the report is also written to s.output_dir."""
+def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None = None, ask: bool = False) -> tuple[str, int, list[tuple[str, str]]]:
+    """(report, findings, errors) of one target; the report is also written to s.output_dir. ask: advisories come from the services."""
     now = datetime.now(timezone.utc)
     with targets.resolved(s) as path:
         files = read_tree(spark, path, subdir=s.subdir or "", maxFiles=s.max_files, maxTotalBytes=s.max_total, maxFileBytes=s.max_file).cache()
@@ -31,7 +31,10 @@ def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None =
         if os.path.isdir(os.path.join(path, ".git")):
             row = targets.git_metadata(path, int(time.time()))
             meta = spark.createDataFrame([tuple(row.values())], META)
-        findings, errors = engine.run_rules(Corpus(spark, files, repo_meta=meta, advisories=spark.read.parquet(advisory_table) if advisory_table else None, lookup=advisories.lookup()))
+        known, how = spark.read.parquet(advisory_table) if advisory_table else None, advisories.lookup()
+        if ask:
+            known = advisories.fetched(manifests.deps(Corpus(spark, files)), how).cache()
+        findings, errors = engine.run_rules(Corpus(spark, files, repo_meta=meta, advisories=known, lookup=how))
         findings = findings.cache()
         text = report.markdown(findings, errors, s.local_dir or s.repo_url, now)
         n = findings.count()
@@ -51,13 +54,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--subdir")
     p.add_argument("--output-dir")
     p.add_argument("--advisories", help="Parquet table of advisories (ecosystem, name, version, vuln_id, severity_score, and source, summary, refs)")
+    p.add_argument("--ask-services", action="store_true", help="ask the advisory services about every pinned dependency")
     a = p.parse_args(argv)
     try:
         s = targets.settings(os.environ, a.url, a.ref, a.subdir, a.output_dir)
     except targets.BadTarget as e:
         print(e, file=sys.stderr)
         return 2
-    text, n, errors = scan(engine.spark_session(), s, a.advisories)
+    text, n, errors = scan(engine.spark_session(), s, a.advisories, a.ask_services)
     print(text if not s.output_dir else f"{n} findings, {len(errors)} rule errors; report in {s.output_dir}")
     return 0
 
