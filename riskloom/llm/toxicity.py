@@ -2,16 +2,16 @@
 
 A word's bag holds its byte n-grams (boundaries marked, lengths GRAMS) and the word
 itself, hashed into BUCKETS embeddings; a word is the mean of its bag. A document is cut
-into windows of WINDOW words, a window is the mean of its words, and that mean goes
-through a linear softmax; the document has the probability of its most toxic window, so
-that a long text doesn't hide a short passage. (One mean over a whole document does: see
-README for both figures.) Embeddings and softmax are trained jointly (numpy, fixed seed);
+into overlapping windows of WINDOW words (another begins every half window), a window is the
+mean of its words, and that mean goes through a linear softmax; the document has the probability of its most toxic window, so
+that a long text doesn't hide a short passage. (One mean over a whole document does, and wider
+windows find less: see README for figures by width.) Embeddings and softmax are trained jointly (numpy, fixed seed);
 in training the windows of a document share its slope, the higher ones ever more. So a
 misspelling nobody has seen scores by the n-grams that it shares.
 
 It is fitted on at most max_train labelled documents, up to half of them toxic, of at
 most max_bytes bytes together: documents are taken whole, in the order of a hash of their
-ids, as long as they fit into what is left of the bytes. The prior is then corrected to
+ids, up to the first that would exceed the bytes. The prior is then corrected to
 that of all usable labels. Scoring reads every whole text. What is broadcast is one float
 for each bucket (embedding times softmax, 512 KB).
 
@@ -27,6 +27,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,18 +104,51 @@ def word_logits(weights: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> n
     return np.concatenate(parts) / np.diff(first) if parts else np.zeros(0)
 
 
-def windows(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each window and the end, document of each window) for words in document order."""
-    if not len(doc):
-        return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
-    at = np.arange(len(doc))
-    begin = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % size == 0))
-    return np.concatenate([begin, [len(doc)]]), doc[begin]
-
-
-def window_means(logit: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(logit, first[:-1]) / np.diff(first) if len(first) > 1 else np.zeros(0)
+@dataclass
+class Windows:
+    """Windows of ``size`` words, each beginning half a window after the one before; a text of half a window or less is one.
+
+    They are pairs of neighbouring blocks of half a window: ``edge`` has the first word of each
+    block and the end, ``left`` and ``right`` the blocks of each window (one block twice if it
+    is alone), ``owner`` its document.
+    """
+
+    edge: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    owner: np.ndarray
+
+    @staticmethod
+    def of(doc: np.ndarray, size: int) -> Windows:
+        """The windows of words in document order."""
+        none = np.zeros(0, np.int64)
+        if not len(doc):
+            return Windows(np.zeros(1, np.int64), none, none, none)
+        step = max(1, size // 2)
+        new = np.concatenate([[True], doc[1:] != doc[:-1]])
+        at = np.arange(len(doc))
+        begin = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % step == 0))
+        own = doc[begin]
+        follows = np.append(own[1:] == own[:-1], False)  # the next block is of the same document
+        alone = ~follows & np.append(True, own[1:] != own[:-1])
+        left = np.flatnonzero(follows | alone)
+        return Windows(np.append(begin, len(doc)), left, left + follows[left], own[left])
+
+    def means(self, logit: np.ndarray) -> np.ndarray:
+        if not len(self.owner):
+            return np.zeros(0)
+        total = np.add.reduceat(logit, self.edge[:-1])
+        return (total[self.left] + np.where(self.left == self.right, 0, total[self.right])) / self.length()
+
+    def length(self) -> np.ndarray:
+        n = np.diff(self.edge)
+        return n[self.left] + np.where(self.left == self.right, 0, n[self.right])
+
+    def to_words(self, slope: np.ndarray) -> np.ndarray:
+        """What each word gets of slopes on the windows' means."""
+        each, n = slope / self.length(), len(self.edge) - 1
+        block = np.bincount(self.left, each, n) + np.bincount(self.right, np.where(self.left == self.right, 0, each), n)
+        return np.repeat(block, np.diff(self.edge))
 
 
 def top_windows(mean: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +188,16 @@ class Model:
         del buckets
         doc, word = np.concatenate(docs), np.concatenate(wordids)
         first = np.concatenate([[0], np.cumsum(size)])
-        edge, owner = windows(doc, window)
+        cut = Windows.of(doc, window)
+        owner = cut.owner
         emb = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
         soft = rng.normal(0, 0.5, (DIMS, 2))
         bias = np.full(1, -1.0)
         params = [emb, soft, bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        length = np.diff(edge)
-        inside = np.repeat(np.arange(len(length)), length)  # the window of each word
         for t in range(1, EPOCHS + 1):
             side = soft[:, 1] - soft[:, 0]
-            mean = window_means(word_logits((emb @ side).astype(np.float32), bucket, first)[word], edge)
+            mean = cut.means(word_logits((emb @ side).astype(np.float32), bucket, first)[word])
             full, highest = top_windows(mean, owner)
             top = np.zeros(len(y))
             top[full] = highest
@@ -172,7 +206,7 @@ class Model:
             part /= np.bincount(owner, part, len(y))[owner]
             pooled = np.bincount(owner, part * mean, len(y))
             d = (1 / (1 + np.exp(-np.clip(pooled + bias, -30, 30))) - y) / len(y)
-            dword = np.bincount(word, (d[owner] * part / length)[inside], len(size))
+            dword = np.bincount(word, cut.to_words(d[owner] * part), len(size))
             ds = np.zeros(BUCKETS)
             for a in range(0, len(size), SLICE):
                 z = min(a + SLICE, len(size))
@@ -193,20 +227,16 @@ class Model:
         if self.constant is not None:
             return np.full(n, self.constant)
         s, e, _, doc, word = sequences(data, offs)
-        first, owner = windows(doc, self.window)
-        full, top = top_windows(window_means(word_logits(self.weights, *bags(data, s, e))[word], first), owner)
+        cut = Windows.of(doc, self.window)
+        full, top = top_windows(cut.means(word_logits(self.weights, *bags(data, s, e))[word]), cut.owner)
         out = np.zeros(n)
         out[full] = 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
         return out
 
 
 def fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
-    """Which of some documents, in order, are taken whole: each that fits into what is left."""
-    out, left = np.zeros(len(sizes), bool), budget
-    for i, n in enumerate(sizes.tolist()):
-        if n <= left:
-            out[i], left = True, left - n
-    return out
+    """Which of some documents, in order, are taken whole: those before the budget is exceeded, whatever their sizes."""
+    return np.cumsum(sizes) <= budget
 
 
 def train_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:

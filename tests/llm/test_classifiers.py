@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from riskloom.llm import quality, toxicity
 from riskloom.llm.textops import LOWER, buffers, prefix_hash, span_hash
@@ -102,17 +103,37 @@ def _word_logit(model, word: bytes) -> float:
 
 def test_toxicity_score_by_loops():
     model = toxicity.Model()
-    model.weights, model.bias, model.window = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), -0.3, 3
+    model.weights, model.bias, model.window = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), -0.3, 4
     edge = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
     cut = bytes(set(range(256)) - set(edge))
     for text, score in zip(TEXTS, model.score(*buffers(pa.array(TEXTS))), strict=True):
         words = [w for w in (x.strip(cut) for x in (text or "").encode().split()) if w]
-        means = [np.mean([_word_logit(model, w) for w in words[i : i + 3]]) for i in range(0, len(words), 3)]
+        # windows of four words, another every two; two words or fewer are one
+        means = [np.mean([_word_logit(model, w) for w in words[i : i + 4]]) for i in range(0, max(1, len(words) - 2), 2)] if words else []
         assert abs(score - (1 / (1 + np.exp(-(max(means) + model.bias))) if means else 0)) < 1e-6
 
 
-def test_documents_are_taken_whole_while_they_fit():
-    assert toxicity.fitting(np.array([5, 9, 3, 2, 1]), 10).tolist() == [True, False, True, True, False]
+def test_documents_are_taken_up_to_the_budget():
+    """No later document takes the place of one that is too long."""
+    assert toxicity.fitting(np.array([5, 9, 3, 2, 1]), 10).tolist() == [True, False, False, False, False]
+    assert toxicity.fitting(np.array([5, 5]), 10).tolist() == [True, True] and toxicity.fitting(np.zeros(0, int), 10).tolist() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7])
+def test_windows_by_loops(size):
+    rng = np.random.default_rng(size)
+    doc = np.sort(rng.choice([0, 2, 3, 5], 60))
+    doc = np.concatenate([doc, [7], [9, 9]])
+    logit = rng.normal(size=len(doc))
+    step = max(1, size // 2)
+    spans = [(d, lo + i, min(lo + i + 2 * step, hi)) for d in sorted(set(doc)) for lo, hi in [(np.searchsorted(doc, d), np.searchsorted(doc, d, "right"))] for i in range(0, max(1, hi - lo - step), step)]
+    cut = toxicity.Windows.of(doc, size)
+    assert cut.owner.tolist() == [d for d, _, _ in spans] and np.allclose(cut.means(logit), [logit[a:z].mean() for _, a, z in spans])
+    slope = rng.normal(size=len(spans))
+    want = np.zeros(len(doc))
+    for s, (_, a, z) in zip(slope, spans):
+        want[a:z] += s / (z - a)
+    assert np.allclose(cut.to_words(slope), want)
 
 
 def test_learning_does_not_depend_on_order_or_repeats(spark):
