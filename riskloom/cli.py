@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -22,8 +24,8 @@ from riskloom.sources.tree import read_tree
 META = "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"
 
 
-def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None = None, ask: bool = False) -> tuple[str, int, list[tuple[str, str]]]:
-    """(report, findings, errors) of one target; the report is also written to s.output_dir. ask: advisories come from the services."""
+def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None = None, ask: bool = False) -> tuple[str | None, int, list[tuple[str, str]]]:
+    """(where the report is, findings, errors) of one target. The report goes to s.output_dir, or is printed. ask: advisories come from the services."""
     now = datetime.now(timezone.utc)
     with targets.resolved(s) as path:
         files = read_tree(spark, path, subdir=s.subdir or "", maxFiles=s.max_files, maxTotalBytes=s.max_total, maxFileBytes=s.max_file).cache()
@@ -36,15 +38,20 @@ def scan(spark: SparkSession, s: targets.Settings, advisory_table: str | None =
             known = advisories.fetched(manifests.deps(Corpus(spark, files)), how).cache()
         findings, errors = engine.run_rules(Corpus(spark, files, repo_meta=meta, advisories=known, lookup=how))
         findings = findings.cache()
-        text = report.markdown(findings, errors, s.local_dir or s.repo_url, now)
-        n = findings.count()
+        n, name, where = findings.count(), s.local_dir or s.repo_url, None
         if s.output_dir:
-            with open(os.path.join(s.output_dir, f"report_{now:%Y%m%d_%H%M%S}.md"), "w", encoding="utf-8") as f:
-                f.write(text)
+            parts = os.path.join(s.output_dir, f".report-{uuid.uuid4().hex}")
+            where = os.path.join(s.output_dir, f"report_{now:%Y%m%d_%H%M%S}.md")
+            report.write_markdown(findings, errors, name, now, f"file://{parts}")
+            report.join_parts(parts, where)
+            shutil.rmtree(parts)
             findings.write.mode("overwrite").parquet(os.path.join(s.output_dir, "findings.parquet"))
+        else:
+            for line in report.lines(findings, errors, name, now):
+                print(line)
         findings.unpersist()
         files.unpersist()
-    return text, n, errors
+    return where, n, errors
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -61,8 +68,9 @@ def main(argv: list[str] | None = None) -> int:
     except targets.BadTarget as e:
         print(e, file=sys.stderr)
         return 2
-    text, n, errors = scan(engine.spark_session(), s, a.advisories, a.ask_services)
-    print(text if not s.output_dir else f"{n} findings, {len(errors)} rule errors; report in {s.output_dir}")
+    where, n, errors = scan(engine.spark_session(), s, a.advisories, a.ask_services)
+    if where:
+        print(f"{n} findings, {len(errors)} rule errors; report in {where}")
     return 0
 
 

@@ -5,6 +5,10 @@ Ties are broken by the key, ascending.
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
+from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -85,8 +89,8 @@ def _table(head: list[str], rows: list[tuple]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "| " + " | ".join("---" for _ in head) + " |", *("| " + " | ".join(_cell(v) for v in r) + " |" for r in rows), ""]
 
 
-def markdown(f: DataFrame, errors: list[tuple[str, str]], target: str, now: datetime) -> str:
-    """The report as Markdown. Summaries are aggregates; details list every finding in report order, fetched a partition at a time."""
+def head(f: DataFrame, errors: list[tuple[str, str]], target: str, now: datetime) -> list[str]:
+    """The report's lines before the details: aggregates and the first of the priority list, all of bounded size."""
     n, n_priority = totals(f).first()
     out = ["# Security risk report", "", "## 1. Run", "", f"- **Target:** `{target}`", f"- **Generated (UTC):** {now:%Y-%m-%d %H:%M:%S}", f"- **Findings:** {n}", f"- **Rule errors:** {len(errors)}", f"- **Critical and High:** {n_priority}", "", "## 2. Summary", ""]
     out += _table(["Severity", "Findings"], [(r["severity"], r["n"]) for r in by_severity(f).collect() if r["n"]])
@@ -98,12 +102,50 @@ def markdown(f: DataFrame, errors: list[tuple[str, str]], target: str, now: date
     out += _table(["Rule", "Severity", "Path", "Line"], [tuple(r) for r in first])
     if n_priority > len(first):
         out += [f"{n_priority - len(first)} more Critical and High findings follow below.", ""]
-    out += ["## 4. Details", ""]
-    group = None
-    for r in f.orderBy(*ordering()).toLocalIterator():
-        if (r["severity"], r["rule_id"]) != group:
-            group = (r["severity"], r["rule_id"])
-            out += [f"### {r['severity']}: {r['rule_id']} {r['title']} ({r['category']})", ""]
-        out.append(f"- `{r['file_path'] or '-'}`" + (f":{r['line']}" if r["line"] is not None else "") + f" {r['message'] or ''}".rstrip())
-    out += ["", "## 5. Errors", "", *(f"- {k}: {e.splitlines()[0] if e else ''}" for k, e in errors)]
-    return "\n".join(out) + "\n"
+    return [*out, "## 4. Details", ""]
+
+
+def tail(errors: list[tuple[str, str]]) -> list[str]:
+    return ["", "## 5. Errors", "", *(f"- {k}: {e.splitlines()[0] if e else ''}" for k, e in errors)]
+
+
+def details(f: DataFrame) -> DataFrame:
+    """(value): the lines of the details in report order, each group (severity, rule) after its heading. A range sort, so no task has a whole group."""
+    keys = ordering()
+    line = F.concat(F.lit("- `"), F.coalesce(F.nullif("file_path", F.lit("")), F.lit("-")), F.lit("`"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")))
+    rows = f.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.lit(1).alias("body"), F.rtrim(line).alias("value"))
+    title = F.concat(F.lit("### "), F.col("severity"), F.lit(": "), F.col("rule_id"), F.lit(" "), F.min_by("title", F.struct("title", "category")), F.lit(" ("), F.min_by("category", F.struct("title", "category")), F.lit(")\n"))
+    heads = f.groupBy("severity", "rule_id").agg(title.alias("value"))
+    heads = heads.select(rank().alias("k0"), F.col("rule_id").alias("k1"), F.lit("").alias("k2"), F.lit(0).cast(rows.schema["k3"].dataType).alias("k3"), F.lit(0).alias("body"), "value")
+    return rows.union(heads).orderBy("k0", "k1", "body", "k2", "k3", "value").select("value")
+
+
+def lines(f: DataFrame, errors: list[tuple[str, str]], target: str, now: datetime) -> Iterator[str]:
+    """The report line by line; details come a partition at a time."""
+    yield from head(f, errors, target, now)
+    yield from (r["value"] for r in details(f).toLocalIterator())
+    yield from tail(errors)
+
+
+def markdown(f: DataFrame, errors: list[tuple[str, str]], target: str, now: datetime) -> str:
+    """The report as one text."""
+    return "\n".join(lines(f, errors, target, now)) + "\n"
+
+
+def write_markdown(f: DataFrame, errors: list[tuple[str, str]], target: str, now: datetime, folder: str) -> None:
+    """The report as text parts in a folder that executors can write to; put together by name they are the report.
+
+    Executors sort and write the details; the driver writes what comes before and after, and holds no findings.
+    """
+    spark = f.sparkSession
+    for name, part in (("1-head", head(f, errors, target, now)), ("3-errors", tail(errors))):
+        spark.createDataFrame([("\n".join(part),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    details(f).write.text(f"{folder}/2-details")
+
+
+def join_parts(folder: str, to: str) -> None:
+    """Copy a report's parts, which lie in a local folder, into one file."""
+    with open(to, "wb") as out:
+        for part in sorted(glob.glob(os.path.join(glob.escape(folder), "*", "part-*"))):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)

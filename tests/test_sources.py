@@ -80,14 +80,18 @@ def test_resolver_removes_downloads(tmp_path):
     assert seen[0][0].endswith("/repos/a/b/zipball/HEAD") and not os.path.exists(seen[0][1])
 
 
-def test_scan_writes_a_report(spark, tmp_path):
+def test_scan_writes_a_report(spark, tmp_path, capsys):
     from riskloom.cli import scan
 
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("import os\nos.system(input())\nverify = False\n")
-    text, n, errors = scan(spark, targets.settings({"TARGET_DIR": str(tmp_path / "src")}, output_dir=str(tmp_path / "out")))
-    assert n > 0 and errors == [] and "Command Injection" in text
-    assert any(f.startswith("report_") for f in os.listdir(tmp_path / "out"))
+    where, n, errors = scan(spark, targets.settings({"TARGET_DIR": str(tmp_path / "src")}, output_dir=str(tmp_path / "out")))
+    assert n > 0 and errors == [] and sorted(f.partition("_")[0] for f in os.listdir(tmp_path / "out")) == ["findings.parquet", "report"]
+    with open(where, encoding="utf-8") as f:
+        text = f.read()
+    assert "### High: A-1 Command Injection (code)\n\n- `a.py`:2 External input" in text and text.index("## 3.") < text.index("## 4.") < text.index("## 5.")
+    assert scan(spark, targets.settings({"TARGET_DIR": str(tmp_path / "src")}))[0] is None
+    assert "### High: A-1 Command Injection (code)\n\n- `a.py`:2 External input" in capsys.readouterr().out
 
 
 def test_report_lists_every_finding(spark):
@@ -102,6 +106,35 @@ def test_report_lists_every_finding(spark):
     assert [x for x in detail if x.startswith("### ")] == ["### High: C-1 t (c)", "### Info: C-1 t (c)"]
 
 
+def test_executors_write_the_same_report(spark, tmp_path, monkeypatch):
+    """Parts by name are the report; many partitions, groups that span them, and places out of order."""
+    from datetime import datetime
+
+    from pyspark.sql import DataFrame
+
+    from riskloom.operators import report
+
+    rows = [(f"R-{i % 3}", "c", f"t{i % 3}", ("High", "Low", "Critical")[i % 7 % 3], None if i % 11 == 0 else f"d/{997 * i % 500}", i % 5 or None, None if i % 13 == 0 else f"m {i}") for i in range(2000)]
+    f = spark.createDataFrame(rows, "rule_id string, category string, title string, severity string, file_path string, line long, message string").repartition(7)
+    now, errors = datetime(2024, 1, 1), [("X-1", "boom\nmore")]
+    want = report.markdown(f, errors, "x", now)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a: pytest.fail("findings on the driver"))
+    report.write_markdown(f, errors, "x", now, f"file://{tmp_path}/parts")
+    report.join_parts(f"{tmp_path}/parts", f"{tmp_path}/r.md")
+    with open(f"{tmp_path}/r.md", encoding="utf-8") as got:
+        assert got.read() == want
+    # the definition: sorted findings, a heading where a group begins
+    order = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3, "Info": 4}
+    lines, group = [], None
+    text = lambda r: (f"- `{r[4] or '-'}`" + (f":{r[5]}" if r[5] is not None else "") + f" {r[6] or ''}").rstrip()
+    for r in sorted(rows, key=lambda r: (order[r[3]], r[0], r[4] or "", r[5] or 0, text(r))):
+        if (r[3], r[0]) != group:
+            group = (r[3], r[0])
+            lines += [f"### {r[3]}: {r[0]} {r[2]} ({r[1]})", ""]
+        lines.append(text(r))
+    assert want.split("## 4. Details\n\n")[1] == "\n".join([*lines, "", "## 5. Errors", "", "- X-1: boom"]) + "\n"
+
+
 def test_stream(spark, tmp_path):
     from riskloom.streaming.findings import stream_findings
 
