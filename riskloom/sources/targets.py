@@ -5,13 +5,13 @@ Fetching runs on the driver, before Spark reads anything.
 
 from __future__ import annotations
 
-import os
-import time
 import json
+import os
 import re
 import shutil
 import subprocess
 import tempfile
+import time
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
@@ -72,6 +72,17 @@ def settings(env: Mapping[str, str] = os.environ, url: str | None = None, ref: s
     )
 
 
+def target_dir(env: Mapping[str, str] = os.environ) -> str:
+    """The absolute path that TARGET_DIR names, which must be a directory; addresses aren't looked at."""
+    raw = env.get("TARGET_DIR", "").strip().strip("\"'")
+    if not raw:
+        raise BadTarget("TARGET_DIR is not set")
+    path = os.path.realpath(os.path.expanduser(raw))
+    if not os.path.isdir(path):
+        raise BadTarget(f"no such directory: {path}")
+    return path
+
+
 def repository(url: str) -> tuple[str, str]:
     """(owner, repository) of an https://github.com address without credentials or port; what follows these two (a branch, a query) is not looked at."""
     parts = urlsplit(url.strip())

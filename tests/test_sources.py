@@ -72,6 +72,14 @@ def test_settings(tmp_path):
             targets.settings(env)
 
 
+def test_target_dir(tmp_path):
+    (tmp_path / "d").mkdir()
+    assert targets.target_dir({"TARGET_DIR": f" '{tmp_path}/d/../d' ", "TARGET_REPO_URL": "x"}) == os.path.realpath(tmp_path / "d")
+    for env in ({}, {"TARGET_DIR": " "}, {"TARGET_DIR": str(tmp_path / "none")}):
+        with pytest.raises(targets.BadTarget):
+            targets.target_dir(env)
+
+
 def test_resolver_removes_downloads(tmp_path):
     seen = []
     s = targets.settings({"TARGET_REPO_URL": "https://github.com/a/b"})
