@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--ask-services", action="store_true", help="ask the advisory services about every pinned dependency")
     a = p.parse_args(argv)
     try:
-        s = targets.settings(os.environ, a.url, a.ref, a.subdir, a.output_dir)
+        s = targets.settings(targets.dotenv(".env"), a.url, a.ref, a.subdir, a.output_dir)
     except targets.BadTarget as e:
         print(e, file=sys.stderr)
         return 2

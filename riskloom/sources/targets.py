@@ -41,8 +41,26 @@ class Settings:
     max_file: int
 
 
+def _value(env: Mapping[str, str], key: str) -> str:
+    """A setting without the quotes that may stand around it."""
+    return env.get(key, "").strip().strip('"').strip("'")
+
+
+def dotenv(path: str, env: Mapping[str, str] = os.environ) -> dict[str, str]:
+    """env and, for what it lacks, the NAME=VALUE lines of a file, if there is one."""
+    out: dict[str, str] = {}
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                m = re.fullmatch(r"\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*", line.rstrip("\n"))
+                if m and not line.lstrip().startswith("#"):
+                    quoted = re.fullmatch(r"(['\"])(.*)\1(?:\s+#.*)?", m[2])
+                    out[m[1]] = quoted[2] if quoted else re.sub(r"\s+#.*$", "", m[2])
+    return out | dict(env)
+
+
 def _positive(env: Mapping[str, str], key: str, default: int) -> int:
-    raw = env.get(key, "").strip()
+    raw = _value(env, key)
     if not raw:
         return default
     if not raw.isdigit() or int(raw) == 0:
@@ -52,21 +70,21 @@ def _positive(env: Mapping[str, str], key: str, default: int) -> int:
 
 def settings(env: Mapping[str, str] = os.environ, url: str | None = None, ref: str | None = None, subdir: str | None = None, output_dir: str | None = None) -> Settings:
     """Settings from the environment; arguments win. A target is a directory or an address, never both."""
-    local, remote = env.get("TARGET_DIR", "").strip() or None, env.get("TARGET_REPO_URL", "").strip() or None
+    local, remote = _value(env, "TARGET_DIR") or None, _value(env, "TARGET_REPO_URL") or None
     if url:
         local, remote = None, url
     if bool(local) == bool(remote):
         raise BadTarget("give either TARGET_DIR or TARGET_REPO_URL")
     if local and not os.path.isdir(local):
         raise BadTarget(f"no such directory: {local}")
-    out = output_dir or env.get("OUTPUT_DIR", "").strip() or None
+    out = output_dir or _value(env, "OUTPUT_DIR") or None
     if out and os.path.exists(out) and not os.path.isdir(out):
         raise BadTarget(f"not a directory: {out}")
     if out:
         os.makedirs(out, exist_ok=True)
     mb = 1024 * 1024
     return Settings(
-        local, remote, ref or env.get("TARGET_REPO_REF") or None, subdir or env.get("TARGET_REPO_SUBDIR") or None, out,
+        local, remote, ref or _value(env, "TARGET_REF") or None, subdir or _value(env, "TARGET_SUBDIR") or None, out,
         _positive(env, "TARGET_FETCH_TIMEOUT_SEC", 60), _positive(env, "TARGET_MAX_DOWNLOAD_MB", 100) * mb, _positive(env, "TARGET_MAX_EXTRACTED_MB", 300) * mb,
         _positive(env, "TARGET_MAX_FILES", 30_000), _positive(env, "TARGET_MAX_SINGLE_FILE_MB", 10) * mb,
     )
@@ -74,7 +92,7 @@ def settings(env: Mapping[str, str] = os.environ, url: str | None = None, ref: s
 
 def target_dir(env: Mapping[str, str] = os.environ) -> str:
     """The absolute path that TARGET_DIR names, which must be a directory; addresses aren't looked at."""
-    raw = env.get("TARGET_DIR", "").strip().strip("\"'")
+    raw = _value(env, "TARGET_DIR")
     if not raw:
         raise BadTarget("TARGET_DIR is not set")
     path = os.path.realpath(os.path.expanduser(raw))

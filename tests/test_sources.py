@@ -72,6 +72,13 @@ def test_settings(tmp_path):
             targets.settings(env)
 
 
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# TARGET_DIR=/no\nexport TARGET_REPO_URL='https://github.com/a/b' # here\nTARGET_REF=v1 # tag\nTARGET_SUBDIR = \"x y\"\nTARGET_MAX_FILES='7'\nodd line\n")
+    s = targets.settings(targets.dotenv(str(tmp_path / ".env"), {"TARGET_REF": '"v2"'}))
+    assert (s.repo_url, s.ref, s.subdir, s.max_files, s.local_dir) == ("https://github.com/a/b", "v2", "x y", 7, None)
+    assert targets.dotenv(str(tmp_path / "none"), {"A": "b"}) == {"A": "b"}
+
+
 def test_target_dir(tmp_path):
     (tmp_path / "d").mkdir()
     assert targets.target_dir({"TARGET_DIR": f" '{tmp_path}/d/../d' ", "TARGET_REPO_URL": "x"}) == os.path.realpath(tmp_path / "d")
