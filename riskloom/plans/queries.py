@@ -10,7 +10,7 @@ from riskloom.functions.dialect import DUCK
 from riskloom.operators import report, taint
 from riskloom.operators.line_rules import LINE_RULES, line_sql
 from riskloom.operators.relational_rules import RELATIONAL_RULES
-from riskloom.plans import engine
+from riskloom.plans import engine, taint_relation
 from riskloom.sources.derived import derived_corpus, duck_prefix
 
 KEY = ["rule_id", "category", "title", "severity", "file_path", "line"]
@@ -53,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {_name(k): _rule(k) for k in engine.RULES}
     out["line_rules_fused"] = _fused
     out["all_findings"] = _all
+    out["taint_relation"] = lambda spark, sf_dir: taint_relation.tainted(derived_corpus(spark, sf_dir))
     return out | {k: _report(f) for k, f in REPORTS.items()}
 
 
@@ -77,5 +78,6 @@ def oracle_sql() -> dict[str, str]:
         return prefix.rstrip() + ", findings AS (" + " UNION ALL ".join(rows) + ")\n"
 
     out["line_rules_fused"] = over([_labelled(k, line_sql(r, DUCK, "lines")) for k, r in LINE_RULES.items()]) + "SELECT * FROM findings"
+    out["taint_relation"] = prefix + "SELECT file_path, scope, name, round FROM reached"
     whole = over([p for k in engine.RULES for p in _parts(k)])
     return out | {"all_findings": whole + "SELECT * FROM findings"} | {k: whole + report.SQL[k] for k in REPORTS}

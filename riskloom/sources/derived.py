@@ -29,6 +29,7 @@ TREE: list[tuple[str, list[str]]] = [
         "def encrypt_it(x):\n    pass", "token = random.random()", 'logger.info("password %s", p)', 'logger.info("password ***")', "def revoke(user):\n    pass", "return jsonify(str(e))", "print(request.headers)",
         'raise E("invalid token")', 't = token\nrequests.post("https://c.example", t)', 'if platform == "x": eval(p)', 'if "qemu" in name: exit()', '@app.get("/admin")\ndef h():\n    return 1',
         '@login_required\n@app.get("/admin")', '@app.get("/orders/{order_id}")\ndef h(order_id): ...', '@app.get("/metrics")', "session_cookie_secure = False", "load_plugin(plugin_url)", "app.debug = True",
+        "a = input()\nb = a\nc = [b]\ndef f(d):\n    e = d\n    g = input()\n    for h in g:\n        i = h\n",
     ]),
     ("web/page{id}.js", [
         'db.query("SELECT * FROM t WHERE n=" + req.query.n)', "db.query(req.body.q)", "el.innerHTML = location.hash", "eval(atob(x))", "String.fromCharCode(1)", 'const {exec} = require("child_process"); exec(req.query.c)',
@@ -83,6 +84,11 @@ EXPECTED = [
     (".py", "eval(input())", "A-8", "High", 1),
     (".py", "import ast\nast.literal_eval(input())", "A-8", "Medium", 2),
 ]
+#: (snippet, scope, name, round) of the names that input reaches in the Python snippets
+TAINTED = [
+    ("name = input()\nopen(name)", 0, "name", 1), ('q = "SELECT " + input()\ncur.execute(q)', 0, "q", 1), ("q = request.args\nos.system(q)", 0, "q", 1),
+    *(("a = input()\nb = a\nc = [b]\ndef f(d):\n    e = d\n    g = input()\n    for h in g:\n        i = h\n", *row) for row in ((0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "g", 1), (1, "h", 2), (1, "i", 3))),
+]
 #: (snippet, module) of what the Python snippets import
 IMPORTED = [(x, m) for x, m in (
     ("import pickle\npickle.loads(input())", "pickle"), ("import yaml\nyaml.load(stream)", "yaml"), ('import requests\nrequests.get(request.args["u"])', "requests"), ("import ast\nast.literal_eval(input())", "ast"),
@@ -142,6 +148,7 @@ def duck_prefix() -> str:
     rows = ", ".join(f"('{e}', '{n}', '{v}', '{i}', {'NULL' if s is None else s}, '{p}')" for e, n, v, i, s, p in ADVISORIES)
     sections = " UNION ALL ".join(f"SELECT path, unnest(json_keys(j, '$.{s}')) AS k, '{s}' AS sec FROM pj WHERE json_type(j, '$.{s}') = 'OBJECT'" for s in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies"))
     imported = ", ".join(f"({DUCK.lit(x)}, '{m}')" for x, m in IMPORTED)
+    reached = ", ".join(f"({DUCK.lit(x)}, {scope}, '{n}', {r})" for x, scope, n, r in TAINTED)
     expected = ", ".join(f"('{x}', {DUCK.lit(snip)}, '{r}', '{v}', {at})" for x, snip, r, v, at in EXPECTED)
     return f"""WITH tree AS ({tree_sql(DUCK)}
 ), files AS (
@@ -193,6 +200,8 @@ def duck_prefix() -> str:
 ), expected AS (
   SELECT v.rule_id, v.severity, path AS file_path, length(text) - length(replace(text, chr(10), '')) + 1 - (length(snip) - length(replace(snip, chr(10), '')) + 1) + v.nth AS line
   FROM files JOIN (VALUES {expected}) v(suffix, snip, rule_id, severity, nth) ON files.suffix = v.suffix AND ends_with(text, concat(chr(10), snip))
+), reached AS (
+  SELECT path AS file_path, CAST(v.scope AS INTEGER) AS scope, v.name, CAST(v.round AS INTEGER) AS round FROM files JOIN (VALUES {reached}) v(snip, scope, name, round) ON ends_with(text, concat(chr(10), snip)) WHERE suffix = '.py'
 ), advisories AS (SELECT *, '' AS summary, CAST([] AS VARCHAR[]) AS refs FROM (VALUES {rows}) v(ecosystem, name, version, vuln_id, severity_score, source) WHERE list_contains(['osv', 'github', 'nvd'], source)
   QUALIFY row_number() OVER (PARTITION BY ecosystem, name, version, vuln_id ORDER BY list_position(['osv', 'github', 'nvd'], source)) = 1
 ), repo_meta AS ({META_SQL.replace('epoch_of', 'epoch')}

@@ -200,3 +200,42 @@ def test_readers_never_fail_or_hang():
             assert 0 <= n.start < n.end <= len(text) and n.text == text[n.start : n.end] and n.line == text.count("\n", 0, n.start) + 1
     for text in ("(" * 50_000, "$(" * 50_000, "`" * 50_001, "case x in " * 10_000, "a(b);" * 20_000):
         js_nodes(text), shell_nodes(text)
+
+
+# ---------------------------------------------------------------- the closure as a relation
+
+
+def test_relation_equals_closures(spark):
+    """All files at once, by rounds, against each scope's own closure; chains, cycles, scopes and loops."""
+    import random
+    from collections import defaultdict
+
+    from riskloom.operators import taint_values as V
+    from riskloom.operators.code_facts import Source
+    from riskloom.plans import taint_relation
+    from riskloom.sources.corpus import Corpus
+
+    rng = random.Random(3)
+    texts = ["", "x = (", "a = b\nb = a\n", "a = input()\n" + "".join(f"a{i + 1} = a{i}\n" for i in range(12)).replace("a0", "a"), "d['k'] = input()\ne = d\nf.g = e\nh = lambda: f.g\n"]
+    for _ in range(30):
+        lines = []
+        for _ in range(rng.randrange(1, 14)):
+            name, value = (rng.choice("abcdef") for _ in range(2))
+            lines.append(rng.choice([f"{name} = {value}", f"{name} += {value}", f"for {name} in {value}: pass", f"{name} = input()", f"def f{len(lines)}({name}):\n    {value} = {name}\n    {name} = input()\n    c = {value}", f"{name}['x'] = {value}.y"]))
+        texts.append("\n".join(lines))
+    want = set()
+    for k, text in enumerate(texts):
+        tree = taint.parsed(text)
+        if tree is None:
+            continue
+        scopes = defaultdict(list)
+        for f in Source(tree, taint._KNOWN, frozenset(V.SQL_CALLS)).facts:
+            if f.kind == "edge" and f.scope is not None:
+                scopes[f.scope].append((frozenset(t for t in f.targets if t.startswith("key:")), f.value.atoms))
+        want |= {(f"{k}.py", scope, atom[4:]) for scope, es in scopes.items() for atom in taint.closure(es, "input:")}
+    c = Corpus(spark, spark.createDataFrame([(f"{k}.py", t) for k, t in enumerate(texts)], "path string, text string"))
+    rows = taint_relation.tainted(c).collect()
+    assert {(r["file_path"], r["scope"], r["name"]) for r in rows} == want and len(rows) == len(want)
+    assert {r["name"]: r["round"] for r in rows if r["file_path"] == "3.py"} == {"a": 1, **{f"a{i}": i + 1 for i in range(1, 13)}}
+    empty = Corpus(spark, spark.createDataFrame([], "path string, text string"))
+    assert taint_relation.tainted(empty).count() == 0
