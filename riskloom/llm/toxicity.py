@@ -117,37 +117,47 @@ class Windows:
     left: np.ndarray
     right: np.ndarray
     owner: np.ndarray
+    alone: np.ndarray  # windows of one block
+    length: np.ndarray  # words of each window
 
     @staticmethod
     def of(doc: np.ndarray, size: int) -> Windows:
         """The windows of words in document order."""
-        none = np.zeros(0, np.int64)
         if not len(doc):
-            return Windows(np.zeros(1, np.int64), none, none, none)
+            none = np.zeros(0, np.int32)
+            return Windows(np.zeros(1, np.int32), none, none, none, none, none)
         step = max(1, size // 2)
         new = np.concatenate([[True], doc[1:] != doc[:-1]])
-        at = np.arange(len(doc))
-        begin = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % step == 0))
+        at = np.arange(len(doc), dtype=np.int32)
+        begin = at[new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % step == 0)]
         own = doc[begin]
         follows = np.append(own[1:] == own[:-1], False)  # the next block is of the same document
-        alone = ~follows & np.append(True, own[1:] != own[:-1])
-        left = np.flatnonzero(follows | alone)
-        return Windows(np.append(begin, len(doc)), left, left + follows[left], own[left])
+        single = ~follows & np.append(True, own[1:] != own[:-1])
+        left = np.flatnonzero(follows | single).astype(np.int32)
+        right = left + follows[left].astype(np.int32)
+        edge = np.append(begin, np.int32(len(doc)))
+        alone = np.flatnonzero(left == right)
+        out = Windows(edge, left, right, own[left], alone, left)
+        out.length = out._paired(np.diff(edge))
+        return out
 
-    def means(self, logit: np.ndarray) -> np.ndarray:
-        if not len(self.owner):
-            return np.zeros(0)
-        total = np.add.reduceat(logit, self.edge[:-1])
-        return (total[self.left] + np.where(self.left == self.right, 0, total[self.right])) / self.length()
+    def _paired(self, blocks: np.ndarray) -> np.ndarray:
+        """The sums of each window's blocks."""
+        out = blocks[self.right]
+        out[self.alone] = 0
+        out += blocks[self.left]
+        return out
 
-    def length(self) -> np.ndarray:
-        n = np.diff(self.edge)
-        return n[self.left] + np.where(self.left == self.right, 0, n[self.right])
+    def means(self, logit: np.ndarray) -> np.ndarray:
+        return self._paired(np.add.reduceat(logit, self.edge[:-1])) / self.length if len(self.owner) else np.zeros(0)
 
     def to_words(self, slope: np.ndarray) -> np.ndarray:
-        """What each word gets of slopes on the windows' means."""
-        each, n = slope / self.length(), len(self.edge) - 1
-        block = np.bincount(self.left, each, n) + np.bincount(self.right, np.where(self.left == self.right, 0, each), n)
+        """What each word gets of slopes on the windows' means; slope is used up."""
+        each, n = slope, len(self.edge) - 1
+        each /= self.length
+        block = np.bincount(self.left, each, n)
+        each[self.alone] = 0
+        block += np.bincount(self.right, each, n)
         return np.repeat(block, np.diff(self.edge))
 
 
@@ -202,11 +212,18 @@ class Model:
             top = np.zeros(len(y))
             top[full] = highest
             heat = TEMPERATURES[0] * (TEMPERATURES[1] / TEMPERATURES[0]) ** ((t - 1) / max(EPOCHS - 1, 1))
-            part = np.exp((mean - top[owner]) / heat)
+            part = top[owner]  # one array for each window, worked on in place
+            np.subtract(mean, part, out=part)
+            part /= heat
+            np.exp(part, out=part)
             part /= np.bincount(owner, part, len(y))[owner]
-            pooled = np.bincount(owner, part * mean, len(y))
+            mean *= part
+            pooled = np.bincount(owner, mean, len(y))
+            del mean
             d = (1 / (1 + np.exp(-np.clip(pooled + bias, -30, 30))) - y) / len(y)
-            dword = np.bincount(word, cut.to_words(d[owner] * part), len(size))
+            part *= d[owner]
+            dword = np.bincount(word, cut.to_words(part), len(size))
+            del part
             ds = np.zeros(BUCKETS)
             for a in range(0, len(size), SLICE):
                 z = min(a + SLICE, len(size))
