@@ -111,7 +111,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-#: Frames of at most so many rows of two numbers (16 MB) are broadcast; larger ones are joined by shuffle.
+#: Frames of at most so many rows are broadcast: 16 MB of two numbers, and no more than 100 MB with the widest keys used (64 characters). Larger ones are joined by shuffle.
 SMALL_ROWS = 1 << 20
 
 

@@ -120,3 +120,41 @@ def test_stages_keep_extra_columns_and_odd_rows(spark, tmp_path):
         assert stage(spark, docs.where("false"), sf).count() == 0, name
     pieces = pipeline.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == 7 and pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0
+
+
+def test_copies_caught_end_to_end(spark, tmp_path):
+    """Exact copies are emptied or go, near ones that share no three lines go; clean documents stay whole."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(600)]
+    docs, labels, exact, near, clean = [], [], set(), set(), set()
+    for i in range(200):
+        lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(8)]
+        kind = i % 5
+        if kind == 4 and i > 10:
+            source = docs[rng.choice([k for k, (d, *_) in enumerate(docs) if d in clean])]
+            if i % 2:
+                exact.add(i)
+                lines = source[1].split("\n")
+            else:  # a word of every third line changes
+                near.add(i)
+                lines = source[1].split("\n")
+                for k in range(1, len(lines), 3):
+                    lines[k] = lines[k].rsplit(" ", 1)[0] + " other"
+        elif kind == 3:
+            lines = [" ".join(w.upper() + "!!" for w in x.split()) for x in lines]
+        else:
+            clean.add(i)
+        docs.append((i, "\n".join(lines), "en", f"s{i % 3}", len("\n".join(lines))))
+        labels.append((i, 0 if kind == 3 else 1, 0))
+    sf = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    out = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in pipeline.STAGES[:3]:
+        out = materialize(spark, stage(spark, out, sf), "t")
+    left = _rows(out)
+    text = {d: t for d, t, *_ in docs}
+    caught = lambda ids: [d for d in ids if len(left.get(d) or "") <= 0.5 * len(text[d])]
+    assert len(exact) > 10 and len(near) > 10
+    assert len(caught(exact)) == len(exact) and len(caught(near)) >= 0.9 * len(near)
+    assert all(left[d] == text[d] for d in clean)
