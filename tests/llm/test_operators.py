@@ -472,5 +472,5 @@ def test_registered_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql())) and pa.__version__
