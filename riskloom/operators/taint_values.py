@@ -63,5 +63,6 @@ SHELL_CHECKS = (
     (r"\$\([^)]*\$[^)]*\)", "a command substitution", True),
     (r"\b(?:source|\.)\s+[^#;]*\$", "a sourced path", True),
 )
-SHELL_LEADS = (r"^(?:command\s+|env\s+)?\"?\$\{?", r"\}?\"?(?:\s|$)")
+#: NAME stands for a variable's name.
+SHELL_LEAD = r"^(?:command\s+|env\s+)?\"?\$\{?NAME\}?\"?(?:\s|$)"
 SHELL_HERE_STRING = r"\b(?:sh|bash|zsh|ksh)\s+<<<\s*"
