@@ -7,6 +7,12 @@ independent oracle.
 
 from __future__ import annotations
 
+from riskloom.functions.literals import needed
+
+
+#: More literals than these cost as much to look for as their pattern.
+MOST_LITERALS = 8
+
 
 def number(n: int) -> str:
     """A literal like those of Dialect.digits."""
@@ -107,8 +113,9 @@ class _Spark(Dialect):
     def distinct_chars(self, text: str) -> str:
         return f"size(array_distinct(split({text}, '')))"
 
-    def edit_distance(self, a: str, b: str) -> str:
-        return f"levenshtein({a}, {b})"
+    def one_edit(self, a: str, text: str) -> str:
+        """Whether a value is one edit away from a text; other lengths need no distance."""
+        return f"(length({a}) BETWEEN {len(text) - 1} AND {len(text) + 1} AND levenshtein({a}, {self.lit(text)}) = 1)"
 
     def ints(self, text: str) -> str:
         """The numbers of a dotted text as digits without leading zeros, their count before them; arrays compare part by part, a shorter one that is equal so far is smaller. No number is too long."""
@@ -127,6 +134,29 @@ class _Spark(Dialect):
         return f"array({', '.join(number(v) for v in values)})"
 
 
+class _Gated(_Spark):
+    """Spark's, over lines with their lower-case text ``low``: a pattern is tried where a literal that it needs is held.
+
+    Patterns that only match at a line's begin fail at once, and are tried as they are.
+    """
+
+    def _rx(self, column: str, pattern: str) -> str:
+        plain = super()._rx(column, pattern)
+        literals = needed(pattern) if column in ("s", "raw") and not pattern.removeprefix("(?i)").startswith("^") else None
+        return f"({self.has('low', *sorted(literals))} AND {plain})" if literals and len(literals) <= MOST_LITERALS else plain
+
+
+class Known(_Spark):
+    """Spark's, where it is known of some patterns, by a condition each, whether the text may hold them."""
+
+    def __init__(self, may_hold: dict[str, str]):
+        self.may_hold = may_hold
+
+    def _rx(self, column: str, pattern: str) -> str:
+        plain = super()._rx(column, pattern)
+        return f"({self.may_hold[pattern]} AND {plain})" if column == "text" and pattern in self.may_hold else plain
+
+
 class _Duck(Dialect):
     prefix = "starts_with"
 
@@ -154,8 +184,8 @@ class _Duck(Dialect):
     def distinct_chars(self, text: str) -> str:
         return f"len(list_distinct(string_split({text}, '')))"
 
-    def edit_distance(self, a: str, b: str) -> str:
-        return f"levenshtein({a}, {b})"
+    def one_edit(self, a: str, text: str) -> str:
+        return f"levenshtein({a}, {self.lit(text)}) = 1"
 
     def ints(self, text: str) -> str:
         return f"list_transform(string_split({text}, '.'), lambda x: {self.digits('x')})"
@@ -173,4 +203,4 @@ class _Duck(Dialect):
         return f"[{', '.join(number(v) for v in values)}]"
 
 
-SPARK, DUCK = _Spark(), _Duck()
+SPARK, GATED, DUCK = _Spark(), _Gated(), _Duck()

@@ -175,7 +175,11 @@ CORPUS_RULES = [
 ]
 
 
-def fact_bits(names: tuple[str, ...]) -> str:
+#: rule -> (files, pattern) that it looks for in the whole text of many files
+SOUGHT = {"E-4": (ext(*V.SESSION_SUFFIXES), V.SESSION), "G-7": (ext(*TEXT18), V.SANDBOX)}
+
+
+def fact_bits(names: tuple[str, ...], d: Dialect = SPARK) -> str:
     """The bits of one file."""
-    terms = [f"CASE WHEN {FACTS[n](SPARK)} THEN {1 << i}L ELSE 0L END" for i, n in enumerate(FACTS) if n in names]
+    terms = [f"CASE WHEN {FACTS[n](d)} THEN {1 << i}L ELSE 0L END" for i, n in enumerate(FACTS) if n in names]
     return " + ".join(terms) or "0L"

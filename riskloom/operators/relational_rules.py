@@ -175,7 +175,7 @@ def pinned(d: Dialect) -> str:
 
 
 def suspicious(d: Dialect) -> str:
-    near = " OR ".join(f"{d.edit_distance('name', d.lit(p))} = 1" for p in V.COMMON_PACKAGES)
+    near = " OR ".join(f"{d.one_edit('name', p)}" for p in V.COMMON_PACKAGES)
     return f"({d.has('name', *V.SUSPICIOUS_PARTS)} OR {d.starts('lower(spec)', *V.SUSPICIOUS_SPECS)} OR {near})"
 
 

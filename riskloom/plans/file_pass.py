@@ -11,17 +11,22 @@ for the tables that are derived from it (see table_rules).
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from functools import cache, cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.dialect import SPARK
+from riskloom.functions.dialect import GATED, SPARK, Known
+from riskloom.functions.literals import needed
 from riskloom.operators import taint
-from riskloom.operators.file_rules import FACTS_OF, FILE_RULES, LINE_PARTS, FileRule, fact_bits
+from riskloom.operators.file_rules import FACTS_OF, FILE_RULES, LINE_PARTS, SOUGHT, FileRule, fact_bits
 from riskloom.operators.line_rules import LINE_RULES, SKIPS, LineRule
 from riskloom.sources import advisories, manifests
 from riskloom.sources.corpus import CONTEXTS, LINE_END, Corpus, line_struct, split_lines, strip_lines
@@ -33,6 +38,8 @@ FIND = "struct<severity: string, line: bigint, message: string>"
 HIT = "struct<rule_id: string, severity: string, line: bigint, message: string>"
 FACT = "struct<bits: bigint, imports: array<string>, text: string, text_lossy: string>"
 META = "last_commit_ts long, author_count int, last_tag_ts long, archived boolean, now_ts long"
+#: So many rules' literals are looked for one by one; those of more rules are looked for together, outside the JVM.
+FEW_RULES = 8
 #: What an analyst of manifests asks of code: python module or node package, with the ecosystem before it.
 SEPARATOR = ":"
 
@@ -44,6 +51,27 @@ def may_find(rule: LineRule) -> str:
     return f"({rule.files(SPARK)}){held}"
 
 
+def held(literals: list[frozenset[str]]):
+    """Function of (lower-case text, asked) columns: of the sets of literals asked (a bit each) those of which the text holds one.
+
+    A set is one RE2 pattern, so its literals are looked for in one pass over the text, however many they are.
+    """
+    patterns = [(1 << i, "|".join(re.escape(x) for x in sorted(one))) for i, one in enumerate(literals)]
+
+    @F.arrow_udf("bigint")
+    def run(text: pa.Array, asked: pa.Array) -> pa.Array:
+        wanted = asked.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(text), np.int64)
+        for bit, pattern in patterns:
+            at = np.flatnonzero(wanted & bit)
+            if len(at):
+                found = pc.match_substring_regex(text.take(pa.array(at)), pattern).to_numpy(zero_copy_only=False)
+                out[at[found.astype(bool)]] |= bit
+        return pa.array(out)
+
+    return run
+
+
 def _flag(key: str) -> str:
     return "in_" + key.replace("-", "").replace("/", "_").lower()
 
@@ -73,14 +101,26 @@ def scan(c: Corpus, rules: frozenset[str], lines_only: bool = False) -> DataFram
     if hits or imports:
         wanted = taint.wanted(hits, imports) & F.col("text").isNotNull()
         code = F.when(wanted, taint.judge(hits, imports)("name", "suffix", F.when(wanted, F.col("text"))))
-    base = base.withColumns({"code": code, "ltext": F.lower("text")})
+    finds = {k: may_find(r) for k, r in lines.items()}
+    base, apart = base.withColumn("ltext", F.lower("text")), {"code": code}
+    sets = {k: (r.files, r.literals()) for k, r in lines.items() if r.literals()}
+    whole = {p: (f, needed(p)) for k, (f, p) in SOUGHT.items() if k in rules}
+    d = SPARK
+    if FEW_RULES < len(sets) < 64 - len(whole):
+        bit = {k: f"{1 << i}L" for i, k in enumerate([*sets, *whole])}
+        asked = " + ".join(f"CASE WHEN {f(SPARK)} THEN {bit[k]} ELSE 0L END" for k, (f, _) in (sets | whole).items())
+        base = base.withColumn("asked", F.expr(f"CASE WHEN text IS NULL THEN 0L ELSE {asked} END"))
+        apart["held"] = F.coalesce(held([x for _, x in (sets | whole).values()])(F.when(F.col("asked") != 0, F.col("ltext")), F.col("asked")), F.lit(0))
+        finds |= {k: f"(held & {bit[k]} <> 0)" for k in sets}
+        d = Known({p: f"held & {bit[p]} <> 0" for p in whole})
+    base = base.withColumns(apart)
 
     # what is judged once for each file: an outer explode of one struct, so that it isn't moved into conditions below or above
-    tests = {_flag(k): may_find(r) for k, r in lines.items()}
-    flags = {name: f"{may_find(r)} AND ({f(SPARK)})" for r in lines.values() for name, f in r.flags.items()}
-    asked = {_flag(f"{r.rule_id}/file"): r.may(SPARK) for r in files}
+    tests = {_flag(k): e for k, e in finds.items()}
+    flags = {name: f"{finds[k]} AND ({f(SPARK)})" for k, r in lines.items() for name, f in r.flags.items()}
+    asked = {_flag(f"{r.rule_id}/file"): r.may(d) for r in files}
     judged = [F.expr(f"coalesce({e}, false)").alias(n) for n, e in (tests | flags | asked | {"manifest": manifest}).items()]
-    judged.append(F.expr(fact_bits(facts)).alias("bits"))
+    judged.append(F.expr(fact_bits(facts, d)).alias("bits"))
     names = ["path", "lpath", "name", "lname", "suffix", "mode", "text", "text_lossy", "code"]
     base = base.select(*names, F.explode_outer(F.array(F.struct(*judged))).alias("f")).select(*names, "f.*")
 
@@ -104,7 +144,7 @@ def scan(c: Corpus, rules: frozenset[str], lines_only: bool = False) -> DataFram
     contexts = {n: any_of(u) for n, u in users.items() if u}
     blank = F.lit(None).cast("string")
     nothing = F.lit(None).cast(f"struct<own: array<{HIT}>, fact: {FACT}>")
-    one = F.struct(F.lit(0).cast("long").alias("line"), blank.alias("raw"), blank.alias("s"), *[blank.alias(n) for n in contexts], F.struct(own.alias("own"), fact.alias("fact")).alias("whole"))
+    one = F.struct(F.lit(0).cast("long").alias("line"), blank.alias("raw"), blank.alias("s"), blank.alias("low"), *[blank.alias(n) for n in contexts], F.struct(own.alias("own"), fact.alias("fact")).alias("whole"))
     items = F.when(F.expr(told), F.array(one)).otherwise(F.array())
     if lines:
         each = line_struct(contexts)
@@ -123,15 +163,15 @@ def scan(c: Corpus, rules: frozenset[str], lines_only: bool = False) -> DataFram
 
 
 def each_with(line, contexts, nothing):
-    """A line's struct with an empty place for what only the file's own row has."""
-    return F.struct(*[line[n].alias(n) for n in ("line", "raw", "s", *contexts)], nothing.alias("whole"))
+    """A line's struct with its lower-case text, and an empty place for what only the file's own row has."""
+    return F.struct(*[line[n].alias(n) for n in ("line", "raw", "s")], F.lower(line["raw"]).alias("low"), *[line[n].alias(n) for n in contexts], nothing.alias("whole"))
 
 
 def _line_items(lines: dict[str, LineRule]) -> str:
     """The array of (rule_id, severity) that a line gives."""
     groups: dict[str, list[str]] = {}
     for k, r in lines.items():
-        for row in r.rows(SPARK):
+        for row in r.rows(GATED):
             if r.times:
                 item = f"transform({r.times(SPARK)}, x -> named_struct('rule_id', '{r.rule_id}', 'severity', {row.replace('m RLIKE', 'x RLIKE')}))"
             else:

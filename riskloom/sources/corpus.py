@@ -16,6 +16,8 @@ from riskloom.sources.advisories import Lookup
 
 #: Line ends as text files have them, after universal newlines.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+#: The same where no two characters make one line end.
+SINGLE_END = "[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 #: White space as text processing strips it from lines.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: (preceding, following) lines of each context column of raw lines
@@ -36,7 +38,11 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def split_lines(column: str):
     """The lines of a text; a line end at the very end ends the last line."""
-    return F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(column, f"(?:{LINE_END})\\z", ""), LINE_END))
+    text = F.col(column)
+    parts = F.split(F.when(text.contains("\r"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text), SINGLE_END)
+    # the parts are named once, so that they aren't made again for each use
+    lines = F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.get(lines, F.lit(0)))
 
 
 def strip_lines(lines: str):
@@ -68,7 +74,7 @@ class Corpus:
         if "mode" not in files.columns:
             files = files.withColumn("mode", F.lit(None).cast("int"))
         name = F.substring_index("path", "/", -1)
-        fold = lambda c: F.regexp_replace(c, "\r\n?", "\n")
+        fold = lambda c: F.when(c.contains("\r"), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
         self.files = files.select("path", name.alias("name"), "mode", fold(F.col("text")).alias("text"), fold(F.col("text_lossy")).alias("text_lossy")).select(
             "path", F.lower("path").alias("lpath"), "name", F.lower("name").alias("lname"), suffix_of(F.col("name")).alias("suffix"), "mode", "text", "text_lossy"
         )

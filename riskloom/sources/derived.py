@@ -98,10 +98,18 @@ IMPORTED = [(x, m) for x, m in (
 MODES = (0o644, 0o600, 0o660, 0o646)
 
 
+def _folded() -> str:
+    """A document's text with ASCII alone and line feeds as its only line ends; patterns are tried where they change something."""
+    text = "coalesce(text, '')"
+    plain = f"CASE WHEN octet_length({text}) = char_length({text}) AND is_valid_utf8({text}) THEN {text} ELSE {SPARK.sub(text, r'[\x{80}-\x{10FFFF}]', 'e')} END"
+    ends = SPARK.rx("text", r"[\r\x0b\x0c\x1c-\x1e]")
+    return f"CASE WHEN {ends} THEN {SPARK.sub(plain, r'\r\n?|[\x0b\x0c\x1c-\x1e]', chr(10))} ELSE {plain} END"
+
+
 def tree_sql(d) -> str:
     """Select (path, text, mode) from documents and two fixed lists of path kinds and snippets."""
     turn = f"(doc_id // {len(TREE)})" if d is DUCK else f"(doc_id div {len(TREE)})"
-    folded = d.sub(d.sub("coalesce(text, '')", r"[^\x00-\x7F]", "e"), r"\r\n?|[\x0b\x0c\x1c-\x1e]", "\n")
+    folded = _folded() if d is SPARK else d.sub(d.sub("coalesce(text, '')", r"[^\x00-\x7F]", "e"), r"\r\n?|[\x0b\x0c\x1c-\x1e]", "\n")
     plain = d.sub(folded, r'[\x00-\x1f"\\]', " ")
     line = d.lit("\n")
     leads = {".py": "# ", ".sh": "# ", ".js": "// "}
