@@ -26,6 +26,8 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: The 120 short distances: neighbours by distance, then lower rows first, then right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], p[0] < 0))
 _CACHE_HASH = 0x1E35A7BD
+#: So many streams of a batch that aren't plain are decoded one by one.
+FEW = 32
 
 
 class BadImage(ValueError):
@@ -175,11 +177,75 @@ def _sub_image(r: BitReader, width: int, height: int) -> np.ndarray:
     return pixels[0]
 
 
+def _plain(s: _Stream) -> bool:
+    """Whether green alone takes bits, under one group of codes and without a cache: so are nearly all images of text."""
+    return not s.cache_bits and s.meta is None and all(len(t) == 1 and not t[0] & 15 for t in s.groups[0][1:4])
+
+
+def _decode_one(s: _Stream) -> tuple[np.ndarray, int]:
+    """decode_streams of one stream without a meta image, symbol by symbol: for the few that would hold up many."""
+    raw, limit, pos, size = s.data + bytes(16), 8 * len(s.data), s.pos, s.width * s.height
+    tables = [t.tolist() for t in s.groups[0]]
+    shift, out, cache = 32 - s.cache_bits, [], {}
+
+    def symbol(code: int) -> int:
+        nonlocal pos
+        a = pos >> 3
+        e = tables[code][int.from_bytes(raw[a : a + 4], "little") >> (pos & 7) & (len(tables[code]) - 1)]
+        pos += e & 15
+        return e >> 4
+
+    def value(prefix: int) -> int:
+        nonlocal pos
+        if prefix < 4:
+            return prefix + 1
+        n, a = (prefix - 2) >> 1, pos >> 3
+        got = int.from_bytes(raw[a : a + 8], "little") >> (pos & 7) & ((1 << n) - 1)
+        pos += n
+        return ((2 + (prefix & 1)) << n) + got + 1
+
+    while len(out) < size:
+        green, at = symbol(0), len(out)
+        if green < 256:
+            red, blue, alpha = symbol(1), symbol(2), symbol(3)
+            out.append(alpha << 24 | red << 16 | green << 8 | blue)
+        elif green >= 256 + N_LENGTH:
+            out.append(cache.get(green - 256 - N_LENGTH, 0))
+        else:
+            length = value(green - 256)
+            d = value(symbol(4))
+            if d > 120:
+                d -= 120
+            else:
+                x, y = NEAR[d - 1]
+                d = max(1, x + y * s.width)
+            if d > at or at + length > size:
+                raise BadImage("bad back-reference")
+            for k in range(at - d, at - d + length):
+                out.append(out[k])
+        if s.cache_bits:
+            for v in out[at:]:
+                cache[(_CACHE_HASH * v & 0xFFFFFFFF) >> shift] = v
+        if pos > limit:
+            raise BadImage("truncated")
+    return np.array(out, np.uint32), pos
+
+
 def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray]:
     """The ARGB pixels (uint32) of each stream, and the bit after the last one used."""
+    rest = [i for i, s in enumerate(streams) if not _plain(s)]
+    if len(streams) > FEW >= len(rest) > 0 and all(streams[i].meta is None for i in rest):
+        many = [s for i, s in enumerate(streams) if i not in rest]
+        pixels, ends = decode_streams(many)
+        ends = ends.tolist()
+        for i in rest:
+            one, end = _decode_one(streams[i])
+            pixels.insert(i, one)
+            ends.insert(i, end)
+        return pixels, np.array(ends)
     n = len(streams)
     starts = np.cumsum([0] + [len(s.data) for s in streams])
-    raw = np.frombuffer(b"".join(s.data for s in streams) + bytes(16), np.uint8)
+    raw = np.frombuffer(b"".join(s.data for s in streams) + bytes(32), np.uint8)
     window = np.zeros(len(raw) - 8, np.uint64)  # the 64 bits from each byte on
     for k in range(8):
         window |= raw[k : k + len(window)].astype(np.uint64) << np.uint64(8 * k)
@@ -217,6 +283,9 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
     widths = np.array([s.width for s in streams], np.int64)
     metas = any(s.meta is not None for s in streams)
     act = np.flatnonzero(size > 0)
+    if still and not cached and not metas:
+        _decode_plain(act, pos, size, limit, widths, out, out_at, window, flat, rows[base], masks[base], others[base])
+        return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
     def look(at, code, row):
         w = window[at >> 3] >> (at & 7).astype(np.uint64)
@@ -299,6 +368,66 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
     return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
 
+def _decode_plain(act, pos, size, limit, widths, out, out_at, window, flat, rows, masks, others) -> None:
+    """decode_streams where each image has one group, no colour cache, and green alone takes bits.
+
+    What is asked of each image in each step lies side by side, and is gathered anew only when images are done.
+    """
+    place = out_at[:-1].copy()  # of the next pixel
+
+    def extra(k: int, symbol: int) -> int:
+        """A length or distance from its prefix symbol."""
+        if symbol < 4:
+            return symbol + 1
+        n = (symbol - 2) >> 1
+        a = int(at[k])
+        at[k] = a + n
+        return ((2 + (symbol & 1)) << n) + (int(window[a >> 3]) >> (a & 7) & ((1 << n) - 1)) + 1
+
+    while len(act):
+        at, to, end, last = pos[act], place[act], out_at[act] + size[act], limit[act]
+        table, mask, other = rows[act, 0], masks[act, 0].astype(np.int64), others[act]
+        left, step = int((end - to).min()), 0
+        while left > 0:
+            e = flat[table + ((window[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & mask)]
+            at += e & 15
+            green = e >> 4
+            if green.max() < 256:
+                out[to] = other | green << 8
+                to += 1
+            else:
+                copy = green >= 256
+                lit = np.flatnonzero(~copy)
+                out[to[lit]] = other[lit] | green[lit] << 8
+                to[lit] += 1
+                for k in np.flatnonzero(copy).tolist():
+                    i, q = int(act[k]), int(to[k])
+                    length = extra(k, int(green[k]) - 256)
+                    a = int(at[k])
+                    e = int(flat[int(rows[i, 4]) + (int(window[a >> 3]) >> (a & 7) & int(masks[i, 4]))])
+                    at[k] = a + (e & 15)
+                    d = extra(k, e >> 4)
+                    if d > 120:
+                        d -= 120
+                    else:
+                        x, y = NEAR[d - 1]
+                        d = max(1, x + y * int(widths[i]))
+                    if d > q - int(out_at[i]) or q + length > int(end[k]):
+                        raise BadImage("bad back-reference")
+                    for o in range(0, length, d):
+                        m = min(d, length - o)
+                        out[q + o : q + o + m] = out[q + o - d : q + o - d + m]
+                    to[k] = q + length
+                left = int((end - to).min()) + 1
+            left -= 1
+            step += 1
+            # a step takes 15 bits, or far more for a copy; the window goes 192 bits beyond the data
+            if (step & 3 == 0 or left <= 0 or green.max() >= 256) and (at > last).any():
+                raise BadImage("truncated")
+        pos[act], place[act] = at, to
+        act = act[to < end]
+
+
 def lossless_chunk(data: bytes) -> bytes:
     """The VP8L chunk of a RIFF file, alone or among others (an extended file)."""
     if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
@@ -730,7 +859,9 @@ def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
     codes, far_codes = canonical_many(lengths), canonical_many(distances)
     alone, far_alone = (lengths > 0).sum(1) < 2, (distances > 0).sum(1) < 2
     bits_of, far_bits = np.where(alone[:, None], 0, lengths), np.where(far_alone[:, None], 0, distances)
-    heads = []
+    heads, still = [], BitWriter()
+    for symbol in (0, 0, 255):  # of red, blue and alpha
+        write_code(still, [int(c == symbol) for c in range(256)])
     for i in range(n):
         w = BitWriter()
         w.put(0x2F, 8)
@@ -742,8 +873,7 @@ def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
         w.put(2, 2)  # subtract green, which leaves red and blue at zero
         w.put(0, 3)  # no more transforms, no colour cache, one group
         write_code(w, lengths[i].tolist())
-        for symbol in (0, 0, 255):
-            write_code(w, [int(c == symbol) for c in range(256)])
+        w.put(still.value, still.n)
         write_code(w, distances[i].tolist())
         heads.append((w.value, w.n))
     # the elements in order: a byte's code, or a copy's length and then its distance

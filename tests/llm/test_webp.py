@@ -172,3 +172,24 @@ def test_what_the_query_stores(spark, monkeypatch):
             seen["copies"] += len(stream.groups[0][4]) > 1 or int(stream.groups[0][4][0]) > 0
             seen["codes"] += len(stream.groups[0][0]) > 1
     assert min(seen[k] for k in ("predictor", "cross-colour", "subtract-green", "palette", "cache", "copies", "codes")) > 0, seen
+
+
+def test_plain_streams_are_not_held_up_by_a_few_others():
+    """Images whose green alone takes bits are decoded side by side, few others one by one; all come out as when decoded alone."""
+    draw = np.random.default_rng(9)
+    tiles = [np.frombuffer((b"the quick brown fox " * 40 + bytes(draw.integers(97, 100, 400).astype(np.uint8)))[: 64 * int(draw.integers(1, 18))], np.uint8) for _ in range(60)]
+    files = webp.encode_gray(tiles, 64)
+    pixels = [draw.integers(0, 5, (6, 9, 4)).astype(np.uint8) for _ in range(6)]
+    others = [webp.encode_image(p, (), references=k % 2 == 0, cache_bits=(0, 6, 3)[k % 3]) for k, p in enumerate(pixels)]
+    mixed = files[:20] + others[:3] + files[20:] + others[3:]
+    streams = [webp._open(f)[0] for f in mixed]
+    assert 0 < sum(not webp._plain(s) for s in streams) <= webp.FEW < len(streams)
+    together = webp.decode_images(mixed)
+    want = [*tiles[:20], *pixels[:3], *tiles[20:], *pixels[3:]]
+    for x, w, f in zip(together, want, mixed, strict=True):
+        assert np.array_equal(x, webp.decode_images([f])[0])
+        assert np.array_equal(x if w.ndim == 3 else x[..., 1].reshape(-1), w)
+    body = webp.lossless_chunk(files[0])
+    for cut in range(8, len(body) - 1, 7):
+        with pytest.raises((webp.BadImage, IndexError)):
+            webp.decode_images([*files, webp.riff(body[:cut])])
