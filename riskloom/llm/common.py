@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: keeps a batch of ordinary documents near a few MB.
@@ -48,6 +48,20 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def counted(spark: SparkSession, df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """materialize, with what was observed as the rows were written: ``rows``, their number, and the given aggregates. No job of its own."""
+    seen = Observation()
+    out = materialize(spark, df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in sums.items()]), label)
+    out._riskloom_rows = seen.get["rows"]
+    return out, seen.get
+
+
+def rows_of(df: DataFrame) -> int:
+    """The row count: as observed when the frame was written, or by a job."""
+    n = getattr(df, "_riskloom_rows", None)
+    return df.count() if n is None else n
+
+
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete materialized frames that nothing reads any more."""
     for df in frames:
@@ -121,49 +135,56 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, min(parts, -(-rows // 20_000))))
 
 
-def light(df: DataFrame, rows: int) -> DataFrame:
+def few(rows: int, most: int | None = None) -> bool:
+    """Whether so many rows may be broadcast; a caller that sends many frames sets a smaller bound."""
+    return rows <= (SMALL_ROWS if most is None else min(most, SMALL_ROWS))
+
+
+def light(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """df marked for broadcast if its row count is small."""
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+    return F.broadcast(df) if few(rows, most) else df
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc") -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc", most: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in edges(a, b).
 
     Rounds of contraction: every vertex hooks on to its smallest neighbour if that is
     smaller, pointers are followed to their roots (each pass covers four times the
     distance), and the edges between different roots go on. Both loops take a number of
-    passes that grows with the logarithm of the graph. Only counts reach the driver.
-    Minima are partially aggregated, so a vertex with very many links is no hot task.
+    passes that grows with the logarithm of the graph. Only counts reach the driver, and
+    those are observed as frames are written. Minima are partially aggregated, so a vertex
+    with very many links is no hot task. Frames are broadcast up to ``most`` rows.
     """
 
     def between(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges = materialize(spark, between(edges), f"{label}-edges")
-    n = edges.count()
-    known = None
+    edges, seen = counted(spark, between(edges), f"{label}-edges")
+    n, known, size = seen["rows"], None, 0
     while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = materialize(spark, compact(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a"), n), f"{label}-hooks")
-        k = hooks.count()
+        hooks, seen = counted(spark, compact(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a"), n), f"{label}-hooks")
+        k = seen["rows"]
         while True:
             far = hooks
             for _ in range(3):
-                far = far.join(light(hooks.select(F.col("a").alias("p"), F.col("p").alias("q")), k), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-            far = materialize(spark, compact(far, k), f"{label}-hooks")
-            more = far.join(light(hooks.select(F.col("a").alias("p")), k), "p", "left_semi").limit(1).count()
+                step = light(hooks.select(F.col("a").alias("p"), F.col("p").alias("q")), k, most)
+                far = far.join(step, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+            # whoever didn't move in the last step stands at a root
+            far, seen = counted(spark, compact(far, k), f"{label}-hooks", moved=F.count(F.when(F.col("moved"), 1)))
             release(spark, hooks)
-            hooks = far
-            if not more:
+            hooks = far.select("a", "p")
+            hooks._riskloom_path = far._riskloom_path
+            if not seen["moved"]:
                 break
-        root = light(hooks.select(F.col("a").alias("v"), F.col("p").alias("r")), k)
+        root = light(hooks.select(F.col("a").alias("v"), F.col("p").alias("r")), k, most)
         old = known if known is not None else both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-        size = n if known is None else known.count()
         old = old.join(root, F.col("component") == F.col("v"), "left").select("id", F.coalesce("r", "component").alias("component"))
-        known = materialize(spark, compact(old, 2 * size), f"{label}-known")
+        known, seen = counted(spark, compact(old, 2 * (size or n)), f"{label}-known")
+        size = seen["rows"]
         ends = edges.join(root, F.col("a") == F.col("v"), "left").select(F.coalesce("r", "a").alias("a"), "b")
         ends = ends.join(root, F.col("b") == F.col("v"), "left").select("a", F.coalesce("r", "b").alias("b"))
-        left = materialize(spark, compact(between(ends), n), f"{label}-edges")
+        left, seen = counted(spark, compact(between(ends), n), f"{label}-edges")
         release(spark, edges, hooks)
-        edges, n = left, left.count()
+        edges, n = left, seen["rows"]
     return known if known is not None else spark.createDataFrame([], "id long, component long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import compact, connected_components, dense_reduce, light, materialize, release, table, tune
+from riskloom.llm.common import compact, connected_components, counted, dense_reduce, few, light, materialize, release, rows_of, table, tune
 from riskloom.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash, word_spans
 
 WORDS = 5
@@ -51,6 +51,8 @@ HOLD = 20_000
 HOT_MEANS, HOT_ROWS = 4, 1000
 #: Fingerprints of sets that a task remembers in order to send equal ones once; later ones are sent each.
 KNOWN = 1 << 20
+#: Frames of at most so many rows are broadcast: the joins are many, and each broadcast is built in the driver's heap.
+LIGHT = 1 << 16
 _U = np.uint64
 _STEP = [_U(int(x) | 1) for x in np.random.default_rng(31).integers(1, 2**62, 16)]
 
@@ -269,13 +271,13 @@ def _wanted(column: str):
 
 
 def _sets(shared, words: int):
-    """(doc, g) for the documents that the filter lets pass."""
+    """(doc, g) for the documents that the filter, if there is one, lets pass."""
 
     def run(batches):
-        wanted = shared.value
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            b = b.filter(pa.array(wanted[(mix(ids.view(_U)) % _U(FILTER)).astype(np.int64)]))
+            if shared is not None:
+                ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                b = b.filter(pa.array(shared.value[(mix(ids.view(_U)) % _U(FILTER)).astype(np.int64)]))
             for lo, hi, data, offs in chunks(b.column("text")):
                 sets = shingle_sets(data, offs, words)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([g.tobytes() for g in sets], pa.binary())], ["doc", "g"])
@@ -330,33 +332,35 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     full = rows.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("comp"), F.max("doc_id").alias("__top")).where("comp <> __top").drop("__top")
     # written first: only classes of several documents are joined, by broadcast or so that a hot class can be split
-    classes = materialize(spark, classes, "jaccard-classes")
+    classes, seen = counted(spark, classes, "jaccard-classes")
     # a doc_id that has several sets joins their classes
-    comp = full.join(light(classes, classes.count()), ["n", "f1", "f2"], "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    comp = materialize(spark, comp.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")), "jaccard-comp")
+    comp = full.join(light(classes, seen["rows"], LIGHT), ["n", "f1", "f2"], "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    comp = comp.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))
+    comp, seen = counted(spark, comp, "jaccard-comp", merged=F.count(F.when(F.col("comp") != F.col("other"), 1)), moved=F.count(F.when(F.col("comp") != F.col("doc_id"), 1)))
+    n_docs, n_moved = seen["rows"], seen["moved"]
     merged = comp.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
 
     records = known.mapInArrow(_records(shared, hot, words, threshold), "h long, salt int, doc long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = records.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "pos", "doc")
-    buckets = materialize(spark, records.mapInArrow(_buckets(threshold), "kind byte, h long, a long, b long, n int, pos int"), "jaccard-buckets")
-    n_docs = comp.count()
-    edges, labels = merged, comp.select("doc_id", "comp")
-    if merged.limit(1).count():
-        labels = _relabel(spark, comp, edges, n_docs)
+    buckets = records.mapInArrow(_buckets(threshold), "kind byte, h long, a long, b long, n int, pos int")
+    buckets, seen_buckets = counted(spark, buckets, "jaccard-buckets", large=F.count(F.when(F.col("kind") == 1, 1)))
+    # documents whose component is another's id; all others are their own
+    edges, moved = merged, comp.select("doc_id", "comp").where("comp <> doc_id")
+    if seen["merged"]:
+        moved, n_moved = _relabel(spark, comp, edges, n_docs)
 
     def apart(df: DataFrame, one: str, two: str) -> DataFrame:
         """Pairs whose ends lie in different components."""
-        a = light(labels.select(F.col("doc_id").alias(one), F.col("comp").alias("__c1")), n_docs)
-        b = light(labels.select(F.col("doc_id").alias(two), F.col("comp").alias("__c2")), n_docs)
-        return df.join(a, one).join(b, two).where("__c1 <> __c2").drop("__c1", "__c2")
+        df = _named(_named(df, moved, n_moved, one, "__c1"), moved, n_moved, two, "__c2")
+        return df.where("__c1 <> __c2").drop("__c1", "__c2")
 
     pairs = buckets.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("v"))
     pairs = materialize(spark, apart(pairs, "a", "b"), "jaccard-pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", "best.b")
     large = buckets.where("kind = 1").select("h", F.col("a").alias("doc"), "n", "pos")
-    open_buckets = bool(large.limit(1).count())
-    tried = None
+    open_buckets = bool(seen_buckets["large"])
+    tried, n_tried = None, 0
     turn, spread, last = 0, 1, False
     while True:
         if turn == 0:
@@ -364,7 +368,7 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
         else:
             todo = apart(pairs.select("a", "b"), "a", "b") if turn == 1 else None
             if open_buckets:
-                met, last = _bucket_pairs(spark, large, labels, n_docs, spread, threshold, last)
+                met, last = _bucket_pairs(spark, large, moved, n_moved, spread, threshold, last)
                 open_buckets = met is not None
                 todo = met if todo is None else todo if met is None else todo.union(met)
         if todo is None:
@@ -372,67 +376,80 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
         # each pair once; b is the more central of the two, named by many pairs
         todo = todo.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("b").alias("b"))
         if tried is not None:
-            todo = todo.join(tried, ["x", "y"], "left_anti")
-        todo = materialize(spark, todo, "jaccard-todo")
-        count, found = todo.count(), 0
+            todo = todo.join(light(tried, n_tried, LIGHT), ["x", "y"], "left_anti")
+        todo, seen = counted(spark, todo, "jaccard-todo")
+        count, found = seen["rows"], 0
         if count:
-            checked = _check(spark, known, todo, count, threshold, words)
-            new = checked.where("linked").select("x", "y").distinct()
-            found = new.limit(1).count()
+            checked, found = _check(spark, known, todo, count, threshold, words)
             if found:
-                a, b = (light(labels.select(F.col("doc_id").alias(e), F.col("comp").alias(c)), n_docs) for e, c in (("x", "a"), ("y", "b")))
-                edges = materialize(spark, edges.union(new.join(a, "x").join(b, "y").select("a", "b")), "jaccard-edges")
-                labels = _relabel(spark, comp, edges, n_docs)
+                new = checked.where("linked").select("x", "y").distinct()
+                new = _named(_named(new, moved, n_moved, "x", "a"), moved, n_moved, "y", "b").select("a", "b")
+                edges = materialize(spark, edges.union(new), "jaccard-edges")
+                moved, n_moved = _relabel(spark, comp, edges, n_docs)
             pairs_now = todo.select("x", "y")
-            tried = pairs_now if tried is None else tried.union(pairs_now)
+            tried, n_tried = pairs_now if tried is None else tried.union(pairs_now), n_tried + count
         if turn and (last or not open_buckets):
             break
         last = turn > 0 and not found
         spread += turn > 0
         turn += 1
     release(spark, buckets, pairs, classes)
-    out = rows.join(light(labels.withColumnRenamed("comp", "__c"), n_docs), "doc_id", "left")
+    out = rows.join(light(moved.withColumnRenamed("comp", "__c"), n_moved, LIGHT), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("__c", "doc_id").alias("component_id"))
 
 
-def _bucket_pairs(spark: SparkSession, large: DataFrame, labels: DataFrame, n_docs: int, spread: int, threshold: int, last: bool) -> tuple[DataFrame | None, bool]:
+def _named(df: DataFrame, moved: DataFrame, n_moved: int, one: str, name: str) -> DataFrame:
+    """df with the component of its document ``one`` as ``name``."""
+    m = light(moved.select(F.col("doc_id").alias("__d"), F.col("comp").alias("__c")), n_moved, LIGHT)
+    return df.join(m, F.col(one) == F.col("__d"), "left").withColumn(name, F.coalesce("__c", one)).drop("__d", "__c")
+
+
+def _bucket_pairs(spark: SparkSession, large: DataFrame, moved: DataFrame, n_moved: int, spread: int, threshold: int, last: bool) -> tuple[DataFrame | None, bool]:
     """Pairs (a, b) of one large bucket in different components, and whether these are all of them; None if there are none."""
-    now = large.join(light(labels.select(F.col("doc_id").alias("doc"), "comp"), n_docs), "doc")
+    now = _named(large, moved, n_moved, "doc", "comp")
     size = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
-    size = materialize(spark, size, "jaccard-mixed")
-    n, left, rows = size.agg(F.count(F.lit(1)), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+    size, seen = counted(spark, size, "jaccard-mixed", left=F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), members=F.sum("s"))
+    n = seen["rows"]
     if not n:
         return None, True
-    now = materialize(spark, now.join(light(size.select("h"), n), "h"), "jaccard-now")
-    if last or left <= 4 * rows + 20_000:
+    now = materialize(spark, now.join(light(size.select("h"), n, LIGHT), "h"), "jaccard-now")
+    if last or seen["left"] <= 4 * seen["members"] + 20_000:
         y = now.select("h", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "comp")])
         met = now.join(y, "h").where((F.col("comp") < F.col("comp2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), threshold))
         return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct(), True
     order = F.struct(F.floor(F.col("pos") / (1 + 3 * spread)).alias("o"), F.xxhash64(F.lit(spread), "doc").alias("r"), "doc", "n", "pos", "comp")
     pivot = now.groupBy("h").agg(F.min(order).alias("p"))
-    met = now.join(light(pivot, n), "h").where((F.col("comp") != F.col("p.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), threshold))
+    met = now.join(light(pivot, n, LIGHT), "h").where((F.col("comp") != F.col("p.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), threshold))
     votes = met.groupBy("doc", F.col("p.doc").alias("pd")).agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy(F.col("doc").alias("a")).agg(F.max(F.struct("v", "pd")).alias("m")).select("a", F.col("m.pd").alias("b")), False
 
 
-def _check(spark: SparkSession, known: DataFrame, todo: DataFrame, count: int, threshold: int, words: int) -> DataFrame:
-    """(x, y, linked) for todo(x, y), from the whole texts."""
-    wanted = dense_reduce(todo.select(F.explode(F.array("x", "y")).alias("id")), _wanted("id"), FILTER, "int32")
-    needed = spark.sparkContext.broadcast(wanted > 0)  # FILTER bytes, 2 MB
-    sets = materialize(spark, known.mapInArrow(_sets(needed, words), "doc long, g binary"), "jaccard-sets")
+def _check(spark: SparkSession, known: DataFrame, todo: DataFrame, count: int, threshold: int, words: int) -> tuple[DataFrame, int]:
+    """(x, y, linked) for todo(x, y), from the whole texts, and the number of links."""
+    ids = todo.select(F.explode(F.array("x", "y")).alias("__id"))
+    if few(2 * count, LIGHT):
+        near = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(_sets(None, words), "doc long, g binary")
+    else:
+        wanted = dense_reduce(ids, _wanted("__id"), FILTER, "int32")
+        near = known.mapInArrow(_sets(spark.sparkContext.broadcast(wanted > 0), words), "doc long, g binary")  # FILTER bytes, 2 MB
+    sets = materialize(spark, near, "jaccard-sets")
     pairs = todo.select("x", "y", "b", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"))
     # the sets of members are sent once, and of all others only those of their partners
-    partners = sets.join(light(todo.select(F.col("b").alias("doc")).distinct(), count), "doc", "left_semi")
-    both = light(pairs, count).join(sets.select(F.col("doc").alias("a"), F.col("g").alias("gx")), "a").join(partners.select(F.col("doc").alias("b"), F.col("g").alias("gy")), "b")
-    checked = materialize(spark, both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean"), "jaccard-checked")
+    partners = sets.join(light(todo.select(F.col("b").alias("doc")).distinct(), count, LIGHT), "doc", "left_semi")
+    both = light(pairs, count, LIGHT).join(sets.select(F.col("doc").alias("a"), F.col("g").alias("gx")), "a").join(partners.select(F.col("doc").alias("b"), F.col("g").alias("gy")), "b")
+    checked = both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean")
+    checked, seen = counted(spark, checked, "jaccard-checked", linked=F.count(F.when(F.col("linked"), 1)))
     release(spark, sets)
-    return checked
+    return checked, seen["linked"]
 
 
-def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame, n_docs: int) -> DataFrame:
-    found = connected_components(spark, edges, "jaccard-cc").select(F.col("id").alias("comp"), "component")
-    new = comp.join(light(found, found.count()), "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp"))
-    return materialize(spark, compact(new, n_docs), "jaccard-labels")
+def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
+    """(doc_id, comp) of the documents whose component is another's id, and their number."""
+    found = connected_components(spark, edges, "jaccard-cc", LIGHT)
+    new = comp.join(light(found.select(F.col("id").alias("comp"), "component"), rows_of(found), LIGHT), "comp", "left")
+    new = new.select("doc_id", F.coalesce("component", "comp").alias("comp")).where("comp <> doc_id")
+    out, seen = counted(spark, compact(new, n_docs), "jaccard-labels")
+    return out, seen["rows"]
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -442,8 +459,8 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: int = THRESHO
     Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
     """
     gone = link_components(spark, docs, threshold, words).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(spark, gone, "jaccard-gone")
-    return docs.join(light(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone, seen = counted(spark, gone, "jaccard-gone")
+    return docs.join(light(gone, seen["rows"], LIGHT), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,29 @@ def test_keep_one_each_by_id(spark):
     rows = [(1, "a b c d e f"), (1, "quite another text of one id"), (2, "A b  c d e f"), (3, "q"), (3, "r"), (None, "q"), (4, None), (5, "q")]
     kept = sorted(map(tuple, jaccard.keep_one_each(spark, spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert kept == sorted([r for r in rows if r[0] not in (2, 5)], key=str)
+
+
+def test_jaccard_asks_little_of_the_driver(spark, monkeypatch):
+    """Rows are counted as they are written, by no job of their own, and documents that are their own component are never broadcast."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(9)
+    alone = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    rows = list(enumerate(alone + _texts(5)))
+    docs, sent = spark.createDataFrame(rows, DOCS), []
+
+    def job(self, *args):
+        raise AssertionError("a job that only counts")
+
+    def light(df, n, most=None, f=common.light):
+        sent.append(n)
+        return f(df, n, most)
+
+    with monkeypatch.context() as m:
+        for name in ("count", "first", "head", "isEmpty"):
+            m.setattr(DataFrame, name, job)
+        for module in (common, jaccard):
+            m.setattr(module, "light", light)
+        out = jaccard.link_components(spark, docs)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
+    assert sent and max(sent) < 300
