@@ -74,7 +74,7 @@ def _other_form(tile: np.ndarray, usual: bytes) -> bytes:
         return webp.encode_image(_pixels(tile), ("green",), cache_bits=6)
     if draw == 3:
         return webp.encode_image(_pixels(tile), ("palette",), references=True)
-    if len(np.unique(tile)) <= FEW:
+    if np.count_nonzero(np.bincount(tile)) <= FEW:
         short = webp.encode_image(_pixels(tile), ("palette",), references=True)
         return short if len(short) < len(usual) else usual
     return usual
@@ -105,10 +105,10 @@ def split_files(stored: bytes) -> list[bytes]:
 def load(stored: list[bytes]) -> list[np.ndarray]:
     """The payload of each stored form."""
     files = [split_files(s) for s in stored]
-    images = webp.decode_images([f for fs in files for f in fs])
+    images = webp.decode_green([f for fs in files for f in fs])
     out, k = [], 0
     for fs in files:
-        parts = [np.ascontiguousarray(x[..., 1]).reshape(-1) for x in images[k : k + len(fs)]]
+        parts = images[k : k + len(fs)]
         out.append(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8))
         k += len(fs)
     return out

@@ -25,9 +25,17 @@ N_LENGTH, N_DISTANCE = 24, 40
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: The 120 short distances: neighbours by distance, then lower rows first, then right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], p[0] < 0))
+_NEAR = np.array(NEAR)
 _CACHE_HASH = 0x1E35A7BD
 #: So many streams of a batch that aren't plain are decoded one by one.
 FEW = 32
+#: Plain streams of at most so many bytes are looked up at all of their bits, so many bits at a time, in strides of so many symbols.
+PLAIN_BYTES, BLOCK_BITS, STRIDE = 1 << 18, 1 << 19, 16
+
+
+#: So many prefix codes of like size are worked out side by side.
+HUFFMAN_ROWS = 256
+_MERGED = np.iinfo(np.int64).max
 
 
 class BadImage(ValueError):
@@ -148,6 +156,84 @@ def read_code(r: BitReader, size: int) -> np.ndarray:
     return code_table(lengths)
 
 
+def code_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the code_table of each row of code lengths side by side, where each begins, their sizes less one)."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    used = np.bincount(row, minlength=len(lengths))
+    if (np.bincount(row, 1 << (MAX_LENGTH - n), len(lengths))[used > 1] != 1 << MAX_LENGTH).any():
+        raise BadImage("incomplete prefix code")
+    n[used[row] == 1] = 0
+    width = np.zeros(len(lengths), np.int64)
+    width[used > 1] = lengths[used > 1].max(1)
+    at = np.cumsum(1 << width) - (1 << width)
+    order = np.argsort(row << 4 | n, kind="stable")
+    row, symbol, n = row[order], symbol[order], n[order]
+    share = 1 << (width[row] - n)
+    owner = np.repeat(row, share)
+    place = np.arange(len(owner)) - (np.cumsum(1 << width * (used > 0)) - (1 << width) * (used > 0))[owner]
+    flat = np.zeros(int((1 << width).sum()), np.int64)
+    flat[at[owner] + (_REVERSED[place] >> (MAX_LENGTH - width[owner]))] = np.repeat(symbol << 4 | n, share)
+    return flat, at, (1 << width) - 1
+
+
+# what a code length symbol stands for: so many extra bits, at least so many lengths
+_LENGTH_EXTRA, _LENGTH_RUN = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
+
+
+def read_codes(window: np.ndarray, pos: np.ndarray, limit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code lengths, bits behind them): read_code for one code of each of many images, in step."""
+    lengths, pos = np.zeros((len(pos), size), np.uint8), pos.copy()
+    w = _look(window, pos)
+    simple = np.flatnonzero(w & 1)
+    if len(simple):
+        v = w[simple]
+        two, wide = v >> 1 & 1, v >> 2 & 1
+        a, n = v >> 3 & np.where(wide, 255, 1), np.where(wide, 11, 4)
+        b = np.where(two, v >> n & 255, a)
+        if max(a.max(), b.max()) >= size:
+            raise BadImage("symbol out of range")
+        lengths[simple, a] = lengths[simple, b] = 1
+        pos[simple] += n + 8 * two
+    act = np.flatnonzero(w & 1 == 0)
+    if len(act):
+        n = 4 + (w[act] >> 1 & 15)
+        v = _look(window, pos[act] + 5) | _look(window, pos[act] + 53) << 48
+        ks = np.arange(19)
+        first = np.zeros((len(act), 19), np.uint8)
+        first[:, LENGTH_ORDER] = np.where(ks < n[:, None], v[:, None] >> 3 * ks & 7, 0)
+        to = pos[act] + 5 + 3 * n
+        flat, table, mask = code_tables(first)
+        v = _look(window, to)
+        n = 2 + 2 * (v >> 1 & 7)
+        left = np.where(v & 1, 2 + (v >> 4 & (1 << n) - 1), size)
+        to += np.where(v & 1, 4 + n, 1)
+        at, before, runs = np.zeros(len(act), np.int64), np.full(len(act), 8), []
+        while len(act):
+            v = _look(window, to)
+            e = flat[table + (v & mask)]
+            symbol, n = e >> 4, e & 15
+            extra = _LENGTH_EXTRA[symbol]
+            run = _LENGTH_RUN[symbol] + (v >> n & (1 << extra) - 1)
+            to += n + extra
+            value = np.where(symbol < 16, symbol, np.where(symbol == 16, before, 0))
+            before = np.where(value > 0, value, before)
+            runs.append((act * size + at, run, value))
+            at, left = at + run, left - 1
+            if (at > size).any():
+                raise BadImage("too many code lengths")
+            on = (at < size) & (left > 0)
+            if not on.all():
+                pos[act] = to
+                act, to, at, left, before, table, mask = (x[on] for x in (act, to, at, left, before, table, mask))
+        start, run, value = (np.concatenate(x) for x in zip(*runs, strict=True))
+        start, run, value = start[value > 0], run[value > 0], value[value > 0]
+        lengths.reshape(-1)[np.arange(run.sum()) + np.repeat(start - (np.cumsum(run) - run), run)] = np.repeat(value, run)
+    if (pos > limit).any():
+        raise BadImage("truncated")
+    return lengths, pos
+
+
 # ---------------------------------------------------------------- decoder
 
 
@@ -177,6 +263,20 @@ def _sub_image(r: BitReader, width: int, height: int) -> np.ndarray:
     return pixels[0]
 
 
+def _window(data: list[bytes]) -> np.ndarray:
+    """The 64 bits from each byte on, of bytes one after the other and some zeros behind them."""
+    raw = np.frombuffer(b"".join(data) + bytes(1024), np.uint8)
+    out = np.zeros(len(raw) - 8, np.uint64)
+    for k in range(8):
+        out |= raw[k : k + len(out)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _look(window: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """At least 56 bits from each place on."""
+    return (window[pos >> 3] >> (pos & 7).astype(np.uint64)).view(np.int64) & (1 << 56) - 1
+
+
 def _plain(s: _Stream) -> bool:
     """Whether green alone takes bits, under one group of codes and without a cache: so are nearly all images of text."""
     return not s.cache_bits and s.meta is None and all(len(t) == 1 and not t[0] & 15 for t in s.groups[0][1:4])
@@ -231,12 +331,12 @@ def _decode_one(s: _Stream) -> tuple[np.ndarray, int]:
     return np.array(out, np.uint32), pos
 
 
-def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The ARGB pixels (uint32) of each stream, and the bit after the last one used."""
+def decode_streams(streams: list[_Stream], among: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ARGB pixels (uint32) of each stream, and the bit after the last one used; among so many more streams read elsewhere."""
     rest = [i for i, s in enumerate(streams) if not _plain(s)]
-    if len(streams) > FEW >= len(rest) > 0 and all(streams[i].meta is None for i in rest):
+    if len(streams) + among > FEW >= len(rest) > 0 and all(streams[i].meta is None for i in rest):
         many = [s for i, s in enumerate(streams) if i not in rest]
-        pixels, ends = decode_streams(many)
+        pixels, ends = decode_streams(many) if many else ([], np.zeros(0, np.int64))
         ends = ends.tolist()
         for i in rest:
             one, end = _decode_one(streams[i])
@@ -245,10 +345,7 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
         return pixels, np.array(ends)
     n = len(streams)
     starts = np.cumsum([0] + [len(s.data) for s in streams])
-    raw = np.frombuffer(b"".join(s.data for s in streams) + bytes(32), np.uint8)
-    window = np.zeros(len(raw) - 8, np.uint64)  # the 64 bits from each byte on
-    for k in range(8):
-        window |= raw[k : k + len(window)].astype(np.uint64) << np.uint64(8 * k)
+    window = _window([s.data for s in streams])
     pos = np.array([8 * a + s.pos for a, s in zip(starts, streams, strict=False)], np.int64)
     first, size = pos.copy(), np.array([s.width * s.height for s in streams], np.int64)
     limit = 8 * starts[1:]
@@ -283,8 +380,9 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
     widths = np.array([s.width for s in streams], np.int64)
     metas = any(s.meta is not None for s in streams)
     act = np.flatnonzero(size > 0)
-    if still and not cached and not metas:
-        _decode_plain(act, pos, size, limit, widths, out, out_at, window, flat, rows[base], masks[base], others[base])
+    if still and not cached and not metas and max(len(s.data) for s in streams) <= PLAIN_BYTES:
+        greens, pos = _decode_plain(pos, size, limit, widths, window, flat, rows[base], masks[base].astype(np.int64))
+        out = np.repeat(others[base], size).astype(np.uint32) | greens.astype(np.uint32) << np.uint32(8)
         return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
     def look(at, code, row):
@@ -368,64 +466,112 @@ def decode_streams(streams: list[_Stream]) -> tuple[list[np.ndarray], np.ndarray
     return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
 
-def _decode_plain(act, pos, size, limit, widths, out, out_at, window, flat, rows, masks, others) -> None:
-    """decode_streams where each image has one group, no colour cache, and green alone takes bits.
+def _value(window: np.ndarray, pos: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols, and the bits after them."""
+    n = np.maximum(symbol - 2, 0) >> 1
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1) << n) + (_look(window, pos) & (1 << n) - 1)) + 1, pos + n
 
-    What is asked of each image in each step lies side by side, and is gathered anew only when images are done.
-    """
-    place = out_at[:-1].copy()  # of the next pixel
 
-    def extra(k: int, symbol: int) -> int:
-        """A length or distance from its prefix symbol."""
-        if symbol < 4:
-            return symbol + 1
-        n = (symbol - 2) >> 1
-        a = int(at[k])
-        at[k] = a + n
-        return ((2 + (symbol & 1)) << n) + (int(window[a >> 3]) >> (a & 7) & ((1 << n) - 1)) + 1
+def _decode_plain(pos, size, limit, widths, window, flat, rows, masks) -> tuple[np.ndarray, np.ndarray]:
+    """(greens of all images one after the other, bits after the last one used) where each image has one group, no colour cache, and green alone takes bits.
 
-    while len(act):
-        at, to, end, last = pos[act], place[act], out_at[act] + size[act], limit[act]
-        table, mask, other = rows[act, 0], masks[act, 0].astype(np.int64), others[act]
-        left, step = int((end - to).min()), 0
-        while left > 0:
-            e = flat[table + ((window[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & mask)]
-            at += e & 15
-            green = e >> 4
-            if green.max() < 256:
-                out[to] = other | green << 8
-                to += 1
-            else:
-                copy = green >= 256
-                lit = np.flatnonzero(~copy)
-                out[to[lit]] = other[lit] | green[lit] << 8
-                to[lit] += 1
-                for k in np.flatnonzero(copy).tolist():
-                    i, q = int(act[k]), int(to[k])
-                    length = extra(k, int(green[k]) - 256)
-                    a = int(at[k])
-                    e = int(flat[int(rows[i, 4]) + (int(window[a >> 3]) >> (a & 7) & int(masks[i, 4]))])
-                    at[k] = a + (e & 15)
-                    d = extra(k, e >> 4)
-                    if d > 120:
-                        d -= 120
-                    else:
-                        x, y = NEAR[d - 1]
-                        d = max(1, x + y * int(widths[i]))
-                    if d > q - int(out_at[i]) or q + length > int(end[k]):
-                        raise BadImage("bad back-reference")
-                    for o in range(0, length, d):
-                        m = min(d, length - o)
-                        out[q + o : q + o + m] = out[q + o - d : q + o - d + m]
-                    to[k] = q + length
-                left = int((end - to).min()) + 1
-            left -= 1
-            step += 1
-            # a step takes 15 bits, or far more for a copy; the window goes 192 bits beyond the data
-            if (step & 3 == 0 or left <= 0 or green.max() >= 256) and (at > last).any():
-                raise BadImage("truncated")
-        pos[act], place[act] = at, to
-        act = act[to < end]
+    What would begin at a bit, and where it would end, is looked up for all bits side by side; that gives
+    strides of STRIDE symbols, which lead from each image's first symbol to all others.
+    """
+    out_at = np.concatenate([[0], np.cumsum(size)])
+    out, ends = np.zeros(int(out_at[-1]), np.uint8), pos.copy()
+    still = masks[:, 0] == 0  # one symbol, which takes no bits
+    if (flat[rows[still, 0]] >> 4 >= 256).any():
+        raise BadImage("bad back-reference")
+    for i in np.flatnonzero(still).tolist():
+        out[out_at[i] : out_at[i + 1]] = flat[rows[i, 0]] >> 4
+    if (pos > limit).any() or (pos[~still] == limit[~still]).any():
+        raise BadImage("truncated")
+    todo = np.flatnonzero(~still & (size > 0))
+    block = np.cumsum(limit[todo] - pos[todo]) // BLOCK_BITS
+    for own in np.split(todo, np.flatnonzero(np.diff(block)) + 1) if len(todo) else ():
+        greens, ends[own] = _decode_block(pos[own], size[own], limit[own], widths[own], window, flat, rows[own], masks[own])
+        k = 0
+        for i, n in zip(own.tolist(), size[own].tolist(), strict=True):
+            out[out_at[i] : out_at[i] + n] = greens[k : k + n]
+            k += n
+    return out, ends
+
+
+def _decode_block(pos, size, limit, widths, window, flat, rows, masks) -> tuple[np.ndarray, np.ndarray]:
+    n_bytes = (limit >> 3) - (pos >> 3)
+    at = np.concatenate([[0], np.cumsum(n_bytes)])
+    image = np.repeat(np.arange(len(pos)), n_bytes)
+    byte = np.arange(at[-1]) + ((pos >> 3) - at[:-1])[image]
+    places = (window[byte][:, None] >> np.arange(8, dtype=np.uint64)).view(np.int64)
+    places &= masks[image, 0][:, None]
+    places += rows[image, 0][:, None]
+    entry = flat[places.reshape(-1)]
+    good = 8 * int(at[-1])  # behind the last symbol of an image; one more: behind one that its image cuts off
+    step = np.arange(good + 2)
+    step[:good] += entry & 15
+    # copies: a length, a distance symbol and its distance
+    copy = np.flatnonzero(entry >= 256 << 4)
+    owner = image[copy >> 3]
+    begin = 8 * byte[copy >> 3] + (copy & 7)
+    length, to = _value(window, begin + (entry[copy] & 15), (entry[copy] >> 4) - 256)
+    e = flat[rows[owner, 4] + (_look(window, to) & masks[owner, 4])]
+    distance, to = _value(window, to + (e & 15), e >> 4)
+    near = distance <= len(NEAR)
+    x, y = _NEAR[np.where(near, distance, 1) - 1].T
+    distance = np.where(near, np.maximum(1, x + y * widths[owner]), distance - len(NEAR))
+    step[copy] = copy + to - begin
+    # only an image's last bits, and copies, can lead beyond its end
+    stop, start = 8 * at[1:], 8 * at[:-1] + (pos & 7)
+    last = np.concatenate([np.maximum(stop[:, None] - 1 - np.arange(MAX_LENGTH), start[:, None]).reshape(-1), copy])
+    beyond = step[last] - stop[image[last >> 3]]
+    step[last] = np.where(beyond < 0, step[last], good + (beyond > 0))
+    strides = [step]
+    while 1 << len(strides) <= STRIDE:
+        strides.append(strides[-1][strides[-1]])
+    now, firsts = start, []
+    while len(now):
+        firsts.append(now)
+        now = strides[-1][now]
+        now = now[now < good]
+    met = np.sort(np.concatenate(firsts))
+    for s in strides[-2::-1]:
+        met = np.stack([met, s[met]], 1).reshape(-1)
+        met = met[met < good]
+    # the pixels of each symbol
+    green, after, owner = entry[met] >> 4, step[met], image[met >> 3]
+    count = (after <= good).astype(np.int64)
+    copied = np.flatnonzero((green >= 256) & (after <= good))
+    which = np.searchsorted(copy, met[copied])
+    count[copied] = length[which]
+    first = np.searchsorted(met, start)
+    place = np.cumsum(count) - count
+    place -= place[first][owner]
+    kept = place < size[owner]
+    if (np.bincount(owner, count, len(pos)) < size).any():
+        raise BadImage("truncated")
+    back = kept[copied]
+    copied, distance = copied[back], distance[which[back]]
+    if (distance > place[copied]).any() or (place + count > size[owner])[copied].any():
+        raise BadImage("bad back-reference")
+    final = first + np.bincount(owner[kept], minlength=len(pos)) - 1
+    ends = pos + np.where(after[final] < good, after[final], stop) - start
+    place += (np.cumsum(size) - size)[owner]
+    out = np.zeros(int(size.sum()), np.uint8)
+    literal = np.flatnonzero(kept & (green < 256))
+    out[place[literal]] = green[literal]
+    if len(copied):
+        n = count[copied]
+        to = np.arange(n.sum()) + np.repeat(place[copied] - (np.cumsum(n) - n), n)
+        source = np.arange(len(out))
+        source[to] -= np.repeat(distance, n)
+        while True:  # copies of copies: twice as far back each time
+            further = source[source[to]]
+            if (further == source[to]).all():
+                break
+            source[to] = further
+        out[to] = out[source[to]]
+    return out, ends
 
 
 def lossless_chunk(data: bytes) -> bytes:
@@ -558,12 +704,44 @@ def _undo(argb: np.ndarray, transform) -> np.ndarray:
     return np.concatenate([table, np.zeros(256, np.uint32)])[index].reshape(-1).astype(np.uint32)
 
 
-def decode_images(files: list[bytes]) -> list[np.ndarray]:
-    """Pixel arrays (height, width, 4) uint8 in the order B, G, R, A."""
+def decode_green(files: list[bytes]) -> list[np.ndarray]:
+    """The green of each image's pixels, row by row. Those with no transform but subtract-green, one group, no cache and bits for green alone are read side by side."""
+    bodies = [lossless_chunk(f) for f in files]
+    usual = np.array([k for k, b in enumerate(bodies) if len(b) <= PLAIN_BYTES and b[4] >> 5 == 0 and len(b) > 5 and b[5] & 63 == 5], np.int64)
+    out: list = [None] * len(files)
+    if len(usual):
+        data = [bodies[k] for k in usual.tolist()]
+        window = _window(data)
+        limit = 8 * np.cumsum([len(b) for b in data])
+        pos = np.concatenate([[0], limit[:-1]]) + 8
+        head = _look(window, pos)
+        width, height = (head & 0x3FFF) + 1, (head >> 14 & 0x3FFF) + 1
+        pos += 38
+        codes = []
+        for n in (256 + N_LENGTH, 256, 256, 256, N_DISTANCE):
+            lengths, pos = read_codes(window, pos, limit, n)
+            codes.append(lengths)
+        plain = np.flatnonzero(np.all([(c > 0).sum(1) < 2 for c in codes[1:4]], axis=0))
+        flat, table, mask = code_tables(codes[0][plain])
+        far, far_table, far_mask = code_tables(codes[4][plain])
+        rows, masks = np.zeros((2, len(plain), 5), np.int64)
+        rows[:, 0], masks[:, 0], rows[:, 4], masks[:, 4] = table, mask, len(flat) + far_table, far_mask
+        size = (width * height)[plain]
+        greens, _ = _decode_plain(pos[plain], size, limit[plain], width[plain], window, np.concatenate([flat, far]), rows, masks)
+        for k, a, n in zip(usual[plain].tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+            out[k] = greens[a : a + n]
+    rest = [k for k, x in enumerate(out) if x is None]
+    for k, x in zip(rest, decode_images([files[k] for k in rest], len(files) - len(rest)), strict=True):
+        out[k] = np.ascontiguousarray(x[..., 1]).reshape(-1)
+    return out
+
+
+def decode_images(files: list[bytes], among: int = 0) -> list[np.ndarray]:
+    """Pixel arrays (height, width, 4) uint8 in the order B, G, R, A; among: see decode_streams."""
     opened = [_open(f) for f in files]
     if not opened:
         return []
-    pixels, _ = decode_streams([o[0] for o in opened])
+    pixels, _ = decode_streams([o[0] for o in opened], among)
     out = []
     for argb, (_, transforms, width, height) in zip(pixels, opened, strict=True):
         for t in reversed(transforms):
@@ -604,6 +782,46 @@ def huffman_lengths(counts: dict[int, int], size: int, most: int = MAX_LENGTH) -
         counts = {s: (c + 1) // 2 for s, c in counts.items()}
 
 
+def huffman_many(counts: np.ndarray, most: int = MAX_LENGTH) -> np.ndarray:
+    """huffman_lengths of each row of counts, side by side."""
+    used = (counts > 0).sum(1)
+    out = (counts > 0).astype(np.int64)
+    order = np.argsort(used, kind="stable")
+    order = order[used[order] > 1]
+    for rows in np.split(order, range(HUFFMAN_ROWS, len(order), HUFFMAN_ROWS)) if len(order) else ():
+        width = int(used[rows[-1]])
+        row, symbol = np.nonzero(counts[rows])
+        column = np.arange(len(row)) - (np.cumsum(used[rows]) - used[rows])[row]
+        # what isn't merged yet: count, then smallest symbol; leaves are nodes 0.. and merged ones follow from width on
+        key, node = np.full((len(rows), width), _MERGED), np.tile(np.arange(width), (len(rows), 1))
+        key[row, column] = counts[rows][row, symbol] << 16 | symbol
+        parent = np.full((len(rows), 2 * width), 2 * width - 1)
+        r = np.arange(len(rows))
+        for k in range(width - 1):
+            if used[rows[r[0]]] < k + 2:
+                live = used[rows[r]] >= k + 2
+                r, key, node = r[live], key[live], node[live]
+            i = np.arange(len(r))
+            a = key.argmin(1)
+            low = key[i, a]
+            key[i, a] = _MERGED
+            b = key.argmin(1)
+            high = key[i, b]
+            key[i, b] = _MERGED
+            parent[r, node[i, a]] = parent[r, node[i, b]] = width + k
+            key[i, a] = ((low >> 16) + (high >> 16)) << 16 | np.minimum(low & 0xFFFF, high & 0xFFFF)
+            node[i, a] = width + k
+        depth = np.full((len(rows), 2 * width), -1)
+        i = np.arange(len(rows))
+        for k in range(2 * width - 2, width - 1, -1):
+            depth[:, k] = depth[i, parent[:, k]] + 1
+        out[rows[row], symbol] = depth[row, parent[row, column]] + 1
+    deep = np.flatnonzero(out.max(1, initial=0) > most)
+    if len(deep):
+        out[deep] = huffman_many((counts[deep] + 1) // 2, most)
+    return out
+
+
 def write_code(w: BitWriter, lengths: list[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
@@ -648,6 +866,56 @@ def write_code(w: BitWriter, lengths: list[int]) -> None:
         w.put(extra, n)
 
 
+def code_elements(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """write_code for each row of code lengths: (row, value, bits) of what is written, row after row."""
+    used = (lengths > 0).sum(1)
+    short = (used <= 2) & ~(lengths[:, 256:] > 0).any(1)
+    a = (lengths > 0).argmax(1)
+    b = lengths.shape[1] - 1 - (lengths[:, ::-1] > 0).argmax(1)
+    two = used == 2
+    rows = [np.flatnonzero(short)]
+    values = [(5 | two << 1 | np.where(used > 0, a, 0) << 3 | np.where(two, b, 0) << 11)[short]]
+    widths = [(11 + 8 * two)[short]]
+    long = np.flatnonzero(~short)
+    if len(long):
+        flat, size = lengths[long].reshape(-1), lengths.shape[1]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[::size] = True
+        start = np.flatnonzero(new)
+        n, v, zero = np.diff(np.append(start, len(flat))), flat[start], flat[start] == 0
+        # a length itself, repeats of the greatest size, one smaller repeat, or else the last one or two as they are
+        left, most = n - ~zero, np.where(zero, 138, 6)
+        full, left = left // most, left % most
+        many = np.where(zero, 18, 16)
+        again = np.where(zero, np.where(left >= 11, 18, 17), 16)
+        symbol = np.stack([v, many, again, v], 1).reshape(-1)
+        extra = np.stack([0 * n, np.where(zero, 127, 3), left - np.where(again == 18, 11, 3), 0 * n], 1).reshape(-1)
+        times = np.stack([1 - zero, full, left >= 3, np.where(left < 3, left, 0)], 1).reshape(-1)
+        symbol, extra, owner = (np.repeat(x, times) for x in (symbol, extra, np.repeat(start // size, 4)))
+        first = huffman_many(np.bincount(owner * 19 + symbol, minlength=19 * len(long)).reshape(-1, 19), 7)
+        codes = canonical_many(first).astype(np.int64)
+        n_bits = np.where((first > 0).sum(1) == 1, 0, first.T).T[owner, symbol]
+        stored = first[:, LENGTH_ORDER]
+        three = 3 * np.arange(10)
+        head = [(np.full(len(long), 30), 5), ((stored[:, :10] << three).sum(1), 30), ((stored[:, 10:] << three[:9]).sum(1), 27), (np.zeros(len(long), np.int64), 1)]
+        rows += [long] * 4 + [long[owner]]
+        values += [x for x, _ in head] + [np.where(n_bits > 0, codes[owner, symbol], 0) | extra << n_bits]
+        widths += [np.full(len(long), k) for _, k in head] + [n_bits + _LENGTH_EXTRA[symbol]]
+    rows, values, widths = (np.concatenate(x) for x in (rows, values, widths))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], values[order], widths[order]
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix of many."""
+    v = value - 1
+    top = np.maximum(np.frexp(v)[1] - 1, 1).astype(np.int64)
+    half = v >> (top - 1) & 1
+    low = v < 4
+    return np.where(low, v, 2 * top + half), np.where(low, 0, v - (2 + half << (top - 1))), np.where(low, 0, top - 1)
+
+
 def _prefix(value: int) -> tuple[int, int, int]:
     """(symbol, extra value, extra bits) of a length or distance."""
     v = value - 1
@@ -697,8 +965,8 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
     near = _near_of(width)
     sizes = (256 + N_LENGTH + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCE)
     counts = [[Counter() for _ in sizes] for _ in range(groups)]
-    coded = []
-    for g, s in steps:
+    coded = {}
+    for (g, s), times in Counter(steps).items():
         if s[0] == "pixel":
             v = s[1]
             out = [(0, v >> 8 & 255, 0, 0), (1, v >> 16 & 255, 0, 0), (2, v & 255, 0, 0), (3, v >> 24, 0, 0)]
@@ -708,19 +976,24 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
             a, b = _prefix(s[1]), _prefix(near.get(s[2], s[2] + 120))
             out = [(0, 256 + a[0], *a[1:]), (4, *b)]
         for c, symbol, _, _ in out:
-            counts[g][c][symbol] += 1
-        coded.append((g, out))
+            counts[g][c][symbol] += times
+        coded[g, s] = out
     lengths = [[huffman_lengths(c, n) for c, n in zip(cs, sizes, strict=True)] for cs in counts]
     codes = [[canonical(x) for x in ls] for ls in lengths]
     for ls in lengths:
         for x in ls:
             write_code(w, x)
     several = [[sum(x > 0 for x in one) > 1 for one in ls] for ls in lengths]
-    for g, out in coded:
+    written = {}
+    for (g, s), out in coded.items():
+        one = BitWriter()
         for c, symbol, extra, n in out:
             if several[g][c]:
-                w.put(codes[g][c][symbol], lengths[g][c][symbol])
-            w.put(extra, n)
+                one.put(codes[g][c][symbol], lengths[g][c][symbol])
+            one.put(extra, n)
+        written[g, s] = one.value, one.n
+    for step in steps:
+        w.put(*written[step])
 
 
 def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, block_bits: int = 2, modes: np.ndarray | None = None, multipliers: np.ndarray | None = None, meta: np.ndarray | None = None) -> bytes:
@@ -827,100 +1100,77 @@ def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
     data = np.concatenate(images)
     n, size = len(images), 256 + N_LENGTH
     image = np.repeat(np.arange(n), sizes)
-    near = _near_of(width)
     # what each image would take with and without its copies
     plain = np.bincount(image * size + data, minlength=n * size).reshape(n, size)
-    runs = copies(data, edge)
-    owner = np.searchsorted(edge, [r[0] for r in runs], "right") - 1
-    first = {i: int(k) for k, i in reversed(list(enumerate(owner.tolist())))}
-    lengths, distances = np.zeros((n, size), np.int64), np.zeros((n, N_DISTANCE), np.int64)
-    chosen: list[tuple] = []  # (place, length, length symbol, its extra, distance symbol, its extra)
-    for i in range(n):
-        lengths[i] = huffman_lengths({c: int(plain[i, c]) for c in np.flatnonzero(plain[i]).tolist()}, size, GRAY_BITS)
-        if i not in first:
-            continue
-        counts, far, steps = plain[i].copy(), Counter(), []
-        k = first[i]
-        while k < len(runs) and owner[k] == i:
-            p, m, d = runs[k]
-            np.subtract.at(counts, data[p : p + m].astype(np.int64), 1)
-            a, b = _prefix(m), _prefix(near.get(d, d + 120))
-            counts[256 + a[0]] += 1
-            far[b[0]] += 1
-            steps.append((p, m, a, b))
-            k += 1
-        mine = np.array(huffman_lengths({c: int(counts[c]) for c in np.flatnonzero(counts).tolist()}, size, GRAY_BITS))
-        theirs = np.array(huffman_lengths(far, N_DISTANCE, GRAY_BITS))
-        extra = sum(a[2] + b[2] for _, _, a, b in steps)
-        cost = int((counts * mine).sum()) + sum(c * int(theirs[d]) for d, c in far.items() if len(far) > 1) + extra + 5 * len(far) + 24
-        if cost < int((plain[i] * lengths[i]).sum()):
-            lengths[i], distances[i] = mine, theirs
-            chosen += steps
+    lengths, distances = huffman_many(plain, GRAY_BITS), np.zeros((n, N_DISTANCE), np.int64)
+    place, length, distance = np.array(copies(data, edge), np.int64).reshape(-1, 3).T
+    if len(place):
+        near = np.arange(int(distance.max()) + 1) + len(NEAR)
+        for d, code in _near_of(width).items():
+            if d < len(near):
+                near[d] = code
+        owner = image[place]
+        a, b = _prefixes(length), _prefixes(near[distance])
+        some, own = np.unique(owner, return_inverse=True)
+        inside = np.arange(length.sum()) + np.repeat(place - (np.cumsum(length) - length), length)
+        symbols = np.concatenate([np.repeat(own, length) * size + data[inside], own * size + 256 + a[0]])
+        change = np.bincount(symbols, np.repeat([-1, 1], [len(inside), len(own)]), len(some) * size)
+        counts = plain[some] + change.astype(np.int64).reshape(-1, size)
+        far = np.bincount(own * N_DISTANCE + b[0], minlength=len(some) * N_DISTANCE).reshape(-1, N_DISTANCE)
+        mine, theirs, kinds = huffman_many(counts, GRAY_BITS), huffman_many(far, GRAY_BITS), (far > 0).sum(1)
+        extra = np.bincount(own, a[2] + b[2], len(some)).astype(np.int64)
+        cost = (counts * mine).sum(1) + np.where(kinds > 1, (far * theirs).sum(1), 0) + extra + 5 * kinds + 24
+        better = cost < (plain[some] * lengths[some]).sum(1)
+        lengths[some[better]], distances[some[better]] = mine[better], theirs[better]
+        taken = better[own]
+        place, length, owner = place[taken], length[taken], owner[taken]
+        a, b = ([x[taken] for x in y] for y in (a, b))
     codes, far_codes = canonical_many(lengths), canonical_many(distances)
     alone, far_alone = (lengths > 0).sum(1) < 2, (distances > 0).sum(1) < 2
     bits_of, far_bits = np.where(alone[:, None], 0, lengths), np.where(far_alone[:, None], 0, distances)
-    heads, still = [], BitWriter()
+    still = BitWriter()
     for symbol in (0, 0, 255):  # of red, blue and alpha
         write_code(still, [int(c == symbol) for c in range(256)])
-    for i in range(n):
-        w = BitWriter()
-        w.put(0x2F, 8)
-        w.put(width - 1, 14)
-        w.put(int(sizes[i]) // width - 1, 14)
-        w.put(1, 1)
-        w.put(0, 3)
-        w.put(1, 1)
-        w.put(2, 2)  # subtract green, which leaves red and blue at zero
-        w.put(0, 3)  # no more transforms, no colour cache, one group
-        write_code(w, lengths[i].tolist())
-        w.put(still.value, still.n)
-        write_code(w, distances[i].tolist())
-        heads.append((w.value, w.n))
+    each = np.arange(n)
+    # the head; subtract green, which leaves red and blue at zero, no more transforms, no colour cache, one group
+    heads = [(np.full(n, 0x2F | (width - 1) << 8), 22), (sizes // width - 1 | 1 << 14, 18), (np.full(n, 5), 6)]
+    parts = [(each, v, np.full(n, k)) for v, k in heads] + [code_elements(lengths)]
+    parts += [(each, np.full(n, still.value >> k & 0x7FF), np.full(n, 11)) for k in (0, 11, 22)] + [code_elements(distances)]
     # the elements in order: a byte's code, or a copy's length and then its distance
-    skip = np.zeros(len(data) + 1, np.int64)
-    for p, m, _, _ in chosen:
-        skip[p] += 1
-        skip[p + m] -= 1
-    literal = np.flatnonzero(np.cumsum(skip[:-1]) == 0)
-    place, owner = [2 * literal], [image[literal]]
-    value, width_of = [codes[image[literal], data[literal]]], [bits_of[image[literal], data[literal]]]
-    if chosen:
-        p = np.array([c[0] for c in chosen])
-        i = image[p]
-        for k, (shift, table, widths, base) in enumerate(((2, codes, bits_of, 256), (3, far_codes, far_bits, 0))):
-            symbol = np.array([c[shift][0] for c in chosen]) + base
-            n_bits = widths[i, symbol]
-            code = np.where(n_bits > 0, table[i, symbol], 0).astype(np.uint64)
-            value.append(code | np.array([c[shift][1] for c in chosen], np.uint64) << n_bits.astype(np.uint64))
-            width_of.append(n_bits + np.array([c[shift][2] for c in chosen]))
-            place.append(2 * p + k)
-            owner.append(i)
-    place, owner, value, width_of = (np.concatenate(x) for x in (place, owner, value, width_of))
-    order = np.argsort(place, kind="stable")
-    return _pack_elements(heads, owner[order], value[order], width_of[order].astype(np.int64), n)
-
-
-def _pack_elements(heads: list[tuple[int, int]], owner: np.ndarray, value: np.ndarray, bits: np.ndarray, n: int) -> list[bytes]:
-    """Files of the given header bits and elements (at most 32 bits each), all packed by one pass over 32-bit words."""
-    head_bits = np.array([h[1] for h in heads])
-    total = np.concatenate([[0], np.cumsum(bits)])
-    first = np.searchsorted(owner, np.arange(n + 1))
-    body = total[first[1:]] - total[first[:-1]]
-    n_bytes = -(-(head_bits + body) // 8)
+    literal, value, bits, of = np.ones(len(data), bool), codes[image, data], bits_of[image, data], image
+    if len(place):
+        literal[np.arange(length.sum()) + np.repeat(place - (np.cumsum(length) - length), length)] = False
+        at, value, bits, of = [2 * np.flatnonzero(literal)], [value[literal]], [bits[literal]], [image[literal]]
+        for k, ((symbol, extra, n_extra), table, widths) in enumerate(((a, codes[:, 256:], bits_of[:, 256:]), (b, far_codes, far_bits))):
+            n_bits = widths[owner, symbol]
+            value.append(np.where(n_bits > 0, table[owner, symbol], 0).astype(np.uint64) | extra.astype(np.uint64) << n_bits.astype(np.uint64))
+            bits.append(n_bits + n_extra)
+            at.append(2 * place + k)
+            of.append(owner)
+        order = np.argsort(np.concatenate(at), kind="stable")
+        value, bits, of = (np.concatenate(x)[order] for x in (value, bits, of))
+    return _pack_elements([*parts, (of, value, bits)], n)
+
+
+def _pack_elements(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[bytes]:
+    """Files of the given parts one after the other, each (image, value, bits) of its elements (at most 32 bits each), images in order; all packed into 32-bit words."""
+    sums, inner = np.zeros((len(parts) + 1, n), np.int64), []
+    for k, (owner, _, bits) in enumerate(parts):
+        total = np.concatenate([[0], np.cumsum(bits)])
+        first = total[np.searchsorted(owner, np.arange(n + 1))]
+        sums[k + 1] = sums[k] + np.diff(first)
+        inner.append(total[:-1] - first[owner])
+    n_bytes = -(-sums[-1] // 8)
     at = np.concatenate([[0], np.cumsum(n_bytes + 8)])
-    place = total[:-1] - total[first[:-1]][owner] + (8 * at[:-1] + head_bits)[owner]
     words = np.zeros(int(at[-1]) // 4 + 4, np.uint64)
-    shifted = np.where(bits > 0, value, 0).astype(np.uint64) << (place & 31).astype(np.uint64)
-    word = place >> 5
-    new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-    if len(new):  # elements never overlap, so sums are unions
-        words[word[new]] = np.add.reduceat(shifted, new)
+    for (owner, value, bits), begin, place in zip(parts, sums, inner, strict=False):
+        place += (8 * at[:-1] + begin)[owner]
+        shifted = np.where(bits > 0, value, 0).astype(np.uint64) << (place & 31).astype(np.uint64)
+        word = place >> 5
+        new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        if len(new):  # elements never overlap, so sums are unions
+            words[word[new]] += np.add.reduceat(shifted, new)
     low, high = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
     low[1:] |= high[:-1]
     stream = low.view(np.uint8)
-    out = []
-    for i, (head, m) in enumerate(heads):
-        own = stream[int(at[i]) : int(at[i] + n_bytes[i])].tobytes()
-        k = -(-m // 8)
-        out.append(riff((int.from_bytes(own[:k], "little") | head).to_bytes(k, "little") + own[k:]))
-    return out
+    return [riff(stream[a : a + k].tobytes()) for a, k in zip(at.tolist(), n_bytes.tolist(), strict=False)]

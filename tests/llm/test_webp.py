@@ -193,3 +193,94 @@ def test_plain_streams_are_not_held_up_by_a_few_others():
     for cut in range(8, len(body) - 1, 7):
         with pytest.raises((webp.BadImage, IndexError)):
             webp.decode_images([*files, webp.riff(body[:cut])])
+
+
+def _grey_tiles(draw):
+    words = [bytes(draw.integers(97, 123, draw.integers(2, 9)).astype(np.uint8)) for _ in range(40)]
+    texts = [b" ".join(words[i] for i in draw.integers(0, 40, int(draw.integers(20, 900)))) for _ in range(40)]
+    tiles = [np.frombuffer((t + bytes(64))[: min(len(t) // 64 + 1, 128) * 64], np.uint8) for t in texts]
+    tiles += [np.zeros(64, np.uint8), np.full(640, 9, np.uint8), np.frombuffer(b"ab" * 96, np.uint8), draw.integers(0, 256, 8192).astype(np.uint8)]
+    return [*tiles, np.concatenate([np.full(1 << k, 40 + k, np.uint8) for k in range(13)])[:8128]]  # the last one has deep codes
+
+
+def test_codes_are_made_and_read_for_all_images_at_once(monkeypatch):
+    """What is worked out code by code, in Python, doesn't grow with the number of images."""
+    tiles, calls = _grey_tiles(np.random.default_rng(11)), collections.Counter()
+    for name in ("read_code", "code_table", "huffman_lengths", "write_code"):
+        def counted(*args, _name=name, _call=getattr(webp, name)):
+            calls[_name] += 1
+            return _call(*args)
+
+        monkeypatch.setattr(webp, name, counted)
+    seen = []
+    for some in (tiles[:1], tiles):
+        calls.clear()
+        stored = webp.encode_gray(some, 64)
+        assert all(np.array_equal(a, b) for a, b in zip(webp.decode_green(stored), some, strict=True))
+        seen.append(dict(calls))
+    assert seen[0] == seen[1]
+
+
+def test_many_images_come_out_as_one_by_one(monkeypatch):
+    """Blocks of any size and strides of any length; with images of other kinds among them; cut and changed files are refused or read alike."""
+    draw = np.random.default_rng(12)
+    tiles = _grey_tiles(draw)
+    files = webp.encode_gray(tiles, 64)
+    assert files == [f for t in tiles for f in webp.encode_gray([t], 64)]
+    pixels = [draw.integers(0, 5, (6, 9, 4)).astype(np.uint8) for _ in range(4)]
+    others = [webp.encode_image(p, t) for p, t in zip(pixels, (("green",), ("predictor",), ("palette",), ("cross", "green")), strict=True)]
+    for bits, stride in ((1 << 9, 1), (1 << 14, 4), (1 << 19, 16)):
+        monkeypatch.setattr(webp, "BLOCK_BITS", bits)
+        monkeypatch.setattr(webp, "STRIDE", stride)
+        for got, want in zip(webp.decode_green([*others[:2], *files, *others[2:]]), [*pixels[:2], *tiles, *pixels[2:]], strict=True):
+            assert np.array_equal(got, want[..., 1].reshape(-1) if want.ndim == 3 else want)
+    assert webp.decode_green([]) == [] and len(webp.decode_green(others[:1])) == 1
+
+    def read(f):
+        try:
+            s = webp._open(f)[0]
+            return (webp._decode_one(s)[0] >> 8 & 255).astype(np.uint8).tobytes() if s.meta is None and webp._plain(s) else None
+        except (webp.BadImage, IndexError):
+            return "refused"
+
+    outcomes = collections.Counter()
+    short = [f for f in files if len(f) < 1500]
+    for k in range(150):
+        f = bytearray(short[k % len(short)])
+        f[int(draw.integers(26, len(f)))] ^= 1 << int(draw.integers(0, 8))
+        f = bytes(f) if k % 3 else webp.riff(webp.lossless_chunk(bytes(f))[: int(draw.integers(6, len(f) - 20))])
+        want = read(f)
+        if want == "refused":
+            with pytest.raises((webp.BadImage, IndexError)):
+                webp.decode_green([files[0], f])
+        elif want is not None:
+            assert webp.decode_green([files[0], f])[1].tobytes() == want
+        outcomes[want if want is None or want == "refused" else "read"] += 1
+    assert min(outcomes["refused"], outcomes["read"]) > 10, outcomes
+
+
+def test_many_codes_are_those_of_one_by_one():
+    draw = np.random.default_rng(13)
+    for size, most in ((19, 7), (40, 11), (280, 11), (280, 15)):
+        counts = np.array([np.where(draw.random(size) < draw.random(), np.minimum(draw.zipf(1.2, size), 10**6), 0) for _ in range(12)] + [np.arange(size) == 3, np.zeros(size, int)])
+        many = webp.huffman_many(counts, most)
+        assert many.tolist() == [webp.huffman_lengths(dict(enumerate(c.tolist())), size, most) for c in counts]
+        if size == 19:
+            continue
+        row, value, bits = webp.code_elements(many)
+        writers = [webp.BitWriter() for _ in many]
+        for r, v, n in zip(row.tolist(), value.tolist(), bits.tolist(), strict=True):
+            writers[r].put(v, n)
+        data = []
+        for w, lengths in zip(writers, many.tolist(), strict=True):
+            one = webp.BitWriter()
+            webp.write_code(one, lengths)
+            assert (w.value, w.n) == (one.value, one.n)
+            data.append(w.bytes())
+        limit = 8 * np.cumsum([len(d) for d in data])
+        start = np.concatenate([[0], limit[:-1]])
+        got, end = webp.read_codes(webp._window(data), start, limit, size)
+        many[many.sum(1) == 0, 0] = 1  # a code without symbols is stored as that of symbol 0
+        assert got.tolist() == many.tolist() and (end - start).tolist() == [w.n for w in writers]
+        flat, at, mask = webp.code_tables(got)
+        assert all(flat[a : a + m + 1].tolist() == webp.code_table(x).tolist() for a, m, x in zip(at.tolist(), mask.tolist(), got.tolist(), strict=True))
