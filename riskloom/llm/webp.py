@@ -503,10 +503,10 @@ def _decode_block(pos, size, limit, widths, window, flat, rows, masks) -> tuple[
     at = np.concatenate([[0], np.cumsum(n_bytes)])
     image = np.repeat(np.arange(len(pos)), n_bytes)
     byte = np.arange(at[-1]) + ((pos >> 3) - at[:-1])[image]
-    places = (window[byte][:, None] >> np.arange(8, dtype=np.uint64)).view(np.int64)
-    places &= masks[image, 0][:, None]
-    places += rows[image, 0][:, None]
-    entry = flat[places.reshape(-1)]
+    entry, w, mask, table = np.empty((len(byte), 8), np.int64), window[byte], masks[image, 0], rows[image, 0]
+    for k in range(8):
+        entry[:, k] = flat[((w >> np.uint64(k)).view(np.int64) & mask) + table]
+    entry = entry.reshape(-1)
     good = 8 * int(at[-1])  # behind the last symbol of an image; one more: behind one that its image cuts off
     step = np.arange(good + 2)
     step[:good] += entry & 15
@@ -531,10 +531,12 @@ def _decode_block(pos, size, limit, widths, window, flat, rows, masks) -> tuple[
         strides.append(strides[-1][strides[-1]])
     now, firsts = start, []
     while len(now):
-        firsts.append(now)
-        now = strides[-1][now]
+        for _ in range(8):
+            firsts.append(now)
+            now = strides[-1][now]
         now = now[now < good]
     met = np.sort(np.concatenate(firsts))
+    met = met[: np.searchsorted(met, good)]
     for s in strides[-2::-1]:
         met = np.stack([met, s[met]], 1).reshape(-1)
         met = met[met < good]
@@ -927,12 +929,13 @@ def _prefix(value: int) -> tuple[int, int, int]:
 
 
 def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, meta: np.ndarray | None = None, meta_bits: int = 2) -> None:
-    px = [int(v) for v in argb]
+    px = argb.tolist()
+    threes = [*zip(px, px[1:], px[2:], strict=False), *(tuple(px[k:]) for k in range(max(0, len(px) - 2), len(px)))] if references else []
     steps, cache, seen, i = [], {}, {}, 0
     while i < len(px):
         run, dist = 0, 0
         if references:
-            j = seen.get(tuple(px[i : i + 3]))
+            j = seen.get(threes[i])
             if j is not None:
                 while i + run < len(px) and px[j + run] == px[i + run] and run < 4096:
                     run += 1
@@ -944,13 +947,12 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
             step, n = ("cache", k), 1
         else:
             step, n = ("pixel", px[i]), 1
-        y, x = divmod(i, width)
-        group = int(meta[y >> meta_bits, x >> meta_bits]) if meta is not None else 0
+        group = int(meta[i // width >> meta_bits, i % width >> meta_bits]) if meta is not None else 0
         steps.append((group, step))
-        for q in range(i, i + n):
-            if cache_bits:
-                cache[(_CACHE_HASH * px[q] & 0xFFFFFFFF) >> (32 - cache_bits)] = px[q]
-            seen[tuple(px[q : q + 3])] = q
+        for q in range(i, i + n) if cache_bits else ():
+            cache[(_CACHE_HASH * px[q] & 0xFFFFFFFF) >> (32 - cache_bits)] = px[q]
+        for q in range(i, i + n) if references else ():
+            seen[threes[q]] = q
         i += n
     w.put(1 if cache_bits else 0, 1)
     if cache_bits:
@@ -992,8 +994,11 @@ def _write_stream(w: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
                 one.put(codes[g][c][symbol], lengths[g][c][symbol])
             one.put(extra, n)
         written[g, s] = one.value, one.n
-    for step in steps:
-        w.put(*written[step])
+    for k in range(0, len(steps), 256):
+        some = BitWriter()
+        for step in steps[k : k + 256]:
+            some.put(*written[step])
+        w.put(some.value, some.n)
 
 
 def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, block_bits: int = 2, modes: np.ndarray | None = None, multipliers: np.ndarray | None = None, meta: np.ndarray | None = None) -> bytes:
@@ -1065,24 +1070,32 @@ def copies(data: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     image = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
     # places to begin at: behind a space or line end, and every so many bytes, which runs need
-    begins = (np.arange(n) - edge[image[:n]]) % GRAY_COPY == 0
+    begins = (np.arange(n) - edge[image[:n]]) & (GRAY_COPY - 1) == 0  # a power of two
     begins[1:] |= (data[: n - 1] == 32) | (data[: n - 1] == 10)
     at = np.flatnonzero(begins & (image[:n] == image[GRAY_COPY - 1 :]))
     h = span_hash(prefix_hash(data), at, at + GRAY_COPY)
     with np.errstate(over="ignore"):
         h += image[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = (h & np.uint64((1 << 20) - 1)).view(np.int64)
+    alike = np.bincount(low, minlength=1 << 20)[low] > 1  # the rest has no earlier place
+    at, h = at[alike], h[alike]
     order = np.argsort(h, kind="stable")
     same = (h[order][1:] == h[order][:-1]) & (image[at[order]][1:] == image[at[order]][:-1])
     earlier = np.full(len(data), -1)
     earlier[at[order][1:][same]] = at[order][:-1][same]
-    found, free = [], 0
-    for p in np.flatnonzero(earlier >= 0).tolist():
+    found, free, raw = [], 0, data.tobytes()
+    again = np.flatnonzero(earlier >= 0)
+    for p, q, end in zip(again.tolist(), earlier[again].tolist(), edge[image[again] + 1].tolist(), strict=True):
         if p < free:
             continue
-        q, end = int(earlier[p]), int(edge[image[p] + 1])
-        most = min(end - p, 4096)
-        differ = np.flatnonzero(data[p : p + most] != data[q : q + most])
-        length = int(differ[0]) if len(differ) else most
+        most, length = min(end - p, 4096), 0
+        while length < most:
+            n = min(64, most - length)
+            differ = int.from_bytes(raw[p + length : p + length + n], "little") ^ int.from_bytes(raw[q + length : q + length + n], "little")
+            if differ:
+                length += (differ & -differ).bit_length() - 1 >> 3
+                break
+            length += n
         if length >= GRAY_COPY:
             found.append((p, length, p - q))
             free = p + length
@@ -1101,7 +1114,8 @@ def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
     n, size = len(images), 256 + N_LENGTH
     image = np.repeat(np.arange(n), sizes)
     # what each image would take with and without its copies
-    plain = np.bincount(image * size + data, minlength=n * size).reshape(n, size)
+    cell = image * size + data
+    plain = np.bincount(cell, minlength=n * size).reshape(n, size)
     lengths, distances = huffman_many(plain, GRAY_BITS), np.zeros((n, N_DISTANCE), np.int64)
     place, length, distance = np.array(copies(data, edge), np.int64).reshape(-1, 3).T
     if len(place):
@@ -1136,24 +1150,20 @@ def encode_gray(images: list[np.ndarray], width: int) -> list[bytes]:
     heads = [(np.full(n, 0x2F | (width - 1) << 8), 22), (sizes // width - 1 | 1 << 14, 18), (np.full(n, 5), 6)]
     parts = [(each, v, np.full(n, k)) for v, k in heads] + [code_elements(lengths)]
     parts += [(each, np.full(n, still.value >> k & 0x7FF), np.full(n, 11)) for k in (0, 11, 22)] + [code_elements(distances)]
-    # the elements in order: a byte's code, or a copy's length and then its distance
-    literal, value, bits, of = np.ones(len(data), bool), codes[image, data], bits_of[image, data], image
+    # an element a byte: its code, or a copy's length, its distance, and nothing for the rest of the copy
+    value, bits = codes.reshape(-1)[cell], bits_of.reshape(-1)[cell]
     if len(place):
-        literal[np.arange(length.sum()) + np.repeat(place - (np.cumsum(length) - length), length)] = False
-        at, value, bits, of = [2 * np.flatnonzero(literal)], [value[literal]], [bits[literal]], [image[literal]]
+        inside = np.arange(length.sum()) + np.repeat(place - (np.cumsum(length) - length), length)
+        value[inside] = bits[inside] = 0
         for k, ((symbol, extra, n_extra), table, widths) in enumerate(((a, codes[:, 256:], bits_of[:, 256:]), (b, far_codes, far_bits))):
             n_bits = widths[owner, symbol]
-            value.append(np.where(n_bits > 0, table[owner, symbol], 0).astype(np.uint64) | extra.astype(np.uint64) << n_bits.astype(np.uint64))
-            bits.append(n_bits + n_extra)
-            at.append(2 * place + k)
-            of.append(owner)
-        order = np.argsort(np.concatenate(at), kind="stable")
-        value, bits, of = (np.concatenate(x)[order] for x in (value, bits, of))
-    return _pack_elements([*parts, (of, value, bits)], n)
+            value[place + k] = np.where(n_bits > 0, table[owner, symbol], 0).astype(np.uint64) | extra.astype(np.uint64) << n_bits.astype(np.uint64)
+            bits[place + k] = n_bits + n_extra
+    return _pack_elements([*parts, (image, value, bits)], n)
 
 
 def _pack_elements(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[bytes]:
-    """Files of the given parts one after the other, each (image, value, bits) of its elements (at most 32 bits each), images in order; all packed into 32-bit words."""
+    """Files of the given parts one after the other, each (image, value, bits) of its elements (at most 32 bits each, without bits 0), images in order; all packed into 32-bit words."""
     sums, inner = np.zeros((len(parts) + 1, n), np.int64), []
     for k, (owner, _, bits) in enumerate(parts):
         total = np.concatenate([[0], np.cumsum(bits)])
@@ -1165,7 +1175,7 @@ def _pack_elements(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: in
     words = np.zeros(int(at[-1]) // 4 + 4, np.uint64)
     for (owner, value, bits), begin, place in zip(parts, sums, inner, strict=False):
         place += (8 * at[:-1] + begin)[owner]
-        shifted = np.where(bits > 0, value, 0).astype(np.uint64) << (place & 31).astype(np.uint64)
+        shifted = value.astype(np.uint64) << (place & 31).astype(np.uint64)
         word = place >> 5
         new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         if len(new):  # elements never overlap, so sums are unions
