@@ -29,8 +29,8 @@ _NEAR = np.array(NEAR)
 _CACHE_HASH = 0x1E35A7BD
 #: So many streams of a batch that aren't plain are decoded one by one.
 FEW = 32
-#: Plain streams of at most so many bytes are looked up at all of their bits, so many bits at a time, in strides of so many symbols.
-PLAIN_BYTES, BLOCK_BITS, STRIDE = 1 << 18, 1 << 19, 16
+#: Plain streams of at most so many bytes and pixels are looked up at all of their bits, so many bits or pixels at a time, in strides of so many symbols.
+PLAIN_BYTES, PLAIN_PIXELS, BLOCK_BITS, STRIDE = 1 << 18, 1 << 20, 1 << 19, 16
 
 
 #: So many prefix codes of like size are worked out side by side.
@@ -380,9 +380,9 @@ def decode_streams(streams: list[_Stream], among: int = 0) -> tuple[list[np.ndar
     widths = np.array([s.width for s in streams], np.int64)
     metas = any(s.meta is not None for s in streams)
     act = np.flatnonzero(size > 0)
-    if still and not cached and not metas and max(len(s.data) for s in streams) <= PLAIN_BYTES:
+    if still and not cached and not metas and max(len(s.data) for s in streams) <= PLAIN_BYTES and size.max() <= PLAIN_PIXELS:
         greens, pos = _decode_plain(pos, size, limit, widths, window, flat, rows[base], masks[base].astype(np.int64))
-        out = np.repeat(others[base], size).astype(np.uint32) | greens.astype(np.uint32) << np.uint32(8)
+        out = np.repeat(others[base].astype(np.uint32), size) | greens.astype(np.uint32) << np.uint32(8)
         return [out[out_at[i] : out_at[i + 1]] for i in range(n)], pos - first + np.array([s.pos for s in streams], np.int64)
 
     def look(at, code, row):
@@ -488,7 +488,7 @@ def _decode_plain(pos, size, limit, widths, window, flat, rows, masks) -> tuple[
     if (pos > limit).any() or (pos[~still] == limit[~still]).any():
         raise BadImage("truncated")
     todo = np.flatnonzero(~still & (size > 0))
-    block = np.cumsum(limit[todo] - pos[todo]) // BLOCK_BITS
+    block = np.cumsum(np.maximum(limit[todo] - pos[todo], size[todo])) // BLOCK_BITS
     for own in np.split(todo, np.flatnonzero(np.diff(block)) + 1) if len(todo) else ():
         greens, ends[own] = _decode_block(pos[own], size[own], limit[own], widths[own], window, flat, rows[own], masks[own])
         k = 0
@@ -709,7 +709,8 @@ def _undo(argb: np.ndarray, transform) -> np.ndarray:
 def decode_green(files: list[bytes]) -> list[np.ndarray]:
     """The green of each image's pixels, row by row. Those with no transform but subtract-green, one group, no cache and bits for green alone are read side by side."""
     bodies = [lossless_chunk(f) for f in files]
-    usual = np.array([k for k, b in enumerate(bodies) if len(b) <= PLAIN_BYTES and b[4] >> 5 == 0 and len(b) > 5 and b[5] & 63 == 5], np.int64)
+    pixels = [((h & 0x3FFF) + 1) * ((h >> 14 & 0x3FFF) + 1) for h in (int.from_bytes(b[1:5], "little") for b in bodies)]
+    usual = np.array([k for k, b in enumerate(bodies) if 5 < len(b) <= PLAIN_BYTES and pixels[k] <= PLAIN_PIXELS and b[4] >> 5 == 0 and b[5] & 63 == 5], np.int64)
     out: list = [None] * len(files)
     if len(usual):
         data = [bodies[k] for k in usual.tolist()]

@@ -234,6 +234,10 @@ def test_many_images_come_out_as_one_by_one(monkeypatch):
         monkeypatch.setattr(webp, "STRIDE", stride)
         for got, want in zip(webp.decode_green([*others[:2], *files, *others[2:]]), [*pixels[:2], *tiles, *pixels[2:]], strict=True):
             assert np.array_equal(got, want[..., 1].reshape(-1) if want.ndim == 3 else want)
+    with monkeypatch.context() as m:  # large images are not looked up at all bits at once
+        m.setattr(webp, "PLAIN_PIXELS", 640)
+        m.setattr(webp, "_decode_block", lambda pos, size, *rest, _call=webp._decode_block: _call(pos, size, *rest) if size.max() <= 640 else pytest.fail("too large"))
+        assert all(np.array_equal(got, want) for got, want in zip(webp.decode_green(files), tiles, strict=True))
     assert webp.decode_green([]) == [] and len(webp.decode_green(others[:1])) == 1
 
     def read(f):
