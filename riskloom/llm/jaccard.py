@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import compact, connected_components, counted, dense_reduce, few, light, materialize, release, rows_of, table, tune
-from riskloom.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash, word_spans
+from riskloom.llm.common import compact, connected_components, counted, dense_reduce, few, lean, light, materialize, release, rows_of, table, tune
+from riskloom.llm.textops import LEAN_BYTES, LOWER, chunks, mix, prefix_hash, span_hash, word_spans
 
 WORDS = 5
 THRESHOLD = 75
@@ -93,8 +93,8 @@ def _sketch(words: int):
     def run(batches):
         total, seen = np.zeros(SKETCH, np.int64), False
         for b in batches:
-            for _, _, data, offs in chunks(b.column("text")):
-                sets = shingle_sets(data, offs, words)
+            sets = [g for _, _, data, offs in chunks(b.column("text"), LEAN_BYTES) for g in shingle_sets(data, offs, words)]
+            if sets:
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH)
                 seen = True
         return total if seen else None
@@ -110,7 +110,7 @@ def _fingerprint(g: np.ndarray) -> tuple[int, int]:
 def _classes(words: int):
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column("text")):
+            for lo, hi, data, offs in chunks(b.column("text"), LEAN_BYTES):
                 sets = shingle_sets(data, offs, words)
                 prints = [_fingerprint(g) for g in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -128,7 +128,7 @@ def _records(shared, hot: int, words: int, threshold: int):
         count, known = shared.value, set()
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, _, data, offs in chunks(b.column("text")):
+            for lo, _, data, offs in chunks(b.column("text"), LEAN_BYTES):
                 parts, docs, sizes, lens = [], [], [], []
                 for d, g in enumerate(shingle_sets(data, offs, words), lo):
                     if not len(g) or (key := (len(g), *_fingerprint(g))) in known:
@@ -278,7 +278,7 @@ def _sets(shared, words: int):
             if shared is not None:
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 b = b.filter(pa.array(shared.value[(mix(ids.view(_U)) % _U(FILTER)).astype(np.int64)]))
-            for lo, hi, data, offs in chunks(b.column("text")):
+            for lo, hi, data, offs in chunks(b.column("text"), LEAN_BYTES):
                 sets = shingle_sets(data, offs, words)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([g.tobytes() for g in sets], pa.binary())], ["doc", "g"])
 
@@ -328,7 +328,7 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     hot = int(HOT_MEANS * counts.mean() + HOT_ROWS)
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB
 
-    rows = materialize(spark, docs.mapInArrow(_classes(words), "doc_id long, n long, f1 long, f2 long"), "jaccard-docs")
+    rows = materialize(spark, docs.mapInArrow(lean(_classes(words)), "doc_id long, n long, f1 long, f2 long"), "jaccard-docs")
     full = rows.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("comp"), F.max("doc_id").alias("__top")).where("comp <> __top").drop("__top")
     # written first: only classes of several documents are joined, by broadcast or so that a hot class can be split
@@ -340,10 +340,10 @@ def link_components(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     n_docs, n_moved = seen["rows"], seen["moved"]
     merged = comp.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
 
-    records = known.mapInArrow(_records(shared, hot, words, threshold), "h long, salt int, doc long, n int, pos int")
+    records = known.mapInArrow(lean(_records(shared, hot, words, threshold)), "h long, salt int, doc long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = records.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "pos", "doc")
-    buckets = records.mapInArrow(_buckets(threshold), "kind byte, h long, a long, b long, n int, pos int")
+    buckets = records.mapInArrow(lean(_buckets(threshold)), "kind byte, h long, a long, b long, n int, pos int")
     buckets, seen_buckets = counted(spark, buckets, "jaccard-buckets", large=F.count(F.when(F.col("kind") == 1, 1)))
     # documents whose component is another's id; all others are their own
     edges, moved = merged, comp.select("doc_id", "comp").where("comp <> doc_id")
@@ -428,16 +428,16 @@ def _check(spark: SparkSession, known: DataFrame, todo: DataFrame, count: int, t
     """(x, y, linked) for todo(x, y), from the whole texts, and the number of links."""
     ids = todo.select(F.explode(F.array("x", "y")).alias("__id"))
     if few(2 * count, LIGHT):
-        near = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(_sets(None, words), "doc long, g binary")
+        near = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(lean(_sets(None, words)), "doc long, g binary")
     else:
         wanted = dense_reduce(ids, _wanted("__id"), FILTER, "int32")
-        near = known.mapInArrow(_sets(spark.sparkContext.broadcast(wanted > 0), words), "doc long, g binary")  # FILTER bytes, 2 MB
+        near = known.mapInArrow(lean(_sets(spark.sparkContext.broadcast(wanted > 0), words)), "doc long, g binary")  # FILTER bytes, 2 MB
     sets = materialize(spark, near, "jaccard-sets")
     pairs = todo.select("x", "y", "b", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"))
     # the sets of members are sent once, and of all others only those of their partners
     partners = sets.join(light(todo.select(F.col("b").alias("doc")).distinct(), count, LIGHT), "doc", "left_semi")
     both = light(pairs, count, LIGHT).join(sets.select(F.col("doc").alias("a"), F.col("g").alias("gx")), "a").join(partners.select(F.col("doc").alias("b"), F.col("g").alias("gy")), "b")
-    checked = both.select("x", "y", "gx", "gy").mapInArrow(_verify(threshold), "x long, y long, linked boolean")
+    checked = both.select("x", "y", "gx", "gy").mapInArrow(lean(_verify(threshold)), "x long, y long, linked boolean")
     checked, seen = counted(spark, checked, "jaccard-checked", linked=F.count(F.when(F.col("linked"), 1)))
     release(spark, sets)
     return checked, seen["linked"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.common import table, tune
+from riskloom.llm.common import lean, table, tune
 from riskloom.llm.tokens import MAX_PIECES
 
 WINDOW = 4096
@@ -208,7 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int
 
     max_pieces bounds the encoder's cache in each Python worker (about 180 bytes a piece).
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path, size, end_id, max_held, max_pieces), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(_pack(tokenizer_path, size, end_id, max_held, max_pieces)), SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

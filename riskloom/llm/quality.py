@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import dense_reduce, held_out, table, tune
-from riskloom.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash
+from riskloom.llm.common import dense_reduce, held_out, lean, table, tune
+from riskloom.llm.textops import LEAN_BYTES, LOWER, chunks, mix, prefix_hash, span_hash
 
 WORDS = 1 << 14
 SHAPES = 64
@@ -116,19 +116,23 @@ def _contexts(n_words: int):
         total = np.zeros(slots * DIMS)
         seen = False
         for b in batches:
-            for _, _, data, offs in chunks(b.column("text")):
+            parts = []
+            for lo, _, data, offs in chunks(b.column("text"), LEAN_BYTES):
                 word, shape, first = tokens(data, offs, n_words)
-                doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-                for back in (1, 2):
-                    if len(word) <= back:
-                        continue
-                    near = doc[back:] == doc[:-back]
-                    for a, c in ((slice(back, None), slice(None, -back)), (slice(None, -back), slice(back, None))):
-                        for slot in (word, shape):
-                            row, other = slot[a][near] * DIMS, word[c][near]
-                            for j in range(0, NONZERO, 1 if slot is word else 2):
-                                total += np.bincount(row + place[other, j], weights=sign[other, j], minlength=slots * DIMS)
-                seen = True
+                parts.append((word, shape, np.repeat(np.arange(lo, lo + len(offs) - 1), np.diff(first))))
+            if not parts:
+                continue
+            word, shape, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for back in (1, 2):
+                if len(word) <= back:
+                    continue
+                near = doc[back:] == doc[:-back]
+                for a, c in ((slice(back, None), slice(None, -back)), (slice(None, -back), slice(back, None))):
+                    for slot in (word, shape):
+                        row, other = slot[a][near] * DIMS, word[c][near]
+                        for j in range(0, NONZERO, 1 if slot is word else 2):
+                            total += np.bincount(row + place[other, j], weights=sign[other, j], minlength=slots * DIMS)
+            seen = True
         return total if seen else None
 
     return run
@@ -219,14 +223,14 @@ def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label
 
     def features(batches):
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column("text")):
+            for lo, hi, data, offs in chunks(b.column("text"), LEAN_BYTES):
                 x = pooled(data, offs, shared.value)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "h", "x"])
 
     sample = labelled_sample(labels, label, max_train)  # at most max_train rows of 16 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
-    rows = rows.mapInArrow(features, "doc_id long, y double, h long, x binary").groupBy("doc_id", "y").agg(F.min(F.struct("h", "x")).alias("one"))  # one row for each id
+    rows = rows.mapInArrow(lean(features), "doc_id long, y double, h long, x binary").groupBy("doc_id", "y").agg(F.min(F.struct("h", "x")).alias("one"))  # one row for each id
     got = rows.select("doc_id", "y", "one.x", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("cal")).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy())  # the order of arrival doesn't matter
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMS + 1).astype(np.float64)[order]
@@ -246,13 +250,13 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray,
     def score(batches):
         vectors, net = shared.value
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column(at)):
-                s = net.score(pooled(data, offs, vectors).astype(np.float64))
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, "quality_score"])
+            x = [pooled(data, offs, vectors) for _, _, data, offs in chunks(b.column(at), LEAN_BYTES)]
+            if x:
+                s = net.score(np.concatenate(x).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "quality_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Texts are worked on in groups of about this many bytes (a longer text is a group of its own).
 CHUNK_BYTES = 2_000_000
+#: The same where arrays of eight bytes for each byte of text add up: what a worker has once taken it mostly keeps.
+LEAN_BYTES = 500_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -27,7 +29,7 @@ LOWER[65:91] += 32
 def powers(kind: str, n: int) -> np.ndarray:
     """The first n powers of the hash base ("up") or of its inverse modulo 2**64 ("down")."""
     if len(_POWERS[kind]) < n:
-        grown = np.full(max(n, CHUNK_BYTES + 1), _BASE if kind == "up" else _INVERSE, _U)
+        grown = np.full(1 << (n - 1).bit_length(), _BASE if kind == "up" else _INVERSE, _U)
         grown[0] = 1
         with np.errstate(over="ignore"):
             _POWERS[kind] = np.multiply.accumulate(grown)
@@ -53,12 +55,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0] if len(texts) else np.zeros(1, np.int64)
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) for groups of whole texts of about CHUNK_BYTES."""
+def chunks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) for groups of whole texts of about ``size`` bytes (CHUNK_BYTES)."""
     data, offs = buffers(texts)
+    size = CHUNK_BYTES if size is None else size
     lo, n = 0, len(offs) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, "right")) - 1)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
